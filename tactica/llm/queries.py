@@ -1,9 +1,11 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, toxicity
 
 QUERIES = {
+    "op4_bpe": bpe.query,
     "op5_mix_sources": mixing.query,
+    "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
