@@ -1,8 +1,9 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, toxicity
+from . import bpe, exact_dedup, minhash, mixing, toxicity
 
 QUERIES = {
+    "op1_minhash_dedup": minhash.query,
     "op4_bpe": bpe.query,
     "op5_mix_sources": mixing.query,
     "op8_toxicity": toxicity.query,
