@@ -1,9 +1,11 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import bpe, exact_dedup, minhash, mixing, toxicity
+from . import bpe, exact_dedup, licenses, minhash, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
+    "op2_license_scan": licenses.query,
+    "op3_secret_scan": secrets.query,
     "op4_bpe": bpe.query,
     "op5_mix_sources": mixing.query,
     "op8_toxicity": toxicity.query,
