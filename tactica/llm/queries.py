@@ -1,6 +1,6 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import bpe, exact_dedup, licenses, minhash, mixing, secrets, toxicity
+from . import bpe, exact_dedup, fingerprints, licenses, minhash, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_mix_sources": mixing.query,
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_fingerprints": fingerprints.query,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
