@@ -1,6 +1,6 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import bpe, exact_dedup, fingerprints, licenses, minhash, mixing, repeats, secrets, toxicity
+from . import bpe, exact_dedup, fingerprints, licenses, lm, minhash, mixing, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_secret_scan": secrets.query,
     "op4_bpe": bpe.query,
     "op5_mix_sources": mixing.query,
+    "op6_lm_score": lm.query,
     "op7_repeated_strings": repeats.query,
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
