@@ -1,7 +1,7 @@
 """Near duplicates by MinHash: many universal hash minima, banding, checks on full sets, components.
 
 Documents with equal shingle sets are one class from the start. Classes that share a band are
-candidates. First every member of a bucket is checked against the bucket's smallest class, and the
+candidates. In a few rounds every member of a bucket is checked against one centre of it, and the
 links found are merged into components; then, in buckets that still hold several components, every
 pair from different components is checked. So a bucket full of copies costs its size, not its
 square, and no link between different components is lost.
@@ -22,8 +22,10 @@ from .components import components
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
-#: Lowest bits of the minima that may differ between candidates: mean 16 of 160 at 0.8, plus 5 deviations.
-SKETCH_BITS = 35
+#: Bits of a set's parity sketch.
+PARITY_BITS = 1_024
+#: Rounds in which every member of a bucket meets one centre of it, before all that is left meets.
+STAR_ROUNDS = 2
 PERCENT = 80
 _rng = np.random.default_rng(20240501)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,11 +82,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, packed into longs."""
-    bits = ((_mix(sig) >> np.uint64(7)) & np.uint64(1)).astype(np.uint8)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
-    return np.packbits(bits, axis=1).view(np.int64)
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of the set's hashes fall on i. Two sketches differ in at most as
+    many bits as the sets have elements apart, so a pair they refuse cannot be similar."""
+    odd = (np.bincount((hashes >> np.uint64(11)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def _portions(sets: Iterator[tuple], most: int = PORTION) -> Iterator[list[tuple]]:
@@ -111,8 +113,8 @@ def sign(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
                 bands, sketch, digest = [None] * len(part), [None] * len(part), [None] * len(part)
                 if full:
                     sig = signatures([part[i][2] for i in full])
-                    for i, keys, s in zip(full, band_keys(sig), sketches(sig), strict=True):
-                        bands[i], sketch[i], digest[i] = keys, s, xxhash.xxh3_128_digest(part[i][2].tobytes())
+                    for i, keys in zip(full, band_keys(sig), strict=True):
+                        bands[i], sketch[i], digest[i] = keys, parity_sketch(part[i][2]), xxhash.xxh3_128_digest(part[i][2].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([len(x[2]) for x in part], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)],
                     ["row", "doc_id", "n", "digest", "bands", "sketch"])
@@ -134,9 +136,10 @@ def full_sets(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
     return docs.select(F.col("__row").alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, "row long, hashes array<bigint>")
 
 
-def _alike(percent: int) -> str:
-    """Sizes of sets that can be similar enough."""
-    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+def _possible(percent: int) -> str:
+    """SQL of what similar pairs must fulfil: sizes near each other, and few elements apart."""
+    apart = " + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(PARITY_BITS // 64))
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)"
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
@@ -162,24 +165,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_co
     classes = durable(signed.filter("n > 0").groupBy("digest", "n").agg(best, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
                       .withColumn("node", F.col("best.row")))
     members = classes.select(F.explode("bands").alias("key"), "node", "n", "sketch")
-    shared = members.groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = durable(members.join(shared.select("key", "c"), "key"))
-    apart = " + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(-(-BANDS * BAND_ROWS // 64)))
-    likely = f"{_alike(percent)} AND {apart} <= {SKETCH_BITS}"
-    star = members.select(F.col("c.node").alias("a"), F.col("c.n").alias("a_n"), F.col("c.sketch").alias("a_sketch"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    links = durable(confirm(star.filter(f"a <> b AND {likely}").select("a", "b").distinct(), docs, k, percent, text_col))
-    label = components(links)
-
-    labelled = members.drop("c").join(label, members["node"] == label["node"], "left").select("key", members["node"], "n", "sketch", F.coalesce("label", members["node"]).alias("label"))
-    labelled = durable(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("label").alias("a_label"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("label").alias("b_label"))
-    cross = left.join(right, (left["key"] == right["key"]) & F.expr(f"a_label < b_label AND {likely}")).select("a", "b").distinct()
-    label = components(links.unionByName(confirm(cross, docs, k, percent, text_col)))
-
-    classes = classes.join(label, "node", "left").select("digest", "n", "best", F.coalesce("label", F.col("node")).alias("label"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    members = durable(members.join(shared, "key"))
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "n", "sketch", "label")])
+
+    links, label = None, classes.select("node", F.col("node").alias("label"))
+    for turn in range(STAR_ROUNDS + 1):
+        # buckets that hold several components; the centre is another one each time
+        labelled = members.join(label, "node")
+        centre = F.min_by(F.struct("node", "n", "sketch", "label"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node"))
+        buckets = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("c"), F.mode("label", True).alias("most")).filter("lo < hi")
+        if turn < STAR_ROUNDS:
+            one = side(buckets.select("key", "c.*"), "a")
+        else:  # all outside a bucket's largest component, against all of the bucket
+            one = side(labelled.join(buckets.select("key", "most"), "key").filter("label <> most"), "a")
+        other = side(labelled, "b").withColumnRenamed("key", "b_key")
+        pairs = one.join(other, (F.col("key") == F.col("b_key")) & F.expr(f"a_label <> b_label AND {_possible(percent)}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = confirm(pairs, docs, k, percent, text_col)
+        links = durable(found if links is None else links.unionByName(found))
+        label = durable(classes.select("node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+    classes = classes.join(label, "node").select("digest", "n", "best", "label")
     of_label = classes.groupBy("label").agg(F.min("best").alias("least"))
     classes = classes.join(of_label, "label").select("digest", F.col("n").alias("set_n"), "least")
     joined = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["n"] == classes["set_n"]), "left")
