@@ -62,7 +62,12 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float] | None:
     them. None if there is no secret to learn from.
     """
     texts = docs.select("doc_id", text_or_empty(text_col).alias("text"))
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    def first(df: DataFrame, n: int) -> DataFrame:
+        """The texts of the n smallest hashes of ids; only ids are sorted, and n of them are broadcast."""
+        ids = df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        return df.join(F.broadcast(ids), "doc_id", "left_semi")
+
     hit = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
     value = F.transform(base_spans(F.col("text")), lambda x: F.when(x["kind"] == "assign", F.regexp_extract(x["m"], ASSIGN, 1)).otherwise(x["m"]))
     secret = first(texts.filter(hit), SECRET_TEXTS).select(F.explode(value).alias("w"))
