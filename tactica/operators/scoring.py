@@ -83,13 +83,13 @@ def planes(p: str = "p") -> str:
     """SQL: set indices of the 112 x 64 input planes, seen from the side to move.
 
     Twelve piece planes (own pawn to king, then the other's) and an empty one, eight times over;
-    then castling of each side (king's, queen's), three zero planes and one of ones.
+    then castling of each side (king's, queen's), Black to move, two zero planes and one of ones.
     """
     turned = f"transform(sequence(0, 63), s -> if({p}.white, {p}.bd[s], -{p}.bd[(s ^ 56)]))"
     pieces = f"filter(transform({turned}, (x, s) -> if(x = 0, -1, (abs(x) - 1 + if(x > 0, 0, 6)) * 64 + s)), i -> i >= 0)"
     repeated = f"flatten(transform(sequence(0, 7), r -> transform({pieces}, i -> r * 832 + i)))"
     rights = f"if({p}.white, {p}.rights, array({p}.rights[2], {p}.rights[3], {p}.rights[0], {p}.rights[1]))"
-    whole = f"flatten(transform(filter(array(0, 1, 2, 3, 7), k -> k = 7 OR {rights}[k]), k -> transform(sequence(0, 63), s -> 6656 + k * 64 + s)))"
+    whole = f"flatten(transform(filter(array(0, 1, 2, 3, 4, 7), k -> k = 7 OR k = 4 AND NOT {p}.white OR k < 4 AND get({rights}, k)), k -> transform(sequence(0, 63), s -> 6656 + k * 64 + s)))"
     return f"array_sort(concat({repeated}, {whole}))"
 
 

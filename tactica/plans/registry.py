@@ -1,4 +1,481 @@
-"""Queries over the driver tables and their SQL twins."""
+"""Queries over the driver tables, one for each operator, and their SQL twins.
+
+The driver tables hold no puzzles: relational operators run on tables of the same shape, and board
+operators on a catalogue of positions dealt over ``part`` by its key.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tactica.functions import arrays, evaltext, probs
+from tactica.operators import features, metrics, relational, replay, sampling, scoring, tags
+
+from . import models
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: (id, FEN, moves): hand-checked positions.
+CATALOGUE = [
+    ("F01", "r1bqkbnr/pppp1ppp/2n5/4p2Q/2B1P3/8/PPPP1PPP/RNB1K1NR b KQkq - 3 3", "g8f6 h5f7"),
+    ("F02", "6k1/5ppp/8/8/8/8/5PPP/3R2K1 b - - 0 1", "g8h8 d1d8"),
+    ("F03", "6rk/p5pp/8/6N1/8/8/8/6K1 b - - 0 1", "a7a6 g5f7"),
+    ("F04", "4k3/8/8/8/4p3/8/3P4/4K3 w - - 0 1", "d2d4 e4d3"),
+    ("F05", "4k3/p7/8/8/8/8/8/4K2R b K - 0 1", "a7a6 e1g1"),
+    ("F06", "8/P6k/8/8/8/8/8/K7 b - - 0 1", "h7g7 a7a8q"),
+    ("F07", "8/P6k/8/8/8/8/8/K7 b - - 0 1", "h7g7 a7a8n"),
+    ("F08", "4k3/8/8/8/8/3n4/8/R3K2R w KQ - 0 1", "e1e2 d3f4 e2e3 f4d5"),
+    ("F10", "q3k3/8/8/3N4/8/8/8/4K3 b - - 0 1", "e8f8 d5c7 f8f7 c7a8"),
+    ("F11", "q3k3/7p/8/3N4/8/8/8/4K3 b - - 0 1", "h7h6 d5c7 e8d7 c7a8"),
+    ("F12", "r3k3/1P6/8/8/8/8/8/4K3 b - - 0 1", "e8e7 b7a8r"),
+    ("F13", "4k3/8/8/8/8/8/8/4K3 w - - 0 1", "e1e2"),
+    ("F14", "4k3/8/8/8/8/2b5/8/R3K2R w KQ - 0 1", "e1e2 c3a1 h1a1"),
+    ("F15", "4k3/8/8/8/8/8/8/4K3 w - - 0 1", "e1e2 zz99"),
+]
+_VALUES = ", ".join(f"({i}, '{fen}', '{moves}')" for i, (_, fen, moves) in enumerate(CATALOGUE))
+_PUZZLES_SQL = f"(SELECT CAST(p_partkey AS VARCHAR) AS PuzzleId, FEN, Moves, p_size * 20 - 300 AS cp FROM part JOIN (VALUES {_VALUES}) c(i, FEN, Moves) ON p_partkey % {len(CATALOGUE)} = c.i)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def puzzles(spark: SparkSession, d: str) -> DataFrame:
+    cat = spark.createDataFrame([(i, fen, moves) for i, (_, fen, moves) in enumerate(CATALOGUE)], "i int, FEN string, Moves string")
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("PuzzleId"), (F.col("p_partkey") % len(CATALOGUE)).alias("i"), (F.col("p_size") * 20 - 300).alias("cp"))
+    return part.join(F.broadcast(cat), "i").select("PuzzleId", "FEN", "Moves", "cp")
+
+
+# --- cleaning and joins ---------------------------------------------------------------------------
+
+
+@query("filter_stable_ratings", "SELECT p_partkey, p_size FROM part WHERE p_size <= 25")
+def _(s, d):
+    return relational.stable_ratings(table(s, d, "part"), "p_size", 25).select("p_partkey", "p_size")
+
+
+@query("rating_bands", "SELECT CASE WHEN o_totalprice < 120000 THEN 'low' WHEN o_totalprice <= 180000 THEN 'middle' ELSE 'high' END AS band, count(*) AS n FROM orders GROUP BY 1")
+def _(s, d):
+    return table(s, d, "orders").groupBy(relational.rating_band(F.col("o_totalprice"), 120000, 180000).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("column_family", "SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS l_partkey, CAST(sum(l_suppkey) AS BIGINT) AS l_suppkey FROM lineitem GROUP BY 1")
+def _(s, d):
+    li = table(s, d, "lineitem")
+    return li.groupBy("l_returnflag").agg(*[F.sum(c).alias(c) for c in relational.column_family(li, "key")])
+
+
+@query("null_labels", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NULL")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left").filter(F.col("toxic").isNull()).select("doc_id")
+
+
+_LABELS = {"quality": 0, "toxic": 0}
+
+
+@query("left_join_defaults", "SELECT doc_id, lang, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def _(s, d):
+    return relational.left_with_defaults(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels"), "doc_id", _LABELS)
+
+
+@query("needs_evaluation", "SELECT doc_id, CAST(quality AS VARCHAR) AS quality, quality IS NULL AS needs_eval FROM documents LEFT JOIN labels USING (doc_id)")
+def _(s, d):
+    return relational.needs_evaluation(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id", "quality").withColumn("quality", F.col("quality").cast("string"))
+
+
+@query("semi_then_left", "SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM (SELECT doc_id FROM documents WHERE lang = 'fr') LEFT JOIN labels USING (doc_id)")
+def _(s, d):
+    return relational.known_then_left(table(s, d, "documents").filter("lang = 'fr'"), table(s, d, "labels"), "doc_id", _LABELS)
+
+
+@query("resume_unfinished", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
+def _(s, d):
+    return relational.unfinished(table(s, d, "documents"), table(s, d, "labels"), "doc_id", "quality").select("doc_id", "source")
+
+
+@query("merge_results", "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL UNION ALL SELECT doc_id, CAST(n_chars % 2 AS INTEGER), 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
+def _(s, d):
+    labels = table(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    new = relational.unfinished(table(s, d, "documents"), labels, "doc_id", "quality").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    return relational.merge_results(labels, new, "quality")
+
+
+@query("move_context", "SELECT conv_id, turn, role, lag(role, 1) OVER w AS role_prev1, lag(role, 2) OVER w AS role_prev2, lead(role, 1) OVER w AS role_next1 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def _(s, d):
+    return relational.neighbours(table(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", ["role"], back=2)
+
+
+@query("side_counter", "SELECT conv_id, turn, CAST(turn % 2 AS BIGINT) AS side, CASE WHEN r <= 5 THEN CAST(r - 1 AS INTEGER) END AS number FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS r FROM conversations)")
+def _(s, d):
+    return relational.side_counter(table(s, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", F.col("turn") % 2)
+
+
+@query("named_importances", "SELECT 'f' || p_partkey AS feature_id, p_retailprice AS gain, coalesce(n_name, 'f' || p_partkey) AS name FROM part LEFT JOIN nation ON p_partkey = n_nationkey")
+def _(s, d):
+    gains = table(s, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("feature_id"), F.col("p_retailprice").alias("gain"))
+    names = table(s, d, "nation").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    return relational.named_importances(gains, names)
+
+
+# --- aggregation, samples, splits -----------------------------------------------------------------
+
+_BUCKET = lambda key, seed, n: f"(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT % {n})"
+
+
+@query("rating_histogram", "SELECT CAST(floor(o_totalprice / 1000) * 1000 AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1")
+def _(s, d):
+    return sampling.histogram(table(s, d, "orders"), "o_totalprice", 1000)
+
+
+@query("label_vocabulary", "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS label FROM part")
+def _(s, d):
+    return sampling.vocabulary(table(s, d, "part"), "p_name")
+
+
+@query("multi_hot", """WITH v AS (SELECT list_sort(list(DISTINCT w)) AS words FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part))
+SELECT p_partkey, array_to_string(list_transform(words, lambda w: CASE WHEN list_contains(string_split(p_name, ' '), w) THEN 1 ELSE 0 END), '') AS encoded FROM part, v""")
+def _(s, d):
+    part = table(s, d, "part")
+    coded, _words = sampling.encode_labels(part, part.select("p_partkey", "p_name"), "p_partkey", "p_name")
+    return coded.select("p_partkey", F.array_join("encoded", "").alias("encoded"))
+
+
+@query("seeded_sample", "SELECT o_orderkey FROM orders ORDER BY md5('67:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500")
+def _(s, d):
+    return sampling.sample(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 500, 67)
+
+
+@query("split_80_10_10", f"SELECT o_orderkey, CASE WHEN {_BUCKET('o_orderkey', 42, 1000000)} < 100000 THEN 'test' WHEN {_BUCKET('o_orderkey', 43, 1000000)} < 111111 THEN 'val' ELSE 'train' END AS split FROM orders")
+def _(s, d):
+    return sampling.split(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("kfold", f"SELECT o_orderkey, CAST({_BUCKET('o_orderkey', 42, 5)} AS INTEGER) AS fold FROM orders")
+def _(s, d):
+    return sampling.folds(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("reuse_split", f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN {_BUCKET('o_orderkey', 42, 1000000)} < 100000 THEN 'test' WHEN {_BUCKET('o_orderkey', 43, 1000000)} < 111111 THEN 'val' ELSE 'train' END AS split FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1")
+def _(s, d):
+    splits = sampling.split(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
+    return sampling.reuse_split(table(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), splits, "o_orderkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sample_weight", "SELECT p_partkey, round(1.0 / greatest(CAST(p_size - 10 AS DOUBLE), 1.0), 9) AS weight FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", F.round(sampling.weight(F.col("p_size") - 10), 9).alias("weight"))
+
+
+@query("standardise", """WITH m AS (SELECT avg(p_retailprice) AS a, stddev_pop(p_retailprice) AS b FROM part WHERE p_partkey % 5 <> 0)
+SELECT p_partkey, round((p_retailprice - a) / b, 6) AS scaled FROM part, m""")
+def _(s, d):
+    scaled = sampling.standardise(table(s, d, "part"), ["p_retailprice"], F.col("p_partkey") % 5 != 0)
+    return scaled.select("p_partkey", F.round("p_retailprice", 6).alias("scaled"))
+
+
+_PRED_SQL = f"""(SELECT o_orderkey, model, o_totalprice / 1000 AS y, CASE model WHEN 'a' THEN o_totalprice / 1100 ELSE 100 + o_custkey % 97 END AS yhat,
+  CAST({_BUCKET('o_orderkey', 42, 5)} AS INTEGER) AS fold FROM orders, (VALUES ('a'), ('b')) m(model))"""
+
+
+def predictions(s, d):
+    rows = sampling.folds(table(s, d, "orders"), "o_orderkey").withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    guess = F.when(F.col("model") == "a", F.col("o_totalprice") / 1100).otherwise(100 + F.col("o_custkey") % 97)
+    return rows.select("o_orderkey", "model", "fold", (F.col("o_totalprice") / 1000).alias("y"), guess.alias("yhat"))
+
+
+def fold_errors(s, d):
+    return metrics.errors(predictions(s, d), ["model", "fold"]).select("model", "fold", F.round("mse", 6).alias("val_mse"), F.round("rmse", 6).alias("val_rmse"))
+
+
+_FOLDS_SQL = f"(SELECT model, fold, round(avg(pow(y - yhat, 2)), 6) AS val_mse, round(sqrt(avg(pow(y - yhat, 2))), 6) AS val_rmse FROM {_PRED_SQL} GROUP BY 1, 2)"
+
+
+@query("model_errors", f"SELECT * FROM {_FOLDS_SQL}")
+def _(s, d):
+    return fold_errors(s, d)
+
+
+@query("fold_summary", f"""SELECT model, round(avg(val_mse), 5) AS val_mse_mean, round(stddev_pop(val_mse), 5) AS val_mse_std, round(avg(val_rmse), 5) AS val_rmse_mean, round(stddev_pop(val_rmse), 5) AS val_rmse_std,
+  arg_min(fold, (val_rmse, fold)) AS best_fold, arg_min(val_mse, (val_rmse, fold)) AS best_val_mse, min(val_rmse) AS best_val_rmse,
+  arg_min(fold, (-val_rmse, fold)) AS worst_fold, arg_min(val_mse, (-val_rmse, fold)) AS worst_val_mse, max(val_rmse) AS worst_val_rmse FROM {_FOLDS_SQL} GROUP BY 1""")
+def _(s, d):
+    out = metrics.leaderboard(metrics.fold_summary(fold_errors(s, d)))
+    return out.select(*[F.round(c, 5).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in out.columns])
+
+
+@query("final_average", f"""WITH f AS (SELECT CAST(fold AS VARCHAR) AS fold, val_mse AS mse, val_rmse AS rmse FROM {_FOLDS_SQL} WHERE model = 'a')
+SELECT fold, round(mse, 5) AS mse, round(rmse, 5) AS rmse FROM f UNION ALL SELECT 'Final Average', round(avg(mse), 5), round(sqrt(avg(mse)), 5) FROM f""")
+def _(s, d):
+    rows = fold_errors(s, d).filter("model = 'a'").select("fold", F.col("val_mse").alias("mse"), F.col("val_rmse").alias("rmse"))
+    return metrics.with_final_average(rows).select("fold", F.round("mse", 5).alias("mse"), F.round("rmse", 5).alias("rmse"))
+
+
+@query("leaderboard", f"SELECT model, round(sqrt(avg(pow(y - yhat, 2))), 5) AS rmse FROM {_PRED_SQL} GROUP BY 1 ORDER BY 2, 1")
+def _(s, d):
+    return metrics.leaderboard(metrics.errors(predictions(s, d), ["model"]).select("model", F.round("rmse", 5).alias("rmse")), "rmse")
+
+
+@query("top_features", "SELECT 'f' || p_partkey AS feature_id, p_retailprice AS gain FROM part ORDER BY p_retailprice DESC, 'f' || p_partkey LIMIT 30")
+def _(s, d):
+    return metrics.top_features(table(s, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("feature_id"), F.col("p_retailprice").alias("gain")))
+
+
+@query("residuals", f"SELECT o_orderkey, model, round(yhat - y, 6) AS residual FROM {_PRED_SQL}")
+def _(s, d):
+    return metrics.residuals(predictions(s, d)).select("o_orderkey", "model", F.round("residual", 6).alias("residual"))
+
+
+# --- numeric features -----------------------------------------------------------------------------
+
+
+@query("curve_features", """WITH e AS (SELECT vec_id, list_transform(embedding[1:22], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
+m AS (SELECT *, list_avg(a) AS mu FROM e), k AS (SELECT *, list_avg(list_transform(a, lambda x: (x - mu) ** 2)) AS m2, list_avg(list_transform(a, lambda x: (x - mu) ** 3)) AS m3,
+ list_transform(range(1, 22), lambda i: a[i + 1] - a[i]) AS d1 FROM m), j AS (SELECT *, list_transform(range(1, 21), lambda i: d1[i + 1] - d1[i]) AS d2 FROM k)
+SELECT vec_id, round(mu, 6) AS prob_mean, round(sqrt(m2), 6) AS prob_std, round(list_min(a), 6) AS prob_min, round(list_max(a), 6) AS prob_max, round(list_max(a) - list_min(a), 6) AS prob_range,
+ round(m3 / m2 ** 1.5, 6) AS prob_skew, CAST(list_position(d2, list_min(d2)) - 1 AS BIGINT) AS inflection_idx, round(list_min(d1), 6) AS max_pairwise_drop FROM j""")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    found = arrays.curve_features([F.col("embedding")[i] for i in range(22)])
+    return e.select("vec_id", *[F.round(c, 6).alias(n) if n != "inflection_idx" else c.cast("bigint").alias(n) for n, c in found.items()])
+
+
+@query("mean_pool", "SELECT vec_id, array_to_string(list_transform(range(8), lambda j: round(list_sum(list_transform(range(8), lambda i: CAST(embedding[i * 8 + j + 1] AS DOUBLE))) / 10, 5)::DECIMAL(12, 5)), ',') AS pooled FROM embeddings")
+def _(s, d):
+    steps = F.array(*[F.slice(F.col("embedding").cast("array<double>"), 8 * i + 1, 8) for i in range(8)])
+    pooled = F.transform(arrays.mean_pool(steps, 8, 10), lambda x: F.round(x, 5).cast("decimal(12,5)").cast("string"))
+    return table(s, d, "embeddings").select("vec_id", F.array_join(pooled, ",").alias("pooled"))
+
+
+def move_probs(s, d) -> DataFrame:
+    """A move-probability table of the embeddings: softmax of ten numbers for each move and level."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("pid"), F.col("embedding").cast("array<double>").alias("z"), "label")
+    cells = e.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumns({"move_idx": F.expr("c div 5").cast("int"), "elo": F.expr("1100 + 200 * (c % 5)").cast("int")})
+    cells = cells.filter("move_idx < 1 + label % 5")
+    p = cells.withColumn("p", arrays.softmax(F.slice("z", F.col("c") * 2 + 1, 10)))
+    best = p.withColumns({"best": arrays.top_k(F.col("p"))}).withColumn("policy_idx", F.expr("cast(CASE WHEN (pid + move_idx) % 11 = 10 THEN -1 ELSE (pid + move_idx) % 11 END AS int)"))
+    return best.select("pid", F.lit("maia1").alias("source"), "elo", "move_idx", arrays.at(F.col("p"), F.col("policy_idx")).alias("prob"), "policy_idx",
+                       F.transform("best", lambda x: x["p"]).alias("top5_probs"), F.transform("best", lambda x: x["i"].cast("int")).alias("top5_idx"))
+
+
+_CELLS_SQL = """WITH c AS (SELECT vec_id AS pid, label, CAST(c // 5 AS INTEGER) AS move_idx, CAST(1100 + 200 * (c % 5) AS INTEGER) AS elo,
+ list_transform(embedding[c * 2 + 1 : c * 2 + 10], lambda x: CAST(x AS DOUBLE)) AS z, CASE WHEN (vec_id + c // 5) % 11 = 10 THEN -1 ELSE CAST((vec_id + c // 5) % 11 AS INTEGER) END AS idx
+ FROM embeddings, range(25) r(c) WHERE c // 5 < 1 + label % 5),
+x AS (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS ex FROM c), s AS (SELECT *, list_transform(ex, lambda v: v / list_sum(ex)) AS p FROM x),
+m AS (SELECT pid, move_idx, elo, idx, CASE WHEN idx >= 0 THEN coalesce(p[idx + 1], 0) ELSE 0 END AS prob, list_max(p) AS top1, p,
+ CASE WHEN idx >= 0 AND idx < 10 THEN len(list_filter(p, lambda v: v > p[idx + 1])) + 1 ELSE 6 END AS r FROM s),
+t AS (SELECT pid, move_idx, elo, prob, CASE WHEN r <= 5 THEN r ELSE 6 END AS rank, top1 FROM m) """
+
+
+@query("move_probability_columns", _CELLS_SQL + "SELECT pid, elo, move_idx, round(prob, 6) AS prob, CAST(rank AS INTEGER) AS rank, round(top1 - prob, 6) AS gap, round(prob / (top1 + 1e-7), 6) AS ratio FROM t")
+def _(s, d):
+    return probs.move_columns(move_probs(s, d)).select("pid", "elo", "move_idx", F.round("prob", 6).alias("prob"), "rank", F.round("gap", 6).alias("gap"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("level_statistics", _CELLS_SQL + """SELECT pid, 'maia1' AS source, elo, round(sum(prob) / 5, 6) AS prob_mean, round(CASE WHEN count(*) < 5 THEN 0 ELSE min(prob) END, 6) AS prob_min, round(max(prob), 6) AS prob_max,
+ round(sum(CASE WHEN prob > 0 THEN -ln(prob + 1e-7) ELSE 0 END) / 5, 6) AS ce_mean, round(max(CASE WHEN prob > 0 THEN -ln(prob + 1e-7) ELSE 0 END), 6) AS ce_max,
+ round(product(CASE WHEN prob > 0 THEN prob ELSE 1 END), 9) AS joint, round(sum(CASE WHEN prob > 0 THEN ln(prob + 1e-7) ELSE 0 END), 6) AS log_joint FROM t GROUP BY pid, elo""")
+def _(s, d):
+    out = probs.level_statistics(move_probs(s, d))
+    return out.select("pid", "source", "elo", *[F.round(c, 9 if c == "joint" else 6).alias(c) for c in out.columns[3:]])
+
+
+@query("probability_vector", _CELLS_SQL + """, grid AS (SELECT pid, m, e FROM (SELECT DISTINCT pid FROM t), range(5) a(m), range(5) b(e)),
+f AS (SELECT grid.pid, m, e, coalesce(prob, 0) AS prob, coalesce(rank, 6) AS rank, coalesce(top1 - prob, 0) AS gap FROM grid LEFT JOIN t ON t.pid = grid.pid AND t.move_idx = m AND t.elo = 1100 + 200 * e)
+SELECT pid, CAST(180 AS INTEGER) AS width, round(sum(prob), 6) AS flat_prob, round(sum(prob) / 5, 6) AS mean_prob, round(sum(rank), 6) AS flat_rank, round(sum(gap), 6) AS flat_gap FROM f GROUP BY pid""")
+def _(s, d):
+    v = probs.wide_vector(move_probs(s, d))
+    part = lambda a, n: arrays.total(F.slice("features", a, n))
+    return v.select("pid", F.size("features").alias("width"), F.round(part(1, 25), 6).alias("flat_prob"), F.round(part(26, 5), 6).alias("mean_prob"), F.round(part(61, 25), 6).alias("flat_rank"), F.round(part(101, 25), 6).alias("flat_gap"))
+
+
+@query("specialist_vector")
+def _(s, d):
+    """One level only: 36 columns (M13), chosen by a source label."""
+    chosen = relational.select_source(move_probs(s, d), "maia-1-1500")
+    return probs.wide_vector(chosen, elos=(1500,)).select("pid", F.size("features").alias("width"), F.expr("transform(features, x -> round(x, 6))").alias("features"))
+
+
+@query("engine_text", """WITH t AS (SELECT p_partkey, p_size FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN round(p_size / 10.0, 2)::DOUBLE END AS SF_Material, CASE WHEN p_partkey % 4 <> 0 THEN -0.25::DOUBLE END AS SF_Positional,
+ CASE WHEN p_partkey % 4 = 0 THEN (CASE WHEN p_partkey % 3 = 0 THEN -10000 ELSE p_size END)::DOUBLE ELSE (p_size || '.50')::DOUBLE END AS SF_Final_Eval,
+ CASE WHEN p_partkey % 3 = 0 THEN -10000 ELSE p_size END AS cp FROM t""")
+def _(s, d):
+    part, size = table(s, d, "part"), F.col("p_size")
+    text = F.when(F.col("p_partkey") % 4 == 0, "Final evaluation: none (in check)").otherwise(F.concat(
+        F.lit("|  0 | + 0.10 | - 1.00 | + 0.2 |\n|  5 |  + "), (size / 10).cast("decimal(6,2)").cast("string"), F.lit(" | - 0.25 | + 0.2 | <-- this bucket is used\nFinal evaluation       +"),
+        size.cast("string"), F.lit(".50 (white side)\n")))
+    search = F.concat(F.lit("info depth 1 score cp 9\ninfo depth 2 score "), F.when(F.col("p_partkey") % 3 == 0, "mate -2").otherwise(F.concat(F.lit("cp "), size)), F.lit("\nbestmove e2e4"))
+    rows = part.select("p_partkey", text.alias("t"), search.alias("s"))
+    return rows.select("p_partkey", *[c.alias(n) for n, c in evaltext.eval_columns(F.col("t"), F.col("s")).items()], evaltext.search_centipawn(F.col("s")).alias("cp"))
+
+
+@query("pca")
+def _(s, d):
+    out, variance = scoring.centred_pca(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 4)
+    return out.select("vec_id", F.expr("round(aggregate(pca, 0D, (a, x) -> a + x * x), 4)").alias("norm"), F.lit(round(float(sum(variance)), 6)).alias("explained"))
+
+
+# --- boards ---------------------------------------------------------------------------------------
+
+_COUNT = lambda cls: f"length(regexp_replace(split_part(FEN, ' ', 1), '[^{cls}]', '', 'g'))"
+_BALANCE = " + ".join(f"({_COUNT(c)} - {_COUNT(c.lower())}) * {v}" for c, v in zip("PNBRQ", (1, 3, 3, 5, 9), strict=True))
+
+
+@query("board_basics", f"""SELECT PuzzleId, CAST(len(string_split(Moves, ' ')) AS INTEGER) AS SolutionLength, CAST(split_part(FEN, ' ', 2) = 'w' AS INTEGER) AS IsWhiteToMove,
+ CAST({_COUNT('A-Z')} AS INTEGER) AS white_pieces, CAST({_COUNT('a-z')} AS INTEGER) AS black_pieces, CAST({_BALANCE} AS INTEGER) AS material_balance FROM {_PUZZLES_SQL}""")
+def _(s, d):
+    return features.basic(puzzles(s, d))
+
+
+@query("board_features")
+def _(s, d):
+    p = puzzles(s, d)
+    return features.structure(p, replay.replay(p))
+
+
+@query("positions")
+def _(s, d):
+    return replay.replay(puzzles(s, d)).select("PuzzleId", F.posexplode("pos").alias("n", "p")).select("PuzzleId", "n", "p.white", "p.f", "p.t", "p.promo", "p.cap", F.expr("array_join(p.bd, ' ') AS board"))
+
+
+@query("attack_edges")
+def _(s, d):
+    return replay.attack_edges(replay.replay(puzzles(s, d)))
+
+
+@query("legal_moves")
+def _(s, d):
+    return replay.legal_moves(replay.replay(puzzles(s, d)))
+
+
+@query("node_features")
+def _(s, d):
+    return features.node_features(replay.replay(puzzles(s, d)))
+
+
+@query("advanced_block")
+def _(s, d):
+    return features.advanced(replay.replay(puzzles(s, d))).select("PuzzleId", F.size("advanced").alias("width"), F.array_join(F.transform("advanced", lambda x: x.cast("int").cast("string")), " ").alias("advanced"))
+
+
+@query("theme_tags")
+def _(s, d):
+    return tags.tag(puzzles(s, d)).select("PuzzleId", "cp", "Themes")
+
+
+@query("tag_quarantine", f"SELECT PuzzleId FROM {_PUZZLES_SQL} WHERE len(string_split(Moves, ' ')) < 2 OR Moves LIKE '%zz%'")
+def _(s, d):
+    return relational.quarantine(tags.tag(puzzles(s, d)))[1].select("PuzzleId")
+
+
+def _moves(s, d):
+    p = puzzles(s, d)
+    return scoring.with_policy(scoring.player_moves(p, replay.replay(p)), s)
+
+
+@query("policy_lookup")
+def _(s, d):
+    return _moves(s, d).select("PuzzleId", "move_idx", "uci", "move", "policy_idx")
+
+
+def toy_scorer(frame):
+    """Logits of a deterministic stand-in for a network."""
+    return [np.cos(np.arange(1858) * (1 + e % 7) + m) for m, e in zip(frame["move_idx"], frame["elo"], strict=True)]
+
+
+@query("score_moves")
+def _(s, d):
+    rows = _moves(s, d).select("PuzzleId", "move_idx", "policy_idx")
+    return scoring.score(rows, toy_scorer, ["PuzzleId", "move_idx", "policy_idx"]).select("PuzzleId", "move_idx", "elo", "policy_idx", F.round("prob", 9).alias("prob"), "top5_idx")
+
+
+@query("input_planes")
+def _(s, d):
+    return _moves(s, d).select("PuzzleId", "move_idx", F.expr(scoring.planes()).alias("planes"))
+
+
+@query("embedding_sequence")
+def _(s, d):
+    steps = scoring.embedding_steps(replay.replay(puzzles(s, d)))
+    e = steps.select("PuzzleId", "step", F.expr("cast(array(aggregate(p.bd, 0, (a, x) -> a + x), size(p.legal), bit_count(p.checkers)) as array<double>) AS embedding"))
+    return scoring.padded_steps(e, "PuzzleId", 3)
+
+
+# --- models ---------------------------------------------------------------------------------------
+
+
+def matrix(s, d) -> DataFrame:
+    """pid, y, split, fold, weight and three blocks, of the embeddings."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("pid"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"))
+    base = sampling.folds(sampling.split(e.select("pid", "y", sampling.weight(F.col("pid") % 90).alias("weight")), "pid"), "pid")
+    return models.assemble(base, {n: e.select("pid", F.slice("v", a, 8)) for n, a in (("struct", 1), ("themes", 9), ("moves", 17))})
+
+
+BLOCKS = ["struct", "themes", "moves"]
+
+
+def small():
+    return models.boosted(maxIter=3, maxDepth=3)
+
+
+@query("block_assembly", "SELECT vec_id AS pid, CAST(24 AS INTEGER) AS width, round(list_sum(list_transform(embedding[1:24], lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def _(s, d):
+    m = matrix(s, d)
+    joined = F.concat(*BLOCKS)
+    return m.select("pid", F.size(joined).alias("width"), F.round(arrays.total(joined), 5).alias("total"))
+
+
+@query("train_boosted")
+def _(s, d):
+    m = matrix(s, d)
+    return models.predict(models.train(m, BLOCKS, small()), m, BLOCKS)
+
+
+@query("train_forest")
+def _(s, d):
+    m = matrix(s, d)
+    return models.predict(models.train(m, BLOCKS, models.forest(numTrees=5, maxDepth=4)), m, BLOCKS)
+
+
+@query("cross_validation")
+def _(s, d):
+    return metrics.fold_summary(models.cross_validate(matrix(s, d), BLOCKS, {"boosted": small}, k=3))
+
+
+@query("parameter_search")
+def _(s, d):
+    return models.search(matrix(s, d), BLOCKS, {"maxIter": [2, 3], "maxDepth": [2, 3]}, 2)[1]
+
+
+@query("ablation")
+def _(s, d):
+    return models.ablate(matrix(s, d), BLOCKS, learner=small)
+
+
+@query("specialists")
+def _(s, d):
+    return models.specialists(matrix(s, d), ["struct"], {"one": ["themes"], "two": ["moves"]}, small)
+
+
+@query("stacking")
+def _(s, d):
+    m = matrix(s, d)
+    return models.stack(models.specialists(m, ["struct"], {"one": ["themes"], "two": ["moves"]}, small), m, ["struct"], ["one", "two"], learner=small)
+
+
+@query("gain_importances")
+def _(s, d):
+    return metrics.top_features(models.importances(models.train(matrix(s, d), BLOCKS, small())), 15)
