@@ -66,6 +66,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Kept(dict):
+    """What ``make`` gives, remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = self.make(word)
+        return made
+
+
 class Vocabulary:
     """Places of words: index among the frequent ones (0: not), bucket and hash, packed in one integer."""
 
@@ -73,7 +85,7 @@ class Vocabulary:
         ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))
         self.index = {w: i + 1 for i, (w, _) in enumerate(ranked)}
         self.log_count = np.log10(np.array([0.1] + [n + 0.1 for _, n in ranked]))
-        self.kept: dict[bytes, int] = {}
+        self.kept = _Kept(self._place)
 
     def bucket(self, word: bytes, index: int) -> int:
         if 0 < index <= CLASSES * OWN:
@@ -82,14 +94,14 @@ class Vocabulary:
         h = zlib.crc32(word) % (CLASSES * shared)
         return h // shared * MEMBERS + OWN + h % shared
 
+    def _place(self, word: bytes) -> int:
+        i = self.index.get(word, 0)
+        return i << 42 | self.bucket(word, i) << 32 | zlib.crc32(word)
+
     def places(self, words: list[bytes]) -> np.ndarray:
-        kept = self.kept
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        for w in set(words) - kept.keys():
-            i = self.index.get(w, 0)
-            kept[w] = i << 42 | self.bucket(w, i) << 32 | zlib.crc32(w)
-        return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+        if len(self.kept) > WORDS_KEPT:
+            self.kept.clear()
+        return np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -123,16 +135,18 @@ class Model:
 
     def _logits(self, part: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         w = self.weights[part]
-        z = bias + w[rows[:, 0]]
-        z += w[rows[:, 1]]
-        z += w[rows[:, 2]]
+        z = w.take(rows[:, 0], axis=0)
+        z += bias
+        z += w.take(rows[:, 1], axis=0)
+        z += w.take(rows[:, 2], axis=0)
         z -= z.max(1, keepdims=True)
         return z
 
     def _rows(self, bucket: np.ndarray, contexts: np.ndarray):
         of = bucket // MEMBERS
         inner = _mix(contexts + (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
-        return ((0, (contexts % np.uint64(CLASS_ROWS)).astype(np.int64), of, self.class_bias), (1, (inner % np.uint64(MEMBER_ROWS)).astype(np.int64), bucket % MEMBERS, self.member_bias[of]))
+        # 16-bit rows sort by radix
+        return ((0, (contexts % np.uint64(CLASS_ROWS)).astype(np.uint16), of, self.class_bias), (1, (inner % np.uint64(MEMBER_ROWS)).astype(np.uint16), bucket % MEMBERS, self.member_bias[of]))
 
     def log_prob(self, bucket: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each token's bucket."""
@@ -141,13 +155,15 @@ class Model:
             b = slice(a, a + BATCH)
             for part, rows, target, bias in self._rows(bucket[b], contexts[b]):
                 z = self._logits(part, rows, bias)
-                out[b] += z[np.arange(len(z)), target] - np.log(np.exp(z).sum(1))
+                chosen = z[np.arange(len(z)), target]
+                out[b] += chosen - np.log(np.exp(z, out=z).sum(1))
         return out
 
     def step(self, bucket: np.ndarray, contexts: np.ndarray) -> None:
         """One gradient step over a batch, each row of weights at its own pace."""
         for part, rows, target, bias in self._rows(bucket, contexts):
-            g = np.exp(self._logits(part, rows, bias))
+            g = self._logits(part, rows, bias)
+            np.exp(g, out=g)
             g /= g.sum(1, keepdims=True)
             g[np.arange(len(g)), target] -= 1
             for k in range(3):
@@ -155,7 +171,7 @@ class Model:
                 own = rows[order, k]
                 starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 own, n = own[starts], np.diff(np.r_[starts, len(order)])
-                change = np.add.reduceat(g[order], starts, axis=0)
+                change = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
                 self.square[part][own] += (change**2).mean(1)
                 self.weights[part][own] -= RATE * change / np.sqrt(self.square[part][own])[:, None]
                 self.seen[part][own] += n
