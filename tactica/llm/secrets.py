@@ -24,6 +24,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Bounds of the labelled samples, in documents; thresholds of the ratio in nats.
 ORDINARY_TEXTS, SECRET_TEXTS = 2_000, 5_000
 LEAST_TOTAL, LEAST_MEAN = 20.0, 1.0
+#: Occurrences that the frequency of a character alone counts for, beside those of a pair.
+BACK_OFF = 5.0
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,m:string>>"
 
 
@@ -49,9 +51,11 @@ def base_spans(text: Column) -> Column:
 
 
 def _bigrams(tokens: DataFrame, label: int) -> DataFrame:
-    """(pair of alphabet places, label, n) from a column ``w``."""
+    """(pair of alphabet places, label, n) from a column ``w``. Ordinary pairs of a single text do not
+    count: they may be of a secret that no pattern knows."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))
-    counted = tokens.filter(F.length("w") >= 2).select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    counted = tokens.filter(F.length("w") >= 2).select("doc_id", F.explode(pairs).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("spread"))
+    counted = counted if label else counted.filter("spread")
     return counted.select(F.expr(f"instr('{ALPHABET}', substring(p, 1, 1))").alias("i"), F.expr(f"instr('{ALPHABET}', substring(p, 2, 1))").alias("j"), F.lit(label).alias("label"), "n").filter("i > 0 AND j > 0")
 
 
@@ -70,17 +74,23 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float] | None:
 
     hit = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
     value = F.transform(base_spans(F.col("text")), lambda x: F.when(x["kind"] == "assign", F.regexp_extract(x["m"], ASSIGN, 1)).otherwise(x["m"]))
-    secret = first(texts.filter(hit), SECRET_TEXTS).select(F.explode(value).alias("w"))
-    plain = first(texts.filter(~hit), ORDINARY_TEXTS).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("w"))
+    secret = first(texts.filter(hit), SECRET_TEXTS).select("doc_id", F.explode(value).alias("w"))
+    plain = first(texts.filter(~hit), ORDINARY_TEXTS).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("w"))
     counts = _bigrams(secret, 1).unionByName(_bigrams(plain, 0)).collect()  # at most 2 x alphabet^2 rows
     size = len(ALPHABET)
-    n = [[0.5] * (size * size), [0.05] * (size * size)]
+    n = [[0.0] * (size * size) for _ in range(2)]
     for r in counts:
         n[1 if r["label"] else 0][(r["i"] - 1) * size + r["j"] - 1] += r["n"]
-    if not any(r["label"] for r in counts):
+    if not sum(n[1]):
         return None
-    total = [[sum(k[i * size : (i + 1) * size]) for i in range(size)] for k in n]
-    return [math.log(n[1][x] / total[1][x // size]) - math.log(n[0][x] / total[0][x // size]) for x in range(size * size)]
+
+    def logs(k: list[float]) -> list[float]:
+        """log P(next | character), leaning on how frequent the next is anywhere."""
+        after = [sum(k[i * size : (i + 1) * size]) for i in range(size)]
+        each = [(sum(k[j::size]) + 0.5) / (sum(k) + 0.5 * size) for j in range(size)]
+        return [math.log((k[x] + BACK_OFF * each[x % size]) / (after[x // size] + BACK_OFF)) for x in range(size * size)]
+
+    return [a - b for a, b in zip(logs(n[1]), logs(n[0]), strict=True)]
 
 
 def markov_spans(text: Column, ratios: list[float] | None) -> Column:
