@@ -29,6 +29,8 @@ DEPTH, GRAM = 100, 32
 SPAN = DEPTH - GRAM + 1  # places of a gram in a window
 #: Bytes worked on at a time; positions in a portion fit in 24 bits.
 PORTION = 6_000_000
+#: Grams with more than this share of all stretches are crowded, 2 / CROWDED at most, and dealt over SALTS tasks.
+CROWDED, SALTS = 1e-3, 64
 _rng = np.random.default_rng(414243)
 BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, np.uint64)
 BASE = np.uint64(int(_rng.integers(1, 1 << 62)) * 4 + 3)
@@ -135,11 +137,28 @@ def _first_of_each(order: np.ndarray, same: np.ndarray) -> np.ndarray:
     return first
 
 
-FIELDS = ["g", "s", "key", "lo", "n", "sure"]
+FIELDS = ["g", "s", "key", "lo", "n", "sure", "salt"]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per stretch of windows; ``sure`` if this task has seen the stretch earlier."""
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, stretches) of grams that are crowded among a portion's stretches, and (null, all stretches)."""
+    for data, starts, ends, _, _ in _portions(batches, []):
+        grams, n = np.unique(stretches(data, starts, ends)[3], return_counts=True)
+        often = n > CROWDED / 2 * n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([None, *grams[often].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["g", "n"])
+
+
+def crowded_grams(texts: DataFrame) -> list[int]:
+    """All grams of more than CROWDED of all stretches: outside the portions where one is crowded it has CROWDED / 2 at most."""
+    counted = texts.select("text").mapInArrow(_frequent, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = durable(counted)
+    total = counted.filter("g IS NULL").agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counted.filter(F.col("g").isNotNull() & (F.col("n") > CROWDED / 2 * total)).select("g").collect()]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per stretch of windows; ``sure`` if this task has seen the stretch earlier. The stretches
+    of a crowded gram get a salt from their own hash, so equal ones still meet."""
     for data, starts, ends, offsets, (keys,) in _portions(batches, ["key"]):
         doc, lo, windows, g, s = stretches(data, starts, ends)
         if not len(doc):
@@ -149,8 +168,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros(len(order), bool)
         same[1:] = (g[order][1:] == g[order][:-1]) & (s[order][1:] == s[order][:-1])
         sure = ~_first_of_each(order, same)
+        salt = np.where(np.isin(g.view(np.int64), crowded), (s % np.uint64(SALTS)).astype(np.int32) + 1, 0).astype(np.int32)
         columns = [g.view(np.int64), s.view(np.int64), key, place.astype(np.int32), windows.astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sure)], FIELDS)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sure), pa.array(salt)], FIELDS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +198,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered(texts: DataFrame) -> DataFrame:
     """(key, text) -> (key, runs): stretches of windows that also start earlier, as (lo, n) pairs."""
-    anchors = texts.mapInArrow(_anchors, "g long, s long, key long, lo int, n int, sure boolean")
-    by_gram, in_order = Window.partitionBy("g"), Window.partitionBy("g", "s").orderBy("key", "lo")
-    dealt = anchors.repartition("g").withColumn("at", F.row_number().over(in_order))
-    dealt = dealt.withColumn("several", F.min("s").over(by_gram) != F.max("s").over(by_gram))
+    crowded = np.array(crowded_grams(texts), np.int64)
+    anchors = texts.mapInArrow(lambda batches: _anchors(batches, crowded), "g long, s long, key long, lo int, n int, sure boolean, salt int")
+    by_gram, in_order = Window.partitionBy("g", "salt"), Window.partitionBy("g", "salt", "s").orderBy("key", "lo")
+    dealt = anchors.repartition("g", "salt").withColumn("at", F.row_number().over(in_order))
+    dealt = dealt.withColumn("several", (F.col("salt") > 0) | (F.min("s").over(by_gram) != F.max("s").over(by_gram)))
     settled = dealt.withColumn("again", F.col("sure") | (F.col("at") > 1)).filter("again OR several").select("key", "lo", "n", "again")
     settled = durable(settled)
 

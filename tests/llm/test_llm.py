@@ -331,6 +331,17 @@ def test_repeats(request, table):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(texts(df))
 
 
+def test_a_line_in_every_text(spark, monkeypatch):
+    """A crowded gram's stretches are spread over salts and still found."""
+    monkeypatch.setattr(repeats, "CROWDED", 0.02)
+    line = "this one line of some sixty bytes stands in all of the texts "
+    rows = [(i, f"{hashlib.sha256(str(i).encode()).hexdigest() * 3} {line} {hashlib.sha256(str(i % 7).encode()).hexdigest() * 2}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert repeats.crowded_grams(df.select("text"))
+    got = repeats.remove_repeats(df).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows)
+
+
 def test_pieces_of_long_texts_share_no_window():
     import pyarrow as pa
 
@@ -338,7 +349,7 @@ def test_pieces_of_long_texts_share_no_window():
     try:
         text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1234))
         batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["key", "text"])
-        got = [w for part in repeats._anchors(iter([batch])) for lo, n in zip(part["lo"].to_pylist(), part["n"].to_pylist(), strict=True) for w in range(lo, lo + n)]
+        got = [w for part in repeats._anchors(iter([batch]), np.array([], np.int64)) for lo, n in zip(part["lo"].to_pylist(), part["n"].to_pylist(), strict=True) for w in range(lo, lo + n)]
     finally:
         repeats.PORTION = old
     assert sorted(got) == list(range(1234 - 99))
