@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tactica.functions import arrays, evaltext, probs
 from tactica.operators import features, metrics, relational, replay, sampling, scoring, tags
 
-from . import models
+from . import build, models
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -479,3 +479,20 @@ def _(s, d):
 @query("gain_importances")
 def _(s, d):
     return metrics.top_features(models.importances(models.train(matrix(s, d), BLOCKS, small())), 15)
+
+
+@query("feature_matrix")
+def _(s, d):
+    """All blocks that puzzles alone give, by the one entry point."""
+    p = puzzles(s, d).withColumns({"Rating": F.col("cp") + 1500, "RatingDeviation": F.abs("cp") % 100})
+    themes = tags.tag(p.drop("Rating", "RatingDeviation")).select("PuzzleId", "Themes")
+    m = build.build_matrix(p, ["struct", "advanced", "themes"], themes=themes)
+    return m.select("pid", "y", F.round("weight", 6).alias("weight"), F.size("struct").alias("struct"), F.size("advanced").alias("advanced"), F.round(arrays.total(F.concat("struct", "advanced", "themes")), 4).alias("total"))
+
+
+@query("incremental_scoring")
+def _(s, d):
+    """Half of the puzzles are done; only the others are scored."""
+    p = puzzles(s, d).drop("cp")
+    done = build.score_unfinished(p.filter("PuzzleId % 2 = 0"), toy_scorer, "maia1")
+    return build.score_unfinished(p, toy_scorer, "maia1", done).select("pid", "source", "elo", "move_idx", "policy_idx", F.round("prob", 9).alias("prob"))

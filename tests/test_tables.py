@@ -208,3 +208,27 @@ def test_model_plans(spark):
     assert len(s) == 6 and abs(s[2] - (s[0] + s[1]) / 2) < 1e-9
     e = {r.model: r.rmse for r in metrics.errors(parts.unionByName(models.stack(parts, m, ["noise"], ["one", "two"], learner=learner)), ["model"]).collect()}
     assert e["stacked"] < e["two"]
+
+
+def test_matrix_is_keyed_and_incremental(spark, tmp_path):
+    from tactica.plans import build
+    from tactica.plans.registry import CATALOGUE, toy_scorer
+
+    rows = [(n, f, m, 1500 + i, 80 + i * 5, "fork pin" if i % 2 else None, 0.1 * i, None) for i, (n, f, m) in enumerate(CATALOGUE[:5])]
+    p = spark.createDataFrame(rows, "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, Themes string, success_prob_rapid_1050 double, success_prob_blitz_1050 double")
+    probs_ = build.score_unfinished(p, toy_scorer, "maia1")
+    evals = spark.createDataFrame([("F01", 1.0, 2.0, 3.0, 4.0)], tables.EVALS)
+    store = tables.BlockStore(spark, str(tmp_path / "b"))
+    m = build.build_matrix(p, ["struct", "advanced", "curve", "themes", "stockfish", "maia1"], evals, p.select("PuzzleId", "Themes"), probs_, store)
+    got = {r.pid: r for r in m.collect()}
+    assert set(got) == {"F01", "F02", "F03"}  # a deviation of 90 stays, 95 goes
+    sizes = [len(got["F01"][b]) for b in ("struct", "advanced", "curve", "themes", "stockfish", "maia1")]
+    assert sizes == [14, 540, 8, 2, 4, 180] and got["F01"].stockfish == [1.0, 2.0, 3.0, 4.0] and got["F02"].stockfish == [0.0] * 4
+    with pytest.raises(ValueError, match="stockfish"):
+        build.build_matrix(p, ["stockfish"])
+    again = build.score_unfinished(p, toy_scorer, "maia1", probs_.filter("pid < 'F03'"))
+    assert rows_of(again) == rows_of(probs_)
+
+
+def rows_of(df):
+    return sorted((r.pid, r.elo, r.move_idx, round(r.prob, 9)) for r in df.collect())
