@@ -301,11 +301,15 @@ def _(s, d):
     return v.select("pid", F.size("features").alias("width"), F.round(part(1, 25), 6).alias("flat_prob"), F.round(part(26, 5), 6).alias("mean_prob"), F.round(part(61, 25), 6).alias("flat_rank"), F.round(part(101, 25), 6).alias("flat_gap"))
 
 
-@query("specialist_vector")
+@query("specialist_vector", _CELLS_SQL + """, grid AS (SELECT pid, m FROM (SELECT DISTINCT pid FROM t), range(5) a(m)),
+f AS (SELECT grid.pid, m, coalesce(prob, 0) AS prob, coalesce(rank, 6) AS rank, coalesce(prob / (top1 + 1e-7), 0) AS ratio FROM grid LEFT JOIN t ON t.pid = grid.pid AND t.move_idx = m AND t.elo = 1500)
+SELECT pid, CAST(36 AS INTEGER) AS width, round(sum(prob), 6) AS flat_prob, round(max(prob), 6) AS max_prob, round(sum(rank) / 5, 6) AS mean_rank, round(max(ratio), 6) AS max_ratio FROM f GROUP BY pid""")
 def _(s, d):
     """One level only: 36 columns (M13), chosen by a source label."""
-    chosen = relational.select_source(move_probs(s, d), "maia-1-1500")
-    return probs.wide_vector(chosen, elos=(1500,)).select("pid", F.size("features").alias("width"), F.expr("transform(features, x -> round(x, 6))").alias("features"))
+    v = probs.wide_vector(relational.select_source(move_probs(s, d), "maia-1-1500"), elos=(1500,))
+    at = {n: i for i, n in enumerate(probs.vector_names((1500,)))}
+    one = lambda n: F.round(F.get("features", F.lit(at[n])), 6)
+    return v.select("pid", F.size("features").alias("width"), F.round(arrays.total(F.slice("features", 1, 5)), 6).alias("flat_prob"), one("prob_max_1500").alias("max_prob"), one("rank_mean_1500").alias("mean_rank"), one("ratio_max_1500").alias("max_ratio"))
 
 
 @query("engine_text", """WITH t AS (SELECT p_partkey, p_size FROM part)
