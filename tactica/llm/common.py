@@ -44,6 +44,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def with_rows(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """A durable copy of ``docs`` with a row number that tells repeated rows apart."""
+def with_rows(docs: DataFrame, name: str = "__row", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with a number that tells rows apart and that no second reading changes.
+
+    The id itself where ids are integers, unique and not null; otherwise row numbers, fixed in a
+    durable copy (numbers given while reading would change with the cores that happen to be there).
+    """
+    if docs.schema[id_col].dataType.typeName() in ("long", "integer"):
+        total, ids = docs.select(id_col).agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+        if total == ids:
+            return docs.withColumn(name, F.col(id_col).cast("long"))
     return durable(docs.withColumn(name, F.monotonically_increasing_id()))

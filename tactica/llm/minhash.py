@@ -202,6 +202,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, te
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
-    found = near_duplicates(docs, k=4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_duplicates(with_rows(docs), k=4)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
