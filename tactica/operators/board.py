@@ -233,7 +233,10 @@ def signed(mask: int) -> int:
 
 
 def bits(squares) -> int:
-    return signed(sum(1 << s for s in set(squares)))
+    mask = 0
+    for s in squares:
+        mask |= 1 << s
+    return signed(mask)
 
 
 def describe(p: Position, move: tuple[int, int, int] | None) -> dict:
@@ -251,17 +254,22 @@ def describe(p: Position, move: tuple[int, int, int] | None) -> dict:
     checkers = p.attackers(own_king, -turn) if own_king is not None else []
     pins = p.pins()
     pinned = {s for s, _ in pins}
-    bad = [s for s in pieces if abs(board[s]) != KING and p.bad_spot(s)]
+    # most pieces are settled by who attacks their square; only sliders in front need a second look
+    side = {1: sum(1 << s for s in pieces if board[s] > 0), -1: sum(1 << s for s in pieces if board[s] < 0)}
+    colour = {s: 1 if board[s] > 0 else -1 for s in pieces}
+    alone = [s for s in pieces if not by[s] & side[colour[s]]]
+    hanging = {s for s in alone if not by[s] & side[-colour[s]] or p.hanging(s)}
+    bad = [s for s in pieces if abs(board[s]) != KING and by[s] & side[-colour[s]] and (s in hanging or p.bad_spot(s))]
     trapped = [s for s in bad if not checkers and s not in pinned and board[s] * turn > 0 and abs(board[s]) != PAWN and p.trapped(s, legal)]
     pseudo = p.pseudo_moves() if pins else []
     a, b, promo = move or (None, None, None)
     return {
         "white": turn > 0, "f": a, "t": b, "promo": promo, "cap": move is not None and p.is_capture(a, b), "bd": board,
-        "side": [bits(s for s in pieces if board[s] > 0), bits(s for s in pieces if board[s] < 0)],
+        "side": [signed(side[1]), signed(side[-1])],
         "kind": [0] + [bits(s for s in pieces if abs(board[s]) == k) for k in range(1, 7)],
         "at": [bits(attacks.get(s, ())) for s in range(64)], "by": [signed(x) for x in by],
         "king": [-1 if kings[1] is None else kings[1], -1 if kings[-1] is None else kings[-1]], "checkers": bits(checkers),
-        "hang": bits(s for s in pieces if p.hanging(s)), "bad": bits(bad), "trapped": bits(trapped),
+        "hang": bits(hanging), "bad": bits(bad), "trapped": bits(trapped),
         "pins": [{"s": s, "line": signed(line), "leaves": any(x == s and not line >> y & 1 for x, y, _ in pseudo)} for s, line in pins],
         "legal": [{"f": x, "t": y, "promo": q, "cap": p.is_capture(x, y), "chk": other_king is not None and bool(p.attackers(other_king, turn, after))} for x, y, q, after in legal],
         "rights": [p.has_right(r) for r in "KQkq"],

@@ -45,6 +45,16 @@ def test_attacks_and_attackers_agree():
         assert forward == back
 
 
+def test_described_squares_agree_with_the_single_rules():
+    from tactica.operators.board import KING, bits, describe
+
+    for p, move in random_games(3, 40, 11):
+        d = describe(p, move)
+        pieces = [s for s in range(64) if p.board[s]]
+        assert d["hang"] == bits(s for s in pieces if p.hanging(s))
+        assert d["bad"] == bits(s for s in pieces if abs(p.board[s]) != KING and p.bad_spot(s))
+
+
 def test_material_only_changes_by_capture_and_promotion():
     for p, (a, b, q) in random_games():
         lost = sum(x != 0 for x in p.board) - sum(x != 0 for x in p.after(a, b, q).board)
