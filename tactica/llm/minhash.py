@@ -142,12 +142,13 @@ def _possible(percent: int) -> str:
     return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)"
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: bool) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``many`` pairs are
+    sorted to the sets; for few, Spark may send the pairs to the sets instead."""
     pairs = durable(pairs)
-    needed = pairs.select(F.col("a").alias("__row")).unionByName(pairs.select(F.col("b").alias("__row"))).distinct()
-    sets = durable(full_sets(docs.join(needed, "__row", "left_semi"), k, text_col))
     a, b = sets.select(F.col("row").alias("a"), F.col("hashes").alias("a_set")), sets.select(F.col("row").alias("b"), F.col("hashes").alias("b_set"))
+    if many:
+        a, b = a.hint("merge"), b.hint("merge")
     both = F.size(F.array_intersect("a_set", "b_set")).alias("both")
     checked = pairs.join(b, "b").join(a, "a").select("a", "b", both, (F.size("a_set") + F.size("b_set")).alias("sum"))
     return checked.filter(f"100 * both >= {percent} * (sum - both)").select("a", "b")
@@ -164,9 +165,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_co
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     classes = durable(signed.filter("n > 0").groupBy("digest", "n").agg(best, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
                       .withColumn("node", F.col("best.row")))
-    members = classes.select(F.explode("bands").alias("key"), "node", "n", "sketch")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members = durable(members.join(shared, "key"))
+    keys = classes.select(F.explode("bands").alias("key"), "node")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    keys = durable(keys.join(shared, "key"))
+    members = durable(keys.join(classes.select("node", "n", "sketch"), "node"))
+    # the full sets of all that share a band with another, from one pass over the texts
+    needed = keys.select(F.col("node").alias("__row")).distinct().hint("merge")
+    sets = durable(full_sets(docs.join(needed, "__row", "left_semi"), k, text_col))
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "n", "sketch", "label")])
 
     links, label = None, classes.select("node", F.col("node").alias("label"))
@@ -181,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_co
             one = side(labelled.join(buckets.select("key", "most"), "key").filter("label <> most"), "a")
         other = side(labelled, "b").withColumnRenamed("key", "b_key")
         pairs = one.join(other, (F.col("key") == F.col("b_key")) & F.expr(f"a_label <> b_label AND {_possible(percent)}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = confirm(pairs, docs, k, percent, text_col)
+        found = confirm(pairs, sets, percent, many=turn == 0)
         links = durable(found if links is None else links.unionByName(found))
         label = durable(classes.select("node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
 
