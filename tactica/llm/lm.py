@@ -130,21 +130,21 @@ class Model:
         last[starts] = 1
         before[starts] = 1
         before[starts[lengths > 1] + 1] = 1
-        contexts = np.stack([_mix(last * np.uint64(3)), _mix(_mix(last * np.uint64(5)) + before), _mix(before * np.uint64(7))], axis=1)
+        contexts = np.stack([_mix(last * np.uint64(3)), _mix(_mix(last * np.uint64(5)) + before), _mix(before * np.uint64(7))])
         return ((places >> 32) & 1023).astype(np.int64), contexts
 
     def _logits(self, part: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         w = self.weights[part]
-        z = w.take(rows[:, 0], axis=0)
+        z = w.take(rows[0], axis=0)
         z += bias
-        z += w.take(rows[:, 1], axis=0)
-        z += w.take(rows[:, 2], axis=0)
+        z += w.take(rows[1], axis=0)
+        z += w.take(rows[2], axis=0)
         z -= z.max(1, keepdims=True)
         return z
 
     def _rows(self, bucket: np.ndarray, contexts: np.ndarray):
         of = bucket // MEMBERS
-        inner = _mix(contexts + (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+        inner = _mix(contexts + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         # 16-bit rows sort by radix
         return ((0, (contexts % np.uint64(CLASS_ROWS)).astype(np.uint16), of, self.class_bias), (1, (inner % np.uint64(MEMBER_ROWS)).astype(np.uint16), bucket % MEMBERS, self.member_bias[of]))
 
@@ -153,7 +153,7 @@ class Model:
         out = np.zeros(len(bucket))
         for a in range(0, len(bucket), BATCH):
             b = slice(a, a + BATCH)
-            for part, rows, target, bias in self._rows(bucket[b], contexts[b]):
+            for part, rows, target, bias in self._rows(bucket[b], contexts[:, b]):
                 z = self._logits(part, rows, bias)
                 chosen = z[np.arange(len(z)), target]
                 out[b] += chosen - np.log(np.exp(z, out=z).sum(1))
@@ -167,8 +167,8 @@ class Model:
             g /= g.sum(1, keepdims=True)
             g[np.arange(len(g)), target] -= 1
             for k in range(3):
-                order = np.argsort(rows[:, k], kind="stable")
-                own = rows[order, k]
+                order = np.argsort(rows[k], kind="stable")
+                own = rows[k][order]
                 starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 own, n = own[starts], np.diff(np.r_[starts, len(order)])
                 change = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
@@ -227,7 +227,7 @@ def train(texts: DataFrame, frequent: list[tuple[bytes, int]], mass: np.ndarray)
         for places, lengths in _token_portions(batches, vocabulary):
             bucket, contexts = model.features(places, lengths)
             for a in range(0, len(bucket), BATCH):
-                model.step(bucket[a : a + BATCH], contexts[a : a + BATCH])
+                model.step(bucket[a : a + BATCH], contexts[:, a : a + BATCH])
         fan, block = TaskContext.get().partitionId() % FAN, 0
         for part in (0, 1):
             for a in range(0, len(model.seen[part]), BLOCK):

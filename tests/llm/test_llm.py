@@ -299,9 +299,9 @@ def test_lm(request, table):
 def test_lm_probabilities_sum_to_one():
     m = lm.Model(np.full(1024, 1 / 1024))
     rng = np.random.default_rng(0)
-    bucket, contexts = rng.integers(0, 1024, 500), rng.integers(0, 1 << 63, (500, 3), np.uint64)
+    bucket, contexts = rng.integers(0, 1024, 500), rng.integers(0, 1 << 63, (3, 500), np.uint64)
     m.step(bucket, contexts)
-    p = np.exp(m.log_prob(np.arange(1024), np.repeat(contexts[:1], 1024, axis=0)))
+    p = np.exp(m.log_prob(np.arange(1024), np.repeat(contexts[:, :1], 1024, axis=1)))
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
