@@ -1,10 +1,12 @@
-"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
+"""Language-model scores: a maximum-entropy model with a softmax at every node of a tree of words.
 
-A token's bucket is predicted as class and member of the class, each by a softmax over hashed
-features of what stands before: the last word, the last two words, and the last but one alone (a
-skip). Frequent words have buckets of their own, all others share some; inside a bucket a word
-keeps its share of the corpus counts. Every task runs gradient steps over its stretch of the
-training texts, and the weights of all tasks are averaged by how often each feature was seen.
+A token's bucket is predicted by a few 32-way choices, each a softmax over features of what stands
+before: the last word, the last two words, and the last but one alone (a skip). Every frequent word
+has a bucket of its own, rare ones share some; inside a bucket a word keeps its share of the corpus
+counts. Every context has its own row of weights at every node it was seen at, so that the model
+grows with the corpus: tokens are dealt by the last word (very common ones also by the word before)
+over shards of about equal size, as many as the corpus needs, and each shard learns and applies its
+weights in one task. Weights of the skip hold within a shard.
 
 Counts cover all training texts. Words above a fixed share of them are few by arithmetic
 (1 / SHARE at most) and go to the tasks; the counts of all other words are joined by word.
@@ -22,19 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, table, text_or_empty
+from .common import durable, table, text_or_empty, with_rows
 
 #: A word of more than this share of all tokens is frequent: 250,000 words at most.
 SHARE = 4e-6
-CLASSES, MEMBERS = 32, 32
-#: Members of each class for words of their own; the rest are shared by hash.
-OWN = 30
-#: Rows of the hashed weights of classes and of members.
-CLASS_ROWS, MEMBER_ROWS = 4_096, 16_384
+#: Choices at every node of the tree of buckets.
+FAN = 32
+#: Tokens that one model learns from, about: each of its contexts has rows of its own, some 100 MB.
+SHARD = 400_000
 BATCH, RATE = 8_192, 0.15
 WORDS_KEPT, PORTION = 300_000, 400_000
-#: Rows of weights in one shuffled block, and parts of the first sum.
-BLOCK, FAN = 1_024, 64
 END = b""
 
 
@@ -79,24 +78,46 @@ class _Kept(dict):
 
 
 class Vocabulary:
-    """Places of words: index among the frequent ones (0: not), bucket and hash, packed in one integer."""
+    """Places of words: bucket and hash, packed in one integer.
+
+    A bucket is a leaf of a tree of four 32-way choices. The most frequent words are leaves after two;
+    below the other nodes of that depth (as many as are needed) each frequent word has a leaf of its
+    own, and rare words share one leaf of each last choice.
+    """
 
     def __init__(self, frequent: list[tuple[bytes, int]]):
         ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))
         self.index = {w: i + 1 for i, (w, _) in enumerate(ranked)}
         self.log_count = np.log10(np.array([0.1] + [n + 0.1 for _, n in ranked]))
+        self.split = max(2, -(-len(ranked) // (FAN * FAN * (FAN - 1))))  # inner nodes of each class
+        if self.split >= FAN:
+            raise ValueError(f"{len(ranked)} frequent words are too many for the tree of buckets")
+        self.index_of = np.zeros(FAN**4, np.int32)
+        for w, i in self.index.items():
+            self.index_of[self.bucket(w, i)] = i
         self.kept = _Kept(self._place)
 
+    def inner(self, node: int, rest: int) -> int:
+        return (node // self.split * FAN + FAN - self.split + node % self.split) * FAN**2 + rest
+
     def bucket(self, word: bytes, index: int) -> int:
-        if 0 < index <= CLASSES * OWN:
-            return (index - 1) // OWN * MEMBERS + (index - 1) % OWN
-        shared = MEMBERS - OWN
-        h = zlib.crc32(word) % (CLASSES * shared)
-        return h // shared * MEMBERS + OWN + h % shared
+        top = FAN - self.split
+        if 0 < index <= FAN * top:
+            return ((index - 1) // top * FAN + (index - 1) % top) * FAN**2
+        if index:
+            node, at = divmod(index - 1 - FAN * top, FAN * (FAN - 1))
+            return self.inner(node, at // (FAN - 1) * FAN + at % (FAN - 1))
+        return self.shared(zlib.crc32(word) % self.n_shared)
+
+    @property
+    def n_shared(self) -> int:
+        return FAN * self.split * FAN
+
+    def shared(self, h: int) -> int:
+        return self.inner(h // FAN, h % FAN * FAN + FAN - 1)
 
     def _place(self, word: bytes) -> int:
-        i = self.index.get(word, 0)
-        return i << 42 | self.bucket(word, i) << 32 | zlib.crc32(word)
+        return self.bucket(word, self.index.get(word, 0)) << 32 | zlib.crc32(word)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         if len(self.kept) > WORDS_KEPT:
@@ -110,143 +131,249 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Fixed biases from counts, and hashed weights of the features."""
+    """Fixed biases from counts, and a row of weights for every context at every node it is seen at."""
 
     def __init__(self, mass: np.ndarray):
-        shares = mass.reshape(CLASSES, MEMBERS)
-        self.log_mass = np.log(mass)
-        self.class_bias = np.log(shares.sum(1)).astype(np.float32)
-        self.member_bias = (np.log(shares) - np.log(shares.sum(1, keepdims=True))).astype(np.float32)
-        self.weights = [np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)]
-        self.seen = [np.zeros(CLASS_ROWS, np.float32), np.zeros(MEMBER_ROWS, np.float32)]
-        self.square = [np.full(CLASS_ROWS, 1e-4, np.float32), np.full(MEMBER_ROWS, 1e-4, np.float32)]
-
-    @staticmethod
-    def features(places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket, contexts): of every token its bucket and three context hashes, within its text."""
-        h = (places & 0xFFFFFFFF).astype(np.uint64) + np.uint64(2)
-        starts = np.cumsum(lengths) - lengths
-        last, before = np.roll(h, 1), np.roll(h, 2)
-        last[starts] = 1
-        before[starts] = 1
-        before[starts[lengths > 1] + 1] = 1
-        contexts = np.stack([_mix(last * np.uint64(3)), _mix(_mix(last * np.uint64(5)) + before), _mix(before * np.uint64(7))])
-        return ((places >> 32) & 1023).astype(np.int64), contexts
-
-    def _logits(self, part: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        w = self.weights[part]
+        self.log_mass = np.log(np.maximum(mass, 1e-300))
+        self.depth = round(math.log(len(mass), FAN))
+        self.bias = []
+        for d in range(self.depth):
+            shares = mass.reshape(FAN**d, FAN, -1).sum(2)
+            shares = np.maximum(shares, 1e-30 + 1e-9 * shares.sum(1, keepdims=True))
+            self.bias.append(np.log(shares / shares.sum(1, keepdims=True)).astype(np.float32))
+        # Words that are leaves at depth d have all of their node's mass in its first bucket
+        self.ends = [np.ones(FAN**d, bool) if d == self.depth else mass.reshape(FAN**d, -1)[:, 1:].sum(1) == 0 for d in range(self.depth + 1)]
+        self.keys = [np.zeros(0, np.uint64) for _ in range(self.depth)]
+        self.weights = [np.zeros((1, FAN), np.float32) for _ in range(self.depth)]  # the last row is that of unseen contexts
+        self.square = [np.full(1, 1e-4, np.float32) for _ in range(self.depth)]
+
+    def _at(self, bucket: np.ndarray, contexts: np.ndarray):
+        """(depth, tokens that choose there, their nodes, choices and keys of rows)."""
+        for d in range(self.depth):
+            node = bucket // FAN ** (self.depth - d)
+            on = np.flatnonzero(~self.ends[d][node])
+            node = node[on]
+            keys = _mix(contexts[:, on] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield d, on, node, bucket[on] // FAN ** (self.depth - d - 1) % FAN, keys
+
+    def grow(self, bucket: np.ndarray, contexts: np.ndarray) -> None:
+        """Gives each new context a row of its own."""
+        for d, _, _, _, keys in self._at(bucket, contexts):
+            old, new = self.keys[d], np.union1d(self.keys[d], keys)
+            at = np.searchsorted(new, old)
+            weights, square = np.zeros((len(new) + 1, FAN), np.float32), np.full(len(new) + 1, 1e-4, np.float32)
+            weights[at], square[at] = self.weights[d][:-1], self.square[d][:-1]
+            self.keys[d], self.weights[d], self.square[d] = new, weights, square
+
+    def rows(self, bucket: np.ndarray, contexts: np.ndarray) -> list[tuple]:
+        """(depth, tokens, nodes, choices, rows) at every depth; a context without a row has the last one."""
+        out = []
+        for d, on, node, target, keys in self._at(bucket, contexts):
+            known = self.keys[d]
+            at = np.searchsorted(known, keys.ravel()).reshape(keys.shape)
+            if len(known):
+                at[known[np.minimum(at, len(known) - 1)] != keys] = len(known)
+            out.append((d, on, node, target, at.astype(np.int32)))
+        return out
+
+    def _logits(self, d: int, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        w = self.weights[d]
         z = w.take(rows[0], axis=0)
-        z += bias
-        z += w.take(rows[1], axis=0)
-        z += w.take(rows[2], axis=0)
+        z += self.bias[d].take(node, axis=0)
+        for r in rows[1:]:
+            z += w.take(r, axis=0)
         z -= z.max(1, keepdims=True)
         return z
 
-    def _rows(self, bucket: np.ndarray, contexts: np.ndarray):
-        of = bucket // MEMBERS
-        inner = _mix(contexts + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        # 16-bit rows sort by radix
-        return ((0, (contexts % np.uint64(CLASS_ROWS)).astype(np.uint16), of, self.class_bias), (1, (inner % np.uint64(MEMBER_ROWS)).astype(np.uint16), bucket % MEMBERS, self.member_bias[of]))
-
     def log_prob(self, bucket: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each token's bucket."""
-        out = np.zeros(len(bucket))
-        for a in range(0, len(bucket), BATCH):
-            b = slice(a, a + BATCH)
-            for part, rows, target, bias in self._rows(bucket[b], contexts[:, b]):
-                z = self._logits(part, rows, bias)
-                chosen = z[np.arange(len(z)), target]
-                out[b] += chosen - np.log(np.exp(z, out=z).sum(1))
+        return self._log_prob(len(bucket), self.rows(bucket, contexts))
+
+    def _log_prob(self, n: int, found: list[tuple]) -> np.ndarray:
+        out = np.zeros(n)
+        for d, on, node, target, rows in found:
+            for a in range(0, len(on), BATCH):
+                b = slice(a, a + BATCH)
+                z = self._logits(d, node[b], rows[:, b])
+                chosen = z[np.arange(len(z)), target[b]]
+                out[on[b]] += chosen - np.log(np.exp(z, out=z).sum(1))
         return out
 
     def step(self, bucket: np.ndarray, contexts: np.ndarray) -> None:
         """One gradient step over a batch, each row of weights at its own pace."""
-        for part, rows, target, bias in self._rows(bucket, contexts):
-            g = self._logits(part, rows, bias)
-            np.exp(g, out=g)
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(g)), target] -= 1
-            for k in range(3):
-                order = np.argsort(rows[k], kind="stable")
-                own = rows[k][order]
-                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                own, n = own[starts], np.diff(np.r_[starts, len(order)])
-                change = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
-                self.square[part][own] += (change**2).mean(1)
-                self.weights[part][own] -= RATE * change / np.sqrt(self.square[part][own])[:, None]
-                self.seen[part][own] += n
-
-
-def _token_portions(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    words, lengths = [], []
+        self.grow(bucket, contexts)
+        for part in self.rows(bucket, contexts):
+            self._step(*part)
+
+    def _step(self, d: int, on: np.ndarray, node: np.ndarray, target: np.ndarray, rows: np.ndarray) -> None:
+        if not len(on):
+            return
+        g = self._logits(d, node, rows)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(len(g)), target] -= 1
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            own = r[order]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            own = own[starts]
+            change = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
+            self.square[d][own] += (change**2).mean(1)
+            self.weights[d][own] -= RATE * change / np.sqrt(self.square[d][own])[:, None]
+
+    def gains(self, bucket: np.ndarray, contexts: np.ndarray, learn: np.ndarray) -> np.ndarray:
+        """One pass of steps over the tokens of ``learn``; then, of all tokens, the gain over the bucket's own share."""
+        self.grow(bucket[learn], contexts[:, learn])
+        found = self.rows(bucket, contexts)
+        for d, on, node, target, rows in found:  # depths share no weights
+            own = np.flatnonzero(learn[on])
+            for a in range(0, len(own), BATCH):
+                b = own[a : a + BATCH]
+                self._step(d, on[b], node[b], target[b], rows[:, b])
+        return self._log_prob(len(bucket), found) - self.log_mass[bucket]
+
+
+def before(places: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place before each token and the one before that, within its text; ``start`` where there is none."""
+    starts = np.cumsum(lengths) - lengths
+    last, skip = np.roll(places, 1), np.roll(places, 2)
+    last[starts] = start
+    skip[starts] = start
+    skip[starts[lengths > 1] + 1] = start
+    return last, skip
+
+
+def contexts_of(last: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Three context hashes of every token: the last word, the last two, the last but one."""
+    last, skip = last.astype(np.uint64), skip.astype(np.uint64)
+    return np.stack([_mix(last * np.uint64(3)), _mix(_mix(last * np.uint64(5)) + skip), _mix(skip * np.uint64(7))])
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 32 bits by planes of bytes, which compress well."""
+    return zlib.compress(np.ascontiguousarray(np.stack(columns).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(n, -1)
+
+
+class Dealer:
+    """Shards of tokens. All tokens after the same two words meet in one shard, and as far as SHARD allows
+    all after the same last word; what is too much for one is dealt over several, each with plenty to learn from."""
+
+    def __init__(self, vocabulary: Vocabulary, frequent: list[tuple[bytes, int]], total: int):
+        self.shards, self.total = max(1, -(-total // SHARD)), max(total, 1)
+        self.pieces = np.ones(len(frequent) + 1, np.uint64)
+        for w, n in frequent:
+            self.pieces[vocabulary.index[w]] = max(1, -(-n * 4 // SHARD))
+        self.index_of = vocabulary.index_of
+
+    def deal(self, last: np.ndarray, skip: np.ndarray, salt: int) -> np.ndarray:
+        words, others = (last & 0xFFFFFFFF).astype(np.uint64), (skip & 0xFFFFFFFF).astype(np.uint64)
+        piece = _mix(others * np.uint64(11)) % self.pieces[self.index_of[last >> 32]]
+        pair = _mix(_mix(words * np.uint64(5)) + others)
+        _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
+        parts = np.maximum(np.where(n < 32, 0, n * (self.total / len(last)) * 4 // SHARD), 1).astype(np.uint64)[inverse]
+        piece += _mix(np.full(1, salt, np.int64).astype(np.uint64) * np.uint64(13)) % parts * np.uint64(1_000_003)
+        return (_mix(_mix(words * np.uint64(17)) + piece * np.uint64(19)) % np.uint64(self.shards)).astype(np.int64)
+
+
+def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Trains a model on each shard (records come in its order) and sums its gains by text."""
+    held: list[tuple[int, bytes]] = []
+
+    def out(batch: int, kind: int, data: bytes):
+        return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["batch", "kind", "data"])
+
+    def finish():
+        tables = [unpack(data, 4) for _, data in held]
+        last, skip, text, bucket = np.concatenate(tables, axis=1)
+        gain = Model(mass).gains(bucket.astype(np.int64), contexts_of(last, skip), text % 2 == 0)
+        at = 0
+        for (batch, _), t in zip(held, tables, strict=True):
+            own, inverse = np.unique(t[2] // 2, return_inverse=True)
+            sums = np.bincount(inverse, gain[at : at + t.shape[1]])
+            at += t.shape[1]
+            yield out(batch, 1, own.astype(np.uint32).tobytes() + sums.astype(np.float64).tobytes())
+
+    now = None
     for b in batches:
-        for t in b["text"].to_pylist():
-            own = _words(t)
-            words += own
-            lengths.append(len(own))
-            if len(words) >= PORTION:
-                yield vocabulary.places(words), np.array(lengths)
-                words, lengths = [], []
-    if words:
-        yield vocabulary.places(words), np.array(lengths)
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of blocks that arrive in order of (block, fan)."""
-    now, weights, seen = None, None, None
+        for shard, batch, data in zip(b["shard"].to_pylist(), b["batch"].to_pylist(), b["data"].to_pylist(), strict=True):
+            if shard < 0:
+                yield out(batch, 0, data)
+                continue
+            if shard != now and held:
+                yield from finish()
+                held = []
+            now = shard
+            held.append((batch, data))
+    if held:
+        yield from finish()
+
+
+def _gains_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, gain): the sums of each batch of texts, whose rows come first, over all shards."""
+    rows, total = None, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["block", "fan", "weights", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total)], ["row", "gain"])
 
     for b in batches:
-        for block, fan, w, n in zip(b["block"].to_pylist(), b["fan"].to_pylist(), b["weights"].to_pylist(), b["seen"].to_pylist(), strict=True):
-            w, n = np.frombuffer(w, np.float32), np.frombuffer(n, np.float32)
-            if (block, fan) == now:
-                weights, seen = weights + w, seen + n
-            else:
-                if now:
+        for kind, data in zip(b["kind"].to_pylist(), b["data"].to_pylist(), strict=True):
+            if not kind:
+                if rows is not None:
                     yield out()
-                now, weights, seen = (block, fan), w, n
-    if now:
+                rows = np.frombuffer(data, np.int64)
+                total = np.zeros(len(rows))
+            else:
+                n = len(data) // 12
+                total[np.frombuffer(data, np.uint32, n)] += np.frombuffer(data, np.float64, n, 4 * n)
+    if rows is not None:
         yield out()
 
 
-BLOCKS = "block int, fan int, weights binary, seen binary"
-
-
-def train(texts: DataFrame, frequent: list[tuple[bytes, int]], mass: np.ndarray) -> Model:
-    """The model after one pass of gradient steps over all texts."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, mass))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, masses = shared.value
-        vocabulary, model = Vocabulary(words), Model(masses)
-        for places, lengths in _token_portions(batches, vocabulary):
-            bucket, contexts = model.features(places, lengths)
-            for a in range(0, len(bucket), BATCH):
-                model.step(bucket[a : a + BATCH], contexts[:, a : a + BATCH])
-        fan, block = TaskContext.get().partitionId() % FAN, 0
-        for part in (0, 1):
-            for a in range(0, len(model.seen[part]), BLOCK):
-                seen = model.seen[part][a : a + BLOCK]
-                if seen.any():
-                    weighted = model.weights[part][a : a + BLOCK] * seen[:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([fan], pa.int32()), pa.array([weighted.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["block", "fan", "weights", "seen"])
-                block += 1
-
-    blocks = texts.mapInArrow(run, BLOCKS)
-    for fan in (F.col("fan"), F.lit(0)):  # two levels, so that no task sums the blocks of all tasks
-        blocks = blocks.withColumn("fan", fan.cast("int")).repartition("block", "fan").sortWithinPartitions("block", "fan").mapInArrow(_sum_blocks, BLOCKS)
-    model = Model(mass)
-    for r in blocks.collect():  # one row for each block of a model of fixed size
-        part, at = (0, r["block"] * BLOCK) if r["block"] < CLASS_ROWS // BLOCK else (1, r["block"] * BLOCK - CLASS_ROWS)
-        seen = np.frombuffer(r["seen"], np.float32)
-        weights = np.frombuffer(r["weights"], np.float32).reshape(len(seen), -1)
-        model.weights[part][at : at + BLOCK] = weights / np.maximum(seen, 1)[:, None]
-    return model
+def model_gains(rows: DataFrame, frequent: list[tuple[bytes, int]], mass: np.ndarray, total: int) -> DataFrame:
+    """(row, gain): natural log of what the model of all training texts adds to each text's base score."""
+    spark = rows.sparkSession
+    words, masses = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(mass)
+    shards = max(1, -(-total // SHARD))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(words.value)
+        dealer = Dealer(vocabulary, words.value, total)
+        end = vocabulary.places([END])[0] >> 32 << 32 | 1  # counted as often as texts begin
+
+        def out(keys, held, lengths, own):
+            places, lengths, batch = vocabulary.places(own), np.array(lengths), keys[0]
+            last, skip = before(places, lengths, end)
+            shard = dealer.deal(last, skip, batch)
+            text = np.repeat(np.arange(len(keys)) * 2 + np.array(held), lengths)
+            order = np.lexsort((last, shard))
+            columns = np.stack([last & 0xFFFFFFFF, skip & 0xFFFFFFFF, text, places >> 32])[:, order]
+            found, starts = np.unique(shard[order], return_index=True)
+            cuts = [*starts.tolist(), len(order)]
+            data = [np.array(keys, np.int64).tobytes()] + [pack(*columns[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array([-1 - batch % shards, *found.tolist()], pa.int64()), pa.array([batch] * len(data), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
+
+        keys, held, lengths, own = [], [], [], []
+        for b in batches:
+            for row, h, t in zip(b["row"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
+                mine = _words(t)
+                keys.append(row)
+                held.append(h)
+                lengths.append(len(mine))
+                own += mine
+                if len(own) >= PORTION:
+                    yield out(keys, held, lengths, own)
+                    keys, held, lengths, own = [], [], [], []
+        if keys:
+            yield out(keys, held, lengths, own)
+
+    dealt = rows.select("row", "held_out", "text").mapInArrow(deal, "shard long, batch long, data binary")
+    learnt = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _learn(batches, masses.value), "batch long, kind int, data binary")
+    return learnt.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_gains_by_row, "row long, gain double")
 
 
 def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFrame:
@@ -257,7 +384,8 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
     texts every word is unknown. Repeated rows count as often as they stand there.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out, F.lit(False))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(text_col).alias("text"))
+    docs = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(text_col).alias("text")))
+    rows = docs.withColumnRenamed("__row", "row")
     training = rows.filter("NOT held_out").select("text")
     counts = durable(count_words(training))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -265,32 +393,28 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
     norm = total + 0.1 * (distinct + 1)
 
     vocabulary = Vocabulary(frequent)
-    buckets = CLASSES * MEMBERS
-    mass = np.full(buckets, 0.1 / norm / buckets)
+    mass = np.zeros(FAN**4)
+    for h in range(vocabulary.n_shared):
+        mass[vocabulary.shared(h)] = 0.1 / norm / vocabulary.n_shared
     for w, n in frequent:
         mass[vocabulary.bucket(w, vocabulary.index[w])] += (n + 0.1) / norm
-    shared_buckets = CLASSES * (MEMBERS - OWN)
     rare = counts.filter(F.col("n") <= SHARE * total)
-    for r in rare.groupBy((F.crc32("word") % shared_buckets).alias("h")).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():
-        mass[r["h"] // (MEMBERS - OWN) * MEMBERS + OWN + r["h"] % (MEMBERS - OWN)] += r["m"] / norm
+    for r in rare.groupBy((F.crc32("word") % vocabulary.n_shared).alias("h")).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():
+        mass[vocabulary.shared(r["h"])] += r["m"] / norm
     mass /= mass.sum()
-    model = train(training, frequent, mass)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, mass, model.weights))
+    gains = model_gains(rows, frequent, mass, total)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, masses, weights = shared.value
-        vocabulary, model = Vocabulary(words_of), Model(masses)
-        model.weights = weights
+        vocabulary = Vocabulary(shared.value)
 
         def score(done):
             words = [w for d in done for w in d[3]]
             lengths = np.array([len(d[3]) for d in done])
             starts = np.cumsum(lengths) - lengths
             places = vocabulary.places(words)
-            index = places >> 42
+            index = vocabulary.index_of[places >> 32]
             known = index > 0
-            bucket, contexts = model.features(places, lengths)
-            gain = model.log_prob(bucket, contexts) - model.log_mass[bucket]
             base = np.where(known, vocabulary.log_count[index], 0.0)
             ends = np.r_[starts[1:], len(words)]
             others = np.flatnonzero(~known)
@@ -299,8 +423,8 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
             add = lambda x: np.add.reduceat(x, starts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.bool_()), pa.array(ends - starts),
-                 pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(gain) / math.log(10)), rest],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain", "rest"])
+                 pa.array(add(known.astype(np.int64))), pa.array(add(base)), rest],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rest"])
 
         done, n = [], 0
         for b in batches:
@@ -313,12 +437,12 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
         if done:
             yield score(done)
 
-    scored = durable(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, rest array<binary>"))
+    scored = durable(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<binary>"))
     looked_up = scored.select("row", F.explode("rest").alias("word")).join(rare, "word", "left")
     by_row = looked_up.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.count("n").alias("also"))
-    out = scored.drop("rest").join(by_row, "row", "left")
+    out = scored.drop("rest").join(by_row, "row", "left").join(gains, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(norm))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") / math.log(10)).alias("score"))
 
 
 def query(spark, sf_dir):

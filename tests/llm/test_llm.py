@@ -305,6 +305,26 @@ def test_lm_probabilities_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_tells_sequences_of_the_training_texts_from_shuffled_ones(spark, monkeypatch):
+    """More contexts and words than any table of fixed size keeps apart, over several shards."""
+    if hasattr(lm, "SHARD"):
+        monkeypatch.setattr(lm, "SHARD", 20_000)
+    rng = np.random.default_rng(1)
+    texts = [[f"w{x}" for x in rng.integers(0, 3_000, 100)] for _ in range(1_000)]
+    rows = [(i, " ".join(t), False) for i, t in enumerate(texts)]
+    rows += [(1_000 + i, " ".join(t), True) for i, t in enumerate(texts[:100])]
+    rows += [(1_100 + i, " ".join(rng.permutation(t)), True) for i, t in enumerate(texts[:100])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.lm_scores(df, F.col("held")).collect()}
+    assert min(gain[1_000 + i] - gain[1_100 + i] for i in range(100)) > 0.3
+
+
+def test_lm_buckets_of_frequent_words_are_their_own():
+    words = [(f"w{i}".encode(), 100_000 - i) for i in range(100_000)]
+    v = lm.Vocabulary(words)
+    assert len({v.bucket(w, v.index[w]) for w, _ in words} | {v.shared(h) for h in range(v.n_shared)}) == len(words) + v.n_shared
+
+
 # --- repeats --------------------------------------------------------------------------------------
 
 
