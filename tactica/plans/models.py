@@ -55,6 +55,9 @@ def predict(model, matrix: DataFrame, blocks: Iterable[str], key: str = "pid", n
 def cross_validate(matrix: DataFrame, blocks: list[str], learners: dict[str, Callable], k: int = 5) -> DataFrame:
     """One row for each model and fold: training seconds and errors on both sides (L3). matrix has y, fold."""
     spark, rows = matrix.sparkSession, []
+    strays = matrix.filter(F.col("fold").isNull() | ~F.col("fold").between(0, k - 1)).select("fold").first()
+    if strays:
+        raise ValueError(f"fold {strays[0]} would never be validated: folds are 0 to {k - 1}")
     for name, make in learners.items():
         for fold in range(k):
             part = matrix.withColumn("split", F.when(F.col("fold") == fold, "val").otherwise("train"))

@@ -456,7 +456,7 @@ def _(s, d):
 
 @query("cross_validation")
 def _(s, d):
-    return metrics.fold_summary(models.cross_validate(matrix(s, d), BLOCKS, {"boosted": small}, k=3))
+    return metrics.fold_summary(models.cross_validate(matrix(s, d), BLOCKS, {"boosted": small}, k=5))
 
 
 @query("parameter_search")

@@ -232,3 +232,17 @@ def test_matrix_is_keyed_and_incremental(spark, tmp_path):
 
 def rows_of(df):
     return sorted((r.pid, r.elo, r.move_idx, round(r.prob, 9)) for r in df.collect())
+
+
+def test_cross_validation_gives_every_fold_its_turn(spark, monkeypatch):
+    from tactica.plans import registry
+
+    seen = []
+    plain = models.cross_validate
+    monkeypatch.setattr(registry.models, "cross_validate", lambda *a, **b: seen.append((a[0], plain(*a, **b))) or seen[0][1])
+    summary = registry.QUERIES["cross_validation"](spark, "/root/testdata/sf0.001").collect()
+    matrix, folds = seen[0]
+    assert sorted(r.fold for r in folds.collect()) == sorted(r.fold for r in matrix.select("fold").distinct().collect()) == [0, 1, 2, 3, 4]
+    assert len(summary) == 1
+    with pytest.raises(ValueError, match="never be validated"):
+        plain(matrix, registry.BLOCKS, {"boosted": registry.small}, k=3)
