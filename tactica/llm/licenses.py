@@ -71,6 +71,16 @@ class Scanner:
                 at = line.find(phrase, at + 1)
         return out
 
+    def _matches(self, pattern: regex.Pattern, line: str, at: int, stop: int) -> list[regex.Match]:
+        """Matches of a stretch: the best, and those of what stands before and after it."""
+        out, parts = [], [(at, stop)]
+        while parts:
+            at, stop = parts.pop()
+            if m := pattern.search(line, at, stop):
+                out.append(m)
+                parts += [(at, m.start()), (m.end(), stop)]
+        return sorted(out, key=lambda m: m.start())
+
     def fuzzy(self, line: str) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, end word, edits, likeness) of verified notices."""
         windows: dict[int, list[list[int]]] = {}
@@ -88,12 +98,10 @@ class Scanner:
         for k, spans in windows.items():
             text, label, edits, pattern = self.notices[k]
             for a, b in spans:
-                at, stop = max(0, a), min(len(line), b)
-                while m := pattern.search(line, at, stop):
+                for m in self._matches(pattern, line, max(0, a), min(len(line), b)):
                     wrong = sum(m.fuzzy_counts)
                     first = line.count(" ", 0, m.start()) - 1
                     out.append((label, first, first + line.count(" ", m.start(), m.end()) + 1, wrong, 1 - wrong / len(text)))
-                    at = max(m.end(), m.start() + 1)
         # of overlapping notices of different labels the nearest stays
         return [x for x in out if not any(y[0] != x[0] and y[1] < x[2] and x[1] < y[2] and y[4] > x[4] for y in out)]
 

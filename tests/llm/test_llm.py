@@ -184,6 +184,13 @@ def test_fuzzy_notices():
     assert s.scan("nothing of that kind, released yesterday")[2] == []
 
 
+def test_misspelt_notice_before_a_better_copy():
+    s = licenses.Scanner({"licensed under the mit license": "mit"})
+    wrong, right = "licensed undr the mit license", "licensed under the mit license"
+    for text, want in ((f"{wrong} foo {right} bar", [0, 6]), (f"{right} foo {wrong} bar", [0, 6]), (f"{wrong} {wrong} {right} {wrong}", [0, 5, 10, 15]), (right, [0])):
+        assert [x[1] for x in s.scan(text)[2]] == want
+
+
 # --- BPE ------------------------------------------------------------------------------------------
 
 
