@@ -26,7 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(a, b) links of two longs -> (node, label): the smallest node reachable, for linked nodes.
 
     The edges of every round are a table in the shared folder; the rounds end when a pair of steps
-    changes nothing. A hub's edges are joined to one row, which Spark may split over tasks.
+    changes nothing, and fail where they have not by then. A hub's edges are joined to one row, which Spark may split over tasks.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = durable(now), None
@@ -36,4 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             break
         before = state
         now = durable(_small_star(_large_star(now).select("a", "b")))
+    else:
+        raise RuntimeError(f"components: still changing after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
