@@ -364,30 +364,122 @@ def test_repeats(request, table):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(texts(df))
 
 
-def test_a_line_in_every_text(spark, monkeypatch):
-    """A crowded gram's stretches are spread over salts and still found."""
-    monkeypatch.setattr(repeats, "CROWDED", 0.02)
+def test_a_line_in_every_text(spark):
+    """A crowded gram's strings are dealt one by one and still found."""
     line = "this one line of some sixty bytes stands in all of the texts "
     rows = [(i, f"{hashlib.sha256(str(i).encode()).hexdigest() * 3} {line} {hashlib.sha256(str(i % 7).encode()).hexdigest() * 2}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert repeats.crowded_grams(df.select("text"))
-    got = repeats.remove_repeats(df).collect()
+    assert repeats.crowded_grams(df.withColumnRenamed("doc_id", "key"), 1)
+    got = repeats.remove_repeats(df, sampled=1).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows)
 
 
-def test_pieces_of_long_texts_share_no_window():
+def plain_again(rows):
+    seen, out = set(), []
+    for group, text, lo, n in rows:
+        own = [(group, text[p : p + 100]) for p in range(lo, lo + n)]
+        out.append([w in seen for w in own])
+        seen |= set(own)
+    return out
+
+
+def settled(rows):
+    """The same by the sort, with byte 50 of every text as its anchor."""
+    data = np.frombuffer(b"".join(t for _, t, _, _ in rows), np.uint8)
+    zero = np.cumsum([0] + [len(t) for _, t, _, _ in rows[:-1]])
+    lo, n = (np.array([r[i] for r in rows]) for i in (2, 3))
+    high, low = 50 - lo, 51 - lo - n
+    left, right = repeats.sides(data, zero + 50, high, repeats.DEPTH - low)
+    again = repeats.settle(np.array([r[0] for r in rows]), left, right, low, high)
+    return [again[i, a : b + 1][::-1].tolist() for i, (a, b) in enumerate(zip(low, high, strict=True))]
+
+
+def test_the_sort_to_depth_is_the_order_of_bytes():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (500, 104)).astype(np.uint8)
+    rows[250:] = rows[:250]
+    rows[300:400, 60:] = rng.integers(97, 99, (100, 44))
+    group = rng.integers(0, 4, 500)
+    order, same = repeats.radix(group, repeats._words(rows, 13))
+    want = sorted((int(g), r.tobytes()) for g, r in zip(group, rows, strict=True))
+    assert [(int(group[i]), rows[i].tobytes()) for i in order] == want
+    for (ga, a), (gb, b), n in zip(want, want[1:], same[1:], strict=False):
+        assert n == (-1 if ga != gb else next((i for i in range(104) if a[i] != b[i]), 104))
+
+
+def test_strings_of_one_hash_but_other_bytes_are_told_apart(monkeypatch):
+    """All texts in one group, as if every hash were the same; few letters, so that many strings nearly agree."""
+    rng = np.random.default_rng(9)
+    base = bytes(rng.integers(97, 99, 160).astype(np.uint8))
+    rows = []
+    for i in range(60):
+        text = bytearray(base)
+        for at in rng.integers(0, 160, i % 4):
+            text[at] ^= 3
+        lo = int(rng.integers(0, 40))
+        rows.append((i % 2, bytes(text), lo, int(rng.integers(1, 52 - lo))))
+    monkeypatch.setattr(repeats, "_FOLD", np.zeros_like(repeats._FOLD))
+    assert settled(rows) == plain_again(rows)
+
+
+@pytest.mark.parametrize("byte", ["one hash for many grams", "as it is"])
+def test_repeats_hold_whatever_the_hash(spark, monkeypatch, byte):
+    if byte != "as it is":
+        monkeypatch.setattr(repeats, "BYTE", (np.arange(256) % 2 + 1).astype(np.uint64))
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 4, 5)) for _ in range(12)]
+    passages = [" ".join(rng.choice(words, 25)) for _ in range(4)]
+    rows = [(i, " ".join([*rng.choice(words, 6), passages[i % 4], *rng.choice(words, int(rng.integers(0, 30)))])) for i in range(80)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["key", "text"])
+    sort = lambda parts, by: pa.Table.from_batches(list(parts)).sort_by(by).combine_chunks().to_batches(max_chunksize=37)
+    up = lambda *names: [(n, "ascending") for n in names]
+    left = repeats._not_alone(iter(sort(repeats._anchors(iter([batch]), np.array([], np.int64)), up("g"))))
+    both = [{"key": k, "text": t, "lo": 0, "meta": 0, "packed": None} for k, t in rows] + [{"text": None, **r} for b in left for r in b.to_pylist()]
+    both.sort(key=lambda r: (r["key"], r["text"] is None))
+    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("lo", pa.int32()), ("meta", pa.int32()), ("packed", pa.binary())])
+    opened = repeats._open(iter(pa.Table.from_pylist(both, schema).to_batches(max_chunksize=31)), np.array([], np.int64))
+    gone = {i: bytearray(len(t)) for i, t in rows}
+    for b in repeats._repeated(iter(sort(opened, up("deal", "key", "lo")))):
+        for r in b.to_pylist():
+            gone[r["key"]][r["lo"] : r["lo"] + r["n"] + 99] = b"\1" * (r["n"] + 99)
+    want = {}
+    seen = set()
+    for i, t in rows:
+        want[i] = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                want[i][p : p + 100] = b"\1" * 100
+            seen.add(t[p : p + 100])
+    assert gone == want
+
+
+@pytest.mark.parametrize("portion", [300, 1_500_000])
+def test_pieces_of_long_texts_share_no_string(monkeypatch, portion):
     import pyarrow as pa
 
-    old, repeats.PORTION = repeats.PORTION, 300
-    try:
-        text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1234))
-        batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["key", "text"])
-        got = [w for part in repeats._anchors(iter([batch]), np.array([], np.int64)) for lo, n in zip(part["lo"].to_pylist(), part["n"].to_pylist(), strict=True) for w in range(lo, lo + n)]
-    finally:
-        repeats.PORTION = old
+    monkeypatch.setattr(repeats, "PORTION", portion)
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1234))
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["key", "text"])
+    got = []
+    for part in repeats._anchors(iter([batch]), np.array([], np.int64)):
+        for r in part.to_pylist():
+            if r["packed"] is not None:
+                got += [w for lo, meta in repeats._unpack(r["packed"]).T for w in range(lo, lo + (meta & 255))]
+            elif r["meta"] >= 0:
+                got += range(r["lo"], r["lo"] + (r["meta"] & 255))
     assert sorted(got) == list(range(1234 - 99))
 
 
+def test_groups_that_take_several_portions(spark, monkeypatch, docs):
+    monkeypatch.setattr(repeats, "STRETCHES", 50)
+    some = docs.limit(40)
+    rows = texts(some)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats(rows)
+
+
 # --- toxicity -------------------------------------------------------------------------------------
 
 
