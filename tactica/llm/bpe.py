@@ -10,11 +10,12 @@ refuted border go through the exact merge loop.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,27 +29,49 @@ WORDS_KEPT, CHARS = 250_000, 2_000_000
 NEVER = np.iinfo(np.int64).max
 
 
+@functools.cache
 def read_tokenizer(path: str | None = None) -> str:
-    """The tokenizer file's JSON, read on the driver; a file of 1.7 MB that is sent to the tasks."""
+    """The tokenizer file's JSON with the library's own character classes; read on the driver, some 2 MB
+    that are sent to the tasks. Python's tables of characters may be older than the library's."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
-def _ranges(keep) -> str:
-    """A regular-expression class body of all characters for which ``keep(category)`` holds."""
-    out, start, last = [], None, -2
-    for c in range(sys.maxunicode + 1):
-        if keep(unicodedata.category(chr(c))):
-            if c != last + 1:
-                if start is not None:
-                    out.append((start, last))
-                start = c
-            last = c
-    out.append((start, last))
+        spec = json.load(f)
+    return json.dumps(spec | {"classes": character_classes(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])})
+
+
+def character_classes(pattern: str) -> dict:
+    """Letters, numbers and spaces as bodies of regular-expression classes, and characters whose lower case
+    Python's tables give otherwise: what the library does with every code point."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    kinds: dict[str, list[int]] = {"letters": [], "numbers": [], "spaces": []}
+    end = 0
+    # a piece is a run of letters, one number or a run of others; spaces are left out
+    for piece, (start, stop) in split("".join(map(chr, points))):
+        kinds["spaces"] += points[end:start]
+        end = stop
+        parts = len(split("a" + piece[0] * 2))  # the first of a piece stands for all of it
+        if parts != 2:
+            kinds["letters" if parts == 1 else "numbers"] += points[start:stop]
+    kinds["spaces"] += points[end:]
+    cased = [c for c in points if c < 0x40000 and c != 10]
+    lower = normalizers.Lowercase().normalize_str("\n".join(map(chr, cased))).split("\n")
+    return {k: _class(v) for k, v in kinds.items()} | {"lower": {str(c): x for c, x in zip(cased, lower, strict=True) if x != chr(c).lower()}}
+
+
+def _class(points: Iterable[int]) -> str:
+    """A regular-expression class body of sorted code points."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
     return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
@@ -84,10 +107,16 @@ class WordBpe:
         keys = np.array(sorted(self.rank), np.int64)
         self.keys, self.ranks = keys, np.array([self.rank[k] for k in keys.tolist()], np.int64)
         self.longest = max(map(len, self.id))
+        # by the first two symbols, the length of the longest token
+        self.reach: dict[str, int] = {}
+        for t in self.id:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.byte = byte_names()
-        self.spaces = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-        letters, numbers = _ranges(lambda c: c[0] == "L"), _ranges(lambda c: c[0] == "N")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{self.spaces}{letters}{numbers}]+")
+        letters, numbers, spaces = (spec["classes"][k] for k in ("letters", "numbers", "spaces"))
+        self.lower = {int(c): x for c, x in spec["classes"]["lower"].items()}
+        # characters that normal form C may change
+        self.beyond = re.compile("[^\\0-\\u02ff]")
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
         self.plain = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, tuple[str, str]] = {}
@@ -122,8 +151,12 @@ class WordBpe:
     def _split(self, text: str) -> list[str]:
         if text.isascii():
             return self.plain.findall(text.lower())
+        if self.beyond.search(text):  # by the library's tables, which may be older or newer than Python's
+            from tokenizers import normalizers
+
+            text = normalizers.NFC().normalize_str(text)
         # each character is put in lower case by itself: no final form of sigma
-        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return self.words.findall(text.replace("Σ", "σ").lower().translate(self.lower))
 
     # words -> tokens
     def symbols(self, word: str) -> str:
@@ -135,27 +168,36 @@ class WordBpe:
         return self.merge([*map(self.id.__getitem__, names[:-1]), self.id[names[-1] + self.end]])
 
     def merge(self, s: list[int]) -> list[int]:
-        rank, size = self.rank.get, self.size
-        ranks = [rank(a * size + b, NEVER) for a, b in zip(s, s[1:], strict=False)]
-        while ranks and (best := min(ranks)) != NEVER:
-            i = ranks.index(best)
-            s[i : i + 2] = [self.merged[s[i] * size + s[i + 1]]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(s[i - 1] * size + s[i], NEVER)
-            if i < len(ranks):
-                ranks[i] = rank(s[i] * size + s[i + 1], NEVER)
-        return s
+        """From a heap of pairs, with neighbours linked, so that a long word costs n log n."""
+        rank, size, n = self.rank.get, self.size, len(s)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if (r := rank(a * size + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= n or s[j] != b:
+                continue  # one of the two has grown
+            s[i] = self.merged[a * size + b]
+            s[j] = -1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if (r := rank(s[i] * size + s[j])) is not None:
+                    heapq.heappush(heap, (r, i, s[i], s[j]))
+            if (h := before[i]) >= 0 and (r := rank(s[h] * size + s[i])) is not None:
+                heapq.heappush(heap, (r, h, s[h], s[i]))
+        return [t for t in s if t >= 0]
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match from the left."""
-        s, i, out, get = self.symbols(word), 0, [], self.id.get
+        s, i, out, get, reach = self.symbols(word), 0, [], self.id.get, self.reach.get
         n = len(s)
         while True:
             if n - i <= self.longest and (t := get(s[i:] + self.end)) is not None:
                 out.append(t)
                 return out
-            j = min(n - 1, i + self.longest)  # the last symbol needs the end mark
+            j = min(n - 1, i + reach(s[i : i + 2], 1))  # the last symbol needs the end mark
             while (t := get(s[i:j])) is None:
                 j -= 1
             out.append(t)
