@@ -1,15 +1,20 @@
-"""Language-model scores: a maximum-entropy model with a softmax at every node of a tree of words.
+"""Language-model scores: a hashed maximum-entropy model with a softmax at every node of a tree of classes.
 
-A token's bucket is predicted by a few 32-way choices, each a softmax over features of what stands
-before: the last word, the last two words, and the last but one alone (a skip). Every frequent word
-has a bucket of its own, rare ones share some; inside a bucket a word keeps its share of the corpus
-counts. Every context has its own row of weights at every node it was seen at, so that the model
-grows with the corpus: tokens are dealt by the last word (very common ones also by the word before)
-over shards of about equal size, as many as the corpus needs, and each shard learns and applies its
-weights in one task. Weights of the skip hold within a shard.
+A token is predicted by a few 16-way choices down a tree whose leaves are words: the more frequent a
+word, the fewer choices (a Shannon code). Each choice is a softmax over features of what stands
+before: the last word, the last two words, and the last but one alone (a skip). Rare words share
+leaves, where each keeps its share of the corpus counts.
+
+Tokens are dealt by the last word (very common ones also by the word before) over shards of about
+equal size, as many as the corpus needs, so the model grows with the corpus. A feature hashes to a
+row of weights in its shard, with a tag that tells it from others of the same row; what loses its
+row to another has none. A shard trains by adaptive gradient steps and then scores its tokens, in
+one task; neither shards nor scores depend on how the texts lie in partitions, but for ties in the
+order of steps. Weights of the skip hold within a shard.
 
 Counts cover all training texts. Words above a fixed share of them are few by arithmetic
-(1 / SHARE at most) and go to the tasks; the counts of all other words are joined by word.
+(1 / SHARE at most) and go to the tasks; the counts of all other words are joined by word, once for
+each portion of texts.
 """
 
 from __future__ import annotations
@@ -28,11 +33,15 @@ from .common import durable, table, text_or_empty, with_rows
 
 #: A word of more than this share of all tokens is frequent: 250,000 words at most.
 SHARE = 4e-6
-#: Choices at every node of the tree of buckets.
-FAN = 32
-#: Tokens that one model learns from, about: each of its contexts has rows of its own, some 100 MB.
-SHARD = 400_000
-BATCH, RATE = 8_192, 0.15
+#: Choices at every node of the tree of words, and its greatest depth.
+FAN, DEPTH = 16, 5
+#: Leaves that the rare words share, and ids that tell them apart as contexts.
+SHARED, RARE_IDS = 4_096, 1 << 20
+#: Tokens that one shard learns from, about.
+SHARD = 250_000
+BATCH, RATE, EPOCHS = 8_192, 0.2, 1
+#: A shard has two to four rows of weights for each of its tokens, and 2 ** LEAST_BITS at least.
+LEAST_BITS = 12
 WORDS_KEPT, PORTION = 300_000, 400_000
 END = b""
 
@@ -78,48 +87,19 @@ class _Kept(dict):
 
 
 class Vocabulary:
-    """Places of words: bucket and hash, packed in one integer.
-
-    A bucket is a leaf of a tree of four 32-way choices. The most frequent words are leaves after two;
-    below the other nodes of that depth (as many as are needed) each frequent word has a leaf of its
-    own, and rare words share one leaf of each last choice.
-    """
+    """Ids of words: 0 for the start of a text, then frequent words by rank, then hashes of rare ones."""
 
     def __init__(self, frequent: list[tuple[bytes, int]]):
-        ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))
-        self.index = {w: i + 1 for i, (w, _) in enumerate(ranked)}
-        self.log_count = np.log10(np.array([0.1] + [n + 0.1 for _, n in ranked]))
-        self.split = max(2, -(-len(ranked) // (FAN * FAN * (FAN - 1))))  # inner nodes of each class
-        if self.split >= FAN:
-            raise ValueError(f"{len(ranked)} frequent words are too many for the tree of buckets")
-        self.index_of = np.zeros(FAN**4, np.int32)
-        for w, i in self.index.items():
-            self.index_of[self.bucket(w, i)] = i
-        self.kept = _Kept(self._place)
-
-    def inner(self, node: int, rest: int) -> int:
-        return (node // self.split * FAN + FAN - self.split + node % self.split) * FAN**2 + rest
-
-    def bucket(self, word: bytes, index: int) -> int:
-        top = FAN - self.split
-        if 0 < index <= FAN * top:
-            return ((index - 1) // top * FAN + (index - 1) % top) * FAN**2
-        if index:
-            node, at = divmod(index - 1 - FAN * top, FAN * (FAN - 1))
-            return self.inner(node, at // (FAN - 1) * FAN + at % (FAN - 1))
-        return self.shared(zlib.crc32(word) % self.n_shared)
-
-    @property
-    def n_shared(self) -> int:
-        return FAN * self.split * FAN
-
-    def shared(self, h: int) -> int:
-        return self.inner(h // FAN, h % FAN * FAN + FAN - 1)
-
-    def _place(self, word: bytes) -> int:
-        return self.bucket(word, self.index.get(word, 0)) << 32 | zlib.crc32(word)
-
-    def places(self, words: list[bytes]) -> np.ndarray:
+        self.ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))
+        self.index = {w: i + 1 for i, (w, _) in enumerate(self.ranked)}
+        self.size = len(self.ranked)
+        self.log_count = np.log10(np.array([0.1] + [n + 0.1 for _, n in self.ranked]))
+        self.kept = _Kept(self._id)
+
+    def _id(self, word: bytes) -> int:
+        return self.index.get(word) or self.size + 1 + zlib.crc32(word) % RARE_IDS
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.kept) > WORDS_KEPT:
             self.kept.clear()
         return np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
@@ -130,107 +110,97 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class Model:
-    """Fixed biases from counts, and a row of weights for every context at every node it is seen at."""
-
-    def __init__(self, mass: np.ndarray):
-        self.log_mass = np.log(np.maximum(mass, 1e-300))
-        self.depth = round(math.log(len(mass), FAN))
-        self.bias = []
-        for d in range(self.depth):
-            shares = mass.reshape(FAN**d, FAN, -1).sum(2)
+class Tree:
+    """A leaf for every frequent word and SHARED for the others: FAN-ary codes of about log(1 / mass) digits."""
+
+    def __init__(self, mass: np.ndarray, n_frequent: int):
+        """``mass``: of the frequent words by rank, then of the shared leaves; sums to 1."""
+        self.mass, self.n_frequent = mass, n_frequent
+        length = np.clip(np.ceil(-np.log(np.maximum(mass, 1e-12)) / math.log(FAN) - 1e-9), 1, None).astype(np.int64)
+        while True:  # no code longer than DEPTH: the longest are shortened, then others lengthened until all fit
+            length = np.minimum(length, DEPTH)
+            if (float(FAN) ** -length).sum() <= 1:
+                break
+            length[np.flatnonzero(length < DEPTH)[-max(1, len(length) // 64) :]] += 1
+        order = np.argsort(length, kind="stable")
+        width = FAN ** (DEPTH - length[order])
+        self.leaf = np.empty(len(mass), np.int64)  # first place of the leaf among FAN ** DEPTH
+        self.leaf[order] = np.cumsum(width) - width
+        self.leaf_depth = length
+        full = np.zeros(FAN**DEPTH)
+        full[self.leaf] = mass
+        depth_at = np.zeros(FAN**DEPTH, np.int8)
+        depth_at[self.leaf] = length
+        self.bias, self.ends = [], []
+        for d in range(DEPTH):
+            shares = full.reshape(FAN**d, FAN, -1).sum(2)
             shares = np.maximum(shares, 1e-30 + 1e-9 * shares.sum(1, keepdims=True))
             self.bias.append(np.log(shares / shares.sum(1, keepdims=True)).astype(np.float32))
-        # Words that are leaves at depth d have all of their node's mass in its first bucket
-        self.ends = [np.ones(FAN**d, bool) if d == self.depth else mass.reshape(FAN**d, -1)[:, 1:].sum(1) == 0 for d in range(self.depth + 1)]
-        self.keys = [np.zeros(0, np.uint64) for _ in range(self.depth)]
-        self.weights = [np.zeros((1, FAN), np.float32) for _ in range(self.depth)]  # the last row is that of unseen contexts
-        self.square = [np.full(1, 1e-4, np.float32) for _ in range(self.depth)]
-
-    def _at(self, bucket: np.ndarray, contexts: np.ndarray):
-        """(depth, tokens that choose there, their nodes, choices and keys of rows)."""
-        for d in range(self.depth):
-            node = bucket // FAN ** (self.depth - d)
-            on = np.flatnonzero(~self.ends[d][node])
-            node = node[on]
-            keys = _mix(contexts[:, on] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield d, on, node, bucket[on] // FAN ** (self.depth - d - 1) % FAN, keys
-
-    def grow(self, bucket: np.ndarray, contexts: np.ndarray) -> None:
-        """Gives each new context a row of its own."""
-        for d, _, _, _, keys in self._at(bucket, contexts):
-            old, new = self.keys[d], np.union1d(self.keys[d], keys)
-            at = np.searchsorted(new, old)
-            weights, square = np.zeros((len(new) + 1, FAN), np.float32), np.full(len(new) + 1, 1e-4, np.float32)
-            weights[at], square[at] = self.weights[d][:-1], self.square[d][:-1]
-            self.keys[d], self.weights[d], self.square[d] = new, weights, square
-
-    def rows(self, bucket: np.ndarray, contexts: np.ndarray) -> list[tuple]:
-        """(depth, tokens, nodes, choices, rows) at every depth; a context without a row has the last one."""
-        out = []
-        for d, on, node, target, keys in self._at(bucket, contexts):
-            known = self.keys[d]
-            at = np.searchsorted(known, keys.ravel()).reshape(keys.shape)
-            if len(known):
-                at[known[np.minimum(at, len(known) - 1)] != keys] = len(known)
-            out.append((d, on, node, target, at.astype(np.int32)))
-        return out
-
-    def _logits(self, d: int, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        w = self.weights[d]
-        z = w.take(rows[0], axis=0)
-        z += self.bias[d].take(node, axis=0)
-        for r in rows[1:]:
-            z += w.take(r, axis=0)
-        z -= z.max(1, keepdims=True)
-        return z
-
-    def log_prob(self, bucket: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each token's bucket."""
-        return self._log_prob(len(bucket), self.rows(bucket, contexts))
-
-    def _log_prob(self, n: int, found: list[tuple]) -> np.ndarray:
-        out = np.zeros(n)
-        for d, on, node, target, rows in found:
-            for a in range(0, len(on), BATCH):
-                b = slice(a, a + BATCH)
-                z = self._logits(d, node[b], rows[:, b])
-                chosen = z[np.arange(len(z)), target[b]]
-                out[on[b]] += chosen - np.log(np.exp(z, out=z).sum(1))
-        return out
-
-    def step(self, bucket: np.ndarray, contexts: np.ndarray) -> None:
-        """One gradient step over a batch, each row of weights at its own pace."""
-        self.grow(bucket, contexts)
-        for part in self.rows(bucket, contexts):
-            self._step(*part)
-
-    def _step(self, d: int, on: np.ndarray, node: np.ndarray, target: np.ndarray, rows: np.ndarray) -> None:
+            self.ends.append((depth_at.reshape(FAN**d, -1)[:, 0] <= d) & (depth_at.reshape(FAN**d, -1)[:, 0] > 0))
+        self.log_mass = np.log(np.maximum(mass, 1e-300))
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        """The leaf number of each id."""
+        return np.where(ids <= self.n_frequent, ids - 1, self.n_frequent + (ids - 1 - self.n_frequent) % SHARED)
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[0], axis=0)
+    z += bias.take(node, axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
+    z -= z.max(1, keepdims=True)
+    return z
+
+
+def _step(weights: np.ndarray, square: np.ndarray, bias: np.ndarray, node: np.ndarray, target: np.ndarray, rows: np.ndarray) -> None:
+    """One gradient step over a batch, each row of weights at its own pace; the last row stays zero."""
+    g = _logits(weights, bias, node, rows)
+    np.exp(g, out=g)
+    g /= g.sum(1, keepdims=True)
+    g[np.arange(len(g)), target] -= 1
+    flat = rows.ravel()
+    order = np.argsort(flat)
+    own = flat[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    own = own[starts]
+    change = np.add.reduceat(g.take(order % len(g), axis=0), starts, axis=0)
+    square[own] += np.einsum("ij,ij->i", change, change) / FAN
+    change *= (RATE / np.sqrt(square[own]))[:, None]
+    weights[own] -= change
+    weights[-1] = 0
+
+
+def gains(tree: Tree, leaf: np.ndarray, contexts: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """Steps over the tokens of ``learn``; then, of all tokens, the natural log of their leaf's
+    probability less that of its share. Depths have their own weights and come one after the other."""
+    place, out = tree.leaf[leaf], -tree.log_mass[leaf]
+    for d in range(DEPTH):
+        node = place // FAN ** (DEPTH - d)
+        on = np.flatnonzero(~tree.ends[d][node])
         if not len(on):
-            return
-        g = self._logits(d, node, rows)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(len(g)), target] -= 1
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            own = r[order]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            own = own[starts]
-            change = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
-            self.square[d][own] += (change**2).mean(1)
-            self.weights[d][own] -= RATE * change / np.sqrt(self.square[d][own])[:, None]
-
-    def gains(self, bucket: np.ndarray, contexts: np.ndarray, learn: np.ndarray) -> np.ndarray:
-        """One pass of steps over the tokens of ``learn``; then, of all tokens, the gain over the bucket's own share."""
-        self.grow(bucket[learn], contexts[:, learn])
-        found = self.rows(bucket, contexts)
-        for d, on, node, target, rows in found:  # depths share no weights
-            own = np.flatnonzero(learn[on])
+            continue
+        node, target = node[on], place[on] // FAN ** (DEPTH - d - 1) % FAN
+        bits = max(LEAST_BITS, int(2 * len(on)).bit_length())
+        keys = _mix(contexts[:, on] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        rows, tags = (keys >> np.uint64(64 - bits)).astype(np.int32), (keys & np.uint64(0xFFFF)).astype(np.uint16)
+        own = np.flatnonzero(learn[on])
+        # a row belongs to the last that claims it, so rather to a frequent feature; 0 is no tag
+        tags[tags == 0] = 1
+        owner = np.zeros(1 << bits, np.uint16)
+        owner[rows[:, own].ravel()] = tags[:, own].ravel()
+        rows[owner[rows] != tags] = 1 << bits
+        weights, square = np.zeros(((1 << bits) + 1, FAN), np.float32), np.full((1 << bits) + 1, 1e-4, np.float32)
+        for _ in range(EPOCHS):
             for a in range(0, len(own), BATCH):
                 b = own[a : a + BATCH]
-                self._step(d, on[b], node[b], target[b], rows[:, b])
-        return self._log_prob(len(bucket), found) - self.log_mass[bucket]
+                _step(weights, square, tree.bias[d], node[b], target[b], rows[:, b])
+        for a in range(0, len(on), BATCH):
+            b = slice(a, a + BATCH)
+            z = _logits(weights, tree.bias[d], node[b], rows[:, b])
+            chosen = z[np.arange(len(z)), target[b]]
+            out[on[b]] += chosen - np.log(np.exp(z, out=z).sum(1))
+    return out
 
 
 def before(places: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +216,8 @@ def before(places: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndar
 def contexts_of(last: np.ndarray, skip: np.ndarray) -> np.ndarray:
     """Three context hashes of every token: the last word, the last two, the last but one."""
     last, skip = last.astype(np.uint64), skip.astype(np.uint64)
-    return np.stack([_mix(last * np.uint64(3)), _mix(_mix(last * np.uint64(5)) + skip), _mix(skip * np.uint64(7))])
+    one, two, three = (np.uint64(k << 40) for k in (1, 2, 3))  # ids are smaller
+    return np.stack([_mix(last + one), _mix(_mix(last + two) + skip), _mix(skip + three)])
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -263,25 +234,26 @@ class Dealer:
     """Shards of tokens. All tokens after the same two words meet in one shard, and as far as SHARD allows
     all after the same last word; what is too much for one is dealt over several, each with plenty to learn from."""
 
-    def __init__(self, vocabulary: Vocabulary, frequent: list[tuple[bytes, int]], total: int):
+    def __init__(self, vocabulary: Vocabulary, total: int):
         self.shards, self.total = max(1, -(-total // SHARD)), max(total, 1)
-        self.pieces = np.ones(len(frequent) + 1, np.uint64)
-        for w, n in frequent:
-            self.pieces[vocabulary.index[w]] = max(1, -(-n * 4 // SHARD))
-        self.index_of = vocabulary.index_of
+        self.pieces = np.ones(vocabulary.size + 2, np.uint64)
+        for i, (w, n) in enumerate(vocabulary.ranked):
+            self.pieces[i + 1] = max(1, -(-n * 4 // SHARD))
+            if w == END:  # as many texts start as end
+                self.pieces[0] = self.pieces[i + 1]
 
     def deal(self, last: np.ndarray, skip: np.ndarray, salt: int) -> np.ndarray:
-        words, others = (last & 0xFFFFFFFF).astype(np.uint64), (skip & 0xFFFFFFFF).astype(np.uint64)
-        piece = _mix(others * np.uint64(11)) % self.pieces[self.index_of[last >> 32]]
-        pair = _mix(_mix(words * np.uint64(5)) + others)
-        _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
+        words, others = last.astype(np.uint64), skip.astype(np.uint64)
+        piece = _mix(others * np.uint64(11)) % self.pieces[np.minimum(last, len(self.pieces) - 1)]
+        _, inverse, n = np.unique(words << np.uint64(32) | others, return_inverse=True, return_counts=True)
         parts = np.maximum(np.where(n < 32, 0, n * (self.total / len(last)) * 4 // SHARD), 1).astype(np.uint64)[inverse]
         piece += _mix(np.full(1, salt, np.int64).astype(np.uint64) * np.uint64(13)) % parts * np.uint64(1_000_003)
         return (_mix(_mix(words * np.uint64(17)) + piece * np.uint64(19)) % np.uint64(self.shards)).astype(np.int64)
 
 
-def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray, n_frequent: int) -> Iterator[pa.RecordBatch]:
     """Trains a model on each shard (records come in its order) and sums its gains by text."""
+    tree = Tree(mass, n_frequent)
     held: list[tuple[int, bytes]] = []
 
     def out(batch: int, kind: int, data: bytes):
@@ -289,8 +261,8 @@ def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray) -> Iterator[pa.R
 
     def finish():
         tables = [unpack(data, 4) for _, data in held]
-        last, skip, text, bucket = np.concatenate(tables, axis=1)
-        gain = Model(mass).gains(bucket.astype(np.int64), contexts_of(last, skip), text % 2 == 0)
+        last, skip, text, word = np.concatenate(tables, axis=1)
+        gain = gains(tree, tree.at(word.astype(np.int64)), contexts_of(last, skip), text % 2 == 0)
         at = 0
         for (batch, _), t in zip(held, tables, strict=True):
             own, inverse = np.unique(t[2] // 2, return_inverse=True)
@@ -334,48 +306,107 @@ def _gains_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[int], list[bytes]]]:
+    """(rows, their numbers of tokens, all tokens) of about PORTION tokens of whole texts."""
+    rows, lengths, words = [], [], []
+    for b in batches:
+        names = [c for c in b.schema.names if c != "text"]
+        for t, *row in zip(b["text"].to_pylist(), *(b[c].to_pylist() for c in names), strict=True):
+            own = _words(t)
+            rows.append(tuple(row))
+            lengths.append(len(own))
+            words += own
+            if len(words) >= PORTION:
+                yield rows, lengths, words
+                rows, lengths, words = [], [], []
+    if rows:
+        yield rows, lengths, words
+
+
 def model_gains(rows: DataFrame, frequent: list[tuple[bytes, int]], mass: np.ndarray, total: int) -> DataFrame:
     """(row, gain): natural log of what the model of all training texts adds to each text's base score."""
     spark = rows.sparkSession
-    words, masses = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(mass)
+    words, masses, n_frequent = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(mass), len(frequent)
     shards = max(1, -(-total // SHARD))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words.value)
-        dealer = Dealer(vocabulary, words.value, total)
-        end = vocabulary.places([END])[0] >> 32 << 32 | 1  # counted as often as texts begin
-
-        def out(keys, held, lengths, own):
-            places, lengths, batch = vocabulary.places(own), np.array(lengths), keys[0]
-            last, skip = before(places, lengths, end)
+        dealer = Dealer(vocabulary, total)
+        for texts, lengths, own in _texts(batches):
+            ids, lengths, batch = vocabulary.ids(own), np.array(lengths), texts[0][0]
+            last, skip = before(ids, lengths, 0)
             shard = dealer.deal(last, skip, batch)
-            text = np.repeat(np.arange(len(keys)) * 2 + np.array(held), lengths)
-            order = np.lexsort((last, shard))
-            columns = np.stack([last & 0xFFFFFFFF, skip & 0xFFFFFFFF, text, places >> 32])[:, order]
+            text = np.repeat(np.arange(len(texts)) * 2 + np.array([h for _, h in texts]), lengths)
+            order = np.argsort(shard << 32 | last, kind="stable")
+            columns = np.stack([last, skip, text, ids])[:, order]
             found, starts = np.unique(shard[order], return_index=True)
             cuts = [*starts.tolist(), len(order)]
-            data = [np.array(keys, np.int64).tobytes()] + [pack(*columns[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array([-1 - batch % shards, *found.tolist()], pa.int64()), pa.array([batch] * len(data), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
-
-        keys, held, lengths, own = [], [], [], []
-        for b in batches:
-            for row, h, t in zip(b["row"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
-                mine = _words(t)
-                keys.append(row)
-                held.append(h)
-                lengths.append(len(mine))
-                own += mine
-                if len(own) >= PORTION:
-                    yield out(keys, held, lengths, own)
-                    keys, held, lengths, own = [], [], [], []
-        if keys:
-            yield out(keys, held, lengths, own)
+            data = [np.array([r for r, _ in texts], np.int64).tobytes()] + [pack(*columns[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - batch % shards, *found.tolist()], pa.int64()), pa.array([batch] * len(data), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
 
     dealt = rows.select("row", "held_out", "text").mapInArrow(deal, "shard long, batch long, data binary")
-    learnt = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _learn(batches, masses.value), "batch long, kind int, data binary")
+    learnt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(lambda batches: _learn(batches, masses.value, n_frequent), "batch long, kind int, data binary")
     return learnt.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_gains_by_row, "row long, gain double")
 
 
+def _base_parts(batches: Iterator[pa.RecordBatch], frequent: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """For each portion of texts, a head (kind 0) with what frequent words add, and a row for each other
+    word with the texts it stands in. A head's word has a space, so it is no word's."""
+    vocabulary = Vocabulary(frequent)
+    for texts, lengths, words in _texts(batches):
+        lengths = np.array(lengths)
+        starts = np.cumsum(lengths) - lengths
+        ids = vocabulary.ids(words)
+        known = ids <= vocabulary.size
+        add = lambda x: np.add.reduceat(x, starts)
+        base = add(np.where(known, vocabulary.log_count[np.where(known, ids, 0)], 0.0))
+        head = np.rec.fromarrays([[r for r, _, _ in texts], [d or 0 for _, d, _ in texts], [d is None for _, d, _ in texts], [h for _, _, h in texts], lengths, add(known.astype(np.int64)), base], dtype=HEAD)
+        others = np.flatnonzero(~known)
+        rest = pa.array([words[i] for i in others.tolist()], pa.binary()).dictionary_encode()
+        code = rest.indices.to_numpy().astype(np.int64)
+        text = np.searchsorted(starts, others, side="right") - 1
+        order = np.argsort(code, kind="stable")
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(code[order]) > 0]), len(order)].tolist() if len(order) else [0]
+        text = text[order].astype(np.uint32).tobytes()
+        data = [head.tobytes(), *[text[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]]
+        batch = texts[0][0]
+        word = [b" %d" % batch, *rest.dictionary.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([batch] * len(data), pa.int64()), pa.array([0] + [1] * (len(data) - 1), pa.int32()), pa.array(word, pa.binary()), pa.array(data, pa.binary())], ["batch", "kind", "word", "data"])
+
+
+HEAD = np.dtype([("row", "i8"), ("doc", "i8"), ("none", "?"), ("held", "?"), ("tokens", "i8"), ("known", "i8"), ("base", "f8")])
+
+
+def _base_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up each portion's texts; a head comes before the counts of its words."""
+    head: np.ndarray | None = None
+
+    def out() -> pa.RecordBatch:
+        doc = pa.array(head["doc"], mask=head["none"])
+        return pa.RecordBatch.from_arrays([pa.array(head["row"]), doc, pa.array(head["held"]), pa.array(head["tokens"]), pa.array(head["known"]), pa.array(head["base"])], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"])
+
+    for b in batches:
+        kinds = b["kind"].to_numpy()
+        heads = np.flatnonzero(kinds == 0).tolist()
+        for i, j in zip([0, *heads], [*heads, b.num_rows], strict=True):
+            if i < j and kinds[i] == 0:
+                if head is not None:
+                    yield out()
+                head = np.frombuffer(b["data"][i].as_py(), HEAD).copy()
+                i += 1
+            if i < j:
+                part = b.slice(i, j - i)
+                n = part["n"].fill_null(0).to_numpy()
+                _, offsets, data = part["data"].buffers()
+                offsets = np.frombuffer(offsets, np.int32, len(part["data"]) + 1, 4 * part["data"].offset)
+                text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint32).astype(np.int64)
+                n = np.repeat(n, np.diff(offsets) // 4)
+                head["base"] += np.bincount(text, np.log10(n + 0.1), len(head))
+                head["known"] += np.bincount(text, n > 0, len(head)).astype(np.int64)
+    if head is not None:
+        yield out()
+
+
 def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row.
 
@@ -393,56 +424,21 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
     norm = total + 0.1 * (distinct + 1)
 
     vocabulary = Vocabulary(frequent)
-    mass = np.zeros(FAN**4)
-    for h in range(vocabulary.n_shared):
-        mass[vocabulary.shared(h)] = 0.1 / norm / vocabulary.n_shared
-    for w, n in frequent:
-        mass[vocabulary.bucket(w, vocabulary.index[w])] += (n + 0.1) / norm
     rare = counts.filter(F.col("n") <= SHARE * total)
-    for r in rare.groupBy((F.crc32("word") % vocabulary.n_shared).alias("h")).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():
-        mass[vocabulary.shared(r["h"])] += r["m"] / norm
+    shared = np.full(SHARED, 0.1 / SHARED)
+    leaf = (F.crc32("word") % RARE_IDS % SHARED).alias("leaf")
+    for r in rare.groupBy(leaf).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():  # SHARED rows at most
+        shared[r["leaf"]] += r["m"]
+    mass = np.r_[np.array([n + 0.1 for _, n in vocabulary.ranked]), shared]
     mass /= mass.sum()
-    gains = model_gains(rows, frequent, mass, total)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-
-        def score(done):
-            words = [w for d in done for w in d[3]]
-            lengths = np.array([len(d[3]) for d in done])
-            starts = np.cumsum(lengths) - lengths
-            places = vocabulary.places(words)
-            index = vocabulary.index_of[places >> 32]
-            known = index > 0
-            base = np.where(known, vocabulary.log_count[index], 0.0)
-            ends = np.r_[starts[1:], len(words)]
-            others = np.flatnonzero(~known)
-            cuts = np.searchsorted(others, np.r_[starts, len(words)])
-            rest = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array([words[i] for i in others.tolist()], pa.binary()))
-            add = lambda x: np.add.reduceat(x, starts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.bool_()), pa.array(ends - starts),
-                 pa.array(add(known.astype(np.int64))), pa.array(add(base)), rest],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rest"])
-
-        done, n = [], 0
-        for b in batches:
-            for row, doc, h, t in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
-                done.append((row, doc, h, _words(t)))
-                n += len(done[-1][3])
-                if n >= PORTION:
-                    yield score(done)
-                    done, n = [], 0
-        if done:
-            yield score(done)
-
-    scored = durable(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<binary>"))
-    looked_up = scored.select("row", F.explode("rest").alias("word")).join(rare, "word", "left")
-    by_row = looked_up.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.count("n").alias("also"))
-    out = scored.drop("rest").join(by_row, "row", "left").join(gains, "row", "left")
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(norm))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") / math.log(10)).alias("score"))
+    gains_ = model_gains(rows, vocabulary.ranked, mass, total)
+
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary.ranked)
+    parts = rows.select("row", "doc_id", "held_out", "text").mapInArrow(lambda batches: _base_parts(batches, words.value), "batch long, kind int, word binary, data binary")
+    summed = parts.join(rare, "word", "left").select("batch", "kind", "data", "n").repartition("batch").sortWithinPartitions("batch", "kind")
+    summed = summed.mapInArrow(_base_sums, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double")
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(norm))
+    return summed.join(gains_, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") / math.log(10)).alias("score"))
 
 
 def query(spark, sf_dir):

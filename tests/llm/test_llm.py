@@ -205,7 +205,7 @@ def test_bpe_equals_the_library(docs, awkward, empty, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for df in (docs.limit(60), awkward, empty):
+    for df in (docs, awkward, empty):
         want = []
         for i, x in texts(df):
             ids = t.encode(x, add_special_tokens=False).ids
@@ -215,6 +215,35 @@ def test_bpe_equals_the_library(docs, awkward, empty, spark):
         assert all(r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest() for r in got)
 
 
+def test_bpe_knows_every_code_point_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    b = bpe.WordBpe(bpe.read_tokenizer())
+    points = [chr(c) for c in range(0x32000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xE0000, 0xE0200)]
+    lines = ["".join(f"a{c}{c}1 " for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    # marks of one block after each other, for compositions
+    lines += ["".join(points[i : i + 64]) for i in range(0, len(points), 64)]
+    for line, (ids, decoded), want in zip(lines, b.encode_batch(lines), t.encode_batch(lines, add_special_tokens=False), strict=True):
+        assert ids.split() == [str(i) for i in want.ids], line[:40]
+        assert decoded == t.decode(want.ids, skip_special_tokens=False)
+
+
+def test_bpe_of_a_very_long_word():
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, b, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), bpe.WordBpe(bpe.read_tokenizer()), random.Random(3)
+    word = "".join(rng.choices("etaoinshrdlu", k=400_000))
+    began = time.time()
+    ids = next(iter(b.encode_batch([word])))[0]
+    assert time.time() - began < 30 and ids.split() == [str(i) for i in t.encode(word, add_special_tokens=False).ids]
+
+
 def test_borders_hold_exactly_where_merging_agrees():
     import random
 
@@ -309,13 +338,111 @@ def test_lm(request, table):
         assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def plain_lm(rows, held, batch, rate):
+    """The same model with dictionaries of weights, one shard: rows of 16 numbers for each (depth, node, context)."""
+    tokens = [t.encode().lower().split() + [b""] for t in rows]
+    c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    n, ranked = sum(c.values()), sorted(c.items(), key=lambda x: (-x[1], x[0]))
+    norm = n + 0.1 * (len(c) + 1)
+    mass = np.array([x + 0.1 for _, x in ranked] + [0.1 / lm.SHARED] * lm.SHARED)
+    tree = lm.Tree(mass / mass.sum(), len(ranked))
+    number = {w: i + 1 for i, (w, _) in enumerate(ranked)}
+    word = lambda w: number.get(w) or len(ranked) + 1 + zlib.crc32(w) % lm.RARE_IDS
+    seen = []
+    for k, t in enumerate(tokens):
+        ids = [0, 0, *map(word, t)]
+        seen += [(ids[j - 1], ids[j - 2], k, ids[j]) for j in range(2, len(ids))]
+    seen.sort(key=lambda x: x[0])
+    gain = Counter()
+    for d in range(lm.DEPTH):
+        cases = []
+        for last, skip, k, i in seen:
+            leaf = int(tree.at(np.array([i]))[0])
+            node, choice = int(tree.leaf[leaf]) // 16 ** (5 - d), int(tree.leaf[leaf]) // 16 ** (4 - d) % 16
+            if tree.leaf_depth[leaf] > d:
+                cases.append((k, node, choice, [(node, "last", last), (node, "two", last, skip), (node, "skip", skip)]))
+        weights, square = defaultdict(lambda: np.zeros(16)), defaultdict(lambda: 1e-4)
+        logits = lambda node, features: tree.bias[d][node].astype(float) + sum(weights[f] if f in weights else 0 for f in features)
+        learn = [x for x in cases if not held[x[0]]]
+        for at in range(0, len(learn), batch):
+            change = defaultdict(lambda: np.zeros(16))
+            for _, node, choice, features in learn[at : at + batch]:
+                p = np.exp(logits(node, features))
+                p /= p.sum()
+                p[choice] -= 1
+                for f in features:
+                    change[f] += p
+            for f, g in change.items():
+                square[f] += (g**2).mean()
+                weights[f] = weights[f] - rate * g / math.sqrt(square[f])
+        for k, node, choice, features in cases:
+            z = logits(node, features)
+            gain[k] += z[choice] - math.log(np.exp(z).sum())
+    base = [sum(math.log10((c[w] + 0.1) / norm) for w in t) for t in tokens]
+    leaves = [tree.at(np.array([word(w) for w in t])) for t in tokens]
+    return [b + (gain[k] - tree.log_mass[at].sum()) / math.log(10) for k, (b, at) in enumerate(zip(base, leaves, strict=True))], base
+
+
+def one_shard_gains(rows, held, words, mass, monkeypatch):
+    """log10 gains of texts by the operator's own steps, with rows of weights enough for all features."""
+    monkeypatch.setattr(lm, "LEAST_BITS", 22)
+    tokens = [t.encode().lower().split() + [b""] for t in rows]
+    lengths = np.array([len(t) for t in tokens])
+    ids = lm.Vocabulary(words).ids([w for t in tokens for w in t])
+    last, skip = lm.before(ids, lengths, 0)
+    text = np.repeat(np.arange(len(rows)), lengths)
+    tree = lm.Tree(mass, len(words))
+    gain = lm.gains(tree, tree.at(ids), lm.contexts_of(last, skip), ~np.array(held)[text])
+    return np.bincount(text, gain, len(rows)) / math.log(10)
+
+
+def test_lm_score_equals_a_plain_model(spark, monkeypatch):
+    """On a table so small that no two features share a row of weights."""
+    rng = np.random.default_rng(6)
+    rows = [" ".join(f"w{int(x)}" for x in rng.geometric(0.1, int(rng.integers(0, 12)))) for _ in range(30)]
+    held = [i % 5 == 0 for i in range(30)]
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(rows, held, strict=True))], "doc_id long, text string, held boolean").coalesce(1)
+    frequent, mass, real = [], [], lm.model_gains
+    monkeypatch.setattr(lm, "model_gains", lambda rows, words, shares, total: real(rows, frequent.append(words) or words, mass.append(shares) or shares, total))
+    got = {r.doc_id: r.score for r in lm.lm_scores(df, F.col("held")).collect()}
+    gain = one_shard_gains(rows, held, frequent[0], mass[0], monkeypatch)
+    want, base = plain_lm(rows, held, lm.BATCH, lm.RATE)
+    for i in range(30):
+        assert base[i] + gain[i] == pytest.approx(want[i], abs=1e-3, rel=1e-3)
+        assert got[i] == pytest.approx(want[i], abs=1.0, rel=0.2)  # rows of weights are shared there
+
+
 def test_lm_probabilities_sum_to_one():
-    m = lm.Model(np.full(1024, 1 / 1024))
     rng = np.random.default_rng(0)
-    bucket, contexts = rng.integers(0, 1024, 500), rng.integers(0, 1 << 63, (3, 500), np.uint64)
-    m.step(bucket, contexts)
-    p = np.exp(m.log_prob(np.arange(1024), np.repeat(contexts[:, :1], 1024, axis=1)))
-    assert p.sum() == pytest.approx(1, abs=1e-4)
+    mass = np.sort(rng.pareto(1.0, 3_000))[::-1] + 1e-3
+    tree = lm.Tree(mass / mass.sum(), 3_000 - lm.SHARED if lm.SHARED < 3_000 else 0)
+    n = len(mass)
+    leaf, contexts = rng.integers(0, n, 2_000), rng.integers(0, 1 << 63, (3, 2_000), np.uint64)
+    # 2,000 training tokens, and all words after the context of the first
+    every = np.r_[leaf, np.arange(n)]
+    ctx = np.concatenate([contexts, np.repeat(contexts[:, :1], n, axis=1)], axis=1)
+    gain = lm.gains(tree, every, ctx, np.arange(len(every)) < 2_000)[2_000:]
+    assert np.exp(gain + tree.log_mass).sum() == pytest.approx(1, abs=1e-3) and gain[leaf[0]] > 0.5
+
+
+def test_lm_codes_are_prefix_free():
+    for n in (1, 5, 900, 200_000):
+        mass = 1 / np.arange(1, n + 1)
+        tree = lm.Tree(mass / mass.sum(), n)
+        order = np.argsort(tree.leaf)
+        width = lm.FAN ** (lm.DEPTH - tree.leaf_depth[order])
+        assert (tree.leaf[order][1:] >= (tree.leaf[order] + width)[:-1]).all() and (tree.leaf[order] % width == 0).all()
+        assert (tree.leaf[order] + width)[-1] <= lm.FAN**lm.DEPTH
+
+
+def test_lm_gain_does_not_depend_on_partitions(spark):
+    """Some 400,000 tokens in several shards, read from 2, 4 and 16 partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = []
+    for parts in (2, 4, 16):
+        r = lm.lm_scores(docs.repartition(parts, "doc_id")).filter("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+        found.append(r[0] / r[1])
+    assert min(found) > 0.95 * max(found) > 0
 
 
 def test_lm_tells_sequences_of_the_training_texts_from_shuffled_ones(spark, monkeypatch):
@@ -332,12 +459,6 @@ def test_lm_tells_sequences_of_the_training_texts_from_shuffled_ones(spark, monk
     assert min(gain[1_000 + i] - gain[1_100 + i] for i in range(100)) > 0.3
 
 
-def test_lm_buckets_of_frequent_words_are_their_own():
-    words = [(f"w{i}".encode(), 100_000 - i) for i in range(100_000)]
-    v = lm.Vocabulary(words)
-    assert len({v.bucket(w, v.index[w]) for w, _ in words} | {v.shared(h) for h in range(v.n_shared)}) == len(words) + v.n_shared
-
-
 # --- repeats --------------------------------------------------------------------------------------
 
 
@@ -435,11 +556,11 @@ def test_repeats_hold_whatever_the_hash(spark, monkeypatch, byte):
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["key", "text"])
     sort = lambda parts, by: pa.Table.from_batches(list(parts)).sort_by(by).combine_chunks().to_batches(max_chunksize=37)
     up = lambda *names: [(n, "ascending") for n in names]
-    left = repeats._not_alone(iter(sort(repeats._anchors(iter([batch]), np.array([], np.int64)), up("g"))))
-    both = [{"key": k, "text": t, "lo": 0, "meta": 0, "packed": None} for k, t in rows] + [{"text": None, **r} for b in left for r in b.to_pylist()]
-    both.sort(key=lambda r: (r["key"], r["text"] is None))
-    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("lo", pa.int32()), ("meta", pa.int32()), ("packed", pa.binary())])
-    opened = repeats._open(iter(pa.Table.from_pylist(both, schema).to_batches(max_chunksize=31)), np.array([], np.int64))
+    none = np.array([], np.int64)
+    left = [r for b in repeats._not_alone(iter(sort(repeats._anchors(iter([batch]), none, 5), up("bucket")))) for r in b.to_pylist()]
+    both = [{"key": k, "doc_id": k, "text": t, "ats": [r["at"] for r in left if r["key"] == k and r["at"] is not None], "packs": [r["packed"] for r in left if r["key"] == k and r["packed"]]} for k, t in rows]
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("ats", pa.list_(pa.int64())), ("packs", pa.list_(pa.binary()))])
+    opened = repeats._open(iter(pa.Table.from_pylist(both, schema).to_batches(max_chunksize=31)), none)
     gone = {i: bytearray(len(t)) for i, t in rows}
     for b in repeats._repeated(iter(sort(opened, up("deal", "key", "lo")))):
         for r in b.to_pylist():
@@ -463,12 +584,10 @@ def test_pieces_of_long_texts_share_no_string(monkeypatch, portion):
     text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1234))
     batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["key", "text"])
     got = []
-    for part in repeats._anchors(iter([batch]), np.array([], np.int64)):
+    for part in repeats._anchors(iter([batch]), np.array([], np.int64), 3):
         for r in part.to_pylist():
-            if r["packed"] is not None:
-                got += [w for lo, meta in repeats._unpack(r["packed"]).T for w in range(lo, lo + (meta & 255))]
-            elif r["meta"] >= 0:
-                got += range(r["lo"], r["lo"] + (r["meta"] & 255))
+            at = repeats.unplanes(r["data"], 3)[2] if r["key"] is None else np.frombuffer(r["data"], np.int64)
+            got += [w for x in at if x >= 0 for w in range(x >> 16, (x >> 16) + (x & 255))]
     assert sorted(got) == list(range(1234 - 99))
 
 
