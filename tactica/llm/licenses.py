@@ -7,6 +7,8 @@ decides, and reports the span and the number of edits. One map over the document
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -61,62 +63,68 @@ class Scanner:
     def words(self, text: str) -> list[bytes]:
         return text.encode().translate(WORDS).split()
 
-    def base(self, line: str) -> list[tuple[str, int]]:
+    def base(self, line: str, word_at) -> list[tuple[str, int]]:
         """(label, first word) of every place of a phrase in the words joined by spaces."""
         out = []
         for phrase, label in self.phrases.items():
             at = line.find(phrase)
             while at >= 0:
-                out.append((label, line.count(" ", 0, at)))
+                out.append((label, word_at(at + 1)))
                 at = line.find(phrase, at + 1)
         return out
 
-    def _matches(self, pattern: regex.Pattern, line: str, at: int, stop: int) -> list[regex.Match]:
-        """Matches of a stretch: the best, and those of what stands before and after it."""
-        out, parts = [], [(at, stop)]
-        while parts:
-            at, stop = parts.pop()
-            if m := pattern.search(line, at, stop):
-                out.append(m)
-                parts += [(at, m.start()), (m.end(), stop)]
-        return sorted(out, key=lambda m: m.start())
-
-    def fuzzy(self, line: str) -> list[tuple[str, int, int, int, float]]:
+    def _matches(self, k: int, starts: list[int], line: str) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of notice ``k`` around its seeds; of overlapping ones the nearest, then the first."""
+        text, _, edits, pattern = self.notices[k]
+        found = set()
+        for a in starts:
+            if m := pattern.search(line, max(0, a), min(len(line), a + len(text) + 2 * edits + 2)):
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        taken: list[tuple[int, int, int]] = []  # by start, none overlapping
+        for m in sorted(found):
+            i = bisect.bisect(taken, m[1], key=lambda x: x[1])
+            if (not i or taken[i - 1][2] <= m[1]) and (i == len(taken) or m[2] <= taken[i][1]):
+                taken.insert(i, m)
+        return taken
+
+    def fuzzy(self, line: str, word_at) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, end word, edits, likeness) of verified notices."""
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (size, uses) in self.seeds.iter(line):
             for k, offset in uses:
-                text, _, edits, _ = self.notices[k]
-                a = end + 1 - size - offset - edits - 1
-                b = a + len(text) + 2 * edits + 2
-                own = windows.setdefault(k, [])
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], b)
-                else:
-                    own.append([a, b])
+                starts.setdefault(k, set()).add(end + 1 - size - offset - self.notices[k][2] - 1)
         out = []
-        for k, spans in windows.items():
-            text, label, edits, pattern = self.notices[k]
-            for a, b in spans:
-                for m in self._matches(pattern, line, max(0, a), min(len(line), b)):
-                    wrong = sum(m.fuzzy_counts)
-                    first = line.count(" ", 0, m.start()) - 1
-                    out.append((label, first, first + line.count(" ", m.start(), m.end()) + 1, wrong, 1 - wrong / len(text)))
-        # of overlapping notices of different labels the nearest stays
-        return [x for x in out if not any(y[0] != x[0] and y[1] < x[2] and x[1] < y[2] and y[4] > x[4] for y in out)]
+        for k, places in starts.items():
+            text, label, _, _ = self.notices[k]
+            out += [(label, word_at(a), word_at(b - 1) + 1, wrong, 1 - wrong / len(text)) for wrong, a, b in self._matches(k, sorted(places), line)]
+        out.sort(key=lambda x: (x[1], x[2], x[0]))
+        # of overlapping notices of different labels the nearest stays; equally near ones all do
+        longest = max((x[2] - x[1] for x in out), default=0)
+        firsts = [x[1] for x in out]
+        near = lambda x: out[bisect.bisect_left(firsts, x[1] - longest) : bisect.bisect_left(firsts, x[2])]
+        return [x for x in out if not any(y[0] != x[0] and y[2] > x[1] and y[4] > x[4] for y in near(x))]
 
     def scan(self, text: str) -> tuple[int, list, list]:
         words = self.words(text)
         # Latin-1 keeps one character for a byte; notices are ASCII
         line = " " + b" ".join(words).decode("latin-1") + " "
-        return len(words), self.base(line), self.fuzzy(line)
+        starts: list[int] = []  # where words start; only texts with a hit need them
+
+        def word_at(place: int) -> int:
+            if not starts:
+                starts.extend(itertools.accumulate((len(w) + 1 for w in words), initial=1))
+            return bisect.bisect_right(starts, place) - 1
+
+        return len(words), self.base(line, word_at), self.fuzzy(line, word_at)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
     """doc_id, n_words, base (label, first_word) and notices (label, first_word, end_word, edits, likeness).
 
     Null and empty texts have no words and no places; repeated rows and null ids are scanned like
-    any others; other columns are not looked at.
+    any others; other columns are not looked at. Of overlapping places of one notice the nearest is
+    reported (equally near: the first), of overlapping notices of different labels the nearest (equally
+    near: all).
     """
     base = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64())]))
     found = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32()), ("likeness", pa.float64())]))
@@ -141,4 +149,5 @@ def query(spark, sf_dir):
         "array_min(base.first_word) AS first_word", "array_max(base.first_word) AS last_word",
         "array_join(array_sort(array_distinct(base.label)), ',') AS base_labels",
         "array_join(array_sort(array_distinct(concat(base.label, notices.label))), ',') AS labels",
-        "CASE WHEN size(base) > 0 THEN 1D ELSE coalesce(array_max(notices.likeness), 0D) END AS score")
+        "CASE WHEN size(base) > 0 THEN 1D ELSE coalesce(array_max(notices.likeness), 0D) END AS score",
+        "array_join(transform(notices, x -> concat_ws(':', x.label, x.first_word, x.end_word, x.edits)), ',') AS notices")
