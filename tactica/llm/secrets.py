@@ -18,12 +18,12 @@ from .common import table, text_or_empty
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{32,}"
-#: What the models judge: runs of at least 20 of their characters.
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: runs of at least 12 of their characters.
+TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Bounds of the labelled samples, in documents; thresholds of the ratio in nats.
 ORDINARY_TEXTS, SECRET_TEXTS = 2_000, 5_000
-LEAST_TOTAL, LEAST_MEAN = 20.0, 1.0
+LEAST_TOTAL, LEAST_MEAN = 10.0, 0.3
 #: Occurrences that the frequency of a character alone counts for, beside those of a pair.
 BACK_OFF = 5.0
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,m:string>>"
@@ -41,8 +41,21 @@ def located(text: Column, pattern: str, kind: str, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def within(xs):
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)
+
+    def placed(xs):
+        """Blocks of about the root of all matches, so that no fold grows a long array."""
+        block = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(1), F.size(xs), block), lambda i: within(F.slice(xs, i, block)))
+        ends = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["at"]))
+        moved = F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(blocks)), lambda x, by: F.transform(
+            x["out"], lambda y: F.struct((y["start"] + by).alias("start"), y["ord"].alias("ord"), (y["end"] + by).alias("end"), y["kind"].alias("kind"), y["m"].alias("m"))))
+        return F.flatten(moved)
+
+    # a name for the matches, which are then looked for once
+    spans = F.element_at(F.transform(F.array(pairs), placed), 1)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
