@@ -26,6 +26,8 @@ ORDINARY_TEXTS, SECRET_TEXTS = 2_000, 5_000
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.3
 #: Occurrences that the frequency of a character alone counts for, beside those of a pair.
 BACK_OFF = 5.0
+#: Occurrences of a character from which on its successors are rather guessed from all text than as any.
+RARE = 50.0
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,m:string>>"
 
 
@@ -98,10 +100,13 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float] | None:
         return None
 
     def logs(k: list[float]) -> list[float]:
-        """log P(next | character), leaning on how frequent the next is anywhere."""
+        """log P(next | character), leaning on how frequent the next is anywhere, and on nothing known
+        where the character itself is rare."""
         after = [sum(k[i * size : (i + 1) * size]) for i in range(size)]
         each = [(sum(k[j::size]) + 0.5) / (sum(k) + 0.5 * size) for j in range(size)]
-        return [math.log((k[x] + BACK_OFF * each[x % size]) / (after[x // size] + BACK_OFF)) for x in range(size * size)]
+        known = [a / (a + RARE) for a in after]
+        lean = lambda i, j: known[i] * each[j] + (1 - known[i]) / size
+        return [math.log((k[i * size + j] + BACK_OFF * lean(i, j)) / (after[i] + BACK_OFF)) for i in range(size) for j in range(size)]
 
     return [a - b for a, b in zip(logs(n[1]), logs(n[0]), strict=True)]
 

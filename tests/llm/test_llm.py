@@ -177,11 +177,12 @@ def test_markov_precision_and_recall(spark):
     rng, rows, planted = random.Random(11), [], {}
     common = [f"{a}{sep}{b}" for a in ("reader", "configuration", "international", "neighbour", "transaction", "statement") for b in ("Handler", "Description", "_factory", "Exception", "-identifier", "Responsibility") for sep in ("", "_")]
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    for i in range(400):
+    common += ["read2024", "v1.20.3", "Error404", "SQL92", "UTF8", "HTTPServer", "X11R6", "1984", "8080"]
+    for i in range(1_200):
         words = [rng.choice(common) for _ in range(12)]
-        if i < 100:
+        if i < 600:
             words.insert(3, "secret=" + "".join(rng.choices(letters, k=24)))
-        elif i < 250:
+        elif i < 750:
             words.insert(5, "".join(rng.choices(letters, k=rng.randint(12, 40))))
             planted[i] = words[5]
         rows.append((i, " ".join(words)))
