@@ -1,10 +1,11 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
 Every input partition is one run: its distinct digests in order, each with the best row seen so
-far. In each round ``fan_in`` neighbouring runs merge into one, digest by digest, and the better
-row survives; after log(runs)/log(fan_in) rounds one run is left. A run is never in one task: its
-digests are spread over the shuffle partitions, and a digest that holds a third of all rows comes
-to at most one row per run and round. DataFrame functions only.
+far. In each round ``fan_in`` neighbouring runs are sent to the place of the run that they become,
+are merged there in order, digest by digest, and the better row survives; after
+log(runs)/log(fan_in) rounds one run is left. A run is never in one task: it is dealt over the
+shuffle partitions by its digests, in order within each, and a digest that holds a third of all
+rows comes to at most one row per run and round. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ def merge_runs(rows: DataFrame, fan_in: int = 16) -> DataFrame:
     checked against what it absorbs in every round.
     """
     order = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    runs = rows.groupBy("run", *KEY).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    # the first runs are sorted and made distinct where they stand
+    runs = rows.sortWithinPartitions("run", *KEY).groupBy("run", *KEY).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
     left = (rows.agg(F.max("run")).first()[0] or 0) + 1
     while True:
         left = -(-left // fan_in)
-        runs = runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
-        runs = runs.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        # an exchange by run and digest, and one walk over rows that are then in order
+        met = runs.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")).repartition("run", "digest").sortWithinPartitions("run", *KEY)
+        runs = met.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         if left == 1:
             return runs.drop("run")
 
