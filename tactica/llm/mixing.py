@@ -1,37 +1,48 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source is dealt into a fixed number of blocks by a hash of the document. What a source gives
+Each source is dealt into blocks by a hash of the document, as many as its largest needs. What a source gives
 is a list of block draws: whole copies of the source, then as many more blocks (in permuted order)
 as reach its target, the last one cut at a document. A binary tree over the output shards splits
 each source's number of draws exactly: at every node an urn draw without replacement decides how
 many draws of each source go left. A shard then takes its own disjoint stretch of each source's
 permuted draws and orders its documents by a local hash. DataFrame functions only; the tree holds
-(sources x blocks x copies) counts, whatever the number of documents.
+one count for each source and node, and the sources of a node stand in groups of about the root of
+their number, so that no row holds them all.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, durable, table, text_or_empty, with_rows
 
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
-#: Blocks of a source, parts of the one block that is cut, and shards (a power of two).
-BLOCKS, PARTS, SHARDS = 128, 512, 16
+#: Documents that a block, and a shard, is to hold, about; at least so many blocks of a source and shards
+#: (powers of two); parts of the one block that is cut.
+BLOCK_DOCS, SHARD_DOCS, BLOCKS, SHARDS, PARTS = 20_000, 200_000, 128, 16, 512
 
 
 def words(text):
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
 
 
+def power(n: float, least: int) -> int:
+    """The power of two from ``least`` on that is not under ``n``."""
+    return max(least, 1 << max(0, math.ceil(n) - 1).bit_length())
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """A durable small row per document: size, and its place (block, part, order) in its source."""
+    most = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = power(most / BLOCK_DOCS, BLOCKS)
     row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     return durable(
         docs.select(row.alias("row"), "doc_id", "source", words(text_or_empty()).cast("long").alias("size"), h.alias("h"))
-        .withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int"))
+        .withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
         .withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(PARTS)).cast("int"))
     )
 
@@ -91,37 +102,51 @@ def draws(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return blocks, whole.unionByName(last.filter(near).select("row"))
 
 
+def _urn(depth: int, seed: int, name: str) -> str:
+    """SQL: how many of each entry's n draws go left, of ``room`` places in all. Every draw is asked in turn
+    and goes left with probability (places left) / (draws left): the urn without replacement."""
+    took = f"""aggregate(sequence(1L, greatest(x.n, 1L)), struct(0L AS l, a.room AS room, a.rest AS rest), (z, i) ->
+      CASE WHEN i > x.n THEN z
+           WHEN (abs(xxhash64({seed}, {depth}, node, {name}, i)) % 1000000007) / 1000000007D * z.rest < z.room
+           THEN struct(z.l + 1 AS l, z.room - 1 AS room, z.rest - 1 AS rest)
+           ELSE struct(z.l AS l, z.room AS room, z.rest - 1 AS rest) END).l"""
+    # one step of the outer fold works out an entry's share and moves on
+    return f"""aggregate(s, struct(cast(room as long) AS room, total AS rest, cast(array() as array<bigint>) AS got), (a, x) ->
+      transform(array({took}), l -> struct(a.room - l AS room, a.rest - x.n AS rest, array_append(a.got, l) AS got))[0]).got"""
+
+
 def splitting_tree(quotas: DataFrame, seed: int, shards: int = SHARDS) -> DataFrame:
-    """(source, n) -> (source, shard, n, offset): exact counts by multivariate-hypergeometric splits.
+    """(source, n) -> (source, shard, n, first): exact counts by multivariate-hypergeometric splits.
 
-    At a node with N draws, of which the left half takes N div 2, every draw is asked in turn and
-    goes left with probability (places left) / (draws left): the urn without replacement.
+    Of a node's N draws the left half takes N div 2. The sources stand in groups; first the groups'
+    totals are drawn, then each group's share is drawn among its sources.
     """
-    nodes = quotas.select(F.lit(0).alias("node"), F.struct(F.col("source").isNull().alias("none"), "source", "n").alias("s")).groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    ranked = quotas.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    group = F.floor(F.col("rank") / F.lit(max(1, math.isqrt(quotas.count())))).cast("int").alias("grp")
+    nodes = ranked.select(F.lit(0).alias("node"), group, F.struct("rank", F.col("source").isNull().alias("none"), "source", "n").alias("s"))
+    nodes = durable(nodes.groupBy("node", "grp").agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("total", F.expr("aggregate(s, 0L, (a, x) -> a + x.n)")))
     depth, width = 0, 1
     while width < shards:
-        total = F.expr("aggregate(s, 0L, (a, x) -> a + x.n)")
-        took = f"""aggregate(sequence(1L, greatest(x.n, 1L)), struct(0L AS l, a.room AS room, a.rest AS rest), (z, i) ->
-          CASE WHEN i > x.n THEN z
-               WHEN (abs(xxhash64({seed}, {depth}, node, x.source, i)) % 1000000007) / 1000000007D * z.rest < z.room
-               THEN struct(z.l + 1 AS l, z.room - 1 AS room, z.rest - 1 AS rest)
-               ELSE struct(z.l AS l, z.room AS room, z.rest - 1 AS rest) END).l"""
-        # one step of the outer fold works out a source's share and moves on
-        urn = f"""aggregate(s, struct(cast(total div 2 as long) AS room, total AS rest, cast(array() as array<bigint>) AS got), (a, x) ->
-          transform(array({took}), l -> struct(a.room - l AS room, a.rest - x.n AS rest, array_append(a.got, l) AS got))[0]).got"""
-        nodes = nodes.withColumn("total", total).withColumn("left", F.expr(urn))
+        totals = nodes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("grp", F.col("total").alias("n")))).alias("s"), F.sum("total").alias("total"))
+        rooms = totals.withColumn("room", F.expr("total div 2")).withColumn("left", F.expr(_urn(depth, seed, "x.grp")))
+        rooms = rooms.select("node", F.expr("inline(arrays_zip(transform(s, x -> x.grp), `left`))")).toDF("node", "grp", "room")
+        split = nodes.join(rooms, ["node", "grp"]).withColumn("left", F.expr(_urn(depth, seed + 1, "x.source")))
         halves = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.expr("transform(s, (x, i) -> struct(x.none AS none, x.source AS source, left[i] AS n))").alias("s")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("transform(s, (x, i) -> struct(x.none AS none, x.source AS source, x.n - left[i] AS n))").alias("s")))
-        nodes = nodes.select(F.inline(halves))
+            F.struct((F.col("node") * 2).alias("node"), "grp", F.expr("transform(s, (x, i) -> struct(x.rank AS rank, x.none AS none, x.source AS source, left[i] AS n))").alias("s"), F.col("room").alias("total")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), "grp", F.expr("transform(s, (x, i) -> struct(x.rank AS rank, x.none AS none, x.source AS source, x.n - left[i] AS n))").alias("s"), (F.col("total") - F.col("room")).alias("total")))
+        nodes = split.select(F.inline(halves))
         depth, width = depth + 1, width * 2
-    split = nodes.select(F.col("node").alias("shard"), F.inline("s")).drop("none")
+        if depth % 4 == 0:
+            nodes = durable(nodes)
+    split = nodes.select(F.col("node").alias("shard"), F.inline("s")).drop("none", "rank")
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return split.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def mixture(docs: DataFrame, seed: int = 11, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, copies). rows: row, doc_id, source, size, source_size, target, taken; one per document.
+def mixture(docs: DataFrame, seed: int = 11, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, copies). rows: row, doc_id, source, size, source_size, target, taken, placed; one per document.
+    placed: shard and place of every copy, "shard:place" joined by commas. ``shards``: by default as many
+    as the documents need.
     copies: row, shard, place; one per time that a document is taken, ``place`` its order in the shard.
 
     Null sources are one source, last; null texts have size 0; a document of no words is taken as
@@ -129,6 +154,7 @@ def mixture(docs: DataFrame, seed: int = 11, shards: int = SHARDS) -> tuple[Data
     empty results. Other columns are not looked at.
     """
     rows = sized(docs, seed)
+    shards = shards or power(rows.count() / SHARD_DOCS, SHARDS)
     blocks, cut = draws(rows, seed)
     cut = durable(cut.withColumn("in_cut", F.lit(True)))
     one = blocks.select("source", "block", "state", "source_size", "target", "full",
@@ -144,13 +170,15 @@ def mixture(docs: DataFrame, seed: int = 11, shards: int = SHARDS) -> tuple[Data
     joined = rows.alias("r").join(about.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.block") == F.col("q.block")))
     joined = joined.select("r.row", "r.doc_id", "r.source", "r.size", "q.source_size", "q.target", "q.draws").join(cut, "row", "left")
     mine = F.filter(F.coalesce("draws", F.expr("cast(array() as array<struct<copy:int,whole:boolean,shard:int>>)")), lambda d: d["whole"] | F.coalesce("in_cut", F.lit(False)))
-    joined = joined.withColumn("mine", mine).drop("draws", "in_cut")
-    out = joined.withColumn("taken", F.size("mine") * F.col("size")).drop("mine")
-    copies = joined.select("row", "doc_id", F.inline("mine")).select("row", "shard", F.xxhash64("doc_id", "row", "copy", F.lit(seed + 3)).alias("place"))
-    return out, copies
+    place = lambda d: F.xxhash64("doc_id", "row", d["copy"], F.lit(seed + 3))
+    mine = F.transform(mine, lambda d: F.struct(d["shard"].alias("shard"), place(d).alias("place")))
+    joined = joined.withColumn("mine", F.sort_array(mine)).drop("draws", "in_cut")
+    placed = F.array_join(F.transform("mine", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["place"].cast("string"))), ",")
+    out = joined.withColumn("taken", F.size("mine") * F.col("size")).withColumn("placed", placed).drop("mine")
+    return out, joined.select("row", F.inline("mine"))
 
 
-def mix(docs: DataFrame, seed: int = 11, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 11, shards: int | None = None) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a row per copy, by shard, shuffled within it."""
     rows = with_rows(docs)
     copies = mixture(rows, seed, shards)[1]
@@ -160,4 +188,4 @@ def mix(docs: DataFrame, seed: int = 11, shards: int = SHARDS) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return mixture(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mixture(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "placed")

@@ -433,7 +433,10 @@ def plain_lm(rows, held, batch, rate):
             leaf = int(tree.at(np.array([i]))[0])
             node, choice = int(tree.leaf[leaf]) // 16 ** (5 - d), int(tree.leaf[leaf]) // 16 ** (4 - d) % 16
             if tree.leaf_depth[leaf] > d:
-                cases.append((k, node, choice, [(node, "last", last), (node, "two", last, skip), (node, "skip", skip)]))
+                cases.append((k, node, choice, [(node, "last", last), (node, "two", last, skip), (node, "skip", skip)][: 3 if d < lm.SKIP_DEPTHS else 2]))
+        many = Counter(f for *_, features in cases for f in features)
+        taught = {f for k, _, _, features in cases if not held[k] for f in features}
+        cases = [(k, node, choice, [f for f in features if many[f] > 1 and f in taught]) for k, node, choice, features in cases]
         weights, square = defaultdict(lambda: np.zeros(16)), defaultdict(lambda: 1e-4)
         logits = lambda node, features: tree.bias[d][node].astype(float) + sum(weights[f] if f in weights else 0 for f in features)
         learn = [x for x in cases if not held[x[0]]]
