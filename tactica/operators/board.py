@@ -7,6 +7,8 @@ that ``replay`` writes; this module only supplies what needs legality and lines
 
 from __future__ import annotations
 
+import re
+
 PAWN, KNIGHT, BISHOP, ROOK, QUEEN, KING = range(1, 7)
 VALUE = (0, 1, 3, 3, 5, 9, 0)
 LETTERS = "PNBRQK"
@@ -77,6 +79,14 @@ class Position:
                 raise ValueError(f"not a position: {fen}")
         return cls(board, 1 if side == "w" else -1, frozenset(castling) & frozenset("KQkq"), square_of(ep) if ep != "-" else None)
 
+    def fen(self) -> str:
+        ranks = []
+        for r in range(7, -1, -1):
+            rank = "".join(" " if not p else LETTERS[abs(p) - 1] if p > 0 else LETTERS[abs(p) - 1].lower() for p in self.board[8 * r : 8 * r + 8])
+            ranks.append(re.sub(" +", lambda m: str(len(m[0])), rank))
+        ep = "-" if self.ep is None else name_of(self.ep)
+        return f"{'/'.join(ranks)} {'w' if self.turn > 0 else 'b'} {''.join(r for r in 'KQkq' if r in self.rights) or '-'} {ep} 0 1"
+
     def attacks(self, square: int, board: list[int] | None = None) -> list[int]:
         board, out = board or self.board, []
         for line in lines_of(board[square], square):
@@ -213,6 +223,10 @@ class Position:
         return True
 
 
+def name_of(square: int) -> str:
+    return "abcdefgh"[square % 8] + str(square // 8 + 1)
+
+
 def square_of(name: str) -> int:
     f, r = "abcdefgh".index(name[0]), "12345678".index(name[1])
     if len(name) != 2:

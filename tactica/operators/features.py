@@ -13,39 +13,43 @@ STRUCT_NAMES = ["SolutionLength", "IsWhiteToMove", "white_pieces", "black_pieces
                 "uses_minor", "uses_pawn", "avg_move_dist", "spatial_spread"]
 
 
-def basic(puzzles: DataFrame) -> DataFrame:
-    """PuzzleId and R2, R3: from the strings alone, no helper."""
+def basic_columns() -> dict[str, Column]:
     placement = F.element_at(F.split("FEN", " "), 1)
     letters = lambda p: F.length(F.regexp_replace(placement, f"[^{p}]", ""))
     balance = sum((letters(c) * v - letters(c.lower()) * v for c, v in zip("PNBRQ", (1, 3, 3, 5, 9), strict=True)), F.lit(0))
     words = F.trim(F.regexp_replace("Moves", "\\s+", " "))
-    return puzzles.select(
-        F.col("PuzzleId").cast("string").alias("PuzzleId"),
-        F.when(words == "", 0).otherwise(F.size(F.split(words, " "))).alias("SolutionLength"),
-        (F.element_at(F.split("FEN", " "), 2) == "w").cast("int").alias("IsWhiteToMove"),
-        letters("A-Z").alias("white_pieces"), letters("a-z").alias("black_pieces"), balance.alias("material_balance"))
+    return {"SolutionLength": F.when(words == "", 0).otherwise(F.size(F.split(words, " "))), "IsWhiteToMove": (F.element_at(F.split("FEN", " "), 2) == "w").cast("int"),
+            "white_pieces": letters("A-Z"), "black_pieces": letters("a-z"), "material_balance": balance}
+
+
+def basic(puzzles: DataFrame) -> DataFrame:
+    """PuzzleId and R2, R3: from the strings alone, no helper."""
+    return puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), *[c.alias(n) for n, c in basic_columns().items()])
 
 
-def participation(positions: DataFrame) -> DataFrame:
-    """PuzzleId and R4: nine statistics of the player's moves up to the first that is malformed."""
+def participation(positions: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """PuzzleId and R4: nine statistics of the player's moves up to the first that is malformed; and the columns ``keep``."""
     mine = "filter(pos, (p, n) -> n % 2 = 1 AND p.t IS NOT NULL AND p.bd[p.f] <> 0)"
     x, y, i = q.fresh("x"), q.fresh("y"), q.fresh("i")
     pairs = f"flatten(transform(src, ({x}, {i}) -> transform(slice(src, {i} + 2, size(src)), {y} -> {q.distance(x, y)})))"
     mean = lambda a: f"if(size({a}) > 0, aggregate({a}, 0D, (s, v) -> s + v) / size({a}), 0D)"
-    rows = positions.selectExpr("PuzzleId", f"{mine} AS mine").selectExpr(
-        "PuzzleId", "transform(mine, p -> p.f) AS src", "array_distinct(transform(mine, p -> abs(p.bd[p.f]))) AS kinds", f"transform(mine, p -> {q.distance('p.f', 'p.t')}) AS far")
+    rows = positions.selectExpr("PuzzleId", *keep, f"{mine} AS mine").selectExpr(
+        "PuzzleId", *keep, "transform(mine, p -> p.f) AS src", "array_distinct(transform(mine, p -> abs(p.bd[p.f]))) AS kinds", f"transform(mine, p -> {q.distance('p.f', 'p.t')}) AS far")
     rows = rows.withColumn("apart", F.expr(pairs))
     has = lambda *k: " OR ".join(f"array_contains(kinds, {x})" for x in k)
     return rows.selectExpr(
-        "PuzzleId", "size(array_distinct(src)) AS num_participating_pieces", "size(kinds) AS num_piece_types",
+        "PuzzleId", *keep, "size(array_distinct(src)) AS num_participating_pieces", "size(kinds) AS num_piece_types",
         f"coalesce(array_max(transform(kinds, k -> {q.value('k')})), 0) AS max_piece_value",
         f"cast({has(5)} AS int) AS uses_queen", f"cast({has(4)} AS int) AS uses_rook", f"cast({has(2, 3)} AS int) AS uses_minor", f"cast({has(1)} AS int) AS uses_pawn",
         f"{mean('far')} AS avg_move_dist", f"{mean('apart')} AS spatial_spread")
 
 
-def structure(puzzles: DataFrame, positions: DataFrame) -> DataFrame:
-    """The 14 columns of the struct block; a FEN that cannot be read has zero participation."""
-    return basic(puzzles).join(participation(positions), "PuzzleId", "left").select("PuzzleId", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in STRUCT_NAMES])
+def structure(positions: DataFrame) -> DataFrame:
+    """The 14 columns of the struct block, of replayed positions that keep FEN and Moves; a FEN that cannot
+    be read has zero participation. No join: all of it comes from one row."""
+    rows = positions.withColumns(basic_columns())
+    rows = participation(rows, STRUCT_NAMES[:5])
+    return rows.select("PuzzleId", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in STRUCT_NAMES])
 
 
 def _pawns(p: str, side: str, other: str, a_file_quirk: bool) -> dict[str, str]:

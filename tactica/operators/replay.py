@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,18 +44,22 @@ def replay_one(fen: str, moves: str) -> tuple[list[dict], str | None]:
     return [*out, describe(p, None)], error
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for a in range(0, b.num_rows, 500):  # positions are large beside their puzzles
-            part = b.slice(a, 500)
-            rows = [replay_one(fen or "", moves or "") for fen, moves in zip(part["FEN"].to_pylist(), part["Moves"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part["PuzzleId"], pa.array([r[0] for r in rows], pa.list_(ARROW_POSITION)), pa.array([r[1] for r in rows], pa.string())], ["PuzzleId", "pos", "error"])
+def replay(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """PuzzleId, pos (positions before each move and after the last), error, and the columns ``keep`` of the
+    same rows. One map, no shuffle."""
+    keep = list(keep)
+    rows = puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), F.struct("FEN", "Moves").alias("__game"), *keep)
+    kept = [f for f in rows.schema if f.name != "__game"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 500):  # positions are large beside their puzzles
+                part = b.slice(a, 500)
+                games = [replay_one(g["FEN"] or "", g["Moves"] or "") for g in part["__game"].to_pylist()]
+                columns = [part[f.name] for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[0] for g in games], pa.list_(ARROW_POSITION)), pa.array([g[1] for g in games], pa.string())], [*(f.name for f in kept), "pos", "error"])
 
-def replay(puzzles: DataFrame) -> DataFrame:
-    """PuzzleId, pos (positions before each move and after the last), error. One map, no shuffle."""
-    rows = puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), "FEN", "Moves")
-    return rows.mapInArrow(_replay, f"PuzzleId string, pos array<{POSITION}>, error string")
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", pos array<{POSITION}>, error string")
 
 
 def attack_edges(positions: DataFrame) -> DataFrame:

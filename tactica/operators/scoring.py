@@ -42,11 +42,11 @@ def normalised_move(uci: Column, black: Column, king_on_e1: Column, family: int
     return F.regexp_replace(castled, "n$", "")
 
 
-def player_moves(puzzles: DataFrame, positions: DataFrame, moves: int = MOVES) -> DataFrame:
-    """PuzzleId, move_idx, n, uci, move and the position (p) of the player's first moves (M1)."""
-    listed = puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), F.filter(F.split(F.trim("Moves"), "\\s+"), lambda x: x != "").alias("uci"))
-    joined = positions.join(listed, "PuzzleId")
-    nodes = joined.select("PuzzleId", "uci", F.posexplode(F.expr("slice(pos, 1, greatest(size(pos) - 1, 0))")).alias("n", "p")).filter(f"n % 2 = 1 AND n div 2 < {moves}")
+def player_moves(positions: DataFrame, moves: int = MOVES) -> DataFrame:
+    """PuzzleId, move_idx, n, uci, move and the position (p) of the player's first moves (M1), of replayed
+    positions that keep Moves."""
+    listed = F.filter(F.split(F.trim("Moves"), "\\s+"), lambda x: x != "").alias("uci")
+    nodes = positions.select("PuzzleId", listed, F.posexplode(F.expr("slice(pos, 1, greatest(size(pos) - 1, 0))")).alias("n", "p")).filter(f"n % 2 = 1 AND n div 2 < {moves}")
     nodes = nodes.select("PuzzleId", F.expr("cast(n div 2 as int)").alias("move_idx"), "n", F.expr("get(uci, n)").alias("uci"), "p")
     king = F.expr("abs(p.bd[if(p.white, 4, 60)]) = 6")
     return nodes.withColumn("move", normalised_move(F.col("uci"), ~F.col("p.white"), king))

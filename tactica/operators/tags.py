@@ -335,13 +335,12 @@ def tag_positions(positions: DataFrame) -> DataFrame:
     rows = positions.withColumn("moves", F.size("pos") - 1)
     why = """CASE WHEN error IS NOT NULL THEN error WHEN cp IS NULL THEN 'no evaluation' WHEN moves < 2 THEN 'under two moves'
       WHEN exists(pos, p -> p.king[0] < 0 OR p.king[1] < 0) THEN 'a king is missing' END"""
-    rows = rows.withColumn("error", F.expr(why))
-    bad = rows.filter("error IS NOT NULL").select("PuzzleId", F.lit(None).cast("int").alias("cp"), F.array().cast("array<string>").alias("tags"), "error")
-    rows = rows.filter("error IS NULL").selectExpr("PuzzleId", "cast(cp AS int) AS cp", "pos", "moves", "filter(sequence(0, moves - 1), n -> n % 2 = 1) AS mine", "if(pos[1].white, 0, 1) AS me", "if(pos[1].white, 1, 0) AS op")
-    found = rows.select("PuzzleId", "cp", *[F.expr(sql).alias(name) for name, sql in tag_columns()])
+    rows = rows.selectExpr("PuzzleId", "cp", f"{why} AS error", "pos", "moves", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1) AS mine", "if(pos[1].white, 0, 1) AS me", "if(pos[1].white, 1, 0) AS op")
+    # rules are only looked at where there is no error
+    found = rows.select("PuzzleId", "cp", "error", *[F.when(F.col("error").isNull(), F.expr(sql)).alias(name) for name, sql in tag_columns()])
     lone = "if(matePattern <=> 'backRankMate' OR fork IS NOT NULL, NULL, sideAttack)"
     listed = F.expr("filter(array_compact(array(" + ", ".join(lone if n == "sideAttack" else n for n, _ in tag_columns()) + ")), t -> t <> '')")
-    return found.select("PuzzleId", "cp", listed.alias("tags"), F.lit(None).cast("string").alias("error")).unionByName(bad)
+    return found.select("PuzzleId", F.when(F.col("error").isNull(), F.col("cp").cast("int")).alias("cp"), listed.alias("tags"), "error")
 
 
 def tag(puzzles: DataFrame, evals: DataFrame | None = None) -> DataFrame:
@@ -353,5 +352,5 @@ def tag(puzzles: DataFrame, evals: DataFrame | None = None) -> DataFrame:
         cp = evals.groupBy(F.col("PuzzleId").cast("string").alias("PuzzleId")).agg(F.min("cp").alias("cp"))
         positions = replay(puzzles).join(cp, "PuzzleId", "left")
     else:
-        positions = replay(puzzles).join(puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), "cp"), "PuzzleId", "left")
+        positions = replay(puzzles, ["cp"])
     return tag_positions(positions).select("PuzzleId", "cp", F.array_join("tags", " ").alias("Themes"), "error")

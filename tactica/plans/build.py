@@ -21,7 +21,7 @@ SOURCES = {"maia1": ["maia1"], "maia2": ["maia2_rapid", "maia2_blitz"]}
 def block_of(name: str, puzzles: DataFrame, positions: Callable[[], DataFrame], evals=None, themes=None, move_probs=None) -> DataFrame | None:
     """(PuzzleId, one array column) of a named block; None if its side table is not given."""
     if name == "struct":
-        return features.structure(puzzles, positions()).select("PuzzleId", F.array(*[F.col(c).cast("double") for c in features.STRUCT_NAMES]).alias(name))
+        return features.structure(positions()).select("PuzzleId", F.array(*[F.col(c).cast("double") for c in features.STRUCT_NAMES]).alias(name))
     if name == "advanced":
         return features.advanced(positions()).withColumnRenamed("advanced", name)
     if name == "curve":
@@ -51,7 +51,7 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
 
     def positions() -> DataFrame:
         if not made:
-            made.append(replay.replay(puzzles))
+            made.append(replay.replay(puzzles, ["FEN", "Moves"]))
         return made[0]
 
     def compute(name: str) -> DataFrame | None:
@@ -72,6 +72,6 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
 def score_unfinished(puzzles: DataFrame, scorer, source: str, done: DataFrame | None = None) -> DataFrame:
     """Move probabilities of the puzzles that ``done`` lacks, joined with what it has (W-C)."""
     todo = puzzles if done is None else puzzles.join(done.filter("prob IS NOT NULL").select(F.col("pid").alias("PuzzleId")).distinct(), "PuzzleId", "left_anti")
-    moves = scoring.with_policy(scoring.player_moves(todo, replay.replay(todo)), puzzles.sparkSession)
+    moves = scoring.with_policy(scoring.player_moves(replay.replay(todo, ["Moves"])), puzzles.sparkSession)
     new = scoring.score(moves.select(F.col("PuzzleId").alias("pid"), "move_idx", "policy_idx", "p"), scorer, ["pid", "move_idx", "policy_idx"]).withColumn("source", F.lit(source))
     return new if done is None else done.filter("prob IS NOT NULL").unionByName(new)

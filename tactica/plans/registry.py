@@ -6,19 +6,22 @@ operators on a catalogue of positions dealt over ``part`` by its key.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactica.functions import arrays, evaltext, probs
 from tactica.operators import features, metrics, relational, replay, sampling, scoring, tags
+from tactica.operators.board import LETTERS, Position, name_of
 
-from . import build, models
+from . import board_sql, build, models
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: (id, FEN, moves): hand-checked positions.
+#: (id, FEN, moves): hand-checked positions, then stretches of random play.
 CATALOGUE = [
     ("F01", "r1bqkbnr/pppp1ppp/2n5/4p2Q/2B1P3/8/PPPP1PPP/RNB1K1NR b KQkq - 3 3", "g8f6 h5f7"),
     ("F02", "6k1/5ppp/8/8/8/8/5PPP/3R2K1 b - - 0 1", "g8h8 d1d8"),
@@ -35,6 +38,25 @@ CATALOGUE = [
     ("F14", "4k3/8/8/8/8/2b5/8/R3K2R w KQ - 0 1", "e1e2 c3a1 h1a1"),
     ("F15", "4k3/8/8/8/8/8/8/4K3 w - - 0 1", "e1e2 zz99"),
 ]
+
+
+def played(games: int = 14, plies: int = 60, every: int = 5, seed: int = 77) -> list[tuple[str, str, str]]:
+    """Stretches of seeded random play, with captures and checks preferred: varied positions by rule."""
+    rng, out = random.Random(seed), []
+    for g in range(games):
+        p, line = Position.from_fen("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"), []
+        while len(line) < plies and (legal := p.legal_moves()):
+            sharp = [m for m in legal if p.is_capture(*m[:2]) or m[2]]
+            a, b, promo, _ = rng.choice(sharp if sharp and rng.random() < 0.45 else legal)
+            line.append((p.fen(), name_of(a) + name_of(b) + (LETTERS[promo - 1].lower() if promo else "")))
+            p = p.after(a, b, promo)
+        for start in range(g % every, len(line) - 2, every):
+            moves = [m for _, m in line[start : start + rng.randint(2, 11)]]
+            out.append((f"G{g}-{start}", line[start][0], " ".join(moves)))
+    return out
+
+
+CATALOGUE += played()
 _VALUES = ", ".join(f"({i}, '{fen}', '{moves}')" for i, (_, fen, moves) in enumerate(CATALOGUE))
 _PUZZLES_SQL = f"(SELECT CAST(p_partkey AS VARCHAR) AS PuzzleId, FEN, Moves, p_size * 20 - 300 AS cp FROM part JOIN (VALUES {_VALUES}) c(i, FEN, Moves) ON p_partkey % {len(CATALOGUE)} = c.i)"
 
@@ -344,33 +366,53 @@ def _(s, d):
     return features.basic(puzzles(s, d))
 
 
-@query("board_features")
+_BOARDS = board_sql.boards(CATALOGUE)
+_PART = f"JOIN part ON p_partkey % {len(CATALOGUE)} = x.i"
+_ID = "CAST(p_partkey AS VARCHAR) AS PuzzleId"
+
+
+@query("board_features", _BOARDS + f""", mine AS (SELECT i, f, t, abs(mover) AS kind, greatest(abs(f % 8 - t % 8), abs(f // 8 - t // 8)) AS far, n FROM node WHERE t IS NOT NULL AND n % 2 = 1),
+apart AS (SELECT x.i, avg(greatest(abs(x.f % 8 - y.f % 8), abs(x.f // 8 - y.f // 8))) AS d FROM mine x JOIN mine y ON x.i = y.i AND x.n < y.n GROUP BY 1),
+part4 AS (SELECT i, count(DISTINCT f) AS a, count(DISTINCT kind) AS b, max(list_extract([1, 3, 3, 5, 9, 0], kind)) AS c, bool_or(kind = 5) AS q, bool_or(kind = 4) AS r, bool_or(kind IN (2, 3)) AS m, bool_or(kind = 1) AS w, avg(far) AS d FROM mine GROUP BY 1)
+SELECT {_ID}, CAST(len(string_split(c.Moves, ' ')) AS INTEGER) AS SolutionLength, CAST(split_part(c.FEN, ' ', 2) = 'w' AS INTEGER) AS IsWhiteToMove,
+ CAST({_COUNT('A-Z')} AS INTEGER) AS white_pieces, CAST({_COUNT('a-z')} AS INTEGER) AS black_pieces, CAST({_BALANCE} AS INTEGER) AS material_balance,
+ CAST(coalesce(x.a, 0) AS INTEGER) AS num_participating_pieces, CAST(coalesce(x.b, 0) AS INTEGER) AS num_piece_types, CAST(coalesce(x.c, 0) AS INTEGER) AS max_piece_value,
+ CAST(coalesce(q, false) AS INTEGER) AS uses_queen, CAST(coalesce(r, false) AS INTEGER) AS uses_rook, CAST(coalesce(m, false) AS INTEGER) AS uses_minor, CAST(coalesce(w, false) AS INTEGER) AS uses_pawn,
+ round(coalesce(x.d, 0), 9)::DOUBLE AS avg_move_dist, round(coalesce(y.d, 0), 9)::DOUBLE AS spatial_spread
+ FROM cat c JOIN part ON p_partkey % {len(CATALOGUE)} = c.i LEFT JOIN part4 x ON x.i = c.i LEFT JOIN apart y ON y.i = c.i""")
 def _(s, d):
     p = puzzles(s, d)
-    return features.structure(p, replay.replay(p))
+    return features.structure(replay.replay(p, ["FEN", "Moves"])).withColumns({c: F.round(c, 9) for c in ("avg_move_dist", "spatial_spread")})
 
 
-@query("positions")
+@query("positions", _BOARDS + f"""SELECT {_ID}, n, white, f, t, CAST(promo AS INTEGER) AS promo, coalesce(cap, false) AS cap,
+ list_aggregate(list_transform(range(64), lambda s: CAST({board_sql._code("substr(board, s + 1, 1)")} AS VARCHAR)), 'string_agg', ' ') AS board FROM node x {_PART}""")
 def _(s, d):
     return replay.replay(puzzles(s, d)).select("PuzzleId", F.posexplode("pos").alias("n", "p")).select("PuzzleId", "n", "p.white", "p.f", "p.t", "p.promo", "p.cap", F.expr("array_join(p.bd, ' ') AS board"))
 
 
-@query("attack_edges")
+@query("attack_edges", _BOARDS + f"SELECT {_ID}, n, from_sq, CAST(to_sq AS INTEGER) AS to_sq, CAST(piece AS INTEGER) AS piece FROM edge x {_PART}")
 def _(s, d):
     return replay.attack_edges(replay.replay(puzzles(s, d)))
 
 
-@query("legal_moves")
+@query("legal_moves", _BOARDS + f"SELECT {_ID}, n, CAST(f AS INTEGER) AS from_sq, CAST(t AS INTEGER) AS to_sq, CAST(promo AS INTEGER) AS promo, cap AS is_capture, chk AS gives_check FROM legal x {_PART}")
 def _(s, d):
     return replay.legal_moves(replay.replay(puzzles(s, d)))
 
 
-@query("node_features")
+@query("node_features", _BOARDS + board_sql.features() + f"SELECT {_ID}, n, n % 2 = 1 AS is_player, {', '.join(features.FEATURE_NAMES)} FROM feature x {_PART}")
 def _(s, d):
     return features.node_features(replay.replay(puzzles(s, d)))
 
 
-@query("advanced_block")
+_ZEROS = " ".join(["0"] * len(features.FEATURE_NAMES))
+
+
+@query("advanced_block", _BOARDS + board_sql.features() + f""", line AS (SELECT i, n, concat_ws(' ', {', '.join(features.FEATURE_NAMES)}) AS v FROM feature),
+slot AS (SELECT i, string_agg(coalesce(v, '{_ZEROS}'), ' ' ORDER BY k) AS advanced FROM (
+  SELECT c.i, k, v FROM cat c CROSS JOIN (SELECT unnest(range(10)) AS k) LEFT JOIN line l ON l.i = c.i AND l.n = CASE WHEN k < 5 THEN 2 * k + 1 ELSE 2 * (k - 5) END) GROUP BY 1)
+SELECT {_ID}, CAST(540 AS INTEGER) AS width, advanced FROM slot x {_PART}""")
 def _(s, d):
     return features.advanced(replay.replay(puzzles(s, d))).select("PuzzleId", F.size("advanced").alias("width"), F.array_join(F.transform("advanced", lambda x: x.cast("int").cast("string")), " ").alias("advanced"))
 
@@ -386,11 +428,13 @@ def _(s, d):
 
 
 def _moves(s, d):
-    p = puzzles(s, d)
-    return scoring.with_policy(scoring.player_moves(p, replay.replay(p)), s)
+    return scoring.with_policy(scoring.player_moves(replay.replay(puzzles(s, d), ["Moves"])), s)
+
+
+_POLICY = _BOARDS + board_sql.vocabulary()
 
 
-@query("policy_lookup")
+@query("policy_lookup", _POLICY + f"SELECT {_ID}, move_idx, uci, x.move, coalesce(policy_idx, -1) AS policy_idx FROM player x {_PART} LEFT JOIN policy ON policy.move = x.move")
 def _(s, d):
     return _moves(s, d).select("PuzzleId", "move_idx", "uci", "move", "policy_idx")
 
@@ -400,22 +444,46 @@ def toy_scorer(frame):
     return [np.cos(np.arange(1858) * (1 + e % 7) + m) for m, e in zip(frame["move_idx"], frame["elo"], strict=True)]
 
 
-@query("score_moves")
+@query("score_moves", _POLICY + f""", logit AS (SELECT m, e, j, cos(j * (1 + e % 7) + m) AS z FROM (SELECT unnest(range(5)) AS m), (VALUES (1100), (1300), (1500), (1700), (1900)) v(e), (SELECT unnest(range(1858)) AS j)),
+soft AS (SELECT m, e, j, exp(z) / sum(exp(z)) OVER (PARTITION BY m, e) AS p FROM logit),
+best AS (SELECT m, e, string_agg(CAST(j AS VARCHAR), ' ' ORDER BY p DESC, j) AS top5_idx FROM (SELECT *, row_number() OVER (PARTITION BY m, e ORDER BY p DESC, j) AS r FROM soft) WHERE r <= 5 GROUP BY 1, 2)
+SELECT {_ID}, move_idx, CAST(b.e AS INTEGER) AS elo, coalesce(policy_idx, -1) AS policy_idx, round(coalesce(soft.p, 0), 9) AS prob, top5_idx
+FROM player x {_PART} LEFT JOIN policy ON policy.move = x.move JOIN best b ON b.m = x.move_idx LEFT JOIN soft ON soft.m = x.move_idx AND soft.e = b.e AND soft.j = policy_idx""")
 def _(s, d):
     rows = _moves(s, d).select("PuzzleId", "move_idx", "policy_idx")
-    return scoring.score(rows, toy_scorer, ["PuzzleId", "move_idx", "policy_idx"]).select("PuzzleId", "move_idx", "elo", "policy_idx", F.round("prob", 9).alias("prob"), "top5_idx")
+    out = scoring.score(rows, toy_scorer, ["PuzzleId", "move_idx", "policy_idx"])
+    return out.select("PuzzleId", "move_idx", "elo", "policy_idx", F.round("prob", 9).alias("prob"), F.array_join(F.col("top5_idx").cast("array<string>"), " ").alias("top5_idx"))
+
+
+_TURNED = "CASE WHEN white THEN s ELSE (7 - s // 8) * 8 + s % 8 END"
+
+
+def _planes_sql(constants: str) -> str:
+    return _POLICY + f""", man AS (SELECT p.i, p.move_idx, p.board, p.white, {_TURNED.replace("s //", "c.s //").replace("s %", "c.s %").replace("THEN s", "THEN c.s").replace("white", "p.white")} AS s, (c.kind - 1 + CASE WHEN c.light = p.white THEN 0 ELSE 6 END) * 64 AS plane
+  FROM player p JOIN cell c ON c.i = p.i AND c.n = p.n),
+cells8 AS (SELECT i, move_idx, r * 832 + plane + s AS place FROM man, (SELECT unnest(range(8)) AS r)),
+flags AS (SELECT i, move_idx, white, rights, board FROM (SELECT p.i, p.move_idx, p.white, o.rights, p.board FROM player p JOIN pos o ON o.i = p.i AND o.n = p.n)),
+const AS (SELECT i, move_idx, unnest({constants}) AS k FROM flags),
+whole AS (SELECT i, move_idx, 6656 + k * 64 + s AS place FROM const JOIN sq ON k IS NOT NULL)
+SELECT {_ID}, x.move_idx, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) AS planes FROM (SELECT * FROM cells8 UNION ALL SELECT * FROM whole) x {_PART} GROUP BY 1, 2"""
+
+
+_RIGHT = lambda r: f"({board_sql._HAS[r]})"
+_SIDES = ", ".join(f"CASE WHEN CASE WHEN white THEN {_RIGHT(a)} ELSE {_RIGHT(b)} END THEN {k} END" for k, (a, b) in enumerate(("Kk", "Qq", "kK", "qQ")))
 
 
-@query("input_planes")
+@query("input_planes", _planes_sql(f"[{_SIDES}, CASE WHEN NOT white THEN 4 END, 7]"))
 def _(s, d):
-    return _moves(s, d).select("PuzzleId", "move_idx", F.expr(scoring.planes()).alias("planes"))
+    return _moves(s, d).select("PuzzleId", "move_idx", F.expr(f"array_join({scoring.planes()}, ' ')").alias("planes"))
 
 
-@query("embedding_sequence")
+@query("embedding_sequence", _BOARDS + f""", step AS (SELECT p.i, p.n, (SELECT coalesce(sum(c.p), 0) FROM cell c WHERE c.i = p.i AND c.n = p.n) || ' ' || (SELECT count(*) FROM legal l WHERE l.i = p.i AND l.n = p.n) || ' ' || k.k AS v
+  FROM pos p JOIN checker k ON k.i = p.i AND k.n = p.n)
+SELECT {_ID}, flat FROM (SELECT c.i, string_agg(coalesce(v, '0 0 0'), ' ' ORDER BY k) AS flat FROM cat c CROSS JOIN (SELECT unnest(range(10)) AS k) LEFT JOIN step ON step.i = c.i AND step.n = k GROUP BY 1) x {_PART}""")
 def _(s, d):
     steps = scoring.embedding_steps(replay.replay(puzzles(s, d)))
     e = steps.select("PuzzleId", "step", F.expr("cast(array(aggregate(p.bd, 0, (a, x) -> a + x), size(p.legal), bit_count(p.checkers)) as array<double>) AS embedding"))
-    return scoring.padded_steps(e, "PuzzleId", 3)
+    return scoring.padded_steps(e, "PuzzleId", 3).select("PuzzleId", F.array_join(F.col("flat").cast("array<int>").cast("array<string>"), " ").alias("flat"))
 
 
 # --- models ---------------------------------------------------------------------------------------
