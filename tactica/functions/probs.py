@@ -71,7 +71,7 @@ def wide_vector(probs: DataFrame, key: str = "pid", elos=ELOS, value: bool = Fal
     return grouped.select(key, "source", F.expr(f"concat({', '.join(parts)})").alias("features"))
 
 
-def concat_sources(vectors: DataFrame, sources: list[str], key: str = "pid") -> DataFrame:
-    """The vectors of several sources behind each other; puzzles lacking one of them go."""
+def concat_sources(vectors: DataFrame, sources: list[str], key: str = "pid", width: int = 180) -> DataFrame:
+    """The vectors of several sources behind each other; a source that a puzzle lacks gives zeros."""
     by = vectors.filter(F.col("source").isin(sources)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("source", "features"))).alias("by"))
-    return by.filter(F.size("by") == len(sources)).select(key, F.concat(*[F.col("by")[s] for s in sources]).alias("features"))
+    return by.select(key, F.concat(*[F.coalesce(F.try_element_at("by", F.lit(s)), F.array_repeat(F.lit(0.0), width)) for s in sources]).alias("features"))

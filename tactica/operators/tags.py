@@ -335,7 +335,7 @@ def tag_positions(positions: DataFrame) -> DataFrame:
     rows = positions.withColumn("moves", F.size("pos") - 1)
     why = """CASE WHEN error IS NOT NULL THEN error WHEN cp IS NULL THEN 'no evaluation' WHEN moves < 2 THEN 'under two moves'
       WHEN exists(pos, p -> p.king[0] < 0 OR p.king[1] < 0) THEN 'a king is missing' END"""
-    rows = rows.selectExpr("PuzzleId", "cp", f"{why} AS error", "pos", "moves", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1) AS mine", "if(pos[1].white, 0, 1) AS me", "if(pos[1].white, 1, 0) AS op")
+    rows = rows.selectExpr("PuzzleId", "cp", f"{why} AS error", "pos", "moves", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1) AS mine", "if(get(pos, 1).white, 0, 1) AS me", "if(get(pos, 1).white, 1, 0) AS op")
     # rules are only looked at where there is no error
     found = rows.select("PuzzleId", "cp", "error", *[F.when(F.col("error").isNull(), F.expr(sql)).alias(name) for name, sql in tag_columns()])
     lone = "if(matePattern <=> 'backRankMate' OR fork IS NOT NULL, NULL, sideAttack)"

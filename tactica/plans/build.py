@@ -58,7 +58,7 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
         return block_of(name, puzzles, positions, evals, themes, move_probs)
 
     if store is not None:
-        found = store.load(blocks, compute)
+        found = store.load(blocks, compute, puzzles)
     else:
         found = {name: compute(name) for name in blocks}
         if absent := [n for n, b in found.items() if b is None]:

@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 from tactica.operators.metrics import errors
 
 
-def assemble(base: DataFrame, blocks: dict[str, DataFrame], key: str = "pid") -> DataFrame:
-    """base with one array column for each block, joined by key (J7). A block has key and one array."""
+def assemble(base: DataFrame, blocks: dict[str, DataFrame], key: str = "pid", widths: dict[str, int] | None = None) -> DataFrame:
+    """base with one array column for each block, joined by key (J7). A block has key and one array.
+
+    Every row of base stays: one that a block lacks has zeros, as many as the block's other rows have
+    (or as ``widths`` says).
+    """
     for name, block in blocks.items():
         column = next(c for c in block.columns if c != key)
-        base = base.join(block.select(key, F.col(column).cast("array<double>").alias(name)), key, "inner")
+        block = block.select(key, F.col(column).cast("array<double>").alias(name))
+        width = (widths or {}).get(name)
+        if width is None:
+            first = block.select(F.size(name)).first()
+            width = first[0] if first else 0
+        base = base.join(block, key, "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), width)))
     return base
 
 

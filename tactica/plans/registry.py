@@ -7,6 +7,8 @@ operators on a catalogue of positions dealt over ``part`` by its key.
 from __future__ import annotations
 
 import random
+import uuid
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tactica.functions import arrays, evaltext, probs
 from tactica.operators import features, metrics, relational, replay, sampling, scoring, tags
 from tactica.operators.board import LETTERS, Position, name_of
+from tactica.sources import tables
 
 from . import board_sql, build, models
 
@@ -152,6 +155,117 @@ def _(s, d):
     return relational.named_importances(gains, names)
 
 
+# --- sources --------------------------------------------------------------------------------------
+
+
+def scratch(s: SparkSession) -> str:
+    """A new folder that all executors see, for tables that are written and read again."""
+    return f"{tables.shared_dir(s)}/table-{uuid.uuid4().hex}"
+
+
+def puzzle_table(s, d) -> DataFrame:
+    """Puzzles with ratings and a probability column, of ``part``."""
+    part = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("PuzzleId"), (1_000 + F.col("p_size") * 20).cast("int").alias("Rating"), (F.col("p_partkey") % 120).cast("int").alias("RatingDeviation"),
+                                      F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("Themes"), (F.col("p_size") / 64).alias("success_prob_blitz_1050"))
+    return puzzles(s, d).drop("cp").join(part, "PuzzleId")
+
+
+_PUZZLE_TABLE_SQL = f"""(SELECT PuzzleId, FEN, Moves, CAST(1000 + p_size * 20 AS INTEGER) AS Rating, CAST(p_partkey % 120 AS INTEGER) AS RatingDeviation,
+  CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS Themes, p_size / 64.0::DOUBLE AS success_prob_blitz_1050 FROM {_PUZZLES_SQL} JOIN part ON CAST(p_partkey AS VARCHAR) = PuzzleId)"""
+
+
+@query("read_puzzles", f"SELECT PuzzleId, FEN, Moves, Rating, RatingDeviation, Themes, success_prob_blitz_1050 FROM {_PUZZLE_TABLE_SQL}")
+def _(s, d):
+    """Written as CSV with a header (S7) and read by the explicit schema."""
+    path = f"{scratch(s)}.csv"
+    tables.write_table(puzzle_table(s, d), path)
+    return tables.read_puzzles(s, path, extra=["success_prob_blitz_1050"])
+
+
+@query("read_pruned", f"SELECT PuzzleId, Rating FROM {_PUZZLE_TABLE_SQL}")
+def _(s, d):
+    """Two columns of a Parquet table (S2), checked for the required ones."""
+    path = scratch(s)
+    tables.write_table(puzzle_table(s, d), path)
+    return tables.read_puzzles(s, path, columns=["PuzzleId", "Rating"])
+
+
+@query("first_rows", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100")
+def _(s, d):
+    return tables.first_rows(table(s, d, "orders").select("o_orderkey", "o_custkey"), 100, "o_orderkey")
+
+
+@query("required_columns", "SELECT t AS table_name, missing FROM (VALUES ('part', 'FEN, Moves'), ('orders', 'FEN, Moves, PuzzleId')) x(t, missing), (SELECT count(*) AS n FROM part) WHERE n > 0")
+def _(s, d):
+    """What the check of required columns (S4) says of tables that lack them."""
+    rows = []
+    for name, df in (("part", table(s, d, "part").withColumnRenamed("p_partkey", "PuzzleId")), ("orders", table(s, d, "orders"))):
+        try:
+            tables.require_columns(df, ["FEN", "Moves", "PuzzleId"])
+        except ValueError as e:
+            rows.append((name, str(e).removeprefix("missing columns: ")))
+    some = table(s, d, "part").limit(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("table_name"), F.lit(b).alias("missing")) for a, b in rows])).alias("x"))
+    return some.select("x.*")
+
+
+def _probs_store(s, d) -> str:
+    path = scratch(s)
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("pid"), F.col("l_linenumber").alias("move_idx"), F.expr("element_at(array('maia1', 'maia2_rapid', 'maia2_blitz'), cast(l_linenumber % 3 + 1 as int))").alias("source"),
+                                          (1100 + 200 * (F.col("l_partkey") % 5)).cast("int").alias("elo"), F.col("l_discount").alias("prob"))
+    tables.write_move_probs(rows, path)
+    return path
+
+
+@query("move_prob_store", "SELECT CASE l_linenumber % 3 WHEN 0 THEN 'maia1' ELSE 'maia2_rapid' END AS source, CAST(1100 + 200 * (l_partkey % 5) AS INTEGER) AS elo, count(*) AS n, round(sum(l_discount), 6) AS total FROM lineitem WHERE l_linenumber % 3 <> 2 AND l_partkey % 5 IN (0, 2) GROUP BY 1, 2")
+def _(s, d):
+    """Two sources and two levels of the partitioned store (S5); a source that is not there is left out."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = tables.read_move_probs(s, _probs_store(s, d), ["maia1", "maia2_rapid", "absent"], [1100, 1500])
+    return found.groupBy("source", "elo").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("prob"), 6).alias("total"))
+
+
+@query("block_store", f"""SELECT PuzzleId, CAST(SolutionLength AS DOUBLE) AS length, round(2.5 * SolutionLength, 3)::DOUBLE AS other
+FROM (SELECT PuzzleId, len(string_split(Moves, ' ')) AS SolutionLength FROM {_PUZZLES_SQL})""")
+def _(s, d):
+    """A block that is there already is read, another is computed (S6); a block of other puzzles is not taken."""
+    p = puzzles(s, d)
+    blocks = {"length": lambda df: features.basic(df).select("PuzzleId", F.array(F.col("SolutionLength").cast("double")).alias("length")),
+              "other": lambda df: features.basic(df).select("PuzzleId", F.array(F.col("SolutionLength") * 2.5).alias("other"))}
+    store = tables.BlockStore(s, scratch(s), always=())
+    store.load(["length"], lambda n: blocks[n](p.filter("PuzzleId % 2 = 0")), p.filter("PuzzleId % 2 = 0"))
+    store.load(["length"], lambda n: blocks[n](p), p)
+    found = store.load(["length", "other"], lambda n: blocks[n](p), p)
+    m = models.assemble(p.select(F.col("PuzzleId").alias("pid")), {n: b.withColumnRenamed("PuzzleId", "pid") for n, b in found.items()})
+    return m.select(F.col("pid").alias("PuzzleId"), F.col("length")[0].alias("length"), F.round(F.col("other")[0], 3).alias("other"))
+
+
+@query("write_metrics", "SELECT l_returnflag AS model, CAST(l_linenumber % 5 AS INTEGER) AS fold, round(avg(l_tax), 6) AS mse, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    """A table of metrics, written by model and read again."""
+    path = scratch(s)
+    rows = table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), (F.col("l_linenumber") % 5).alias("fold")).agg(F.round(F.avg("l_tax"), 6).alias("mse"), F.count(F.lit(1)).alias("n"))
+    tables.write_table(rows, path, ["model"])
+    return s.read.parquet(path).select("model", F.col("fold").cast("int").alias("fold"), "mse", "n")
+
+
+@query("stored_embeddings", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def _(s, d):
+    """Embeddings written together with their ids."""
+    path = scratch(s)
+    tables.write_embeddings(table(s, d, "embeddings"), path, "vec_id", "embedding")
+    e = s.read.parquet(path)
+    return e.select("vec_id", F.size("embedding").alias("width"), F.round(arrays.total(F.col("embedding").cast("array<double>")), 5).alias("total"))
+
+
+@query("chosen_blocks", "SELECT l_linenumber, array_to_string(CASE l_linenumber % 3 WHEN 0 THEN ['struct', 'themes', 'advanced', 'maia2', 'maia1'] WHEN 1 THEN ['struct', 'themes', 'advanced', 'stockfish', 'maia1'] ELSE ['themes'] END, ' ') AS blocks, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    """The block set by flags, or an explicit list (P7), for each case of a column."""
+    cases = [relational.choose_blocks(), relational.choose_blocks(stockfish=True, maia2=False), relational.choose_blocks(["themes"])]
+    blocks = F.element_at(F.array(*[F.lit(" ".join(c)) for c in cases]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return table(s, d, "lineitem").groupBy("l_linenumber", blocks.alias("blocks")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- aggregation, samples, splits -----------------------------------------------------------------
 
 _BUCKET = lambda key, seed, n: f"(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT % {n})"
@@ -337,11 +451,11 @@ def _(s, d):
 @query("engine_text", """WITH t AS (SELECT p_partkey, p_size FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN round(p_size / 10.0, 2)::DOUBLE END AS SF_Material, CASE WHEN p_partkey % 4 <> 0 THEN -0.25::DOUBLE END AS SF_Positional,
  CASE WHEN p_partkey % 4 = 0 THEN (CASE WHEN p_partkey % 3 = 0 THEN -10000 ELSE p_size END)::DOUBLE ELSE (p_size || '.50')::DOUBLE END AS SF_Final_Eval,
- CASE WHEN p_partkey % 3 = 0 THEN -10000 ELSE p_size END AS cp FROM t""")
+ CASE WHEN p_partkey % 3 = 0 THEN -10000 ELSE p_size END AS cp, CASE WHEN p_partkey % 3 = 0 THEN -10000 ELSE p_size END::DOUBLE AS SF_Last_Move_CP FROM t""")
 def _(s, d):
     part, size = table(s, d, "part"), F.col("p_size")
     text = F.when(F.col("p_partkey") % 4 == 0, "Final evaluation: none (in check)").otherwise(F.concat(
-        F.lit("|  0 | + 0.10 | - 1.00 | + 0.2 |\n|  5 |  + "), (size / 10).cast("decimal(6,2)").cast("string"), F.lit(" | - 0.25 | + 0.2 | <-- this bucket is used\nFinal evaluation       +"),
+        F.lit("|  0 | + 0.10 | - 1.00 | + 0.2 |\n|  4 |  + 9.99 | - 9.99 | + 0.2 | <-- this bucket is used\n|  5 |  + "), (size / 10).cast("decimal(6,2)").cast("string"), F.lit(" | - 0.25 | + 0.2 | <-- this bucket is used\nFinal evaluation       +"),
         size.cast("string"), F.lit(".50 (white side)\n")))
     search = F.concat(F.lit("info depth 1 score cp 9\ninfo depth 2 score "), F.when(F.col("p_partkey") % 3 == 0, "mate -2").otherwise(F.concat(F.lit("cp "), size)), F.lit("\nbestmove e2e4"))
     rows = part.select("p_partkey", text.alias("t"), search.alias("s"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import warnings
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,21 @@ PUZZLES = T.StructType([
 EVALS = T.StructType([T.StructField("PuzzleId", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("SF_Material", "SF_Positional", "SF_Final_Eval", "SF_Last_Move_CP")]])
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a temporary one if the master
+    is local, and an error if not."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        found = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return found.rstrip("/")
+
+
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``df``, or ValueError naming what is missing."""
     if missing := [c for c in columns if c not in df.columns]:
@@ -60,35 +78,49 @@ def write_move_probs(df: DataFrame, path: str) -> None:
 def read_move_probs(spark: SparkSession, path: str, sources: Iterable[str], elos: Iterable[int] | None = None) -> DataFrame:
     """Only the folders of the sources and levels asked for; a missing source is warned about and left out."""
     store, sources = spark.read.parquet(path), list(sources)
-    found = {r[0] for r in store.select("source").distinct().collect()}  # folder names
     for s in sources:
-        if s not in found:
+        if store.filter(F.col("source") == s).isEmpty():  # one folder is looked into
             warnings.warn(f"no move probabilities of {s}", stacklevel=2)
     store = store.filter(F.col("source").isin(sources))
     return store.filter(F.col("elo").isin(list(elos))) if elos else store
 
 
+def write_embeddings(df: DataFrame, path: str, key: str = "pid", column: str = "embedding") -> None:
+    """Embeddings together with their ids, as one Parquet table."""
+    df.select(key, F.col(column).cast("array<float>").alias(column)).write.mode("overwrite").parquet(path)
+
+
 class BlockStore:
     """Feature blocks as tables of (PuzzleId, block) under one path; only missing ones are computed.
 
-    Blocks in ``always`` are computed again each time.
+    A block is kept by its name and by the set of puzzles it was made for (their number and a checksum
+    of their rows), so one of other puzzles is not taken. Blocks in ``always`` are computed again each time.
     """
 
     def __init__(self, spark: SparkSession, path: str, always: Iterable[str] = ("struct",)):
         self.spark, self.path, self.always = spark, path.rstrip("/"), set(always)
 
-    def _exists(self, name: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-
-    def missing(self, names: Iterable[str]) -> list[str]:
-        return [n for n in names if n in self.always or not self._exists(n)]
-
-    def load(self, names: Iterable[str], compute: Callable[[str], DataFrame | None]) -> dict[str, DataFrame]:
-        """Every requested block; ValueError if one can be neither read nor computed."""
-        names = list(names)
-        for name in self.missing(names):
-            if (block := compute(name)) is None:
-                raise ValueError(f"block {name} is not available")
-            block.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return {n: self.spark.read.parquet(f"{self.path}/{n}") for n in names}
+    def _read(self, path: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException:  # no such table
+            return None
+
+    def made_for(self, puzzles: DataFrame) -> str:
+        """A name for the set of puzzles: it changes with any id, position or move list."""
+        n, a, b = puzzles.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("PuzzleId", "FEN", "Moves")), F.sum(F.pmod(F.hash("PuzzleId", "FEN", "Moves"), F.lit(1 << 30)))).first()
+        return f"{n}-{(a or 0) & (1 << 64) - 1:x}-{b or 0:x}"
+
+    def load(self, names: Iterable[str], compute: Callable[[str], DataFrame | None], puzzles: DataFrame) -> dict[str, DataFrame]:
+        """Every requested block of ``puzzles``; ValueError if one can be neither read nor computed."""
+        made, out = self.made_for(puzzles), {}
+        for name in names:
+            path = f"{self.path}/{name}/{made}"
+            found = None if name in self.always else self._read(path)
+            if found is None:
+                if (block := compute(name)) is None:
+                    raise ValueError(f"block {name} is not available")
+                block.write.mode("overwrite").parquet(path)
+                found = self.spark.read.parquet(path)
+            out[name] = found
+        return out

@@ -128,7 +128,7 @@ def test_feature_spot_checks(spark, catalogue):
     assert (nodes["F01", 1].move_is_check, nodes["F01", 1].material_gain, nodes["F01", 1].captures_undefended) == (1, 1, 0)
     assert (nodes["F14", 1].material_gain, nodes["F14", 1].captures_undefended, nodes["F14", 2].recapture, nodes["F14", 2].accepted_sacrifice) == (5, 0, 1, 0)
     assert (nodes["F04", 1].material_gain, nodes["F04", 1].captures_undefended, nodes["F04", 1].has_en_passant) == (1, 0, 1)
-    rows = {r.PuzzleId: r for r in features.structure(catalogue, positions).collect()}
+    rows = {r.PuzzleId: r for r in features.structure(replay.replay(catalogue, ["FEN", "Moves"])).collect()}
     f11 = rows["F11"]
     assert (f11.white_pieces, f11.black_pieces, f11.material_balance, f11.num_participating_pieces, f11.num_piece_types) == (2, 3, -7, 2, 1)
     assert (f11.max_piece_value, f11.uses_minor, f11.avg_move_dist, f11.spatial_spread) == (3, 1, 2.0, 2.0)

@@ -104,6 +104,16 @@ def test_wide_vector(spark):
     assert len(probs.wide_vector(df, elos=(1500,)).first().features) == 36 == len(probs.vector_names((1500,)))
     both = probs.wide_vector(df.unionByName(df.withColumn("source", F.lit("maia2_rapid"))))
     assert len(probs.concat_sources(both, ["maia1", "maia2_rapid"]).first().features) == 360
+    lone = probs.concat_sources(both.filter("source = 'maia1'"), ["maia2_rapid", "maia1"]).first().features
+    assert len(lone) == 360 and lone[:180] == [0.0] * 180 and lone[180:] == got
+
+
+def test_a_puzzle_without_a_side_table_keeps_its_row(spark):
+    base = spark.createDataFrame([("a",), ("b",), ("c",)], "pid string")
+    one = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "pid string, v array<double>")
+    two = spark.createDataFrame([("c", [5])], "pid string, w array<int>")
+    got = {r.pid: (r.one, r.two, r.none) for r in models.assemble(base, {"one": one, "two": two, "none": one.limit(0)}, widths={"none": 3}).collect()}
+    assert got == {"a": ([1.0, 2.0], [0.0], [0.0] * 3), "b": ([3.0, 4.0], [0.0], [0.0] * 3), "c": ([0.0, 0.0], [5.0], [0.0] * 3)}
 
 
 def test_engine_text(spark):
@@ -111,7 +121,7 @@ def test_engine_text(spark):
     assert [r[0] for r in df.select(evaltext.search_centipawn(F.col("t"))).collect()] == [-10000, -7, -10000, None, None]
     texts = [("| 3 | + 1.5 | - 0.2 | x | <-- this bucket is used\nFinal evaluation       +1.23 (white side)", "score cp 1"), ("Final evaluation: none (in check)", "score cp -40"), ("", None)]
     got = spark.createDataFrame(texts, "t string, s string").select(*evaltext.eval_columns(F.col("t"), F.col("s")).values()).collect()
-    assert [tuple(r) for r in got] == [(1.5, -0.2, 1.23), (None, None, -40.0), (None, None, None)]
+    assert [tuple(r)[:3] for r in got] == [(1.5, -0.2, 1.23), (None, None, -40.0), (None, None, None)] and got[0][3] == 1.0
 
 
 def test_histogram_labels_and_encoding(spark):
@@ -183,11 +193,14 @@ def test_stores(spark, tmp_path):
         return spark.createDataFrame([("a", [1.0])], "pid string, v array<double>") if name != "none" else None
 
     store = tables.BlockStore(spark, str(tmp_path / "blocks"))
-    store.load(["struct", "themes"], compute)
-    store.load(["struct", "themes"], compute)
+    games = spark.createDataFrame([("a", "f", "m"), ("b", "f", "m")], "PuzzleId string, FEN string, Moves string")
+    store.load(["struct", "themes"], compute, games)
+    store.load(["struct", "themes"], compute, games)
     assert asked == ["struct", "themes", "struct"]
+    store.load(["themes"], compute, games.filter("PuzzleId = 'a'"))  # another set of puzzles
+    assert asked == ["struct", "themes", "struct", "themes"]
     with pytest.raises(ValueError, match="none"):
-        store.load(["none"], compute)
+        store.load(["none"], compute, games)
     df = spark.createDataFrame([("p2", "f", "m", 1500, 80, None), ("p1", "f", "m", None, None, "fork")], tables.PUZZLES)
     tables.write_table(df, str(tmp_path / "puzzles.csv"))
     back = tables.read_puzzles(spark, str(tmp_path / "puzzles.csv"))
