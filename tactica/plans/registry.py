@@ -19,7 +19,7 @@ from tactica.operators import features, metrics, relational, replay, sampling, s
 from tactica.operators.board import LETTERS, Position, name_of
 from tactica.sources import tables
 
-from . import board_sql, build, models
+from . import board_sql, build, models, tag_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -531,7 +531,7 @@ def _(s, d):
     return features.advanced(replay.replay(puzzles(s, d))).select("PuzzleId", F.size("advanced").alias("width"), F.array_join(F.transform("advanced", lambda x: x.cast("int").cast("string")), " ").alias("advanced"))
 
 
-@query("theme_tags")
+@query("theme_tags", _BOARDS + tag_sql.tags())
 def _(s, d):
     return tags.tag(puzzles(s, d)).select("PuzzleId", "cp", "Themes")
 
