@@ -40,6 +40,19 @@ CATALOGUE = [
     ("F13", "4k3/8/8/8/8/8/8/4K3 w - - 0 1", "e1e2"),
     ("F14", "4k3/8/8/8/8/2b5/8/R3K2R w KQ - 0 1", "e1e2 c3a1 h1a1"),
     ("F15", "4k3/8/8/8/8/8/8/4K3 w - - 0 1", "e1e2 zz99"),
+    # made for a theme each
+    ("doubleBishopMate", "6k1/7p/8/8/8/1B4B1/8/4K3 b - - 0 1", "g8h8 g3e5"),
+    ("bodenMate", "2kr4/3p3p/8/8/5B2/8/8/4KB2 b - - 0 1", "h7h6 f1a6"),
+    ("anastasiaMate", "8/p3N1pk/8/8/8/8/4R3/4K3 b - - 0 1", "a7a6 e2h2"),
+    ("arabianMate", "7k/R7/5N2/8/1p6/8/8/4K3 b - - 0 1", "b4b3 a7h7"),
+    ("hookMate", "5r2/p5k1/5Np1/4P3/8/8/8/4K2R b - - 0 1", "a7a6 h1h7"),
+    ("dovetailMate", "8/p7/3p4/2pk4/8/5P2/8/4Q1K1 b - - 0 1", "a7a6 e1e4"),
+    ("doubleCheck", "4k3/p7/8/8/4N3/8/8/K3R3 b - - 0 1", "a7a6 e4f6"),
+    ("xRayAttack", "R2r2nk/p7/8/3B4/8/8/8/4K3 b - - 0 1", "a7a6 d5g8 d8g8 a8g8"),
+    ("skewer", "4k2q/7p/8/8/8/8/8/R3K3 b - - 0 1", "h7h6 a1a8 e8e7 a8h8"),
+    ("interference", "1rb3k1/7p/8/8/Rn6/8/8/6K1 b - - 0 1", "h7h6 g1f1 c8b7 a4b4"),
+    ("kingsideAttack", "rnbq1rk1/pppn1ppp/4p3/3pP3/3P4/2PB1N2/PP3PPP/RNBQK2R b KQ - 0 1", "a7a6 d3h7 g8h7 f3g5 h7g8 d1h5"),
+    ("queensideAttack", "1kr1qbnr/ppp1nppp/3p4/3Pp3/4P3/2N1BP2/PP3PPP/R2KQBNR b - - 0 1", "h7h6 e3a7 b8a7 c3b5 a7b8 e1a5"),
 ]
 
 
@@ -59,7 +72,37 @@ def played(games: int = 14, plies: int = 60, every: int = 5, seed: int = 77) ->
     return out
 
 
-CATALOGUE += played()
+def sparse(count: int = 140, seed: int = 5) -> list[tuple[str, str, str]]:
+    """Few men on seeded squares, then moves that mate, take or check where they can: endings and mates."""
+    rng, out = random.Random(seed), []
+    sets = ["Qq", "RRr", "BBbp", "NNnp", "QRr", "BBNp", "RNpp", "QNpp", "QRqr", "RRppp", "BBpppn", "QBrpp", "RNNpp", "QQrnpp"]
+    while len(out) < count:
+        men = "Kk" + sets[len(out) % len(sets)]
+        board = [0] * 64
+        corner = rng.choice([0, 7, 56, 63]) if rng.random() < 0.5 else None
+        near = [s for s in range(64) if corner is not None and max(abs(s % 8 - corner % 8), abs(s // 8 - corner // 8)) <= 2]
+        for man in men:
+            free = [s for s in (near if man in "kpn" and near else range(64)) if not board[s] and (man not in "pP" or 0 < s // 8 < 7)]
+            board[rng.choice(free or [s for s in range(8, 56) if not board[s]])] = (LETTERS.index(man.upper()) + 1) * (1 if man.isupper() else -1)
+        p, moves = Position(board, -1, frozenset(), None), []
+        if p.attackers(p.king(1), -1):
+            continue
+        start = p.fen()
+        for _ in range(rng.choice([2, 4, 4, 6, 8])):
+            legal = p.legal_moves()
+            if not legal:
+                break
+            checks = [m for m in legal if p.turn > 0 and (after := p.after(*m[:3])).attackers(after.king(-1), 1)]
+            best = [m for m in checks if not p.after(*m[:3]).legal_moves()] or (checks if rng.random() < 0.6 else []) or ([m for m in legal if p.is_capture(*m[:2])] if rng.random() < 0.6 else [])
+            a, b, promo, _ = rng.choice(best or legal)
+            moves.append(name_of(a) + name_of(b) + (LETTERS[promo - 1].lower() if promo else ""))
+            p = p.after(a, b, promo)
+        if len(moves) > 1:
+            out.append((f"S{len(out)}", start, " ".join(moves)))
+    return out
+
+
+CATALOGUE += played() + sparse()
 _VALUES = ", ".join(f"({i}, '{fen}', '{moves}')" for i, (_, fen, moves) in enumerate(CATALOGUE))
 _PUZZLES_SQL = f"(SELECT CAST(p_partkey AS VARCHAR) AS PuzzleId, FEN, Moves, p_size * 20 - 300 AS cp FROM part JOIN (VALUES {_VALUES}) c(i, FEN, Moves) ON p_partkey % {len(CATALOGUE)} = c.i)"
 

@@ -176,3 +176,12 @@ def test_squares_between():
     sql = between("x", "a", "b").replace(" div ", " // ").replace("greatest", "greatest")
     got = duckdb.sql(f"SELECT x, a, b, {sql} FROM (SELECT x::INT x, a::INT a, b::INT b FROM range(64) s(x), range(64) t(a), range(64) u(b) WHERE (x * 7 + a * 3 + b) % 11 = 0)").fetchall()
     assert all(bool(v) == plain(x, a, b) for x, a, b, v in got if a != b)
+
+
+def test_made_positions_have_their_theme(spark):
+    """Every position that is named after a theme has it; together the catalogue shows all themes but few."""
+    df = spark.createDataFrame([(n, f, m, 0) for n, f, m in CATALOGUE], "PuzzleId string, FEN string, Moves string, cp int")
+    got = {r.PuzzleId: set(r.Themes.split()) for r in tags.tag(df).collect()}
+    named = [n for n in got if n[0].islower()]
+    assert len(named) == 12 and all(n in got[n] for n in named)
+    assert len(set().union(*got.values())) >= 50
