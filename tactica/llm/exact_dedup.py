@@ -13,15 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, text_or_empty, with_rows
+from .common import SPACE, durable, text_or_empty, unused, with_rows
 
 KEY = ["digest", "norm_chars", "second"]
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One small row per document: its digest, two checks of it, and its order among equals."""
     text = text_or_empty(text_col)
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return (
         docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.spark_partition_id().alias("run"),
                     F.length(text).alias("n_chars"), F.regexp_replace(text, f"[{SPACE}]", "").alias("norm"))
@@ -49,15 +49,15 @@ def merge_runs(rows: DataFrame, fan_in: int = 16) -> DataFrame:
             return runs.drop("run")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
-    """One row per input row: doc_id, row, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, row (``row_col``, or a number), keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; null counts as empty, and empty texts are
     equal to each other. The row with the most code points stays, then the smallest id (null ids
     last), then, among repeated rows, exactly one. An empty table gives an empty result; other
     columns are not looked at.
     """
-    rows = durable(digest_rows(docs, id_col, text_col))
+    rows = durable(digest_rows(docs, id_col, text_col, row_col))
     return rows.join(merge_runs(rows, fan_in), KEY).select(
         "doc_id", "row", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -65,9 +65,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    rows = with_rows(docs)
-    kept = exact_duplicates(rows, id_col, text_col).filter("kept").select(F.col("row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    name = unused(docs)
+    rows = with_rows(docs, name, id_col)
+    kept = exact_duplicates(rows, id_col, text_col, row_col=name).filter("kept").select(F.col("row").alias(name))
+    return rows.join(kept, name, "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -1,10 +1,15 @@
-"""Near duplicates by MinHash: many universal hash minima, banding, checks on full sets, components.
+"""Near duplicates by MinHash: many universal hash minima, banding, verification by signature and on full
+sets, components.
 
 Documents with equal shingle sets are one class from the start. Classes that share a band are
 candidates. In a few rounds every member of a bucket is checked against one centre of it, and the
 links found are merged into components; then, in buckets that still hold several components, every
 pair from different components is checked. So a bucket full of copies costs its size, not its
-square, and no link between different components is lost.
+square, and no link between different components is lost. What is left of a large bucket meets in
+blocks, as many as its size asks for.
+
+A pair is verified by its signatures first (the minima's low bytes, with a margin), then by a parity
+sketch that refuses no similar pair, then on the full sets.
 """
 
 from __future__ import annotations
@@ -17,13 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, table, text_or_empty, with_rows
+from .common import durable, table, text_or_empty, unused, with_rows
 from .components import components
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
+#: Equal minima, of all, under which a pair is refused: at similarity 0.8 that is 5.5 standard deviations
+#: from what is expected, or 4e-8.
+LEAST_EQUAL = 100
 #: Bits of a set's parity sketch.
 PARITY_BITS = 1_024
+#: Members of a bucket up to which all that is left of it meets in one block.
+BLOCK = 1_000
 #: Rounds in which every member of a bucket meets one centre of it, before all that is left meets.
 STAR_ROUNDS = 2
 PERCENT = 80
@@ -101,8 +111,13 @@ def _portions(sets: Iterator[tuple], most: int = PORTION) -> Iterator[list[tuple
         yield out
 
 
-def sign(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
-    """row, doc_id, n, digest, bands, sketch for every row of ``docs`` (with __row)."""
+def low_bytes(sig: np.ndarray) -> np.ndarray:
+    """The last byte of each minimum, eight in a number: what signatures are compared by."""
+    return np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+
+
+def sign(docs: DataFrame, k: int, text_col: str = "text", row_col: str = "__row") -> DataFrame:
+    """row, doc_id, n, digest, bands, sig, sketch for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
@@ -110,21 +125,21 @@ def sign(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
             rows = zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), (shingle_set(t, k) for t in b["text"].to_pylist()), strict=True)
             for part in _portions(rows):
                 full = [i for i, x in enumerate(part) if len(x[2])]
-                bands, sketch, digest = [None] * len(part), [None] * len(part), [None] * len(part)
+                bands, low, sketch, digest = ([None] * len(part) for _ in range(4))
                 if full:
                     sig = signatures([part[i][2] for i in full])
-                    for i, keys in zip(full, band_keys(sig), strict=True):
-                        bands[i], sketch[i], digest[i] = keys, parity_sketch(part[i][2]), xxhash.xxh3_128_digest(part[i][2].tobytes())
+                    for i, keys, own in zip(full, band_keys(sig), low_bytes(sig), strict=True):
+                        bands[i], low[i], sketch[i], digest[i] = keys, own, parity_sketch(part[i][2]), xxhash.xxh3_128_digest(part[i][2].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([len(x[2]) for x in part], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)],
-                    ["row", "doc_id", "n", "digest", "bands", "sketch"])
+                    [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([len(x[2]) for x in part], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(low, longs), pa.array(sketch, longs)],
+                    ["row", "doc_id", "n", "digest", "bands", "sig", "sketch"])
 
-    rows = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, digest binary, bands array<bigint>, sketch array<bigint>")
+    rows = docs.select(F.col(row_col).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, n long, digest binary, bands array<bigint>, sig array<bigint>, sketch array<bigint>")
 
 
-def full_sets(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
-    """row, hashes: the whole sets of the rows of ``docs``."""
+def full_sets(docs: DataFrame, k: int, text_col: str = "text", row_col: str = "__row") -> DataFrame:
+    """row, hashes: the whole sets of the rows of ``docs``; null and empty texts have empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,13 +148,16 @@ def full_sets(docs: DataFrame, k: int, text_col: str = "text") -> DataFrame:
                 hashes = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([x[1] for x in part])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), hashes], ["row", "hashes"])
 
-    return docs.select(F.col("__row").alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, "row long, hashes array<bigint>")
+    return docs.select(F.col(row_col).alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, "row long, hashes array<bigint>")
 
 
 def _possible(percent: int) -> str:
-    """SQL of what similar pairs must fulfil: sizes near each other, and few elements apart."""
+    """SQL of what similar pairs fulfil: sizes near each other, signatures alike, and few elements apart."""
+    # a byte's lowest bit is set if any of its bits differs
+    fold = lambda x, n: f"({x} | shiftrightunsigned({x}, {n}))"
+    unlike = " + ".join(f"bit_count({fold(fold(fold(f'(a_sig[{i}] ^ b_sig[{i}])', 4), 2), 1)} & 72340172838076673L)" for i in range(BANDS * BAND_ROWS // 8))
     apart = " + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(PARITY_BITS // 64))
-    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)"
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {unlike} <= {BANDS * BAND_ROWS - LEAST_EQUAL} AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)"
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: bool) -> DataFrame:
@@ -154,59 +172,77 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: bool) -> Data
     return checked.filter(f"100 * both >= {percent} * (sum - both)").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
-    """For ``docs`` with __row: row, doc_id, n_shingles, component_id, first (the one row that represents it).
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, first (the one row that represents it) of every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links (null ids last); rows without words
     are linked with nothing, repeated rows are linked with each other. An empty table gives an
-    empty result; columns but __row, doc_id and the text are not looked at.
+    empty result; columns but doc_id and the text are not looked at. ``row_col`` is a column that
+    ``with_rows`` has made, if there is one.
     """
-    signed = durable(sign(docs, k, text_col))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    classes = durable(signed.filter("n > 0").groupBy("digest", "n").agg(best, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-                      .withColumn("node", F.col("best.row")))
+    if row_col is None:
+        row_col = unused(docs)
+        docs = with_rows(docs.select("doc_id", text_col), row_col)
+    signed = durable(sign(docs, k, text_col, row_col))
+    # rows are in the order of ids, so the smallest row of a component has its smallest id
+    classes = durable(signed.filter("n > 0").groupBy("digest", "n").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bands", "sig", "sketch")]))
     keys = classes.select(F.explode("bands").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     keys = durable(keys.join(shared, "key"))
-    members = durable(keys.join(classes.select("node", "n", "sketch"), "node"))
+    members = durable(keys.join(classes.select("node", "n", "sig", "sketch"), "node"))
     # the full sets of all that share a band with another, from one pass over the texts
-    needed = keys.select(F.col("node").alias("__row")).distinct().hint("merge")
-    sets = durable(full_sets(docs.join(needed, "__row", "left_semi"), k, text_col))
-    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "n", "sketch", "label")])
+    needed = keys.select(F.col("node").alias(row_col)).distinct().hint("merge")
+    sets = durable(full_sets(docs.join(needed, row_col, "left_semi"), k, text_col, row_col))
+    side = lambda df, x, *more: df.select("key", *more, *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "n", "sig", "sketch", "label")])
 
     links, label = None, classes.select("node", F.col("node").alias("label"))
     for turn in range(STAR_ROUNDS + 1):
         # buckets that hold several components; the centre is another one each time
         labelled = members.join(label, "node")
-        centre = F.min_by(F.struct("node", "n", "sketch", "label"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node"))
-        buckets = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("c"), F.mode("label", True).alias("most")).filter("lo < hi")
+        centre = F.min_by(F.struct("node", "n", "sig", "sketch", "label"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node"))
+        buckets = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("c"), F.mode("label", True).alias("most"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
         if turn < STAR_ROUNDS:
-            one = side(buckets.select("key", "c.*"), "a")
-        else:  # all outside a bucket's largest component, against all of the bucket
-            one = side(labelled.join(buckets.select("key", "most"), "key").filter("label <> most"), "a")
-        other = side(labelled, "b").withColumnRenamed("key", "b_key")
-        pairs = one.join(other, (F.col("key") == F.col("b_key")) & F.expr(f"a_label <> b_label AND {_possible(percent)}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            one, other = side(buckets.select("key", "c.*"), "a"), side(labelled, "b").withColumnRenamed("key", "b_key")
+            together = F.col("key") == F.col("b_key")
+        else:
+            # all outside a bucket's largest component against all of the bucket, in blocks: a bucket of m has
+            # (m / BLOCK)^(2/3) strips each way, so that neither rows nor a block's pairs grow with m squared
+            strips = F.greatest(F.lit(1), F.ceil(F.pow(F.col("size") / BLOCK, F.lit(2 / 3)))).cast("int")
+            dealt = durable(labelled.join(buckets.select("key", "most", strips.alias("strips")), "key").withColumn("strip", F.pmod(F.xxhash64("node"), F.col("strips")).cast("int")))
+            each = F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other_strip")
+            one = side(dealt.filter("label <> most").select("*", each), "a", "strip", "other_strip")
+            other = side(dealt.select("*", each), "b", F.col("strip").alias("b_strip"), F.col("other_strip").alias("b_other")).withColumnRenamed("key", "b_key")
+            together = (F.col("key") == F.col("b_key")) & (F.col("strip") == F.col("b_other")) & (F.col("other_strip") == F.col("b_strip"))
+        pairs = one.join(other, together & F.expr(f"a_label <> b_label AND {_possible(percent)}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = confirm(pairs, sets, percent, many=turn == 0)
         links = durable(found if links is None else links.unionByName(found))
         label = durable(classes.select("node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
 
-    classes = classes.join(label, "node").select("digest", "n", "best", "label")
-    of_label = classes.groupBy("label").agg(F.min("best").alias("least"))
-    classes = classes.join(of_label, "label").select("digest", F.col("n").alias("set_n"), "least")
-    joined = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["n"] == classes["set_n"]), "left")
-    alone = F.col("least").isNull()
-    return joined.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
-                         (alone | (F.col("row") == F.col("least.row"))).alias("first"))
+    classes = durable(classes.select("node", "digest", "n", "copies").join(label, "node"))
+    # classes of more than 1/512 of all rows are 512 at most and go to the tasks; other rows are joined by digest
+    total = signed.count()
+    large = classes.filter(F.col("copies") * 512 > total).select(F.col("digest").alias("l_digest"), F.col("n").alias("l_n"), F.col("label").alias("l_label"))
+    small = classes.filter(F.col("copies") * 512 <= total).select(F.col("digest").alias("s_digest"), F.col("n").alias("s_n"), F.col("label").alias("s_label"))
+    rows = signed.select("row", "doc_id", "n", "digest").join(F.broadcast(large), (F.col("digest") == F.col("l_digest")) & (F.col("n") == F.col("l_n")), "left")
+    # rows that need no join, those without words among them, have a key of their own, so that they do not crowd
+    key = F.when(F.col("l_label").isNull() & (F.col("n") > 0), F.col("digest")).otherwise(F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary"))
+    rows = rows.withColumn("key", key).join(small, (F.col("key") == F.col("s_digest")) & (F.col("n") == F.col("s_n")), "left")
+    rows = rows.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("l_label", "s_label", "row").alias("label"))
+    if signed.filter("NOT doc_id <=> row").isEmpty():  # rows are the ids
+        found = rows.withColumn("component_id", F.col("label"))
+    else:
+        found = rows.join(signed.select(F.col("row").alias("label"), F.col("doc_id").alias("component_id")), "label")
+    return found.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("label")).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with the columns of ``docs``."""
-    rows = with_rows(docs)
-    stay = near_duplicates(rows, k, percent, text_col).filter("first").select(F.col("row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").select(*docs.columns)
+    name = unused(docs)
+    rows = with_rows(docs, name)
+    stay = near_duplicates(rows, k, percent, text_col, name).filter("first").select(F.col("row").alias(name))
+    return rows.join(stay, name, "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near_duplicates(with_rows(docs), k=4)
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=4)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

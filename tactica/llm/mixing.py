@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, table, text_or_empty, with_rows
+from .common import SPACE, durable, table, text_or_empty, unused, with_rows
 
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
 #: Documents that a block, and a shard, is to hold, about; at least so many blocks of a source and shards
@@ -34,11 +34,11 @@ def power(n: float, least: int) -> int:
     return max(least, 1 << max(0, math.ceil(n) - 1).bit_length())
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
+def sized(docs: DataFrame, seed: int, row_col: str | None = None) -> DataFrame:
     """A durable small row per document: size, and its place (block, part, order) in its source."""
     most = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     blocks = power(most / BLOCK_DOCS, BLOCKS)
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     return durable(
         docs.select(row.alias("row"), "doc_id", "source", words(text_or_empty()).cast("long").alias("size"), h.alias("h"))
@@ -143,7 +143,7 @@ def splitting_tree(quotas: DataFrame, seed: int, shards: int = SHARDS) -> DataFr
     return split.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def mixture(docs: DataFrame, seed: int = 11, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, seed: int = 11, shards: int | None = None, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, copies). rows: row, doc_id, source, size, source_size, target, taken, placed; one per document.
     placed: shard and place of every copy, "shard:place" joined by commas. ``shards``: by default as many
     as the documents need.
@@ -153,7 +153,7 @@ def mixture(docs: DataFrame, seed: int = 11, shards: int | None = None) -> tuple
     its block is, and adds nothing. Repeated ids are separate documents. An empty table gives two
     empty results. Other columns are not looked at.
     """
-    rows = sized(docs, seed)
+    rows = sized(docs, seed, row_col)
     shards = shards or power(rows.count() / SHARD_DOCS, SHARDS)
     blocks, cut = draws(rows, seed)
     cut = durable(cut.withColumn("in_cut", F.lit(True)))
@@ -180,11 +180,12 @@ def mixture(docs: DataFrame, seed: int = 11, shards: int | None = None) -> tuple
 
 def mix(docs: DataFrame, seed: int = 11, shards: int | None = None) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a row per copy, by shard, shuffled within it."""
-    rows = with_rows(docs)
-    copies = mixture(rows, seed, shards)[1]
-    mixed = rows.join(copies.withColumnsRenamed({"row": "__row", "shard": "__shard", "place": "__place"}), "__row")
+    row, shard, place = unused(docs), unused(docs, "__shard"), unused(docs, "__place")
+    rows = with_rows(docs, row)
+    copies = mixture(rows, seed, shards, row)[1]
+    mixed = rows.join(copies.withColumnsRenamed({"row": row, "shard": shard, "place": place}), row)
     # the place spreads a shard over tasks, so a shard may be larger than a task
-    return mixed.repartition("__shard", F.pmod("__place", F.lit(64))).sortWithinPartitions("__shard", "__place").select(*docs.columns)
+    return mixed.repartition(shard, F.pmod(place, F.lit(64))).sortWithinPartitions(shard, place).select(*docs.columns)
 
 
 def query(spark, sf_dir):
