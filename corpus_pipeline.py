@@ -33,8 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document of the mixture."""
-    return bpe.encode(docs, spark)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of every document of the mixture."""
+    return bpe.encode(docs, spark, ids=True)
 
 
 STAGES = [
