@@ -294,30 +294,35 @@ def _tokenizer(spec) -> WordBpe:
     return found
 
 
-def encode(docs: DataFrame, spark: SparkSession, text_col: str = "text", path: str | None = None, full: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; ``full`` adds ids and decoded.
+def encode(docs: DataFrame, spark: SparkSession, text_col: str = "text", path: str | None = None, full: bool = False, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; ``ids`` adds ids, ``full`` ids and decoded.
 
     Null and empty texts, and texts of white space, have no tokens and decode to the empty text.
     Special tokens' strings in a text are encoded as the special tokens. One map, no shuffle.
     """
     spec = spark.sparkContext.broadcast(read_tokenizer(path))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+    listed = ids or full
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * listed + ", decoded string" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(spec)
         for b in batches:
-            ids, counts, hashes, texts, lists, back = b["doc_id"], [], [], [], [], []
+            counts, hashes, texts, lists, back = [], [], [], [np.empty(0, np.int32)], []
             for written, decoded in (x for part in portions(b["text"].to_pylist()) for x in tok.encode_batch(part)):
                 counts.append(written.count(" ") + 1 if written else 0)
                 hashes.append(hashlib.sha256(written.encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if listed:
+                    lists.append(np.fromstring(written, np.int32, sep=" "))
                 if full:
-                    lists.append([int(x) for x in written.split()])
                     back.append(decoded)
-            columns = [ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
+            columns = [b["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if listed:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], [*names, "ids"]
             if full:
-                columns, names = [*columns, pa.array(lists, pa.list_(pa.int32())), pa.array(back, pa.string())], [*names, "ids", "decoded"]
+                columns, names = [*columns, pa.array(back, pa.string())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
