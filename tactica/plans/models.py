@@ -47,6 +47,34 @@ def forest(seed: int = 42, **params) -> RandomForestRegressor:
     return RandomForestRegressor(labelCol="y", featuresCol="features", predictionCol="yhat", seed=seed, **(defaults | params))
 
 
+class Line:
+    """A baseline learner: least squares of y on the mean of a row's features, its slope times ``shrink``.
+
+    It has what the plans ask of any learner (fit, then transform), and two numbers as its model.
+    """
+
+    def __init__(self, shrink: float = 1.0):
+        self.shrink, self.slope, self.intercept = shrink, 0.0, 0.0
+
+    @staticmethod
+    def _x():
+        from pyspark.ml.functions import vector_to_array
+
+        from tactica.functions.arrays import mean
+
+        return mean(vector_to_array("features"))
+
+    def fit(self, rows: DataFrame) -> Line:
+        found = rows.select("y", self._x().alias("x")).agg(F.regr_slope("y", "x"), F.avg("y"), F.avg("x")).first()
+        model = Line(self.shrink)
+        model.slope = self.shrink * (found[0] or 0.0)
+        model.intercept = (found[1] or 0.0) - model.slope * (found[2] or 0.0)
+        return model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("yhat", F.lit(self.intercept) + F.lit(self.slope) * self._x())
+
+
 def train(matrix: DataFrame, blocks: Iterable[str], learner=None):
     """A model of y on the rows of splits train (and val, for early stopping). matrix has y, split."""
     rows = features(matrix, blocks).filter("split <> 'test'")
@@ -78,13 +106,13 @@ def cross_validate(matrix: DataFrame, blocks: list[str], learners: dict[str, Cal
     return spark.createDataFrame(rows, "model string, fold int, training_time_seconds double, train_mse double, train_rmse double, val_mse double, val_rmse double")
 
 
-def search(matrix: DataFrame, blocks: list[str], space: dict[str, list], trials: int, seed: int = 42) -> tuple[dict, DataFrame]:
+def search(matrix: DataFrame, blocks: list[str], space: dict[str, list], trials: int, seed: int = 42, learner: Callable = boosted) -> tuple[dict, DataFrame]:
     """(best parameters, table of trials): the defaults first, then random draws, by the error on split val (L4)."""
     rng, spark = random.Random(seed), matrix.sparkSession
     maps = [{}] + [{k: rng.choice(v) for k, v in space.items()} for _ in range(max(trials - 1, 0))]
     rows = []
     for i, params in enumerate(maps):
-        scored = predict(train(matrix, blocks, boosted(**params)), matrix.filter("split = 'val'"), blocks)
+        scored = predict(train(matrix, blocks, learner(**params)), matrix.filter("split = 'val'"), blocks)
         rows.append((i, repr(sorted(params.items())), errors(scored, ["model"]).first()["mse"]))
     best = min(rows, key=lambda r: (r[2], r[0]))
     return maps[best[0]], spark.createDataFrame(rows, "trial int, params string, val_mse double")

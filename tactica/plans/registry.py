@@ -705,6 +705,59 @@ def _(s, d):
     return models.stack(models.specialists(m, ["struct"], {"one": ["themes"], "two": ["moves"]}, small), m, ["struct"], ["one", "two"], learner=small)
 
 
+# The same plans with the baseline learner, whose numbers SQL can tell.
+_SPLIT = f"CASE WHEN {_BUCKET('vec_id', 42, 1000000)} < 100000 THEN 'test' WHEN {_BUCKET('vec_id', 43, 1000000)} < 111111 THEN 'val' ELSE 'train' END"
+_SUM = lambda a: f"list_sum(list_transform(embedding[{a} : {a + 7}], lambda x: CAST(x AS DOUBLE)))"
+_MATRIX = f"WITH m AS (SELECT vec_id AS pid, CAST(label AS DOUBLE) AS y, {_SPLIT} AS split, CAST({_BUCKET('vec_id', 42, 5)} AS INTEGER) AS fold, {_SUM(1)} AS struct, {_SUM(9)} AS themes, {_SUM(17)} AS moves FROM embeddings)"
+_FIT = "regr_slope(y, x) AS slope, avg(y) AS my, avg(x) AS mx"
+
+
+@query("train_line", _MATRIX + f""", r AS (SELECT *, (struct + themes + moves) / 24 AS x FROM m), fit AS (SELECT {_FIT} FROM r WHERE split = 'train')
+SELECT pid, split, fold, y, 'model' AS model, round(my + slope * (x - mx), 6) AS yhat FROM r, fit""")
+def _(s, d):
+    m = matrix(s, d)
+    return models.predict(models.train(m, BLOCKS, models.Line()), m, BLOCKS).withColumn("yhat", F.round("yhat", 6))
+
+
+@query("cross_validation_line", _MATRIX + f""", r AS (SELECT *, (struct + themes + moves) / 24 AS x FROM m), k AS (SELECT unnest(range(5))::INTEGER AS f),
+fit AS (SELECT f, {_FIT} FROM k JOIN r ON r.fold <> f GROUP BY 1), e AS (SELECT k.f, r.fold = k.f AS held, pow(y - (my + slope * (x - mx)), 2) AS e FROM k JOIN fit ON fit.f = k.f CROSS JOIN r)
+SELECT 'line' AS model, f AS fold, round(avg(e) FILTER (NOT held), 6) AS train_mse, round(sqrt(avg(e) FILTER (NOT held)), 6) AS train_rmse, round(avg(e) FILTER (held), 6) AS val_mse, round(sqrt(avg(e) FILTER (held)), 6) AS val_rmse FROM e GROUP BY 1, 2""")
+def _(s, d):
+    out = models.cross_validate(matrix(s, d), BLOCKS, {"line": models.Line}, k=5)
+    return out.select("model", "fold", *[F.round(c, 6).alias(c) for c in ("train_mse", "train_rmse", "val_mse", "val_rmse")])
+
+
+@query("search_line", _MATRIX + f""", r AS (SELECT *, (struct + themes + moves) / 24 AS x FROM m), fit AS (SELECT {_FIT} FROM r WHERE split = 'train')
+SELECT CAST(t AS INTEGER) AS trial, round(avg(pow(y - (my + s * slope * (x - mx)), 2)), 6) AS val_mse FROM r, fit, (VALUES (0, 1.0), (1, 0.5)) v(t, s) WHERE split = 'val' GROUP BY 1""")
+def _(s, d):
+    return models.search(matrix(s, d), BLOCKS, {"shrink": [0.5]}, 2, learner=models.Line)[1].select("trial", F.round("val_mse", 6).alias("val_mse"))
+
+
+@query("ablation_line", _MATRIX + f""", r AS (SELECT b AS blocks, y, split, list_extract([struct + themes + moves, themes + moves, struct + moves, struct + themes], k) / w AS x
+  FROM m, (VALUES (1, 24, 'struct+themes+moves'), (2, 16, 'themes+moves'), (3, 16, 'struct+moves'), (4, 16, 'struct+themes')) v(k, w, b)),
+fit AS (SELECT blocks, {_FIT} FROM r WHERE split = 'train' GROUP BY 1)
+SELECT blocks, round(avg(pow(y - (my + slope * (x - mx)), 2)), 6) AS mse, round(sqrt(avg(pow(y - (my + slope * (x - mx)), 2))), 6) AS rmse FROM r JOIN fit USING (blocks) WHERE split = 'val' GROUP BY 1""")
+def _(s, d):
+    return models.ablate(matrix(s, d), BLOCKS, learner=models.Line).select("blocks", F.round("mse", 6).alias("mse"), F.round("rmse", 6).alias("rmse"))
+
+
+_SPECIAL = _MATRIX + f""", r AS (SELECT pid, y, split, fold, g AS model, (struct + CASE g WHEN 'one' THEN themes ELSE moves END) / 16 AS x FROM m, (VALUES ('one'), ('two')) v(g)),
+fit AS (SELECT model, {_FIT} FROM r WHERE split = 'train' GROUP BY 1), p AS (SELECT pid, split, fold, y, model, my + slope * (x - mx) AS yhat FROM r JOIN fit USING (model))"""
+
+
+@query("specialists_line", _SPECIAL + " SELECT pid, split, fold, y, model, round(yhat, 6) AS yhat FROM p")
+def _(s, d):
+    return models.specialists(matrix(s, d), ["struct"], {"one": ["themes"], "two": ["moves"]}, models.Line).withColumn("yhat", F.round("yhat", 6))
+
+
+@query("stacking_line", _SPECIAL + f""", s AS (SELECT pid, sum(yhat) + avg(yhat) + stddev_pop(yhat) + min(yhat) + max(yhat) AS stack FROM p GROUP BY 1), q AS (SELECT m.pid, y, split, fold, (struct + stack) / 14 AS x FROM m JOIN s USING (pid)),
+fit2 AS (SELECT {_FIT} FROM q WHERE split = 'train') SELECT pid, split, fold, y, 'stacked' AS model, round(my + slope * (x - mx), 6) AS yhat FROM q, fit2""")
+def _(s, d):
+    m = matrix(s, d)
+    parts = models.specialists(m, ["struct"], {"one": ["themes"], "two": ["moves"]}, models.Line)
+    return models.stack(parts, m, ["struct"], ["one", "two"], learner=models.Line).withColumn("yhat", F.round("yhat", 6))
+
+
 @query("gain_importances")
 def _(s, d):
     return metrics.top_features(models.importances(models.train(matrix(s, d), BLOCKS, small())), 15)
