@@ -1,6 +1,6 @@
 """Language-model scores: a hashed maximum-entropy model with a softmax at every node of a tree of classes.
 
-A token is predicted by a few 16-way choices down a tree whose leaves are words: the more frequent a
+A token is predicted by a few 16-way choices, classes first, down a tree whose leaves are words: the more frequent a
 word, the fewer choices (a Shannon code). Each choice is a softmax over features of what stands
 before: the last word, the last two words, and the last but one alone (a skip). Rare words share
 leaves, where each keeps its share of the corpus counts.
@@ -8,84 +8,90 @@ leaves, where each keeps its share of the corpus counts.
 Tokens are dealt by the last word (very common ones also by the word before) over shards of about
 equal size, as many as the corpus needs, so the model grows with the corpus. A feature hashes to a
 row of weights in its shard, with a tag that tells it from others of the same row; what loses its
-row to another has none. A shard trains by adaptive gradient steps and then scores its tokens, in
+row to another, or stands with one token only, has none. A shard trains by adaptive gradient steps and then scores its tokens, in
 one task; neither shards nor scores depend on how the texts lie in partitions, but for ties in the
 order of steps. Weights of the skip hold within a shard.
 
-Counts cover all training texts. Words above a fixed share of them are few by arithmetic
-(1 / SHARE at most) and go to the tasks; the counts of all other words are joined by word, once for
-each portion of texts.
+Counts cover all training texts. Those of the FREQUENT most frequent words go to the tasks; the
+counts of all other words are joined by word, once for each portion of texts.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, table, text_or_empty, with_rows
 
-#: A word of more than this share of all tokens is frequent: 250,000 words at most.
-SHARE = 4e-6
+#: Words that have a leaf of their own and whose counts go to the tasks: so many of the most frequent.
+FREQUENT = 250_000
 #: Choices at every node of the tree of words, and its greatest depth.
 FAN, DEPTH = 16, 5
 #: Leaves that the rare words share, and ids that tell them apart as contexts.
 SHARED, RARE_IDS = 4_096, 1 << 20
 #: Tokens that one shard learns from, about.
 SHARD = 250_000
-BATCH, RATE, EPOCHS = 8_192, 0.2, 1
+BATCH, RATE, EPOCHS = 8_192, 0.4, 1
 #: A shard has two to four rows of weights for each of its tokens, and 2 ** LEAST_BITS at least.
 LEAST_BITS = 12
-WORDS_KEPT, PORTION = 300_000, 400_000
+#: Choices that the skip, and features at all, take part in.
+SKIP_DEPTHS, FEATURE_DEPTHS = 1, 5
+ONES = np.ones(FAN, np.float32)
+#: Bytes of texts that are split, and counted, at a time.
+PORTION, COUNTED = 2_600_000, 16_000_000
 END = b""
 
 
-def _words(text: str) -> list[bytes]:
-    words = text.encode().lower().split()  # bytes: A-Z only, ASCII white space only
-    words.append(END)
-    return words
+def portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """About ``size`` bytes of whole texts at a time; a text is never parted."""
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+    for b in batches:
+        start = 0
+        for i, n in enumerate(pc.binary_length(b["text"]).to_pylist()):
+            waiting += n + 8
+            if waiting >= size:
+                yield pa.Table.from_batches([*held, b.slice(start, i + 1 - start)])
+                held, waiting, start = [], 0, i + 1
+        held.append(b.slice(start))
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(tokens of each text, distinct words with the end of a text as the last, all tokens as places among them)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.combine_chunks()))
+    values = lists.flatten()
+    real = pc.greater(pc.binary_length(values), 0)  # the split leaves empty pieces at the ends of a text
+    of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[real.to_numpy(zero_copy_only=False)]
+    coded = values.filter(real).dictionary_encode()
+    lengths = np.bincount(of, minlength=len(lists)) + 1
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    codes = np.full(lengths.sum(), len(words) - 1)
+    inner = np.ones(len(codes), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    codes[inner] = coded.indices.to_numpy()
+    return lengths, words, codes
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all tokens, the end of a text among them as the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = Counter(), 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for t in b["text"].to_pylist():
-                seen.update(words := _words(t))
-                n += len(words)
-                if n > 2_000_000:
-                    yield out()
-                    seen, n = Counter(), 0
-        if seen:
-            yield out()
+        for part in portions(batches, COUNTED):
+            _, words, codes = tokens(part["text"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Kept(dict):
-    """What ``make`` gives, remembered."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = made = self.make(word)
-        return made
-
-
 class Vocabulary:
     """Ids of words: 0 for the start of a text, then frequent words by rank, then hashes of rare ones."""
 
@@ -94,15 +100,10 @@ class Vocabulary:
         self.index = {w: i + 1 for i, (w, _) in enumerate(self.ranked)}
         self.size = len(self.ranked)
         self.log_count = np.log10(np.array([0.1] + [n + 0.1 for _, n in self.ranked]))
-        self.kept = _Kept(self._id)
-
-    def _id(self, word: bytes) -> int:
-        return self.index.get(word) or self.size + 1 + zlib.crc32(word) % RARE_IDS
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.kept) > WORDS_KEPT:
-            self.kept.clear()
-        return np.fromiter(map(self.kept.__getitem__, words), np.int64, len(words))
+        get, rare = self.index.get, self.size + 1
+        return np.fromiter((get(w) or rare + zlib.crc32(w) % RARE_IDS for w in words), np.int64, len(words))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -144,62 +145,83 @@ class Tree:
         return np.where(ids <= self.n_frequent, ids - 1, self.n_frequent + (ids - 1 - self.n_frequent) % SHARED)
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[0], axis=0)
-    z += bias.take(node, axis=0)
-    for r in rows[1:]:
-        z += weights.take(r, axis=0)
-    z -= z.max(1, keepdims=True)
-    return z
-
-
-def _step(weights: np.ndarray, square: np.ndarray, bias: np.ndarray, node: np.ndarray, target: np.ndarray, rows: np.ndarray) -> None:
-    """One gradient step over a batch, each row of weights at its own pace; the last row stays zero."""
-    g = _logits(weights, bias, node, rows)
-    np.exp(g, out=g)
-    g /= g.sum(1, keepdims=True)
-    g[np.arange(len(g)), target] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    own = flat[order]
-    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    own = own[starts]
-    change = np.add.reduceat(g.take(order % len(g), axis=0), starts, axis=0)
-    square[own] += np.einsum("ij,ij->i", change, change) / FAN
-    change *= (RATE / np.sqrt(square[own]))[:, None]
-    weights[own] -= change
-    weights[-1] = 0
-
-
-def gains(tree: Tree, leaf: np.ndarray, contexts: np.ndarray, learn: np.ndarray) -> np.ndarray:
-    """Steps over the tokens of ``learn``; then, of all tokens, the natural log of their leaf's
-    probability less that of its share. Depths have their own weights and come one after the other."""
-    place, out = tree.leaf[leaf], -tree.log_mass[leaf]
-    for d in range(DEPTH):
+class Features:
+    """The live features of tokens that choose at one depth: for each kind, which tokens have it and their rows
+    of weights. A feature lives if it stands with two tokens or more, for all else its weights could only
+    tell a token of itself."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, learn: np.ndarray):
+        n = keys.shape[1]
+        bits = max(LEAST_BITS, int(2 * n).bit_length())
+        rows, tags = (keys >> np.uint64(64 - bits)).astype(np.int32), (keys & np.uint64(0xFFFF)).astype(np.uint16)
+        tags[tags == 0] = 1  # 0 is no tag
+        # a row belongs to the last that claims it, so rather to a frequent feature
+        owner = np.zeros(1 << bits, np.uint16)
+        owner[rows[:, learn].ravel()] = tags[:, learn].ravel()
+        live = owner[rows] == tags
+        many = sum(np.bincount(r[x], counts[x], 1 << bits) for r, x in zip(rows, live, strict=True))
+        live &= many[rows] > 1
+        self.rows, self.live = rows, live
+        self.weights, self.square = np.zeros((1 << bits, FAN), np.float32), np.full(1 << bits, 1e-4, np.float32)
+        self.any = live.any(0)
+
+    def odds(self, bias: np.ndarray, node: np.ndarray, on: np.ndarray):
+        """(exponentials of the choices' logits, tokens and rows of all features) of the tokens ``on``."""
+        z, at, rows = bias.take(node[on], axis=0), [], []
+        for kind in range(len(self.rows)):
+            own = np.flatnonzero(self.live[kind, on])
+            r = self.rows[kind, on[own]]
+            if len(own) == len(on):
+                z += self.weights.take(r, axis=0)
+            else:
+                z[own] += self.weights.take(r, axis=0)
+            at.append(own)
+            rows.append(r)
+        # shares are at least e^-23 and weights move by steps of RATE, so 32-bit exponentials do not overflow
+        return np.exp(np.minimum(z, 80.0, out=z), out=z), at, rows
+
+    def step(self, bias: np.ndarray, node: np.ndarray, target: np.ndarray, many: np.ndarray, on: np.ndarray) -> None:
+        """One gradient step over a batch, each row of weights at its own pace."""
+        g, at, rows = self.odds(bias, node, on)
+        g *= (1 / (g @ ONES))[:, None]
+        g.ravel()[np.arange(len(g)) * FAN + target[on]] -= 1
+        g *= many[on, None]
+        at, flat = np.concatenate(at), np.concatenate(rows)
+        order = np.argsort(flat)
+        own = flat[order]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        own = own[starts]
+        change = np.add.reduceat(g.take(at[order], axis=0), starts, axis=0)
+        square = self.square[own] + np.einsum("ij,ij->i", change, change) / FAN
+        self.square[own] = square
+        change *= (RATE / np.sqrt(square))[:, None]
+        self.weights[own] -= change
+
+
+def gains(tree: Tree, leaf: np.ndarray, contexts: np.ndarray, counts: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Of cases (a word after two others) that stand ``counts`` times in all and ``learnt`` times in training
+    texts: steps over the latter; then, of all, the natural log of the leaf's probability less that of
+    its share. Depths have their own weights and come one after the other; the skip only takes part in
+    the first SKIP_DEPTHS choices, and from FEATURE_DEPTHS on the shares alone decide."""
+    place, out = tree.leaf[leaf], np.zeros(len(leaf))
+    for d in range(FEATURE_DEPTHS):
         node = place // FAN ** (DEPTH - d)
         on = np.flatnonzero(~tree.ends[d][node])
         if not len(on):
             continue
         node, target = node[on], place[on] // FAN ** (DEPTH - d - 1) % FAN
-        bits = max(LEAST_BITS, int(2 * len(on)).bit_length())
-        keys = _mix(contexts[:, on] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        rows, tags = (keys >> np.uint64(64 - bits)).astype(np.int32), (keys & np.uint64(0xFFFF)).astype(np.uint16)
-        own = np.flatnonzero(learn[on])
-        # a row belongs to the last that claims it, so rather to a frequent feature; 0 is no tag
-        tags[tags == 0] = 1
-        owner = np.zeros(1 << bits, np.uint16)
-        owner[rows[:, own].ravel()] = tags[:, own].ravel()
-        rows[owner[rows] != tags] = 1 << bits
-        weights, square = np.zeros(((1 << bits) + 1, FAN), np.float32), np.full((1 << bits) + 1, 1e-4, np.float32)
+        keys = _mix(contexts[: 3 if d < SKIP_DEPTHS else 2, on] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        learns = learnt[on].astype(np.float32)
+        features = Features(keys, counts[on], learns > 0)
+        own = np.flatnonzero((learns > 0) & features.any)
         for _ in range(EPOCHS):
             for a in range(0, len(own), BATCH):
-                b = own[a : a + BATCH]
-                _step(weights, square, tree.bias[d], node[b], target[b], rows[:, b])
-        for a in range(0, len(on), BATCH):
-            b = slice(a, a + BATCH)
-            z = _logits(weights, tree.bias[d], node[b], rows[:, b])
-            chosen = z[np.arange(len(z)), target[b]]
-            out[on[b]] += chosen - np.log(np.exp(z, out=z).sum(1))
+                features.step(tree.bias[d], node, target, learns, own[a : a + BATCH])
+        own = np.flatnonzero(features.any)
+        for a in range(0, len(own), BATCH):
+            b = own[a : a + BATCH]
+            z, _, _ = features.odds(tree.bias[d], node, b)
+            out[on[b]] += np.log(z.ravel()[np.arange(len(z)) * FAN + target[b]] / (z @ ONES)) - tree.bias[d][node[b], target[b]]
     return out
 
 
@@ -222,11 +244,12 @@ def contexts_of(last: np.ndarray, skip: np.ndarray) -> np.ndarray:
 
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of 32 bits by planes of bytes, which compress well."""
-    return zlib.compress(np.ascontiguousarray(np.stack(columns).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    data = np.ascontiguousarray(np.stack(columns).astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return len(data.ravel()).to_bytes(8, "little") + pa.compress(data.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view(np.uint32).reshape(n, -1)
 
 
@@ -245,8 +268,10 @@ class Dealer:
     def deal(self, last: np.ndarray, skip: np.ndarray, salt: int) -> np.ndarray:
         words, others = last.astype(np.uint64), skip.astype(np.uint64)
         piece = _mix(others * np.uint64(11)) % self.pieces[np.minimum(last, len(self.pieces) - 1)]
-        _, inverse, n = np.unique(words << np.uint64(32) | others, return_inverse=True, return_counts=True)
-        parts = np.maximum(np.where(n < 32, 0, n * (self.total / len(last)) * 4 // SHARD), 1).astype(np.uint64)[inverse]
+        slot = (_mix(words << np.uint64(32) | others) >> np.uint64(44)).astype(np.int64)
+        n = np.bincount(slot, minlength=1 << 20)
+        n = np.maximum(np.where(n < 32, 0, n * (self.total / len(last)) * 4 // SHARD), 1).astype(np.uint64)
+        parts = n[slot]
         piece += _mix(np.full(1, salt, np.int64).astype(np.uint64) * np.uint64(13)) % parts * np.uint64(1_000_003)
         return (_mix(_mix(words * np.uint64(17)) + piece * np.uint64(19)) % np.uint64(self.shards)).astype(np.int64)
 
@@ -262,13 +287,20 @@ def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray, n_frequent: int)
     def finish():
         tables = [unpack(data, 4) for _, data in held]
         last, skip, text, word = np.concatenate(tables, axis=1)
-        gain = gains(tree, tree.at(word.astype(np.int64)), contexts_of(last, skip), text % 2 == 0)
+        # equal cases once, in the order in which they first stand
+        cases = _mix(_mix(last.astype(np.uint64) << np.uint64(32) | skip) + word)
+        _, first, inverse, counts = np.unique(cases, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first)
+        at, learnt = first[order], np.bincount(inverse, text % 2 == 0, len(first))[order]
+        gain = np.empty(len(first))
+        gain[order] = gains(tree, tree.at(word[at].astype(np.int64)), contexts_of(last[at], skip[at]), counts[order], learnt)
+        gain = gain[inverse]
         at = 0
         for (batch, _), t in zip(held, tables, strict=True):
             own, inverse = np.unique(t[2] // 2, return_inverse=True)
             sums = np.bincount(inverse, gain[at : at + t.shape[1]])
             at += t.shape[1]
-            yield out(batch, 1, own.astype(np.uint32).tobytes() + sums.astype(np.float64).tobytes())
+            yield out(batch, 1, pack(own, sums.astype(np.float32).view(np.uint32)))
 
     now = None
     for b in batches:
@@ -300,48 +332,33 @@ def _gains_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 rows = np.frombuffer(data, np.int64)
                 total = np.zeros(len(rows))
             else:
-                n = len(data) // 12
-                total[np.frombuffer(data, np.uint32, n)] += np.frombuffer(data, np.float64, n, 4 * n)
+                own, sums = unpack(data, 2)
+                total[own] += sums.view(np.float32)
     if rows is not None:
         yield out()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[int], list[bytes]]]:
-    """(rows, their numbers of tokens, all tokens) of about PORTION tokens of whole texts."""
-    rows, lengths, words = [], [], []
-    for b in batches:
-        names = [c for c in b.schema.names if c != "text"]
-        for t, *row in zip(b["text"].to_pylist(), *(b[c].to_pylist() for c in names), strict=True):
-            own = _words(t)
-            rows.append(tuple(row))
-            lengths.append(len(own))
-            words += own
-            if len(words) >= PORTION:
-                yield rows, lengths, words
-                rows, lengths, words = [], [], []
-    if rows:
-        yield rows, lengths, words
-
-
 def model_gains(rows: DataFrame, frequent: list[tuple[bytes, int]], mass: np.ndarray, total: int) -> DataFrame:
     """(row, gain): natural log of what the model of all training texts adds to each text's base score."""
     spark = rows.sparkSession
-    words, masses, n_frequent = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(mass), len(frequent)
+    shipped, masses, n_frequent = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(mass), len(frequent)
     shards = max(1, -(-total // SHARD))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words.value)
+        vocabulary = Vocabulary(shipped.value)
         dealer = Dealer(vocabulary, total)
-        for texts, lengths, own in _texts(batches):
-            ids, lengths, batch = vocabulary.ids(own), np.array(lengths), texts[0][0]
+        for part in portions(batches, PORTION):
+            rows, held = part["row"].to_numpy(), part["held_out"].to_numpy()
+            lengths, words, codes = tokens(part["text"])
+            ids, batch = vocabulary.ids(words)[codes], int(rows[0])
             last, skip = before(ids, lengths, 0)
             shard = dealer.deal(last, skip, batch)
-            text = np.repeat(np.arange(len(texts)) * 2 + np.array([h for _, h in texts]), lengths)
+            text = np.repeat(np.arange(len(rows)) * 2 + held, lengths)
             order = np.argsort(shard << 32 | last, kind="stable")
             columns = np.stack([last, skip, text, ids])[:, order]
             found, starts = np.unique(shard[order], return_index=True)
             cuts = [*starts.tolist(), len(order)]
-            data = [np.array([r for r, _ in texts], np.int64).tobytes()] + [pack(*columns[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            data = [rows.tobytes()] + [pack(*columns[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array([-1 - batch % shards, *found.tolist()], pa.int64()), pa.array([batch] * len(data), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
 
     dealt = rows.select("row", "held_out", "text").mapInArrow(deal, "shard long, batch long, data binary")
@@ -353,24 +370,27 @@ def _base_parts(batches: Iterator[pa.RecordBatch], frequent: list[tuple[bytes, i
     """For each portion of texts, a head (kind 0) with what frequent words add, and a row for each other
     word with the texts it stands in. A head's word has a space, so it is no word's."""
     vocabulary = Vocabulary(frequent)
-    for texts, lengths, words in _texts(batches):
-        lengths = np.array(lengths)
+    for part in portions(batches, PORTION):
+        lengths, words, codes = tokens(part["text"])
         starts = np.cumsum(lengths) - lengths
-        ids = vocabulary.ids(words)
+        own = vocabulary.ids(words)
+        ids = own[codes]
         known = ids <= vocabulary.size
         add = lambda x: np.add.reduceat(x, starts)
         base = add(np.where(known, vocabulary.log_count[np.where(known, ids, 0)], 0.0))
-        head = np.rec.fromarrays([[r for r, _, _ in texts], [d or 0 for _, d, _ in texts], [d is None for _, d, _ in texts], [h for _, _, h in texts], lengths, add(known.astype(np.int64)), base], dtype=HEAD)
+        head = np.zeros(len(lengths), HEAD)
+        head["row"], head["held"], head["tokens"], head["known"], head["base"] = part["row"].to_numpy(), part["held_out"].to_numpy(), lengths, add(known.astype(np.int64)), base
+        head["none"], head["doc"] = part["doc_id"].is_null().to_numpy(), part["doc_id"].fill_null(0).to_numpy()
         others = np.flatnonzero(~known)
-        rest = pa.array([words[i] for i in others.tolist()], pa.binary()).dictionary_encode()
-        code = rest.indices.to_numpy().astype(np.int64)
+        code = codes[others]
         text = np.searchsorted(starts, others, side="right") - 1
         order = np.argsort(code, kind="stable")
-        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(code[order]) > 0]), len(order)].tolist() if len(order) else [0]
+        code = code[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, np.diff(code) > 0]), len(code)].tolist() if len(code) else [0]
         text = text[order].astype(np.uint32).tobytes()
         data = [head.tobytes(), *[text[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]]
-        batch = texts[0][0]
-        word = [b" %d" % batch, *rest.dictionary.to_pylist()]
+        batch = int(head["row"][0])
+        word = [b" %d" % batch, *[words[c] for c in code[edges[:-1]].tolist()]]
         yield pa.RecordBatch.from_arrays([pa.array([batch] * len(data), pa.int64()), pa.array([0] + [1] * (len(data) - 1), pa.int32()), pa.array(word, pa.binary()), pa.array(data, pa.binary())], ["batch", "kind", "word", "data"])
 
 
@@ -420,11 +440,13 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
     training = rows.filter("NOT held_out").select("text")
     counts = durable(count_words(training))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = [(bytes(r[0]), r[1]) for r in counts.filter(F.col("n") > SHARE * total).select("word", "n").collect()]
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
+    frequent = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    least = frequent[-1] if len(frequent) == FREQUENT else (b"", -1)  # words from here on are rare
     norm = total + 0.1 * (distinct + 1)
 
     vocabulary = Vocabulary(frequent)
-    rare = counts.filter(F.col("n") <= SHARE * total)
+    rare = counts.filter((F.col("n") < least[1]) | ((F.col("n") == least[1]) & (F.col("word") > F.lit(least[0]))))
     shared = np.full(SHARED, 0.1 / SHARED)
     leaf = (F.crc32("word") % RARE_IDS % SHARED).alias("leaf")
     for r in rare.groupBy(leaf).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():  # SHARED rows at most
