@@ -40,9 +40,9 @@ def unused(docs: DataFrame, name: str = "__row") -> str:
     return name
 
 
-def with_rows(docs: DataFrame, name: str = "__row", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a number that tells rows apart, that follows the order of ids (null ids last) and that
-    no second reading changes.
+def with_rows(docs: DataFrame, name: str = "__row", id_col: str = "doc_id", then: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with a number that tells rows apart, that follows the order of ids (null ids last; equal ones by
+    the columns ``then``) and that no second reading changes.
 
     The id itself where ids are integers, unique and not null; otherwise row numbers, fixed in a
     durable copy (numbers given while reading would change with the cores that happen to be there).
@@ -51,4 +51,4 @@ def with_rows(docs: DataFrame, name: str = "__row", id_col: str = "doc_id") -> D
         total, ids = docs.select(id_col).agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
         if total == ids:
             return docs.withColumn(name, F.col(id_col).cast("long"))
-    return durable(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()))
+    return durable(docs.orderBy(F.col(id_col).asc_nulls_last(), *then).withColumn(name, F.monotonically_increasing_id()))

@@ -543,7 +543,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", full: bool = False,
     if total == ids:
         keyed = rows.withColumn("key", F.col("doc_id"))
     else:
-        keyed = with_rows(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text"), "key")
+        keyed = with_rows(rows, "key", then=("text",))
     # keys are never null; said here, so that both joins below see the same texts
     keyed = keyed.filter("key IS NOT NULL").select("key", "doc_id", "text")
     runs = covered(keyed, sampled).groupBy("key").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("n")).alias("runs"))
