@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a table that may be broadcast.
+SMALL = 100_000
 ELOS = (1100, 1300, 1500, 1700, 1900)
 
 
@@ -92,8 +94,9 @@ def merge_results(done: DataFrame, new: DataFrame, result: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, column: str, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Left join of a vocabulary of fixed size; what it lacks is null."""
-    return df.join(F.broadcast(vocabulary), df[column] == vocabulary[key], "left").drop(vocabulary[key])
+    """Left join of a vocabulary; what it lacks is null. One of SMALL rows at most is broadcast."""
+    side = F.broadcast(vocabulary) if vocabulary.limit(SMALL + 1).count() <= SMALL else vocabulary
+    return df.join(side, df[column] == vocabulary[key], "left").drop(vocabulary[key])
 
 
 def named_importances(importances: DataFrame, names: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Labels that are encoded as a column each.
+MOST_LABELS = 10_000
+
+
 def hash_bucket(key: Column, seed: int, buckets: int) -> Column:
     """A bucket of the key that no order, partitioning or run changes."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8)
@@ -36,7 +40,10 @@ def encode_labels(ids: DataFrame, themes: DataFrame, key: str, column: str, fit_
     """Left join of labels on the ids, then multi-hot over the vocabulary of all (or of ``fit_on``)."""
     side = themes.groupBy(key).agg(F.min(column).alias(column))
     joined = ids.select(key).join(side, key, "left")
-    words = sorted(r[0] for r in vocabulary(fit_on if fit_on is not None else joined, column).collect())  # a tag vocabulary
+    found = vocabulary(fit_on if fit_on is not None else joined, column).limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:  # one column each: this many are no vocabulary of tags
+        raise ValueError(f"{column} has more than {MOST_LABELS} labels")
+    words = sorted(r[0] for r in found)
     return multi_hot(joined, key, column, words), words
 
 

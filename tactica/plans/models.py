@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactica.operators.metrics import errors
+from tactica.sources.tables import shared_dir
 
 
 def assemble(base: DataFrame, blocks: dict[str, DataFrame], key: str = "pid", widths: dict[str, int] | None = None) -> DataFrame:
@@ -32,6 +34,13 @@ def assemble(base: DataFrame, blocks: dict[str, DataFrame], key: str = "pid", wi
     return base
 
 
+def written(matrix: DataFrame) -> DataFrame:
+    """The matrix as a table in the shared folder: what fits it many times reads it, and its plan runs once."""
+    path = f"{shared_dir(matrix.sparkSession)}/table-{uuid.uuid4().hex}"
+    matrix.write.parquet(path)
+    return matrix.sparkSession.read.schema(matrix.schema).parquet(path)
+
+
 def features(matrix: DataFrame, blocks: Iterable[str]) -> DataFrame:
     return matrix.withColumn("features", array_to_vector(F.concat(*[F.col(b) for b in blocks])))
 
@@ -91,7 +100,7 @@ def predict(model, matrix: DataFrame, blocks: Iterable[str], key: str = "pid", n
 
 def cross_validate(matrix: DataFrame, blocks: list[str], learners: dict[str, Callable], k: int = 5) -> DataFrame:
     """One row for each model and fold: training seconds and errors on both sides (L3). matrix has y, fold."""
-    spark, rows = matrix.sparkSession, []
+    spark, rows, matrix = matrix.sparkSession, [], written(matrix)
     strays = matrix.filter(F.col("fold").isNull() | ~F.col("fold").between(0, k - 1)).select("fold").first()
     if strays:
         raise ValueError(f"fold {strays[0]} would never be validated: folds are 0 to {k - 1}")
@@ -108,7 +117,7 @@ def cross_validate(matrix: DataFrame, blocks: list[str], learners: dict[str, Cal
 
 def search(matrix: DataFrame, blocks: list[str], space: dict[str, list], trials: int, seed: int = 42, learner: Callable = boosted) -> tuple[dict, DataFrame]:
     """(best parameters, table of trials): the defaults first, then random draws, by the error on split val (L4)."""
-    rng, spark = random.Random(seed), matrix.sparkSession
+    rng, spark, matrix = random.Random(seed), matrix.sparkSession, written(matrix)
     maps = [{}] + [{k: rng.choice(v) for k, v in space.items()} for _ in range(max(trials - 1, 0))]
     rows = []
     for i, params in enumerate(maps):
@@ -127,7 +136,7 @@ def block_sets(blocks: list[str], subsets: bool = False) -> list[list[str]]:
 
 def ablate(matrix: DataFrame, blocks: list[str], subsets: bool = False, learner: Callable = boosted) -> DataFrame:
     """blocks, mse, rmse on split val of every set of blocks, best first."""
-    rows = []
+    rows, matrix = [], written(matrix)
     for chosen in block_sets(blocks, subsets):
         e = errors(predict(train(matrix, chosen, learner()), matrix.filter("split = 'val'"), chosen), ["model"]).first()
         rows.append(("+".join(chosen), e["mse"], e["rmse"]))
@@ -136,7 +145,7 @@ def ablate(matrix: DataFrame, blocks: list[str], subsets: bool = False, learner:
 
 def specialists(matrix: DataFrame, base: list[str], groups: dict[str, list[str]], learner: Callable = boosted) -> DataFrame:
     """Predictions of one model for each group: the base blocks with the group's own."""
-    out = None
+    out, matrix = None, written(matrix)
     for name, own in groups.items():
         p = predict(train(matrix, [*base, *own], learner()), matrix, [*base, *own], name=name)
         out = p if out is None else out.unionByName(p)
