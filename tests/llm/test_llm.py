@@ -530,6 +530,14 @@ def test_lm_probabilities_sum_to_one():
     assert np.exp(gain + tree.log_mass).sum() == pytest.approx(1, abs=1e-3) and gain[leaf[0]] > 0.5
 
 
+def test_lm_counts_of_rare_words_are_joined(spark, docs, monkeypatch):
+    """Few frequent words: the base score and the known words of all others come by the join."""
+    some = docs.select("doc_id", "text")
+    want = {r.doc_id: (r.n_known, round(r.base_score, 4)) for r in lm.lm_scores(some).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    assert {r.doc_id: (r.n_known, round(r.base_score, 4)) for r in lm.lm_scores(some).collect()} == want
+
+
 def test_lm_codes_are_prefix_free():
     for n in (1, 5, 900, 200_000):
         mass = 1 / np.arange(1, n + 1)
@@ -723,6 +731,17 @@ def test_toxicity_without_labels_and_awkward_rows(spark, awkward, empty):
     assert toxicity.drop_toxic(awkward, some).columns == awkward.columns
 
 
+def test_toxicity_scores_equal_plain_sums(spark, docs):
+    """The map over documents against a sum of weights over the words and beginnings of each text."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in texts(docs):
+        words = set(re.findall(r"[^\W\d_]+", t.lower()))
+        found = words | {w[:n] + "*" for w in words for n in range(3, 9) if len(w) > n}
+        z = sum(model.get(f, 0.0) for f in found) + model[""]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
 def test_swapped_identity_terms_score_alike(spark):
     rows, marks = [], []
     for i in range(600):
@@ -798,7 +817,24 @@ def test_pipeline_stages(spark):
     assert near.columns == first and {r.doc_id for r in near.collect()} == {c for _, _, c in plain_components(texts(exact), 5)}
     mixed = corpus_pipeline.mixed(spark, near, SMALL)
     assert mixed.columns == first
+    # no source takes more than three times its words, and none is far from its target
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    have, took, largest = Counter(), Counter(), Counter()
+    for r in near.collect():
+        have[r.source] += size(r.text)
+        largest[r.source] = max(largest[r.source], size(r.text))
+    taken = mixed.collect()
+    for r in taken:
+        took[r.source] += size(r.text)
+    want = plain_targets(have)
+    assert all(abs(took[s] - want[s]) <= largest[s] for s in have) and max(Counter(r.doc_id for r in taken).values()) <= 3
+    # the last stage against the library
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in taken}
     out = corpus_pipeline.encoded(spark, mixed, SMALL)
-    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in mixed.collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == Counter((r.doc_id, tuple(ids[r.doc_id])) for r in taken)
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) == Counter(r.doc_id for r in out.collect())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mix_sources", "bpe"]
