@@ -8,8 +8,8 @@ pair from different components is checked. So a bucket full of copies costs its
 square, and no link between different components is lost. What is left of a large bucket meets in
 blocks, as many as its size asks for.
 
-A pair is verified by its signatures first (the minima's low bytes, with a margin), then by a parity
-sketch that refuses no similar pair, then on the full sets.
+A pair is verified by a parity sketch that refuses no similar pair, by its signatures (the minima's low
+bytes, with a margin), and then on the full sets.
 """
 
 from __future__ import annotations
@@ -112,8 +112,8 @@ def _portions(sets: Iterator[tuple], most: int = PORTION) -> Iterator[list[tuple
 
 
 def low_bytes(sig: np.ndarray) -> np.ndarray:
-    """The last byte of each minimum, eight in a number: what signatures are compared by."""
-    return np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+    """The last byte of each minimum: what signatures are compared by."""
+    return sig.astype(np.uint8).view(np.int8)
 
 
 def sign(docs: DataFrame, k: int, text_col: str = "text", row_col: str = "__row") -> DataFrame:
@@ -131,11 +131,11 @@ def sign(docs: DataFrame, k: int, text_col: str = "text", row_col: str = "__row"
                     for i, keys, own in zip(full, band_keys(sig), low_bytes(sig), strict=True):
                         bands[i], low[i], sketch[i], digest[i] = keys, own, parity_sketch(part[i][2]), xxhash.xxh3_128_digest(part[i][2].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([len(x[2]) for x in part], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(low, longs), pa.array(sketch, longs)],
+                    [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([len(x[2]) for x in part], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(low, pa.list_(pa.int8())), pa.array(sketch, longs)],
                     ["row", "doc_id", "n", "digest", "bands", "sig", "sketch"])
 
     rows = docs.select(F.col(row_col).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, digest binary, bands array<bigint>, sig array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, digest binary, bands array<bigint>, sig array<tinyint>, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, k: int, text_col: str = "text", row_col: str = "__row") -> DataFrame:
@@ -152,12 +152,10 @@ def full_sets(docs: DataFrame, k: int, text_col: str = "text", row_col: str = "_
 
 
 def _possible(percent: int) -> str:
-    """SQL of what similar pairs fulfil: sizes near each other, signatures alike, and few elements apart."""
-    # a byte's lowest bit is set if any of its bits differs
-    fold = lambda x, n: f"({x} | shiftrightunsigned({x}, {n}))"
-    unlike = " + ".join(f"bit_count({fold(fold(fold(f'(a_sig[{i}] ^ b_sig[{i}])', 4), 2), 1)} & 72340172838076673L)" for i in range(BANDS * BAND_ROWS // 8))
+    """SQL of what similar pairs fulfil: sizes near each other, few elements apart, and signatures alike."""
+    alike = "aggregate(zip_with(a_sig, b_sig, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x)"
     apart = " + ".join(f"bit_count(a_sketch[{i}] ^ b_sketch[{i}])" for i in range(PARITY_BITS // 64))
-    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {unlike} <= {BANDS * BAND_ROWS - LEAST_EQUAL} AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n)"
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND {100 + percent} * ({apart}) <= {100 - percent} * (a_n + b_n) AND {alike} >= {LEAST_EQUAL}"
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: bool) -> DataFrame:
