@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table, text_or_empty, with_rows
 
-#: Words that have a leaf of their own and whose counts go to the tasks: so many of the most frequent.
+#: Words that have a leaf of their own and whose counts go to the tasks: so many of the most frequent at most.
 FREQUENT = 250_000
 #: Choices at every node of the tree of words, and its greatest depth.
 FAN, DEPTH = 16, 5
@@ -440,13 +440,20 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
     training = rows.filter("NOT held_out").select("text")
     counts = durable(count_words(training))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
+    # a histogram tells the count from which on there are FREQUENT words at most
+    step = F.floor(F.log2("n") * 64)
+    left, least = FREQUENT, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # some thousand rows
+        left -= r["count"]
+        if left < 0:
+            least = r["step"] + 1
+            break
+    top = counts.filter(step >= least).select("word", "n").toArrow()
     frequent = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    least = frequent[-1] if len(frequent) == FREQUENT else (b"", -1)  # words from here on are rare
     norm = total + 0.1 * (distinct + 1)
 
     vocabulary = Vocabulary(frequent)
-    rare = counts.filter((F.col("n") < least[1]) | ((F.col("n") == least[1]) & (F.col("word") > F.lit(least[0]))))
+    rare = counts.filter(step < least)
     shared = np.full(SHARED, 0.1 / SHARED)
     leaf = (F.crc32("word") % RARE_IDS % SHARED).alias("leaf")
     for r in rare.groupBy(leaf).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():  # SHARED rows at most
