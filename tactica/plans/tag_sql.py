@@ -14,15 +14,15 @@ def _v(kind: str, table: str = VALUE) -> str:
 
 
 def _see(n: str, a: str, b: str) -> str:
-    return f"EXISTS (SELECT 1 FROM edge e WHERE e.i = x.i AND e.n = {n} AND e.from_sq = {a} AND e.to_sq = {b})"
+    return f"EXISTS (SELECT 1 FROM edge see WHERE see.i = x.i AND see.n = {n} AND see.from_sq = {a} AND see.to_sq = {b})"
 
 
 def _between(s: str, a: str, b: str) -> str:
-    return f"EXISTS (SELECT 1 FROM lines g WHERE g.a = {a} AND g.b = {b} AND (g.hole & (1::UBIGINT << CAST({s} AS INTEGER))) <> 0)"
+    return f"EXISTS (SELECT 1 FROM lines gap WHERE gap.a = {a} AND gap.b = {b} AND (gap.hole & (1::UBIGINT << CAST({s} AS INTEGER))) <> 0)"
 
 
 def _in(table: str, n: str, s: str) -> str:
-    return f"EXISTS (SELECT 1 FROM {table} h WHERE h.i = x.i AND h.n = {n} AND h.s = {s})"
+    return f"EXISTS (SELECT 1 FROM {table} spot WHERE spot.i = x.i AND spot.n = {n} AND spot.s = {s})"
 
 
 def _dist(a: str, b: str) -> str:
