@@ -1,6 +1,6 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import bpe, exact_dedup, fingerprints, licenses, lm, minhash, mixing, repeats, secrets, toxicity
+from . import bpe, exact_dedup, fingerprints, licenses, lm, minhash, mixing, repeats, resampling, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -13,5 +13,9 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_importance_resampling": resampling.query,
+}
+ORACLES = {
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
