@@ -1,6 +1,6 @@
 """The opN_ queries and the SQL twins of those that SQL can express."""
 
-from . import bpe, decontamination, exact_dedup, fingerprints, licenses, lm, minhash, mixing, repeats, resampling, secrets, toxicity
+from . import bpe, conversations, decontamination, exact_dedup, fingerprints, licenses, lm, minhash, mixing, repeats, resampling, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
     "op11_importance_resampling": resampling.query,
     "op12_decontamination": decontamination.query,
+    "op13_conversation_repair": conversations.query,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
     "op12_decontamination": decontamination.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
