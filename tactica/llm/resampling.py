@@ -45,7 +45,7 @@ def crc32(line: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     out = np.empty(len(start), np.uint32)
     order = np.argsort(length, kind="stable")
     sizes, firsts = np.unique(length[order], return_index=True)
-    for size, rows in zip(sizes.tolist(), np.split(order, firsts[1:]), strict=True):
+    for size, rows in zip(sizes.tolist(), np.split(order, firsts)[1:], strict=True):
         if size > LONGEST:
             for r in rows.tolist():
                 out[r] = zlib.crc32(line[start[r] : start[r] + size].tobytes())
