@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import durable, table, text_or_empty, unused
 
 #: Bounds of what is learned from and of the model, in rows and features.
 SAMPLE, FEATURES, LEAST_TEXTS = 16_000, 4_096, 8
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> dict[str,
 
     The gradient works on index lists of the bounded sample, SAMPLE x FEATURES at most.
     """
-    train = labelled(docs, labels, text_col)
+    train = durable(labelled(docs, labels, text_col))  # SAMPLE rows at most, read three times
     names = select_features(train)
     got = train.mapInArrow(_rows(names), "own array<int>, other array<int>, toxic int").toArrow()
     y = got["toxic"].to_numpy().astype(float)
@@ -128,7 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> dict[str,
 
 
 def score(docs: DataFrame, model: dict[str, float], text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``: the probability of label 1, from the text alone."""
+    """``docs`` with a column ``name``: the probability of label 1, from the text alone. A column that ``docs``
+    has already is an error, not overwritten."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}")
     weight, bias = {k: v for k, v in model.items() if k}, model.get("")
 
     @F.pandas_udf("double")
@@ -148,7 +151,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
 
     Null and empty texts have the bias as their score; without labelled rows nothing is dropped.
     """
-    return score(docs, fit(docs, labels, text_col), text_col, "__toxic").filter(F.col("__toxic") < THRESHOLD).select(*docs.columns)
+    name = unused(docs, "__toxic")
+    return score(docs, fit(docs, labels, text_col), text_col, name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 def query(spark, sf_dir):
