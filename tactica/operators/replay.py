@@ -2,74 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .board import Position, describe, parse_move
-
-#: One position: side to move, the move played there (null on the last), the board and what stands on it.
-POSITION = """struct<white:boolean,f:int,t:int,promo:int,cap:boolean,bd:array<int>,side:array<bigint>,kind:array<bigint>,
-at:array<bigint>,by:array<bigint>,king:array<int>,checkers:bigint,hang:bigint,bad:bigint,trapped:bigint,
-pins:array<struct<s:int,line:bigint,leaves:boolean>>,legal:array<struct<f:int,t:int,promo:int,cap:boolean,chk:boolean>>,
-rights:array<boolean>,ep:boolean>""".replace("\n", "")
-
-_move = pa.struct([("f", pa.int32()), ("t", pa.int32()), ("promo", pa.int32()), ("cap", pa.bool_()), ("chk", pa.bool_())])
-_pin = pa.struct([("s", pa.int32()), ("line", pa.int64()), ("leaves", pa.bool_())])
-_longs, _ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-ARROW_POSITION = pa.struct([
-    ("white", pa.bool_()), ("f", pa.int32()), ("t", pa.int32()), ("promo", pa.int32()), ("cap", pa.bool_()), ("bd", _ints), ("side", _longs), ("kind", _longs),
-    ("at", _longs), ("by", _longs), ("king", _ints), ("checkers", pa.int64()), ("hang", pa.int64()), ("bad", pa.int64()), ("trapped", pa.int64()),
-    ("pins", pa.list_(_pin)), ("legal", pa.list_(_move)), ("rights", pa.list_(pa.bool_())), ("ep", pa.bool_())])
-
-
-def replay_one(fen: str, moves: str) -> tuple[list[dict], str | None]:
-    """Positions up to the first move that cannot be made, and why it cannot."""
-    try:
-        p = Position.from_fen(fen)
-    except (ValueError, IndexError) as e:
-        return [], str(e) or "not a position"
-    out, error = [], None
-    for uci in moves.split():
-        try:
-            move = parse_move(uci)
-            following = p.after(*move)
-        except (ValueError, IndexError) as e:
-            error = str(e) or f"not a move: {uci}"
-            break
-        out.append(describe(p, move))
-        p = following
-    return [*out, describe(p, None)], error
-
-
-def replay(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """PuzzleId, pos (positions before each move and after the last), error, and the columns ``keep`` of the
-    same rows. One map, no shuffle."""
+from .bitboards import CASTLES, GIVEN, columns, inside, tables
+
+#: What features and themes see of a position: its own values, and steps of ``bitboards``.
+FIELDS = {
+    **{n: n for n in ("white", "f", "t", "promo", "cap", "bd", "side", "kind", "at", "by", "king", "checkers", "hang", "bad", "trapped", "pins", "legal", "rights")}, "ep": "has_ep",
+    "hits_w": "hits_w", "hits_b": "hits_b",
+}
+
+_SIDE, _SET = "element_at(fen, 2)", "element_at(fen, 1)"
+_WIDE = _SET
+for _n in range(8, 0, -1):
+    _WIDE = f"replace({_WIDE}, '{_n}', '{'.' * _n}')"
+_square = lambda text, i: f"((ascii(substr({text}, {i + 1}, 1)) - 49) * 8 + ascii(substr({text}, {i}, 1)) - 97)"
+
+
+def _put(board: str, square: str, piece: str) -> str:
+    return f"overlay({board} PLACING {piece} FROM {square} + 1 FOR 1)"
+
+
+def _moved() -> str:
+    """The board after the move ``m`` on ``a.board``; castling is the king's step of two or onto its rook."""
+    own = "if(a.white, 'R', 'r')"
+    usual = _put(f"if(m.is_ep, {_put(_put('a.board', 'm.f', repr('.')), '(m.t + if(a.white, -8, 8))', repr('.'))}, {_put('a.board', 'm.f', repr('.'))})", "m.t", "if(m.promo = 0, m.piece, if(a.white, substr('PNBRQK', m.promo, 1), substr('pnbrqk', m.promo, 1)))")
+    cases = []
+    for right, (king, to, rook, rook_to) in CASTLES.items():
+        k, r = ("K", "R") if right.isupper() else ("k", "r")
+        test = f"upper(m.piece) = 'K' AND m.f = {king} AND m.t IN ({to}, {rook}) AND contains(a.castling, '{right}') AND substr(a.board, {king + 1}, 1) = '{k}' AND substr(a.board, {rook + 1}, 1) = '{r}' AND (m.t <> {rook} OR m.target = {own})"
+        cases.append(f"WHEN {test} THEN {_put(_put(_put(_put('a.board', str(king), repr('.')), str(rook), repr('.')), str(to), 'm.piece'), str(rook_to), own)}")
+    return f"CASE {' '.join(cases)} ELSE {usual} END"
+
+
+def _fold() -> str:
+    """One move more: the position it was played in goes to ``done``; a move that cannot be made stops the replay."""
+    form = "'^[a-h][1-8][a-h][1-8][pnbrqkPNBRQK]?$'"
+    read = f"""named_struct('f', {_square('u', 1)}, 't', {_square('u', 3)}, 'promo', if(length(u) = 5, locate(upper(substr(u, 5, 1)), 'PNBRQK'), 0))"""
+    seen = """named_struct('f', r.f, 't', r.t, 'promo', r.promo, 'piece', substr(a.board, r.f + 1, 1), 'target', substr(a.board, r.t + 1, 1),
+      'is_ep', r.t = a.ep AND upper(substr(a.board, r.f + 1, 1)) = 'P' AND abs(r.f - r.t) IN (7, 9) AND substr(a.board, r.t + 1, 1) = '.')"""
+    gone = "translate(a.castling, concat(" + ", ".join(f"if(m.f IN ({k}, {rook}) OR m.t IN ({k}, {rook}), '{r}', '')" for r, (k, _, rook, _) in CASTLES.items()) + "), '')"
+    cap = "m.is_ep OR (m.target <> '.' AND (m.target = upper(m.target)) <> a.white)"
+    following = f"""named_struct('board', {_moved()}, 'white', NOT a.white, 'castling', {gone}, 'ep', if(upper(m.piece) = 'P' AND abs(m.f - m.t) = 16, (m.f + m.t) div 2, -1L),
+      'error', cast(NULL AS string), 'done', concat(a.done, array(named_struct('white', a.white, 'board', a.board, 'castling', a.castling, 'ep', a.ep, 'f', m.f, 't', m.t, 'promo', m.promo, 'cap', {cap}, 'taken', m.target))))"""
+    stop = lambda why: f"named_struct('board', a.board, 'white', a.white, 'castling', a.castling, 'ep', a.ep, 'error', {why}, 'done', a.done)"
+    step = f"transform(array({seen}), m -> if(m.piece = '.', {stop(repr('a move from an empty square'))}, {following}))[0]"
+    return f"""CASE WHEN a.error IS NOT NULL THEN a WHEN NOT (u RLIKE {form}) THEN {stop("concat('not a move: ', u)")}
+      ELSE transform(array({read}), r -> {step})[0] END"""
+
+
+def games(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """PuzzleId, raw (the GIVEN values of the positions before each move and after the last), error, and the columns
+    ``keep``: a fold over the move list. A FEN that cannot be read has no positions; a move that cannot be made ends
+    them. One row of the input is one row of the output, no shuffle."""
     keep = list(keep)
-    rows = puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), F.struct("FEN", "Moves").alias("__game"), *keep)
-    kept = [f for f in rows.schema if f.name != "__game"]
+    kept = [f"`{c}`" for c in keep]
+    rows = puzzles.selectExpr("cast(PuzzleId AS string) AS PuzzleId", *kept, "coalesce(FEN, '') AS text", "filter(split(trim(coalesce(Moves, '')), '\\\\s+'), u -> u <> '') AS uci", "split(trim(coalesce(FEN, '')), '\\\\s+') AS fen")
+    rows = rows.selectExpr("PuzzleId", *kept, "text", "uci", f"{_WIDE} AS wide", f"coalesce(get(fen, 1), '') AS side", "coalesce(get(fen, 2), '-') AS castling", "coalesce(get(fen, 3), '-') AS ep")
+    readable = "wide RLIKE '^([pnbrqkPNBRQK.]{8}/){7}[pnbrqkPNBRQK.]{8}$' AND side IN ('w', 'b') AND (ep = '-' OR ep RLIKE '^[a-h][1-8]$')"
+    start = f"""named_struct('board', concat_ws('', reverse(split(wide, '/'))), 'white', side = 'w', 'castling', regexp_replace(castling, '[^KQkq]', ''), 'ep', if(ep = '-', -1L, cast({_square('ep', 1)} AS bigint)),
+      'error', cast(NULL AS string), 'done', cast(array() AS array<struct<white:boolean,board:string,castling:string,ep:bigint,f:int,t:int,promo:int,cap:boolean,taken:string>>))"""
+    last = "named_struct('white', s.white, 'board', s.board, 'castling', s.castling, 'ep', s.ep, 'f', cast(NULL AS int), 't', cast(NULL AS int), 'promo', cast(NULL AS int), 'cap', false, 'taken', '')"
+    rows = rows.selectExpr("PuzzleId", *kept, "text", f"if({readable}, aggregate(uci, {start}, (a, u) -> {_fold()}), NULL) AS s")
+    return rows.selectExpr("PuzzleId", *kept, f"if(s IS NULL, array(), concat(s.done, array({last}))) AS raw", "if(s IS NULL, concat('not a position: ', text), s.error) AS error")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 500):  # positions are large beside their puzzles
-                part = b.slice(a, 500)
-                games = [replay_one(g["FEN"] or "", g["Moves"] or "") for g in part["__game"].to_pylist()]
-                columns = [part[f.name] for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[0] for g in games], pa.list_(ARROW_POSITION)), pa.array([g[1] for g in games], pa.string())], [*(f.name for f in kept), "pos", "error"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", pos array<{POSITION}>, error string")
+def replay(puzzles: DataFrame, keep: Iterable[str] = (), fields: Iterable[str] = tuple(FIELDS)) -> DataFrame:
+    """PuzzleId, pos (positions before each move and after the last, with ``fields``), error, and the columns ``keep``
+    of the same rows."""
+    rows = games(puzzles, keep).selectExpr("*", f"{tables()} AS rays")
+    made = inside("p", {n: FIELDS.get(n, n) for n in fields})
+    return rows.selectExpr("PuzzleId", *[f"`{c}`" for c in keep], f"transform(raw, p -> {made}) AS pos", "error")
 
 
-def attack_edges(positions: DataFrame) -> DataFrame:
+def nodes(puzzles: DataFrame, wanted: Iterable[str]) -> DataFrame:
+    """PuzzleId, n, p (the GIVEN values) of every position, and the wanted steps as columns b_*."""
+    return columns(games(puzzles).select("PuzzleId", F.posexplode("raw").alias("n", "p")), wanted)
+
+
+def attack_edges(puzzles: DataFrame) -> DataFrame:
     """PuzzleId, n, from_sq, to_sq, piece: who attacks what in every position."""
-    nodes = positions.select("PuzzleId", F.posexplode("pos").alias("n", "p"))
-    return nodes.select("PuzzleId", "n", F.expr("p.bd AS bd"), F.posexplode("p.at").alias("from_sq", "mask")).filter("mask <> 0").select(
-        "PuzzleId", "n", "from_sq", F.expr("explode(filter(sequence(0, 63), s -> getbit(mask, s) = 1)) AS to_sq"), F.expr("bd[from_sq] AS piece"))
+    each = nodes(puzzles, ["bd", "at"]).select("PuzzleId", "n", "b_bd", F.posexplode("b_at").alias("from_sq", "mask")).filter("mask <> 0")
+    return each.selectExpr("PuzzleId", "n", "from_sq", "explode(filter(sequence(0, 63), s -> getbit(mask, s) = 1)) AS to_sq", "b_bd[from_sq] AS piece")
 
 
-def legal_moves(positions: DataFrame) -> DataFrame:
+def legal_moves(puzzles: DataFrame) -> DataFrame:
     """PuzzleId, n, from_sq, to_sq, promo, is_capture, gives_check."""
-    nodes = positions.select("PuzzleId", F.posexplode("pos").alias("n", "p"))
-    return nodes.select("PuzzleId", "n", F.expr("inline(p.legal)")).withColumnsRenamed({"f": "from_sq", "t": "to_sq", "cap": "is_capture", "chk": "gives_check"})
+    # one value to the optimiser: it would compute the list anew for each field of a move
+    whole = F.explode(F.expr("transform(array(b_legal), x -> x)[0]")).alias("m")
+    each = nodes(puzzles, ["legal"]).select("PuzzleId", "n", whole).select("PuzzleId", "n", "m.*")
+    return each.withColumnsRenamed({"f": "from_sq", "t": "to_sq", "cap": "is_capture", "chk": "gives_check"})

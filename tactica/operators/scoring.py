@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ELOS, MOVES = (1100, 1300, 1500, 1700, 1900), 5
+#: What moves, planes and most scorers need of a replayed position.
+FIELDS = ("white", "f", "t", "promo", "cap", "bd", "rights", "checkers")
 
 
 def policy_vocabulary() -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +18,12 @@ EVAL_COLUMNS = ("SF_Material", "SF_Positional", "SF_Final_Eval", "SF_Last_Move_C
 SOURCES = {"maia1": ["maia1"], "maia2": ["maia2_rapid", "maia2_blitz"]}
 
 
-def block_of(name: str, puzzles: DataFrame, positions: Callable[[], DataFrame], evals=None, themes=None, move_probs=None) -> DataFrame | None:
+def block_of(name: str, puzzles: DataFrame, evals=None, themes=None, move_probs=None) -> DataFrame | None:
     """(PuzzleId, one array column) of a named block; None if its side table is not given."""
     if name == "struct":
-        return features.structure(positions()).select("PuzzleId", F.array(*[F.col(c).cast("double") for c in features.STRUCT_NAMES]).alias(name))
+        return features.structure(puzzles).select("PuzzleId", F.array(*[F.col(c).cast("double") for c in features.STRUCT_NAMES]).alias(name))
     if name == "advanced":
-        return features.advanced(positions()).withColumnRenamed("advanced", name)
+        return features.advanced(puzzles).withColumnRenamed("advanced", name)
     if name == "curve":
         found = curve_features([F.col(c) for c in relational.column_family(puzzles, "success_prob_")])
         return puzzles.select("PuzzleId", F.array(*found.values()).cast("array<double>").alias(name))
@@ -47,15 +47,8 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
     require_columns(puzzles, ["PuzzleId", "FEN", "Moves"])
     puzzles = relational.stable_ratings(puzzles, most=most_deviation or 0, enabled=most_deviation is not None)
     blocks = relational.choose_blocks(blocks, stockfish=evals is not None, maia1=move_probs is not None, maia2=False)
-    made: list[DataFrame] = []
-
-    def positions() -> DataFrame:
-        if not made:
-            made.append(replay.replay(puzzles, ["FEN", "Moves"]))
-        return made[0]
-
     def compute(name: str) -> DataFrame | None:
-        return block_of(name, puzzles, positions, evals, themes, move_probs)
+        return block_of(name, puzzles, evals, themes, move_probs)
 
     if store is not None:
         found = store.load(blocks, compute, puzzles)
@@ -69,9 +62,10 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
     return assemble(base, {n: b.withColumnRenamed("PuzzleId", "pid") for n, b in found.items()})
 
 
-def score_unfinished(puzzles: DataFrame, scorer, source: str, done: DataFrame | None = None) -> DataFrame:
-    """Move probabilities of the puzzles that ``done`` lacks, joined with what it has (W-C)."""
+def score_unfinished(puzzles: DataFrame, scorer, source: str, done: DataFrame | None = None, fields: Iterable[str] = scoring.FIELDS) -> DataFrame:
+    """Move probabilities of the puzzles that ``done`` lacks, joined with what it has (W-C). ``fields`` are what the
+    scorer reads of a position ``p``."""
     todo = puzzles if done is None else puzzles.join(done.filter("prob IS NOT NULL").select(F.col("pid").alias("PuzzleId")).distinct(), "PuzzleId", "left_anti")
-    moves = scoring.with_policy(scoring.player_moves(replay.replay(todo, ["Moves"])), puzzles.sparkSession)
+    moves = scoring.with_policy(scoring.player_moves(replay.replay(todo, ["Moves"], fields)), puzzles.sparkSession)
     new = scoring.score(moves.select(F.col("PuzzleId").alias("pid"), "move_idx", "policy_idx", "p"), scorer, ["pid", "move_idx", "policy_idx"]).withColumn("source", F.lit(source))
     return new if done is None else done.filter("prob IS NOT NULL").unionByName(new)

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from tactica.functions import arrays, evaltext, probs
 from tactica.operators import features, metrics, relational, replay, sampling, scoring, tags
-from tactica.operators.board import LETTERS, Position, name_of
 from tactica.sources import tables
 
 from . import board_sql, build, models, tag_sql
+from .play import LETTERS, Position, name_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -124,7 +124,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def puzzles(spark: SparkSession, d: str) -> DataFrame:
     cat = spark.createDataFrame([(i, fen, moves) for i, (_, fen, moves) in enumerate(CATALOGUE)], "i int, FEN string, Moves string")
     part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("PuzzleId"), (F.col("p_partkey") % len(CATALOGUE)).alias("i"), (F.col("p_size") * 20 - 300).alias("cp"))
-    return part.join(F.broadcast(cat), "i").select("PuzzleId", "FEN", "Moves", "cp")
+    # a replay costs far more than the exchange of its short row: no core waits for the few files of a small table
+    dealt = part.repartition(spark.sparkContext.defaultParallelism, "PuzzleId")
+    return dealt.join(F.broadcast(cat), "i").select("PuzzleId", "FEN", "Moves", "cp")
 
 
 # --- cleaning and joins ---------------------------------------------------------------------------
@@ -539,28 +541,28 @@ SELECT {_ID}, CAST(len(string_split(c.Moves, ' ')) AS INTEGER) AS SolutionLength
  FROM cat c JOIN part ON p_partkey % {len(CATALOGUE)} = c.i LEFT JOIN part4 x ON x.i = c.i LEFT JOIN apart y ON y.i = c.i""")
 def _(s, d):
     p = puzzles(s, d)
-    return features.structure(replay.replay(p, ["FEN", "Moves"])).withColumns({c: F.round(c, 9) for c in ("avg_move_dist", "spatial_spread")})
+    return features.structure(p).withColumns({c: F.round(c, 9) for c in ("avg_move_dist", "spatial_spread")})
 
 
 @query("positions", _BOARDS + f"""SELECT {_ID}, n, white, f, t, CAST(promo AS INTEGER) AS promo, coalesce(cap, false) AS cap,
  list_aggregate(list_transform(range(64), lambda s: CAST({board_sql._code("substr(board, s + 1, 1)")} AS VARCHAR)), 'string_agg', ' ') AS board FROM node x {_PART}""")
 def _(s, d):
-    return replay.replay(puzzles(s, d)).select("PuzzleId", F.posexplode("pos").alias("n", "p")).select("PuzzleId", "n", "p.white", "p.f", "p.t", "p.promo", "p.cap", F.expr("array_join(p.bd, ' ') AS board"))
+    return replay.nodes(puzzles(s, d), ["bd"]).select("PuzzleId", "n", "p.white", "p.f", "p.t", "p.promo", "p.cap", F.expr("array_join(b_bd, ' ') AS board"))
 
 
 @query("attack_edges", _BOARDS + f"SELECT {_ID}, n, from_sq, CAST(to_sq AS INTEGER) AS to_sq, CAST(piece AS INTEGER) AS piece FROM edge x {_PART}")
 def _(s, d):
-    return replay.attack_edges(replay.replay(puzzles(s, d)))
+    return replay.attack_edges(puzzles(s, d))
 
 
 @query("legal_moves", _BOARDS + f"SELECT {_ID}, n, CAST(f AS INTEGER) AS from_sq, CAST(t AS INTEGER) AS to_sq, CAST(promo AS INTEGER) AS promo, cap AS is_capture, chk AS gives_check FROM legal x {_PART}")
 def _(s, d):
-    return replay.legal_moves(replay.replay(puzzles(s, d)))
+    return replay.legal_moves(puzzles(s, d))
 
 
 @query("node_features", _BOARDS + board_sql.features() + f"SELECT {_ID}, n, n % 2 = 1 AS is_player, {', '.join(features.FEATURE_NAMES)} FROM feature x {_PART}")
 def _(s, d):
-    return features.node_features(replay.replay(puzzles(s, d)))
+    return features.node_features(puzzles(s, d))
 
 
 _ZEROS = " ".join(["0"] * len(features.FEATURE_NAMES))
@@ -571,7 +573,7 @@ slot AS (SELECT i, string_agg(coalesce(v, '{_ZEROS}'), ' ' ORDER BY k) AS advanc
   SELECT c.i, k, v FROM cat c CROSS JOIN (SELECT unnest(range(10)) AS k) LEFT JOIN line l ON l.i = c.i AND l.n = CASE WHEN k < 5 THEN 2 * k + 1 ELSE 2 * (k - 5) END) GROUP BY 1)
 SELECT {_ID}, CAST(540 AS INTEGER) AS width, advanced FROM slot x {_PART}""")
 def _(s, d):
-    return features.advanced(replay.replay(puzzles(s, d))).select("PuzzleId", F.size("advanced").alias("width"), F.array_join(F.transform("advanced", lambda x: x.cast("int").cast("string")), " ").alias("advanced"))
+    return features.advanced(puzzles(s, d)).select("PuzzleId", F.size("advanced").alias("width"), F.array_join(F.transform("advanced", lambda x: x.cast("int").cast("string")), " ").alias("advanced"))
 
 
 @query("theme_tags", _BOARDS + tag_sql.tags())
@@ -585,7 +587,7 @@ def _(s, d):
 
 
 def _moves(s, d):
-    return scoring.with_policy(scoring.player_moves(replay.replay(puzzles(s, d), ["Moves"])), s)
+    return scoring.with_policy(scoring.player_moves(replay.replay(puzzles(s, d), ["Moves"], scoring.FIELDS)), s)
 
 
 _POLICY = _BOARDS + board_sql.vocabulary()
@@ -638,7 +640,7 @@ def _(s, d):
   FROM pos p JOIN checker k ON k.i = p.i AND k.n = p.n)
 SELECT {_ID}, flat FROM (SELECT c.i, string_agg(coalesce(v, '0 0 0'), ' ' ORDER BY k) AS flat FROM cat c CROSS JOIN (SELECT unnest(range(10)) AS k) LEFT JOIN step ON step.i = c.i AND step.n = k GROUP BY 1) x {_PART}""")
 def _(s, d):
-    steps = scoring.embedding_steps(replay.replay(puzzles(s, d)))
+    steps = scoring.embedding_steps(replay.replay(puzzles(s, d), fields=("bd", "legal", "checkers")))
     e = steps.select("PuzzleId", "step", F.expr("cast(array(aggregate(p.bd, 0, (a, x) -> a + x), size(p.legal), bit_count(p.checkers)) as array<double>) AS embedding"))
     return scoring.padded_steps(e, "PuzzleId", 3).select("PuzzleId", F.array_join(F.col("flat").cast("array<int>").cast("array<string>"), " ").alias("flat"))
 

@@ -1,12 +1,11 @@
-"""The board helper against public move counts, and positions against the hand-checked catalogue."""
+"""A plain board against public move counts; native replay and masks against the plain board and the hand-checked catalogue."""
 
 import random
 
 import pytest
+from plain_board import Position, name_of, replay_one, square_of
 
 from tactica.operators import features, replay, tags
-from tactica.operators.board import Position, square_of
-from tactica.operators.replay import replay_one
 from tactica.plans.registry import CATALOGUE
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
@@ -46,7 +45,7 @@ def test_attacks_and_attackers_agree():
 
 
 def test_described_squares_agree_with_the_single_rules():
-    from tactica.operators.board import KING, bits, describe
+    from plain_board import KING, bits, describe
 
     for p, move in random_games(3, 40, 11):
         d = describe(p, move)
@@ -76,6 +75,67 @@ def test_catalogue_legal_moves(name, counts):
     assert [g for g, c in zip(got, counts, strict=True) if c is not None] == [c for c in counts if c is not None]
 
 
+def plain(v):
+    if isinstance(v, list) and v and not isinstance(v[0], (int, bool)):
+        return sorted(tuple(sorted((x if isinstance(x, dict) else x.asDict()).items())) for x in v)
+    return v
+
+
+def same_positions(spark, rows):
+    df = spark.createDataFrame(rows, "PuzzleId string, FEN string, Moves string")
+    got = {r.PuzzleId: r for r in replay.replay(df).collect()}
+    shared = [f for f in replay.FIELDS if not f.startswith("hits_")]
+    for name, fen, moves in rows:
+        want, error = replay_one(fen or "", moves or "")
+        assert (error is None) == (got[name].error is None) and len(want) == len(got[name].pos), name
+        for n, (w, p) in enumerate(zip(want, got[name].pos, strict=True)):
+            assert {f: plain(w[f]) for f in shared} == {f: plain(p[f]) for f in shared}, (name, n)
+            for light, digits in ((1, p.hits_w), (-1, p.hits_b)):
+                for s in range(64):
+                    count = sum((digits[f"d{k}"] >> s & 1) << k for k in range(5))
+                    assert count == sum(w["bd"][x] * light > 0 for x in range(64) if w["by"][s] >> x & 1)
+
+
+def test_native_positions_equal_the_plain_board(spark):
+    """Every value that features and themes see, on the catalogue, on odd positions and on random play."""
+    odd = [
+        ("no kings", "8/p6P/8/3q4/8/8/8/R6r w - - 0 1", "a1a7 h1h7"), ("one king", "4k3/8/8/8/8/8/4P3/8 w - - 0 1", "e2e4 e8e7"),
+        ("castling through", "r3k2r/8/8/8/4Q3/8/8/R3K2R b KQkq - 0 1", "e8c8 e1g1"), ("rook takes rook", "r3k2r/8/8/8/8/8/8/R3K2R w KQkq - 0 1", "a1a8 e8e7 e1h1"),
+        ("ep pinned on its rank", "8/8/8/K2pP2r/8/8/8/4k3 w - d6 0 1", "a5a4"), ("ep pinned on a diagonal", "8/8/8/3pP3/8/2K5/8/4k2b w - d6 0 1", ""), ("ep takes the checker", "8/8/8/2k5/3Pp3/8/8/4K3 b - d3 0 1", "e4d3"),
+        ("ep opens a check", "8/8/8/k2pP2R/8/8/8/4K3 w - d6 0 1", "e5d6"), ("promotion behind the king", "8/4P3/8/8/4k3/8/8/4K3 w - - 0 1", "e7e8q"), ("promotion takes on a diagonal", "3n4/4P3/8/6k1/8/8/8/4K3 w - - 0 1", "e7d8q"),
+        ("double check", "4k3/8/8/8/4N3/8/8/K3R3 w - - 0 1", "e4f6"), ("many queens", "QQQQQQQ1/8/8/8/8/8/kq6/7K b - - 0 1", "b2b1"), ("all corners", "r6r/8/8/8/8/8/8/R6R w KQkq - 0 1", "h1h8"),
+        ("the other's piece moves", "4k3/8/8/8/8/8/4p3/4K3 w - - 0 1", "e2e3 e1e2"), ("castling is a check", "5k2/8/8/8/8/8/8/4K2R w K - 0 1", "e1g1"), ("bad fen", "8/8 w", "a1a2"), ("bad side", "8/8/8/8/8/8/8/K6k x - - 0 1", ""),
+        ("bad square", "8/8/8/8/8/8/8/K6k w - z9 0 1", ""), ("bad move", START, "e2e4 e7e5 zz"), ("empty square", START, "e4e5"), ("nulls", None, None), ("short fen", "8/8/8/8/8/8/8/K6k w", " a1b1  h1g1 "),
+    ]
+    games = [(f"g{i}", p.fen(), name_of(a) + name_of(b) + ("pnbrqk"[q - 1] if q else "")) for i, (p, (a, b, q)) in enumerate(random_games(4, 60, 21))]
+    same_positions(spark, [*CATALOGUE, *odd, *games])
+
+
+@pytest.mark.parametrize(("fen", "counts"), [(START, (20, 400, 8902)), (TRICKY, (48, 2039)), ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", (14, 191, 2812))])
+def test_native_move_counts(spark, fen, counts):
+    """The public counts, each level by legal moves of the boards that the last level's moves lead to."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("0", fen, "")], "PuzzleId string, FEN string, Moves string")
+    name = lambda s: F.concat(F.chr(97 + F.col(s) % 8), (F.expr(f"{s} div 8") + 1).cast("string"))
+    for k, count in enumerate(counts):
+        moves = replay.legal_moves(df).filter(f"n = {k}")
+        if k == len(counts) - 1:
+            assert moves.count() == count
+            break
+        uci = F.concat(name("from_sq"), name("to_sq"), F.expr("if(promo = 0, '', substr('pnbrqk', promo, 1))"))
+        df = df.withColumnRenamed("PuzzleId", "was").join(moves.select(F.col("PuzzleId").alias("was"), uci.alias("uci")), "was")
+        df = df.select(F.concat_ws("-", "was", "uci").alias("PuzzleId"), "FEN", F.trim(F.concat_ws(" ", "Moves", "uci")).alias("Moves"))
+        df = spark.createDataFrame(df.collect(), df.schema)
+        assert df.count() == count
+
+
+def test_boards_need_no_python(spark, catalogue):
+    for df in (replay.attack_edges(catalogue), replay.legal_moves(catalogue), features.node_features(catalogue), features.advanced(catalogue), features.structure(catalogue), tags.tag(catalogue)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def test_unreadable_input_is_an_error_not_a_crash():
     for fen in ("", "8/8 w", "8/8/8/8/8/8/8/9 w", "what"):
         rows, error = replay_one(fen, "e2e4")
@@ -122,17 +182,16 @@ def test_single_rules(spark, fen, moves, words):
 
 
 def test_feature_spot_checks(spark, catalogue):
-    positions = replay.replay(catalogue).cache()
-    nodes = {(r.PuzzleId, r.n): r for r in features.node_features(positions).collect()}
+    nodes = {(r.PuzzleId, r.n): r for r in features.node_features(catalogue).collect()}
     assert nodes["F01", 0].num_legal_moves == 28 and nodes["F01", 1].num_legal_moves == 43
     assert (nodes["F01", 1].move_is_check, nodes["F01", 1].material_gain, nodes["F01", 1].captures_undefended) == (1, 1, 0)
     assert (nodes["F14", 1].material_gain, nodes["F14", 1].captures_undefended, nodes["F14", 2].recapture, nodes["F14", 2].accepted_sacrifice) == (5, 0, 1, 0)
     assert (nodes["F04", 1].material_gain, nodes["F04", 1].captures_undefended, nodes["F04", 1].has_en_passant) == (1, 0, 1)
-    rows = {r.PuzzleId: r for r in features.structure(replay.replay(catalogue, ["FEN", "Moves"])).collect()}
+    rows = {r.PuzzleId: r for r in features.structure(catalogue).collect()}
     f11 = rows["F11"]
     assert (f11.white_pieces, f11.black_pieces, f11.material_balance, f11.num_participating_pieces, f11.num_piece_types) == (2, 3, -7, 2, 1)
     assert (f11.max_piece_value, f11.uses_minor, f11.avg_move_dist, f11.spatial_spread) == (3, 1, 2.0, 2.0)
-    wide = {r.PuzzleId: r.advanced for r in features.advanced(positions).collect()}
+    wide = {r.PuzzleId: r.advanced for r in features.advanced(catalogue).collect()}
     names = features.ADVANCED_NAMES
     assert len(names) == 540 and {len(v) for v in wide.values()} == {540}
     assert wide["F01"][names.index("o0_num_legal_moves")] == 28 and wide["F01"][names.index("p0_num_legal_moves")] == 43
@@ -147,17 +206,15 @@ def test_feature_spot_checks(spark, catalogue):
 
 def test_isolated_pawn_quirk(spark):
     df = spark.createDataFrame([("x", "4k3/8/8/8/8/8/P2P4/4K3 w - - 0 1", "e1e2")], "PuzzleId string, FEN string, Moves string")
-    p = replay.replay(df)
     at = features.ADVANCED_NAMES.index("o0_isolated_pawns")
-    assert features.advanced(p).first().advanced[at] == 1
-    assert features.advanced(p, a_file_quirk=False).first().advanced[at] == 2
+    assert features.advanced(df).first().advanced[at] == 1
+    assert features.advanced(df, a_file_quirk=False).first().advanced[at] == 2
 
 
 def test_edges_and_moves_in_long_form(spark, catalogue):
-    p = replay.replay(catalogue)
-    edges = {(r.PuzzleId, r.n, r.from_sq, r.to_sq) for r in replay.attack_edges(p).collect()}
+    edges = {(r.PuzzleId, r.n, r.from_sq, r.to_sq) for r in replay.attack_edges(catalogue).collect()}
     assert ("F02", 1, square_of("d1"), square_of("d8")) in edges and ("F02", 1, square_of("d1"), square_of("h1")) not in edges
-    assert replay.legal_moves(p).filter("PuzzleId = 'F01' AND n = 1").count() == 43
+    assert replay.legal_moves(catalogue).filter("PuzzleId = 'F01' AND n = 1").count() == 43
 
 
 def test_squares_between():
