@@ -8,9 +8,12 @@ leaves, where each keeps its share of the corpus counts.
 Tokens are dealt by the last word (very common ones also by the word before) over shards of about
 equal size, as many as the corpus needs, so the model grows with the corpus. A feature hashes to a
 row of weights in its shard, with a tag that tells it from others of the same row; what loses its
-row to another, or stands with one token only, has none. A shard trains by adaptive gradient steps and then scores its tokens, in
-one task; neither shards nor scores depend on how the texts lie in partitions, but for ties in the
-order of steps. Weights of the skip hold within a shard.
+row to another, or stands with one training token only, has none. A shard trains by adaptive gradient steps and then
+scores its tokens, in one task. Weights of the skip hold within a shard, and so do those of words that are dealt over
+several: a shard's updates are not exchanged with others.
+
+Shards, steps and tables follow from ids, words and training counts alone, so scores depend neither on how
+the texts lie in partitions nor on which other texts are held out.
 
 Counts cover all training texts. Those of the FREQUENT most frequent words go to the tasks; the
 counts of all other words are joined by word, once for each portion of texts.
@@ -147,19 +150,19 @@ class Tree:
 
 class Features:
     """The live features of tokens that choose at one depth: for each kind, which tokens have it and their rows
-    of weights. A feature lives if it stands with two tokens or more, for all else its weights could only
-    tell a token of itself."""
+    of weights. A feature lives if it stands with two training tokens or more, for all else its weights could
+    only tell a token of itself."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, learn: np.ndarray):
-        n = keys.shape[1]
-        bits = max(LEAST_BITS, int(2 * n).bit_length())
+    def __init__(self, keys: np.ndarray, learnt: np.ndarray):
+        learn = learnt > 0
+        bits = max(LEAST_BITS, int(2 * learn.sum()).bit_length())
         rows, tags = (keys >> np.uint64(64 - bits)).astype(np.int32), (keys & np.uint64(0xFFFF)).astype(np.uint16)
         tags[tags == 0] = 1  # 0 is no tag
         # a row belongs to the last that claims it, so rather to a frequent feature
         owner = np.zeros(1 << bits, np.uint16)
         owner[rows[:, learn].ravel()] = tags[:, learn].ravel()
         live = owner[rows] == tags
-        many = sum(np.bincount(r[x], counts[x], 1 << bits) for r, x in zip(rows, live, strict=True))
+        many = sum(np.bincount(r[x], learnt[x], 1 << bits) for r, x in zip(rows, live, strict=True))
         live &= many[rows] > 1
         self.rows, self.live = rows, live
         self.weights, self.square = np.zeros((1 << bits, FAN), np.float32), np.full(1 << bits, 1e-4, np.float32)
@@ -198,10 +201,9 @@ class Features:
         self.weights[own] -= change
 
 
-def gains(tree: Tree, leaf: np.ndarray, contexts: np.ndarray, counts: np.ndarray, learnt: np.ndarray) -> np.ndarray:
-    """Of cases (a word after two others) that stand ``counts`` times in all and ``learnt`` times in training
-    texts: steps over the latter; then, of all, the natural log of the leaf's probability less that of
-    its share. Depths have their own weights and come one after the other; the skip only takes part in
+def gains(tree: Tree, leaf: np.ndarray, contexts: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Of cases (a word after two others) that stand ``learnt`` times in training texts: steps over those that do,
+    in their order; then, of all, the natural log of the leaf's probability less that of its share. Depths have their own weights and come one after the other; the skip only takes part in
     the first SKIP_DEPTHS choices, and from FEATURE_DEPTHS on the shares alone decide."""
     place, out = tree.leaf[leaf], np.zeros(len(leaf))
     for d in range(FEATURE_DEPTHS):
@@ -212,7 +214,7 @@ def gains(tree: Tree, leaf: np.ndarray, contexts: np.ndarray, counts: np.ndarray
         node, target = node[on], place[on] // FAN ** (DEPTH - d - 1) % FAN
         keys = _mix(contexts[: 3 if d < SKIP_DEPTHS else 2, on] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         learns = learnt[on].astype(np.float32)
-        features = Features(keys, counts[on], learns > 0)
+        features = Features(keys, learns)
         own = np.flatnonzero((learns > 0) & features.any)
         for _ in range(EPOCHS):
             for a in range(0, len(own), BATCH):
@@ -254,26 +256,27 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 class Dealer:
-    """Shards of tokens. All tokens after the same two words meet in one shard, and as far as SHARD allows
-    all after the same last word; what is too much for one is dealt over several, each with plenty to learn from."""
+    """Shards of tokens. As far as SHARD allows all tokens after the same last word meet in one; those of a word
+    that is too much for one are dealt by the word before, and where that is as frequent, so that the pair
+    may be, by text."""
 
     def __init__(self, vocabulary: Vocabulary, total: int):
-        self.shards, self.total = max(1, -(-total // SHARD)), max(total, 1)
+        self.shards = max(1, -(-total // SHARD))
         self.pieces = np.ones(vocabulary.size + 2, np.uint64)
         for i, (w, n) in enumerate(vocabulary.ranked):
             self.pieces[i + 1] = max(1, -(-n * 4 // SHARD))
             if w == END:  # as many texts start as end
                 self.pieces[0] = self.pieces[i + 1]
 
-    def deal(self, last: np.ndarray, skip: np.ndarray, salt: int) -> np.ndarray:
-        words, others = last.astype(np.uint64), skip.astype(np.uint64)
-        piece = _mix(others * np.uint64(11)) % self.pieces[np.minimum(last, len(self.pieces) - 1)]
-        slot = (_mix(words << np.uint64(32) | others) >> np.uint64(44)).astype(np.int64)
-        n = np.bincount(slot, minlength=1 << 20)
-        n = np.maximum(np.where(n < 32, 0, n * (self.total / len(last)) * 4 // SHARD), 1).astype(np.uint64)
-        parts = n[slot]
-        piece += _mix(np.full(1, salt, np.int64).astype(np.uint64) * np.uint64(13)) % parts * np.uint64(1_000_003)
-        return (_mix(_mix(words * np.uint64(17)) + piece * np.uint64(19)) % np.uint64(self.shards)).astype(np.int64)
+    def deal(self, last: np.ndarray, skip: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """``row``: a number of each token's text."""
+        most = len(self.pieces) - 1
+        own, other = self.pieces[np.minimum(last, most)], self.pieces[np.minimum(skip, most)]
+        piece = _mix(skip.astype(np.uint64) * np.uint64(11)) % own
+        # a pair is no more frequent than the rarer of its words
+        hot = np.flatnonzero((own > 1) & (other > 1))
+        piece[hot] += _mix(row[hot].astype(np.uint64) * np.uint64(13)) % np.minimum(own[hot], other[hot]) * np.uint64(1_000_003)
+        return (_mix(_mix(last.astype(np.uint64) * np.uint64(17)) + piece * np.uint64(19)) % np.uint64(self.shards)).astype(np.int64)
 
 
 def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray, n_frequent: int) -> Iterator[pa.RecordBatch]:
@@ -287,14 +290,11 @@ def _learn(batches: Iterator[pa.RecordBatch], mass: np.ndarray, n_frequent: int)
     def finish():
         tables = [unpack(data, 4) for _, data in held]
         last, skip, text, word = np.concatenate(tables, axis=1)
-        # equal cases once, in the order in which they first stand
+        # equal cases once, in the order of their hashes
         cases = _mix(_mix(last.astype(np.uint64) << np.uint64(32) | skip) + word)
-        _, first, inverse, counts = np.unique(cases, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(first)
-        at, learnt = first[order], np.bincount(inverse, text % 2 == 0, len(first))[order]
-        gain = np.empty(len(first))
-        gain[order] = gains(tree, tree.at(word[at].astype(np.int64)), contexts_of(last[at], skip[at]), counts[order], learnt)
-        gain = gain[inverse]
+        _, first, inverse = np.unique(cases, return_index=True, return_inverse=True)
+        learnt = np.bincount(inverse, text % 2 == 0, len(first))
+        gain = gains(tree, tree.at(word[first].astype(np.int64)), contexts_of(last[first], skip[first]), learnt)[inverse]
         at = 0
         for (batch, _), t in zip(held, tables, strict=True):
             own, inverse = np.unique(t[2] // 2, return_inverse=True)
@@ -352,7 +352,7 @@ def model_gains(rows: DataFrame, frequent: list[tuple[bytes, int]], mass: np.nda
             lengths, words, codes = tokens(part["text"])
             ids, batch = vocabulary.ids(words)[codes], int(rows[0])
             last, skip = before(ids, lengths, 0)
-            shard = dealer.deal(last, skip, batch)
+            shard = dealer.deal(last, skip, np.repeat(rows, lengths))
             text = np.repeat(np.arange(len(rows)) * 2 + held, lengths)
             order = np.argsort(shard << 32 | last, kind="stable")
             columns = np.stack([last, skip, text, ids])[:, order]
@@ -435,25 +435,32 @@ def lm_scores(docs: DataFrame, held_out=None, text_col: str = "text") -> DataFra
     texts every word is unknown. Repeated rows count as often as they stand there.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out, F.lit(False))
-    docs = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(text_col).alias("text")))
+    docs = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(text_col).alias("text")), then=("text", "held_out"))
     rows = docs.withColumnRenamed("__row", "row")
     training = rows.filter("NOT held_out").select("text")
     counts = durable(count_words(training))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # a histogram tells the count from which on there are FREQUENT words at most
-    step = F.floor(F.log2("n") * 64)
-    left, least = FREQUENT, 0
+    # a histogram tells the count from which on there are FREQUENT words at most, a second one the hash under which
+    # words of the next lower counts still find room
+    step, mark = F.floor(F.log2("n") * 64), F.pmod(F.xxhash64("word"), F.lit(4096))
+    left, least, marks = FREQUENT, 0, 0
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # some thousand rows
-        left -= r["count"]
-        if left < 0:
+        if r["count"] > left:
             least = r["step"] + 1
+            for m in sorted(counts.filter(step == r["step"]).groupBy(mark.alias("mark")).count().collect()):  # 4096 rows at most
+                left -= m["count"]
+                if left < 0:
+                    break
+                marks = m["mark"] + 1
             break
-    top = counts.filter(step >= least).select("word", "n").toArrow()
+        left -= r["count"]
+    own_leaf = (step >= least) | ((step == least - 1) & (mark < marks))
+    top = counts.filter(own_leaf).select("word", "n").toArrow()
     frequent = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     norm = total + 0.1 * (distinct + 1)
 
     vocabulary = Vocabulary(frequent)
-    rare = counts.filter(step < least)
+    rare = counts.filter(~own_leaf)
     shared = np.full(SHARED, 0.1 / SHARED)
     leaf = (F.crc32("word") % RARE_IDS % SHARED).alias("leaf")
     for r in rare.groupBy(leaf).agg(F.sum(F.col("n") + 0.1).alias("m")).collect():  # SHARED rows at most
