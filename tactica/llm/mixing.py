@@ -47,28 +47,38 @@ def sized(docs: DataFrame, seed: int, row_col: str | None = None) -> DataFrame:
     )
 
 
+def in_order(df: DataFrame, order: list, sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` in a durable copy with ``place`` (from 0) and, for each column of ``sums``, ``before_`` + its name: the
+    sum over all rows earlier in the order.
+
+    One sort by ranges: a row's number in its range is added to the sizes of the ranges before, of which
+    there are no more than shuffle partitions.
+    """
+    placed = durable(df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id())).withColumn("range_", F.shiftright("at_", 33))
+    ranges = placed.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = ranges.select("range_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("n_"), *[F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)).alias(f"all_{c}") for c in sums])
+    within = Window.partitionBy("range_").orderBy("at_")
+    rows_before = within.rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.join(F.broadcast(ranges), "range_")
+    found = found.withColumns({"place": F.col("n_") + F.row_number().over(within) - 1} | {f"before_{c}": F.col(f"all_{c}") + F.coalesce(F.sum(c).over(rows_before), F.lit(0)) for c in sums})
+    return found.drop("range_", "at_", "n_", *[f"all_{c}" for c in sums])
+
+
 def targets(rows: DataFrame) -> DataFrame:
     """source, source_size, target: shares of all words by weight, none above 3 times its size.
 
     Sources fill up in the order of limit / weight; the level is the first share of what is left
     that no later source's limit lies under.
     """
-    everything = Window.partitionBy(F.lit(0))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    n = len(WEIGHTS)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (rank % n + 1).cast("int"))
-    by_limit = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_limit.rowsBetween(0, Window.unboundedFollowing)
-    return (
-        per.withColumn("weight", weight)
-        .withColumn("most", (F.col("source_size") * MAX_REPEATS).cast("double"))
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
-        .select("source", "source_size", F.least("most", F.col("weight") * F.col("level")).alias("target"))
-    )
+    per = in_order(rows.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    per = per.withColumn("weight", weight).drop("place").withColumn("most", (F.col("source_size") * MAX_REPEATS).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
+    per = durable(in_order(per, ["ratio", F.col("source").asc_nulls_last()], ("most", "weight")))
+    total, weights = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total) - F.col("before_most")) / (F.lit(weights) - F.col("before_weight"))
+    found = per.withColumn("level", level).filter("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("best")).first()["best"]
+    return per.select("source", "source_size", F.least("most", F.col("weight") * F.lit(found["level"] if found else 0.0)).alias("target"))
 
 
 def _cut(pieces: DataFrame, keys: list[str], order: list, size: str, want: str) -> DataFrame:
@@ -121,8 +131,8 @@ def splitting_tree(quotas: DataFrame, seed: int, shards: int = SHARDS) -> DataFr
     Of a node's N draws the left half takes N div 2. The sources stand in groups; first the groups'
     totals are drawn, then each group's share is drawn among its sources.
     """
-    ranked = quotas.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    group = F.floor(F.col("rank") / F.lit(max(1, math.isqrt(quotas.count())))).cast("int").alias("grp")
+    ranked = in_order(quotas, [F.col("source").asc_nulls_last()]).withColumnRenamed("place", "rank")
+    group = F.floor(F.col("rank") / F.lit(max(1, math.isqrt(ranked.count())))).cast("int").alias("grp")
     nodes = ranked.select(F.lit(0).alias("node"), group, F.struct("rank", F.col("source").isNull().alias("none"), "source", "n").alias("s"))
     nodes = durable(nodes.groupBy("node", "grp").agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("total", F.expr("aggregate(s, 0L, (a, x) -> a + x.n)")))
     depth, width = 0, 1
@@ -163,7 +173,9 @@ def mixture(docs: DataFrame, seed: int = 11, shards: int | None = None, row_col:
     order = Window.partitionBy("source").orderBy(F.xxhash64("source", "block", "copy", F.lit(seed + 2)), "block", "copy")
     one = one.withColumn("at", F.row_number().over(order) - 1)
     tree = splitting_tree(one.groupBy("source").agg(F.count(F.lit(1)).alias("n")), seed, shards)
-    placed = one.alias("d").join(tree.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.at") >= F.col("t.first")) & (F.col("d.at") < F.col("t.first") + F.col("t.n")))
+    # a row for each draw of a shard, so that draws meet by their number
+    tree = tree.filter("n > 0").select("source", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
+    placed = one.alias("d").join(tree.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.at") == F.col("t.at")))
     per_block = placed.groupBy("d.source", "d.block").agg(F.collect_list(F.struct("d.copy", "d.whole", "t.shard")).alias("draws"))
     about = blocks.select("source", "block", "source_size", "target").alias("a").join(
         per_block.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block")), "left").select("a.*", "draws")

@@ -413,6 +413,26 @@ def test_tree_splits_exactly(spark):
 # --- language model -------------------------------------------------------------------------------
 
 
+def test_targets_of_many_sources(spark):
+    """50,000 sources: the level by ranges of the sorted sources against a plain loop."""
+    n = 50_000
+    have = {f"s{i:05d}": (i * 7919) % 997 + (1_000_000 if i % 5_000 == 0 else 0) for i in range(n)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(have.items()), "source string, size long")).collect()}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(have))}
+    left, rest, level = float(sum(have.values())), sum(weight.values()), 0.0
+    for s in sorted(have, key=lambda s: (3 * have[s] / weight[s], s)):
+        level = left / rest
+        if level <= 3 * have[s] / weight[s]:
+            break
+        left, rest = left - 3 * have[s], rest - weight[s]
+    assert len(got) == n and all(got[s] == pytest.approx(min(3 * have[s], weight[s] * level)) for s in have)
+
+
+def test_draws_meet_shards_by_number(spark, docs):
+    plan = mixing.mixture(docs)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "at#" in plan and not re.search(r"Join Inner, .*[<>]=? *\(?first#", plan)
+
+
 @pytest.mark.parametrize("table", ["docs", "awkward", "empty"])
 def test_lm(request, table):
     df = request.getfixturevalue(table)
