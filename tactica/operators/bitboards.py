@@ -242,8 +242,9 @@ def _steps() -> dict[str, str]:
 
 
 #: What a replayed position gives: side to move, the board as 64 letters, letters of castling rights, the square
-#: behind a double push (-1: none), and the move that is played there, with the letter on its target.
-GIVEN = ("white", "board", "castling", "ep", "f", "t", "promo", "cap", "taken")
+#: behind a double push (-1: none), and the move that is played there, with the letter on its
+#: target; moves since a capture or a pawn's move, and the number of the move.
+GIVEN = ("white", "board", "castling", "ep", "f", "t", "promo", "cap", "taken", "half", "full")
 STEPS = _steps()
 _NAME = re.compile(r"\$(\w+)")
 

@@ -47,8 +47,9 @@ def _fold() -> str:
     gone = "translate(a.castling, concat(" + ", ".join(f"if(m.f IN ({k}, {rook}) OR m.t IN ({k}, {rook}), '{r}', '')" for r, (k, _, rook, _) in CASTLES.items()) + "), '')"
     cap = "m.is_ep OR (m.target <> '.' AND (m.target = upper(m.target)) <> a.white)"
     following = f"""named_struct('board', {_moved()}, 'white', NOT a.white, 'castling', {gone}, 'ep', if(upper(m.piece) = 'P' AND abs(m.f - m.t) = 16, (m.f + m.t) div 2, -1L),
-      'error', cast(NULL AS string), 'done', concat(a.done, array(named_struct('white', a.white, 'board', a.board, 'castling', a.castling, 'ep', a.ep, 'f', m.f, 't', m.t, 'promo', m.promo, 'cap', {cap}, 'taken', m.target))))"""
-    stop = lambda why: f"named_struct('board', a.board, 'white', a.white, 'castling', a.castling, 'ep', a.ep, 'error', {why}, 'done', a.done)"
+      'half', if(upper(m.piece) = 'P' OR {cap}, 0, a.half + 1), 'full', if(a.white, a.full, a.full + 1),
+      'error', cast(NULL AS string), 'done', concat(a.done, array(named_struct('white', a.white, 'board', a.board, 'castling', a.castling, 'ep', a.ep, 'f', m.f, 't', m.t, 'promo', m.promo, 'cap', {cap}, 'taken', m.target, 'half', a.half, 'full', a.full))))"""
+    stop = lambda why: f"named_struct('board', a.board, 'white', a.white, 'castling', a.castling, 'ep', a.ep, 'half', a.half, 'full', a.full, 'error', {why}, 'done', a.done)"
     step = f"transform(array({seen}), m -> if(m.piece = '.', {stop(repr('a move from an empty square'))}, {following}))[0]"
     return f"""CASE WHEN a.error IS NOT NULL THEN a WHEN NOT (u RLIKE {form}) THEN {stop("concat('not a move: ', u)")}
       ELSE transform(array({read}), r -> {step})[0] END"""
@@ -61,11 +62,11 @@ def games(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     keep = list(keep)
     kept = [f"`{c}`" for c in keep]
     rows = puzzles.selectExpr("cast(PuzzleId AS string) AS PuzzleId", *kept, "coalesce(FEN, '') AS text", "filter(split(trim(coalesce(Moves, '')), '\\\\s+'), u -> u <> '') AS uci", "split(trim(coalesce(FEN, '')), '\\\\s+') AS fen")
-    rows = rows.selectExpr("PuzzleId", *kept, "text", "uci", f"{_WIDE} AS wide", f"coalesce(get(fen, 1), '') AS side", "coalesce(get(fen, 2), '-') AS castling", "coalesce(get(fen, 3), '-') AS ep")
+    rows = rows.selectExpr("PuzzleId", *kept, "text", "uci", f"{_WIDE} AS wide", f"coalesce(get(fen, 1), '') AS side", "coalesce(get(fen, 2), '-') AS castling", "coalesce(get(fen, 3), '-') AS ep", "coalesce(try_cast(get(fen, 4) AS int), 0) AS half", "coalesce(try_cast(get(fen, 5) AS int), 1) AS full")
     readable = "wide RLIKE '^([pnbrqkPNBRQK.]{8}/){7}[pnbrqkPNBRQK.]{8}$' AND side IN ('w', 'b') AND (ep = '-' OR ep RLIKE '^[a-h][1-8]$')"
-    start = f"""named_struct('board', concat_ws('', reverse(split(wide, '/'))), 'white', side = 'w', 'castling', regexp_replace(castling, '[^KQkq]', ''), 'ep', if(ep = '-', -1L, cast({_square('ep', 1)} AS bigint)),
-      'error', cast(NULL AS string), 'done', cast(array() AS array<struct<white:boolean,board:string,castling:string,ep:bigint,f:int,t:int,promo:int,cap:boolean,taken:string>>))"""
-    last = "named_struct('white', s.white, 'board', s.board, 'castling', s.castling, 'ep', s.ep, 'f', cast(NULL AS int), 't', cast(NULL AS int), 'promo', cast(NULL AS int), 'cap', false, 'taken', '')"
+    start = f"""named_struct('board', concat_ws('', reverse(split(wide, '/'))), 'white', side = 'w', 'castling', regexp_replace(castling, '[^KQkq]', ''), 'ep', if(ep = '-', -1L, cast({_square('ep', 1)} AS bigint)), 'half', half, 'full', full,
+      'error', cast(NULL AS string), 'done', cast(array() AS array<struct<white:boolean,board:string,castling:string,ep:bigint,f:int,t:int,promo:int,cap:boolean,taken:string,half:int,full:int>>))"""
+    last = "named_struct('white', s.white, 'board', s.board, 'castling', s.castling, 'ep', s.ep, 'f', cast(NULL AS int), 't', cast(NULL AS int), 'promo', cast(NULL AS int), 'cap', false, 'taken', '', 'half', s.half, 'full', s.full)"
     rows = rows.selectExpr("PuzzleId", *kept, "text", f"if({readable}, aggregate(uci, {start}, (a, u) -> {_fold()}), NULL) AS s")
     return rows.selectExpr("PuzzleId", *kept, f"if(s IS NULL, array(), concat(s.done, array({last}))) AS raw", "if(s IS NULL, concat('not a position: ', text), s.error) AS error")
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .replay import replay
+
 ELOS, MOVES = (1100, 1300, 1500, 1700, 1900), 5
 #: What moves, planes and most scorers need of a replayed position.
 FIELDS = ("white", "f", "t", "promo", "cap", "bd", "rights", "checkers")
@@ -95,6 +97,44 @@ def planes(p: str = "p") -> str:
     return f"array_sort(concat({repeated}, {whole}))"
 
 
+#: What the flipped planes need of a replayed position.
+FLIPPED_FIELDS = ("white", "bd", "rights", "half", "full")
+
+
+def flipped_planes(p: str = "p") -> str:
+    """SQL: the other layout of the 112 x 64 planes (M18), as (index, value) pairs in order, for a sparse vector.
+
+    Twelve piece planes, own pawn to king, then the other's, with the ranks turned over (the eighth comes
+    first) whoever moves; from plane 104 on, whole planes: Black to move, the move's number by a hundred, own and the
+    other's castling (king's, queen's), moves since a capture or a pawn's by a hundred, ones.
+    """
+    men = f"filter(transform({p}.bd, (x, s) -> if(x = 0, -1, (abs(x) - 1 + if((x > 0) = {p}.white, 0, 6)) * 64 + (s ^ 56))), i -> i >= 0)"
+    own, other = (0, 1), (2, 3)
+    right = lambda k: f"if({p}.white, {p}.rights[{own[k % 2] if k < 2 else other[k % 2]}], {p}.rights[{other[k % 2] if k < 2 else own[k % 2]}])"
+    flags = [f"if({p}.white, 0D, 1D)", f"{p}.full / 100D", *[f"if({right(k)}, 1D, 0D)" for k in range(4)], f"{p}.half / 100D", "1D"]
+    whole = f"flatten(transform(filter(transform(array({', '.join(flags)}), (v, k) -> named_struct('k', k, 'v', v)), c -> c.v <> 0D), c -> transform(sequence(0, 63), s -> named_struct('index', (104 + c.k) * 64 + s, 'value', c.v))))"
+    return f"concat(array_sort(transform({men}, i -> named_struct('index', i, 'value', 1D))), {whole})"
+
+
+def board_tensors(puzzles: DataFrame, positions: int = MOVES) -> DataFrame:
+    """PuzzleId, step, planes (a sparse vector of 7,168 values in the flipped layout) of the start and of the board
+    after each move, ``positions`` at most."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def sparse(index, value):
+        return SparseVector(112 * 64, index, value)
+
+    found = sparse_planes(puzzles, positions)
+    return found.select("PuzzleId", "step", sparse("cells.index", "cells.value").alias("planes"))
+
+
+def sparse_planes(puzzles: DataFrame, positions: int = MOVES) -> DataFrame:
+    """PuzzleId, step, cells: the (index, value) pairs of ``board_tensors``, by built-in functions alone."""
+    steps = replay(puzzles, fields=FLIPPED_FIELDS).select("PuzzleId", F.posexplode(F.slice("pos", 1, positions)).alias("step", "p"))
+    return steps.select("PuzzleId", "step", F.expr(flipped_planes()).alias("cells"))
+
+
 def embedding_steps(positions: DataFrame, steps: int = 10) -> DataFrame:
     """PuzzleId, step, p: the start and the board after each move that could be made, ``steps`` at most."""
     return positions.select("PuzzleId", F.posexplode(F.slice("pos", 1, steps)).alias("step", "p"))

@@ -42,18 +42,18 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
     """pid, y, weight and one array column for each block.
 
     Filtered by deviation first; every block is keyed by PuzzleId, so none can go out of step with
-    the filter. With a store only missing blocks are computed. A block without its table is an error.
+    the filter. With a store only missing rows of blocks are computed. A block without its table is an error.
     """
     require_columns(puzzles, ["PuzzleId", "FEN", "Moves"])
     puzzles = relational.stable_ratings(puzzles, most=most_deviation or 0, enabled=most_deviation is not None)
     blocks = relational.choose_blocks(blocks, stockfish=evals is not None, maia1=move_probs is not None, maia2=False)
-    def compute(name: str) -> DataFrame | None:
-        return block_of(name, puzzles, evals, themes, move_probs)
+    def compute(name: str, some: DataFrame) -> DataFrame | None:
+        return block_of(name, some, evals, themes, move_probs)
 
     if store is not None:
         found = store.load(blocks, compute, puzzles)
     else:
-        found = {name: compute(name) for name in blocks}
+        found = {name: compute(name, puzzles) for name in blocks}
         if absent := [n for n, b in found.items() if b is None]:
             raise ValueError(f"blocks without their tables: {', '.join(absent)}")
     deviation = F.col("RatingDeviation") if "RatingDeviation" in puzzles.columns else F.lit(1)

@@ -273,14 +273,18 @@ def _(s, d):
 @query("block_store", f"""SELECT PuzzleId, CAST(SolutionLength AS DOUBLE) AS length, round(2.5 * SolutionLength, 3)::DOUBLE AS other
 FROM (SELECT PuzzleId, len(string_split(Moves, ' ')) AS SolutionLength FROM {_PUZZLES_SQL})""")
 def _(s, d):
-    """A block that is there already is read, another is computed (S6); a block of other puzzles is not taken."""
+    """Rows that are there already are read, others computed (S6): a third of the puzzles, some of those changed
+    since, then all; compacted."""
     p = puzzles(s, d)
     blocks = {"length": lambda df: features.basic(df).select("PuzzleId", F.array(F.col("SolutionLength").cast("double")).alias("length")),
               "other": lambda df: features.basic(df).select("PuzzleId", F.array(F.col("SolutionLength") * 2.5).alias("other"))}
-    store = tables.BlockStore(s, scratch(s), always=())
-    store.load(["length"], lambda n: blocks[n](p.filter("PuzzleId % 2 = 0")), p.filter("PuzzleId % 2 = 0"))
-    store.load(["length"], lambda n: blocks[n](p), p)
-    found = store.load(["length", "other"], lambda n: blocks[n](p), p)
+    store = tables.BlockStore(s, scratch(s))
+    compute = lambda name, some: blocks[name](some)
+    before = p.filter("PuzzleId % 3 = 0").withColumn("Moves", F.when(F.expr("PuzzleId % 2 = 0"), F.col("Moves")).otherwise(F.concat("Moves", F.lit(" a1a1"))))
+    store.load(["length"], compute, before)
+    store.load(["length", "other"], compute, p)
+    store.compact("length", p)
+    found = store.load(["length", "other"], compute, p)
     m = models.assemble(p.select(F.col("PuzzleId").alias("pid")), {n: b.withColumnRenamed("PuzzleId", "pid") for n, b in found.items()})
     return m.select(F.col("pid").alias("PuzzleId"), F.col("length")[0].alias("length"), F.round(F.col("other")[0], 3).alias("other"))
 
@@ -627,6 +631,7 @@ whole AS (SELECT i, move_idx, 6656 + k * 64 + s AS place FROM const JOIN sq ON k
 SELECT {_ID}, x.move_idx, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) AS planes FROM (SELECT * FROM cells8 UNION ALL SELECT * FROM whole) x {_PART} GROUP BY 1, 2"""
 
 
+_HAS = lambda r: f"({board_sql._HAS[r]})".replace("rights", "p.rights").replace("board", "p.board")
 _RIGHT = lambda r: f"({board_sql._HAS[r]})"
 _SIDES = ", ".join(f"CASE WHEN CASE WHEN white THEN {_RIGHT(a)} ELSE {_RIGHT(b)} END THEN {k} END" for k, (a, b) in enumerate(("Kk", "Qq", "kK", "qQ")))
 
@@ -636,6 +641,21 @@ def _(s, d):
     return _moves(s, d).select("PuzzleId", "move_idx", F.expr(f"array_join({scoring.planes()}, ' ')").alias("planes"))
 
 
+_FEN_PART = lambda k, default: f"coalesce(try_cast(split_part(FEN, ' ', {k}) AS INTEGER), {default})"
+_FLIPPED_FLAGS = ", ".join(f"CASE WHEN CASE WHEN p.white THEN {_HAS(a)} ELSE {_HAS(b)} END THEN {106 + k} END" for k, (a, b) in enumerate(("Kk", "Qq", "kK", "qQ")))
+
+
+@query("flipped_planes", _BOARDS + f""", clock AS (SELECT p.i, p.n, p.board, p.white, p.rights, {_FEN_PART(6, 1)} + (SELECT count(*) FROM pos q WHERE q.i = p.i AND q.n < p.n AND NOT q.white) AS number,
+  coalesce(p.n - 1 - (SELECT max(m.n) FROM played m WHERE m.i = p.i AND m.n < p.n AND (m.cap OR abs(m.mover) = 1)), {_FEN_PART(5, 0)} + p.n) AS quiet FROM pos p JOIN cat USING (i) WHERE p.n < 5),
+place AS (SELECT c.i, c.n, (c.kind - 1 + CASE WHEN c.light = p.white THEN 0 ELSE 6 END) * 64 + (7 - c.s // 8) * 8 + c.s % 8 AS place, 1.0::DOUBLE AS v FROM cell c JOIN clock p ON p.i = c.i AND p.n = c.n),
+flag AS (SELECT i, n, unnest([CASE WHEN NOT p.white THEN 104 END, CASE WHEN number <> 0 THEN 105 END, {_FLIPPED_FLAGS}, CASE WHEN quiet <> 0 THEN 110 END, 111]) AS k, number, quiet FROM clock p),
+both_ AS (SELECT * FROM place UNION ALL SELECT i, n, k * 64 + s, CASE k WHEN 105 THEN number / 100.0 WHEN 110 THEN quiet / 100.0 ELSE 1.0 END FROM flag, sq WHERE k IS NOT NULL)
+SELECT {_ID}, CAST(x.n AS INTEGER) AS step, string_agg(place || ':' || CAST(CAST(round(v * 100) AS INTEGER) AS VARCHAR), ' ' ORDER BY place) AS planes FROM both_ x {_PART} GROUP BY 1, 2""")
+def _(s, d):
+    cells = scoring.sparse_planes(puzzles(s, d))
+    return cells.select("PuzzleId", "step", F.expr("array_join(transform(cells, c -> concat(c.index, ':', cast(round(c.value * 100) as int))), ' ') AS planes"))
+
+
 @query("embedding_sequence", _BOARDS + f""", step AS (SELECT p.i, p.n, (SELECT coalesce(sum(c.p), 0) FROM cell c WHERE c.i = p.i AND c.n = p.n) || ' ' || (SELECT count(*) FROM legal l WHERE l.i = p.i AND l.n = p.n) || ' ' || k.k AS v
   FROM pos p JOIN checker k ON k.i = p.i AND k.n = p.n)
 SELECT {_ID}, flat FROM (SELECT c.i, string_agg(coalesce(v, '0 0 0'), ' ' ORDER BY k) AS flat FROM cat c CROSS JOIN (SELECT unnest(range(10)) AS k) LEFT JOIN step ON step.i = c.i AND step.n = k GROUP BY 1) x {_PART}""")

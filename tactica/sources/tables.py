@@ -91,36 +91,55 @@ def write_embeddings(df: DataFrame, path: str, key: str = "pid", column: str = "
 
 
 class BlockStore:
-    """Feature blocks as tables of (PuzzleId, block) under one path; only missing ones are computed.
+    """Feature blocks under one path, kept row by row; only what is missing is computed.
 
-    A block is kept by its name and by the set of puzzles it was made for (their number and a checksum
-    of their rows), so one of other puzzles is not taken. Blocks in ``always`` are computed again each time.
+    A row belongs to a puzzle and to a hash of all that the puzzle's row says, so a new or changed puzzle costs
+    one new row of each block, and rows of others are read. New rows are appended to the block's table;
+    ``compact`` rewrites it without those that no puzzle asks for any more. Blocks in ``always`` are computed
+    whole each time. ``version`` stands for what else a block depends on (side tables, code): a change makes all rows new.
     """
 
-    def __init__(self, spark: SparkSession, path: str, always: Iterable[str] = ("struct",)):
-        self.spark, self.path, self.always = spark, path.rstrip("/"), set(always)
+    def __init__(self, spark: SparkSession, path: str, always: Iterable[str] = (), version: str = ""):
+        self.spark, self.path, self.always, self.version = spark, path.rstrip("/"), set(always), version
 
-    def _read(self, path: str) -> DataFrame | None:
+    def keyed(self, puzzles: DataFrame) -> DataFrame:
+        """``puzzles`` with a column ``row_key``, two hashes of all its columns by name."""
+        columns = [F.col(f"`{c}`") for c in sorted(puzzles.columns)]
+        return puzzles.withColumn("row_key", F.concat_ws("-", F.hex(F.xxhash64(F.lit(self.version), *columns)), F.hex(F.hash(*columns, F.lit(self.version)))))
+
+    def _generation(self, name: str) -> int:
+        """The last generation of a block's table; -1 if there is none."""
         try:
-            return self.spark.read.parquet(path)
-        except AnalysisException:  # no such table
-            return None
-
-    def made_for(self, puzzles: DataFrame) -> str:
-        """A name for the set of puzzles: it changes with any id, position or move list."""
-        n, a, b = puzzles.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("PuzzleId", "FEN", "Moves")), F.sum(F.pmod(F.hash("PuzzleId", "FEN", "Moves"), F.lit(1 << 30)))).first()
-        return f"{n}-{(a or 0) & (1 << 64) - 1:x}-{b or 0:x}"
-
-    def load(self, names: Iterable[str], compute: Callable[[str], DataFrame | None], puzzles: DataFrame) -> dict[str, DataFrame]:
-        """Every requested block of ``puzzles``; ValueError if one can be neither read nor computed."""
-        made, out = self.made_for(puzzles), {}
+            return self.spark.read.parquet(f"{self.path}/{name}").agg(F.max("generation")).first()[0]  # a listing of folders
+        except AnalysisException:
+            return -1
+
+    def _stored(self, name: str) -> tuple[DataFrame | None, int]:
+        last = self._generation(name)
+        return (self.spark.read.parquet(f"{self.path}/{name}/generation={last}") if last >= 0 else None), last
+
+    def load(self, names: Iterable[str], compute: Callable[[str, DataFrame], DataFrame | None], puzzles: DataFrame) -> dict[str, DataFrame]:
+        """Every requested block as (PuzzleId, block) of ``puzzles``; ``compute(name, some puzzles)`` makes what
+        is missing, of unique ids. ValueError if a block can be neither read nor computed."""
+        out, keyed = {}, self.keyed(puzzles)
+        wanted = keyed.select("PuzzleId", "row_key")
         for name in names:
-            path = f"{self.path}/{name}/{made}"
-            found = None if name in self.always else self._read(path)
-            if found is None:
-                if (block := compute(name)) is None:
+            stored, last = (None, self._generation(name)) if name in self.always else self._stored(name)
+            missing = keyed if stored is None else keyed.join(stored.select("PuzzleId", "row_key"), ["PuzzleId", "row_key"], "left_anti")
+            if stored is None or not missing.isEmpty():
+                if (block := compute(name, missing.drop("row_key"))) is None:
                     raise ValueError(f"block {name} is not available")
-                block.write.mode("overwrite").parquet(path)
-                found = self.spark.read.parquet(path)
-            out[name] = found
+                made = block.join(missing.select("PuzzleId", "row_key"), "PuzzleId")
+                target = max(last, 0) if name not in self.always else last + 1
+                made.write.mode("append").parquet(f"{self.path}/{name}/generation={target}")
+                stored, last = self._stored(name)
+            out[name] = stored.join(wanted, ["PuzzleId", "row_key"], "left_semi").drop("row_key")
         return out
+
+    def compact(self, name: str, puzzles: DataFrame) -> None:
+        """The block's table as a new generation that holds the rows of ``puzzles`` alone, each once; readers of
+        the old one are not disturbed. Older generations can be deleted when nobody reads them."""
+        stored, last = self._stored(name)
+        if stored is not None:
+            kept = stored.join(self.keyed(puzzles).select("PuzzleId", "row_key"), ["PuzzleId", "row_key"], "left_semi").dropDuplicates(["PuzzleId", "row_key"])
+            kept.write.parquet(f"{self.path}/{name}/generation={last + 1}")

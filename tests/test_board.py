@@ -244,3 +244,15 @@ def test_made_positions_have_their_theme(spark):
     named = [n for n in got if n[0].islower()]
     assert len(named) == 12 and all(n in got[n] for n in named)
     assert len(set().union(*got.values())) >= 50
+
+
+def test_flipped_planes_as_sparse_vectors(spark):
+    """White king on e1 and pawn on a2, Black's king on e8; after the pawn's move and the king's."""
+    from tactica.operators import scoring
+
+    df = spark.createDataFrame([("x", "4k3/8/8/8/8/8/P7/4K3 w - - 7 40", "a2a3 e8e7")], "PuzzleId string, FEN string, Moves string")
+    first, second, third = (r.planes for r in scoring.board_tensors(df).orderBy("step").collect())
+    assert first.size == 7168 and [first[0 * 64 + 48], first[5 * 64 + 60], first[11 * 64 + 4]] == [1, 1, 1]
+    assert [first[k * 64] for k in (104, 105, 110, 111)] == [0, 0.4, 0.07, 1]
+    assert [second[k * 64 + 63] for k in (104, 105, 110, 111)] == [1, 0.4, 0, 1] and second[6 * 64 + 40] == 1 and second[5 * 64 + 4] == 1
+    assert [third[k * 64] for k in (104, 105, 110, 111)] == [0, 0.41, 0.01, 1] and third[11 * 64 + 12] == 1

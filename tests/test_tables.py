@@ -188,17 +188,28 @@ def test_stores(spark, tmp_path):
         assert got.count() == 1 and any("maia2_rapid" in str(w.message) for w in told)
     asked = []
 
-    def compute(name):
-        asked.append(name)
-        return spark.createDataFrame([("a", [1.0])], "pid string, v array<double>") if name != "none" else None
-
-    store = tables.BlockStore(spark, str(tmp_path / "blocks"))
-    games = spark.createDataFrame([("a", "f", "m"), ("b", "f", "m")], "PuzzleId string, FEN string, Moves string")
-    store.load(["struct", "themes"], compute, games)
-    store.load(["struct", "themes"], compute, games)
-    assert asked == ["struct", "themes", "struct"]
-    store.load(["themes"], compute, games.filter("PuzzleId = 'a'"))  # another set of puzzles
-    assert asked == ["struct", "themes", "struct", "themes"]
+    def compute(name, some):
+        asked.append((name, sorted(r.PuzzleId for r in some.collect())))
+        return some.select("PuzzleId", F.array(F.length("Moves").cast("double")).alias("v")) if name != "none" else None
+
+    lengths = lambda df: {r.PuzzleId: r.v[0] for r in df.collect()}
+    store = tables.BlockStore(spark, str(tmp_path / "blocks"), always=["fresh"])
+    games = spark.createDataFrame([(x, "f", "m" * k) for k, x in enumerate("abcd", 1)], "PuzzleId string, FEN string, Moves string")
+    assert lengths(store.load(["v"], compute, games.filter("PuzzleId < 'c'"))["v"]) == {"a": 1, "b": 2}
+    assert lengths(store.load(["v"], compute, games)["v"]) == {"a": 1, "b": 2, "c": 3, "d": 4}
+    store.load(["v"], compute, games)
+    changed = games.withColumn("Moves", F.when(F.col("PuzzleId") == "b", "mmmmmmm").otherwise(F.col("Moves")))
+    assert lengths(store.load(["v"], compute, changed)["v"]) == {"a": 1, "b": 7, "c": 3, "d": 4}
+    assert lengths(store.load(["v"], compute, games)["v"])["b"] == 2  # the old row is still there
+    assert asked == [("v", ["a", "b"]), ("v", ["c", "d"]), ("v", ["b"])]  # a new or changed puzzle costs one row
+    store.compact("v", changed)
+    assert spark.read.parquet(str(tmp_path / "blocks/v")).filter("generation = 1").count() == 4
+    assert lengths(store.load(["v"], compute, changed)["v"])["b"] == 7 and len(asked) == 3
+    assert lengths(store.load(["v"], compute, games)["v"])["b"] == 2 and asked[-1] == ("v", ["b"])
+    for _ in range(2):
+        store.load(["fresh"], compute, games)
+    assert asked[-2:] == [("fresh", ["a", "b", "c", "d"])] * 2
+    assert lengths(tables.BlockStore(spark, str(tmp_path / "blocks"), version="2").load(["v"], compute, games)["v"])["b"] == 2 and asked[-1] == ("v", ["a", "b", "c", "d"])
     with pytest.raises(ValueError, match="none"):
         store.load(["none"], compute, games)
     df = spark.createDataFrame([("p2", "f", "m", 1500, 80, None), ("p1", "f", "m", None, None, "fork")], tables.PUZZLES)
