@@ -173,3 +173,29 @@ def importances(model) -> DataFrame:
 
     found = [(f"f{i}", float(g)) for i, g in enumerate(model.featureImportances.toArray()) if g > 0]
     return SparkSession.getActiveSession().createDataFrame(found, "feature_id string, gain double")
+
+
+def node_table(model) -> DataFrame:
+    """The trees of a fitted forest or boosted model as rows: tree, weight (of its prediction), node, feature (-1: a
+    leaf), threshold (a row of at most that goes left), left, right, prediction, gain (of the split, times its rows).
+
+    The model is saved in the shared folder and its table of nodes read again.
+    """
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    trees = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "about", "weight").select("tree", "weight")
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    split = F.col("leftChild") >= 0
+    return nodes.join(trees, "tree").select(
+        "tree", "weight", F.col("id").alias("node"), F.when(split, F.col("split.featureIndex")).otherwise(-1).alias("feature"), F.when(split, F.element_at("split.leftCategoriesOrThreshold", 1)).alias("threshold"),
+        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), "prediction", F.when(split, F.col("gain") * F.col("rawCount")).otherwise(0.0).alias("gain"))
+
+
+def raw_gains(model) -> DataFrame:
+    """feature_id, gain (of a split of the feature, on average, not normalised), total_gain (of all), splits; largest
+    gain first (L8)."""
+    found = node_table(model).filter("feature >= 0").groupBy("feature").agg(F.avg("gain").alias("gain"), F.sum("gain").alias("total_gain"), F.count(F.lit(1)).alias("splits"))
+    return found.select(F.concat(F.lit("f"), F.col("feature")).alias("feature_id"), "gain", "total_gain", "splits").orderBy(F.desc("gain"), "feature_id")

@@ -785,6 +785,12 @@ def _(s, d):
     return metrics.top_features(models.importances(models.train(matrix(s, d), BLOCKS, small())), 15)
 
 
+@query("raw_gains")
+def _(s, d):
+    """Gains that are not normalised, from the table of the saved model's nodes."""
+    return models.raw_gains(models.train(matrix(s, d), BLOCKS, small()))
+
+
 @query("feature_matrix")
 def _(s, d):
     """All blocks that puzzles alone give, by the one entry point."""

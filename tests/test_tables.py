@@ -270,3 +270,27 @@ def test_cross_validation_gives_every_fold_its_turn(spark, monkeypatch):
     assert len(summary) == 1
     with pytest.raises(ValueError, match="never be validated"):
         plain(matrix, registry.BLOCKS, {"boosted": registry.small}, k=3)
+
+
+def test_models_as_tables_of_nodes(spark):
+    """Walking the saved trees gives the model's predictions; raw gains of one tree, normalised, its importances."""
+    data = [(i, float((i * 7) % 23 + (i % 3) * 4), "val" if i % 6 == 0 else "train", [float(i % 11), float(i * 5 % 17)], [float(i % 3)]) for i in range(400)]
+    m = spark.createDataFrame(data, "pid int, y double, split string, a array<double>, b array<double>")
+    for learner, share in ((models.boosted(maxIter=4, maxDepth=3), False), (models.forest(numTrees=5, maxDepth=4), True), (models.forest(numTrees=1, maxDepth=4), True)):
+        model = models.train(m, ["a", "b"], learner)
+        nodes = {}
+        for r in models.node_table(model).collect():
+            nodes.setdefault((r.tree, r.weight), {})[r.node] = r
+        for r in models.predict(model, m, ["a", "b"]).join(m.select("pid", "a", "b"), "pid").collect():
+            x, out = [*r.a, *r.b], []
+            for (_, weight), tree in nodes.items():
+                n = tree[0]
+                while n.feature >= 0:
+                    n = tree[n.left if x[n.feature] <= n.threshold else n.right]
+                out.append(weight * n.prediction)
+            assert r.yhat == pytest.approx(sum(out) / (len(out) if share else 1))
+        raw = {r.feature_id: r.total_gain for r in models.raw_gains(model).collect()}
+        assert len(raw) > 1 and min(raw.values()) > 0
+        if len(nodes) == 1:
+            want = {r.feature_id: r.gain for r in models.importances(model).collect()}
+            assert {k: v / sum(raw.values()) for k, v in raw.items()} == pytest.approx(want)
