@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,11 +83,17 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     exchange moves each text once, and the few range heads twice. Null ids sort last.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    # part of a document: how many bounds lie at or under its id
-    part = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.col("doc_id"))))
-    rows = rows.withColumn("part", part.cast("int"))
+    # as exact as so many ranges ask for
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or []
+    sent = docs.sparkSession.sparkContext.broadcast(np.array(sorted(set(bounds)), np.int64))
+
+    @F.pandas_udf("int")
+    def part_of(ids):
+        """How many bounds lie at or under each id."""
+        return pd.Series(np.searchsorted(sent.value, ids.to_numpy(), "right"))
+
+    # only the ids go to Python here; null beside integers would come as floating point, which large ids do not survive
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(sent.value))).otherwise(part_of(F.coalesce("doc_id", F.lit(0).cast("long")))).cast("int"))
     # at most ``parts`` rows
     order = Window.orderBy("part")
     heads = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("head"))

@@ -866,6 +866,13 @@ def test_fingerprints(request, table):
         plain = {i: (phrases(t), phrases(rows[(k + 1) % len(rows)][1])) for k, (i, t) in enumerate(rows)}
         wrong = [abs(r.near_next - len(plain[r.doc_id][0] & plain[r.doc_id][1]) / max(1, len(plain[r.doc_id][0] | plain[r.doc_id][1]))) for r in got]
         assert np.mean(wrong) < 0.05
+        # and the edited text, against plain phrase sets
+        off = []
+        for k, (i, t) in enumerate(rows):
+            half = len(t) // 2
+            a, b = phrases(t), phrases(t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half])
+            off.append(abs(next(r.near_edited for r in got if r.doc_id == i) - len(a & b) / max(1, len(a | b))))
+        assert np.mean(off) < 0.08 and max(off) < 0.3
 
 
 # --- queries and pipeline -------------------------------------------------------------------------
