@@ -486,6 +486,21 @@ def _(s, d):
     return v.select("pid", F.size("features").alias("width"), F.round(part(1, 25), 6).alias("flat_prob"), F.round(part(26, 5), 6).alias("mean_prob"), F.round(part(61, 25), 6).alias("flat_rank"), F.round(part(101, 25), 6).alias("flat_gap"))
 
 
+_PER = ["avg(prob)", "min(prob)", "max(prob)", "avg(ce)", "max(ce)", "product(CASE WHEN prob > 0 THEN prob ELSE 1 END)", "0 - sum(ce)"]
+
+
+@query("probability_cells", _CELLS_SQL + f""", f AS MATERIALIZED (SELECT g.pid, m, e, coalesce(prob, 0) AS prob, CASE WHEN prob > 0 THEN -ln(prob + 1e-7) ELSE 0 END AS ce, coalesce(rank, 6) AS rank, coalesce(top1 - prob, 0) AS gap, coalesce(prob / (top1 + 1e-7), 0) AS ratio
+  FROM (SELECT DISTINCT pid FROM t) g CROSS JOIN range(5) a(m) CROSS JOIN range(5) b(e) LEFT JOIN t ON t.pid = g.pid AND t.move_idx = m AND t.elo = 1100 + 200 * e)
+SELECT pid, CAST(place AS INTEGER) AS place, round(v, 6) AS value FROM (
+  SELECT pid, m * 5 + e AS place, prob AS v FROM f
+  UNION ALL SELECT pid, unnest([{", ".join(f"{25 + 5 * k} + e" for k in range(7))}]), unnest([{", ".join(_PER)}]) FROM f GROUP BY pid, e
+  {" ".join(f"UNION ALL SELECT pid, {60 + 40 * k} + m * 5 + e, {c} FROM f UNION ALL SELECT pid, unnest([{85 + 40 * k} + e, {90 + 40 * k} + e, {95 + 40 * k} + e]), unnest([avg({c}), min({c}), max({c})]) FROM f GROUP BY pid, e" for k, c in enumerate(("rank", "gap", "ratio")))})""")
+def _(s, d):
+    """Every value of the 180-wide vector in its place."""
+    v = probs.wide_vector(move_probs(s, d)).select("pid", F.posexplode("features").alias("place", "value"))
+    return v.select("pid", "place", F.round("value", 6).alias("value"))
+
+
 @query("specialist_vector", _CELLS_SQL + """, grid AS (SELECT pid, m FROM (SELECT DISTINCT pid FROM t), range(5) a(m)),
 f AS (SELECT grid.pid, m, coalesce(prob, 0) AS prob, coalesce(rank, 6) AS rank, coalesce(prob / (top1 + 1e-7), 0) AS ratio FROM grid LEFT JOIN t ON t.pid = grid.pid AND t.move_idx = m AND t.elo = 1500)
 SELECT pid, CAST(36 AS INTEGER) AS width, round(sum(prob), 6) AS flat_prob, round(max(prob), 6) AS max_prob, round(sum(rank) / 5, 6) AS mean_rank, round(max(ratio), 6) AS max_ratio FROM f GROUP BY pid""")
