@@ -15,6 +15,8 @@ from tactica.sources.tables import BlockStore, require_columns
 from .models import assemble
 
 EVAL_COLUMNS = ("SF_Material", "SF_Positional", "SF_Final_Eval", "SF_Last_Move_CP")
+#: Widths of blocks that are known without looking at one.
+WIDTHS = {"struct": len(features.STRUCT_NAMES), "advanced": len(features.ADVANCED_NAMES), "stockfish": len(EVAL_COLUMNS)}
 SOURCES = {"maia1": ["maia1"], "maia2": ["maia2_rapid", "maia2_blitz"]}
 
 
@@ -59,7 +61,7 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
     deviation = F.col("RatingDeviation") if "RatingDeviation" in puzzles.columns else F.lit(1)
     rating = F.col("Rating").cast("double") if "Rating" in puzzles.columns else F.lit(None).cast("double")
     base = puzzles.select(F.col("PuzzleId").alias("pid"), rating.alias("y"), sampling.weight(F.coalesce(deviation, F.lit(1))).alias("weight"))
-    return assemble(base, {n: b.withColumnRenamed("PuzzleId", "pid") for n, b in found.items()})
+    return assemble(base, {n: b.withColumnRenamed("PuzzleId", "pid") for n, b in found.items()}, widths=WIDTHS)
 
 
 def score_unfinished(puzzles: DataFrame, scorer, source: str, done: DataFrame | None = None, fields: Iterable[str] = scoring.FIELDS) -> DataFrame:

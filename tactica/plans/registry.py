@@ -806,16 +806,23 @@ def _(s, d):
     return models.raw_gains(models.train(matrix(s, d), BLOCKS, small()))
 
 
-@query("feature_matrix")
+_STRUCT = " + ".join(f"b.{c}" for c in features.STRUCT_NAMES)
+
+
+@query("feature_matrix", f"""SELECT p.PuzzleId AS pid, CAST(p.cp + 1500 AS DOUBLE) AS y, round(1.0 / greatest(abs(p.cp) % 100, 1), 6)::DOUBLE AS weight, CAST(14 AS INTEGER) AS struct, CAST(540 AS INTEGER) AS advanced,
+ round({_STRUCT} + list_sum(list_transform(string_split(a.advanced, ' '), lambda x: CAST(x AS DOUBLE))) + len(list_distinct(list_filter(string_split(t.Themes, ' '), lambda x: x <> ''))), 4)::DOUBLE AS total
+FROM {_PUZZLES_SQL} p JOIN ({ORACLES["board_features"]}) b ON b.PuzzleId = p.PuzzleId JOIN ({ORACLES["advanced_block"]}) a ON a.PuzzleId = p.PuzzleId JOIN ({ORACLES["theme_tags"]}) t ON t.PuzzleId = p.PuzzleId
+WHERE abs(p.cp) % 100 <= 90""")
 def _(s, d):
     """All blocks that puzzles alone give, by the one entry point."""
     p = puzzles(s, d).withColumns({"Rating": F.col("cp") + 1500, "RatingDeviation": F.abs("cp") % 100})
-    themes = tags.tag(p.drop("Rating", "RatingDeviation")).select("PuzzleId", "Themes")
+    # written, as its vocabulary is looked at before its rows
+    themes = models.written(tags.tag(p.drop("Rating", "RatingDeviation")).select("PuzzleId", "Themes"))
     m = build.build_matrix(p, ["struct", "advanced", "themes"], themes=themes)
     return m.select("pid", "y", F.round("weight", 6).alias("weight"), F.size("struct").alias("struct"), F.size("advanced").alias("advanced"), F.round(arrays.total(F.concat("struct", "advanced", "themes")), 4).alias("total"))
 
 
-@query("incremental_scoring")
+@query("incremental_scoring", f"SELECT PuzzleId AS pid, 'maia1' AS source, elo, move_idx, policy_idx, prob FROM ({ORACLES['score_moves']})")
 def _(s, d):
     """Half of the puzzles are done; only the others are scored."""
     p = puzzles(s, d).drop("cp")
