@@ -40,7 +40,7 @@ PERCENT = 80
 _rng = np.random.default_rng(20240501)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
-WORDS_KEPT, PORTION = 400_000, 1_500_000
+WORDS_KEPT, PORTION = 100_000, 500_000
 
 
 class _Words(dict):
