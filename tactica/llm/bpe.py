@@ -48,31 +48,40 @@ def character_classes(pattern: str) -> dict:
     from tokenizers import Regex, normalizers, pre_tokenizers
 
     split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
-    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-    kinds: dict[str, list[int]] = {"letters": [], "numbers": [], "spaces": []}
-    end = 0
-    # a piece is a run of letters, one number or a run of others; spaces are left out
-    for piece, (start, stop) in split("".join(map(chr, points))):
-        kinds["spaces"] += points[end:start]
-        end = stop
-        parts = len(split("a" + piece[0] * 2))  # the first of a piece stands for all of it
-        if parts != 2:
-            kinds["letters" if parts == 1 else "numbers"] += points[start:stop]
-    kinds["spaces"] += points[end:]
-    cased = [c for c in points if c < 0x40000 and c != 10]
-    lower = normalizers.Lowercase().normalize_str("\n".join(map(chr, cased))).split("\n")
-    return {k: _class(v) for k, v in kinds.items()} | {"lower": {str(c): x for c, x in zip(cased, lower, strict=True) if x != chr(c).lower()}}
-
-
-def _class(points: Iterable[int]) -> str:
-    """A regular-expression class body of sorted code points."""
-    out: list[list[int]] = []
+    kinds: dict[str, list[list[int]]] = {"letters": [], "numbers": [], "spaces": []}
+    lower: dict[str, str] = {}
+    for block in range(0, sys.maxunicode + 1, 2048):  # all at once would leave the driver with 50 MB of small objects
+        points = [c for c in range(block, block + 2048) if not 0xD800 <= c < 0xE000]
+        found: dict[str, list[int]] = {k: [] for k in kinds}
+        end = 0
+        # a piece is a run of letters, one number or a run of others; spaces are left out
+        for piece, (start, stop) in split("".join(map(chr, points))):
+            found["spaces"] += points[end:start]
+            end = stop
+            parts = len(split("a" + piece[0] * 2))  # the first of a piece stands for all of it
+            if parts != 2:
+                found["letters" if parts == 1 else "numbers"] += points[start:stop]
+        found["spaces"] += points[end:]
+        for k, v in found.items():
+            _ranges(v, kinds[k])
+        cased = [c for c in points if c < 0x40000 and c != 10]
+        ours = normalizers.Lowercase().normalize_str("\n".join(map(chr, cased))).split("\n")
+        lower |= {str(c): x for c, x in zip(cased, ours, strict=bool(cased)) if x != chr(c).lower()}
+    return {k: _class(v) for k, v in kinds.items()} | {"lower": lower}
+
+
+def _ranges(points: Iterable[int], out: list[list[int]]) -> None:
+    """Adds sorted code points to ranges of (first, last)."""
     for c in points:
         if out and c == out[-1][1] + 1:
             out[-1][1] = c
         else:
             out.append([c, c])
-    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+def _class(ranges: list[list[int]]) -> str:
+    """A regular-expression class body of ranges of code points."""
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
 def byte_names() -> list[str]:

@@ -22,19 +22,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and no larger ones, or larger ones alone. Edges have a > b and
+    are distinct, so a star's centre is its smallest node."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(a, b) links of two longs -> (node, label): the smallest node reachable, for linked nodes.
 
-    The edges of every round are a table in the shared folder; the rounds end when a pair of steps
-    changes nothing, and fail where they have not by then. A hub's edges are joined to one row, which Spark may split over tasks.
+    The edges of every round are a table in the shared folder; the rounds end when only stars are
+    left, and fail where they have not by then. A hub's edges are joined to one row, which Spark may split over tasks.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = durable(now), None
+    now = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
-        if state == before or not state[0]:
+        if _only_stars(now):
             break
-        before = state
         now = durable(_small_star(_large_star(now).select("a", "b")))
     else:
         raise RuntimeError(f"components: still changing after {most_rounds} rounds")

@@ -159,15 +159,15 @@ def _possible(percent: int) -> str:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, many: bool) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``many`` pairs are
+    """The rows of ``pairs`` (a, b and more) whose full sets have 100 * intersection >= percent * union. ``many`` pairs are
     sorted to the sets; for few, Spark may send the pairs to the sets instead."""
     pairs = durable(pairs)
     a, b = sets.select(F.col("row").alias("a"), F.col("hashes").alias("a_set")), sets.select(F.col("row").alias("b"), F.col("hashes").alias("b_set"))
     if many:
         a, b = a.hint("merge"), b.hint("merge")
     both = F.size(F.array_intersect("a_set", "b_set")).alias("both")
-    checked = pairs.join(b, "b").join(a, "a").select("a", "b", both, (F.size("a_set") + F.size("b_set")).alias("sum"))
-    return checked.filter(f"100 * both >= {percent} * (sum - both)").select("a", "b")
+    checked = pairs.join(b, "b").join(a, "a").select(*pairs.columns, both, (F.size("a_set") + F.size("b_set")).alias("sum"))
+    return checked.filter(f"100 * both >= {percent} * (sum - both)").select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_co
     sets = durable(full_sets(docs.join(needed, row_col, "left_semi"), k, text_col, row_col))
     side = lambda df, x, *more: df.select("key", *more, *[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "n", "sig", "sketch", "label")])
 
-    links, label = None, classes.select("node", F.col("node").alias("label"))
+    label = classes.select("node", F.col("node").alias("label"))
     for turn in range(STAR_ROUNDS + 1):
         # buckets that hold several components; the centre is another one each time
         labelled = members.join(label, "node")
@@ -211,10 +211,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, text_co
             one = side(dealt.filter("label <> most").select("*", each), "a", "strip", "other_strip")
             other = side(dealt.select("*", each), "b", F.col("strip").alias("b_strip"), F.col("other_strip").alias("b_other")).withColumnRenamed("key", "b_key")
             together = (F.col("key") == F.col("b_key")) & (F.col("strip") == F.col("b_other")) & (F.col("other_strip") == F.col("b_strip"))
-        pairs = one.join(other, together & F.expr(f"a_label <> b_label AND {_possible(percent)}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = confirm(pairs, sets, percent, many=turn == 0)
-        links = durable(found if links is None else links.unionByName(found))
-        label = durable(classes.select("node").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        pairs = one.join(other, together & F.expr(f"a_label <> b_label AND {_possible(percent)}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_label", "b_label").alias("low"), F.greatest("a_label", "b_label").alias("high")).distinct()
+        # links join whole components of the turn before, so a turn only walks what it has found itself
+        found = confirm(pairs, sets, percent, many=turn == 0).select(F.col("low").alias("a"), F.col("high").alias("b"))
+        joined = components(found).select(F.col("node").alias("label"), F.col("label").alias("now"))
+        label = durable(label.join(joined, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
 
     classes = durable(classes.select("node", "digest", "n", "copies").join(label, "node"))
     # classes of more than 1/512 of all rows are 512 at most and go to the tasks; other rows are joined by digest

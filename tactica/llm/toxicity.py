@@ -80,14 +80,16 @@ def _rows(names: list[str]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, other = [], []
+            own, lost, gained = [], [], []
             for t in b["text"].to_pylist():
                 words = set(WORD.findall(t.lower()))
-                own.append([at[f] for f in features(words) if f in at])
+                have = {at[f] for f in features(words) if f in at}
                 swapped = {SWAP.get(w, w) for w in words}
-                other.append([at[f] for f in features(swapped) if f in at] if swapped != words else own[-1])
-            ids = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(own, ids), pa.array(other, ids), pa.array([int(y) for y in b["toxic"].to_pylist()], pa.int32())], ["own", "other", "toxic"])
+                other = {at[f] for f in features(swapped) if f in at} if swapped != words else have
+                for out, ids in ((own, have), (lost, have - other), (gained, other - have)):
+                    out.append(sorted(ids))
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, lists) for x in (own, lost, gained)], pa.array([int(y) for y in b["toxic"].to_pylist()], pa.int32())], ["own", "lost", "gained", "toxic"])
 
     return rows
 
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> dict[str,
     """
     train = durable(labelled(docs, labels, text_col))  # SAMPLE rows at most, read three times
     names = select_features(train)
-    got = train.mapInArrow(_rows(names), "own array<int>, other array<int>, toxic int").toArrow()
+    got = train.mapInArrow(_rows(names), "own array<int>, lost array<int>, gained array<int>, toxic int").toArrow()
     y = got["toxic"].to_numpy().astype(float)
     if not len(y):
         return {}
@@ -109,15 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> dict[str,
         c = got[column].combine_chunks()
         return c.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(c.offsets.to_numpy()))
 
-    (f, r), (g, q) = flat("own"), flat("other")
-    # features of x - x', row by row: what the swap adds or takes away
-    swap_f, swap_r, sign = np.r_[f, g], np.r_[r, q], np.r_[np.ones(len(f)), -np.ones(len(g))]
-    swapped = np.bincount(q, minlength=n) > 0
+    (f, r), (g, q), (h, s) = flat("own"), flat("lost"), flat("gained")
+    # features of x - x', row by row: what the swap adds or takes away; most rows have none
+    swap_f, swap_r, sign = np.r_[g, h], np.r_[q, s], np.r_[np.ones(len(g)), -np.ones(len(h))]
     w, bias = np.zeros(m), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     seen_w, seen_b = np.full(m, 1e-8), 1e-8
     for _ in range(STEPS if m else 0):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(r, w[f], n), -30, 30)))
-        change = np.where(swapped, np.bincount(swap_r, sign * w[swap_f], n), 0)
+        change = np.bincount(swap_r, sign * w[swap_f], n)
         grad = np.bincount(f, (p - y)[r], m) / n + SWAP_PENALTY * 2 * np.bincount(swap_f, sign * change[swap_r], m) / n + RIDGE * w
         grad_b = float((p - y).mean())
         seen_w += grad**2

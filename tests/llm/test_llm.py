@@ -1,12 +1,15 @@
 """The text operators against plain versions, on the small tables and on awkward rows."""
 
 import hashlib
+import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +158,16 @@ def test_components_fail_where_the_rounds_do_not_suffice(spark):
         components.components(path, most_rounds=2)
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "_small_star", lambda edges, step=components._small_star: rounds.append(1) or step(edges))
+    stars = spark.createDataFrame([(0, 5), (9, 0), (7, 8), (8, 7)], "a long, b long")
+    assert {r.node: r.label for r in components.components(stars).collect()} == {0: 0, 5: 0, 9: 0, 7: 7, 8: 7} and not rounds
+    assert components.components(stars.limit(0)).isEmpty() and not rounds
+    path = spark.createDataFrame([(0, 5), (5, 9)], "a long, b long")
+    assert {r.node: r.label for r in components.components(path).collect()} == {0: 0, 5: 0, 9: 0} and len(rounds) == 1
+
+
 # --- scans ----------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -322,6 +335,17 @@ def test_bpe_knows_every_code_point_as_the_library_does():
         assert decoded == t.decode(want.ids, skip_special_tokens=False)
 
 
+def test_reading_the_tokenizer_takes_little_memory():
+    pattern = json.loads(bpe.read_tokenizer())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    tracemalloc.start()
+    try:
+        bpe.character_classes(pattern)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8_000_000
+
+
 def test_bpe_of_a_very_long_word():
     import random
     import time
@@ -776,6 +800,16 @@ def test_toxicity_without_labels_and_awkward_rows(spark, awkward, empty):
         toxicity.score(awkward, {})
 
 
+def test_texts_without_group_names_have_no_lists_of_the_swap():
+    names = sorted(toxicity.features({"muslim", "christian", "idiot"}))
+    rows = pa.RecordBatch.from_arrays([pa.array(["an idiot", "a Muslim idiot", "muslim and christian"]), pa.array([1, 1, 0])], ["text", "toxic"])
+    (got,) = toxicity._rows(names)(iter([rows]))
+    word = lambda column: [[names[i] for i in x if not names[i].endswith("*")] for x in got[column].to_pylist()]
+    assert word("own") == [["idiot"], ["idiot", "muslim"], ["christian", "muslim"]]
+    assert word("lost") == [[], ["muslim"], ["muslim"]] and word("gained") == [[], ["christian"], []]
+    assert not got["lost"][0].as_py() and not got["gained"][0].as_py()
+
+
 def test_toxicity_scores_equal_plain_sums(spark, docs):
     """The map over documents against a sum of weights over the words and beginnings of each text."""
     model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
