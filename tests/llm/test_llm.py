@@ -559,6 +559,28 @@ def test_lm_score_equals_a_plain_model(spark, monkeypatch):
         assert got[i] == pytest.approx(want[i], abs=1.0, rel=0.2)  # rows of weights are shared there
 
 
+def test_lm_step_adds_up_in_the_order_of_tokens(monkeypatch):
+    """A row of weights that many tokens share gets their changes in their order, in 32 bits."""
+    monkeypatch.setattr(lm, "LEAST_BITS", 4)
+    rng, n = np.random.default_rng(5), 4_000
+    keys = rng.choice(rng.integers(1, 1 << 63, 40, np.uint64) * np.uint64(2) + np.uint64(1), (1, n))
+    learnt = rng.integers(1, 9, n).astype(np.float32)
+    features = lm.Features(keys, learnt)
+    assert features.any.all()
+    bias, node, target = rng.normal(0, 1, (50, lm.FAN)).astype(np.float32), rng.integers(0, 50, n), rng.integers(0, lm.FAN, n)
+    g = np.exp(bias.take(node, axis=0))
+    g *= (1 / (g @ lm.ONES))[:, None]
+    g[np.arange(n), target] -= 1
+    g *= learnt[:, None]
+    order = np.argsort(features.rows[0], kind="stable")
+    own, starts = np.unique(features.rows[0][order], return_index=True)
+    want = np.zeros_like(features.weights)
+    want[own] = np.add.reduceat(g[order], starts, axis=0)
+    square = np.float32(1e-4) + np.einsum("ij,ij->i", want, want) / lm.FAN
+    features.step(bias, node, target, learnt, np.arange(n))
+    assert np.array_equal(features.weights, -(want * (lm.RATE / np.sqrt(square))[:, None]))
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     mass = np.sort(rng.pareto(1.0, 3_000))[::-1] + 1e-3
