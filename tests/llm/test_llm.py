@@ -581,6 +581,32 @@ def test_lm_step_adds_up_in_the_order_of_tokens(monkeypatch):
     assert np.array_equal(features.weights, -(want * (lm.RATE / np.sqrt(square))[:, None]))
 
 
+def test_lm_weights_only_for_features_that_live():
+    """Most features stand with one token only: they cost no rows of weights, and short sums are those of reduceat."""
+    rng = np.random.default_rng(8)
+    keys = np.concatenate([rng.integers(0, 1 << 63, 20_000, np.uint64), np.repeat(rng.integers(0, 1 << 63, 50, np.uint64), 20)])[None] * np.uint64(2)
+    features = lm.Features(keys, np.ones(keys.shape[1], np.float32))
+    assert 50 <= len(features.weights) < 200 and features.any[20_000:].sum() >= 980
+    rows, g = np.repeat(np.arange(4_000), rng.integers(1, 14, 4_000)), rng.normal(0, 1, (9_000, lm.FAN)).astype(np.float32)
+    at = rng.integers(0, len(g), len(rows))
+    own, found = lm.sums_by_row(rows, at, g)
+    want = np.add.reduceat(g[at], np.flatnonzero(np.r_[True, np.diff(rows) > 0]), axis=0)
+    assert np.array_equal(np.sort(own), np.arange(4_000)) and np.array_equal(found, want[own])
+
+
+def test_lm_reads_texts_once_after_counting(docs):
+    plan = lm.lm_scores(docs.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Join" not in plan
+
+
+def test_lm_rare_words_meet_their_counts_in_other_shards(spark, docs, monkeypatch):
+    some = docs.select("doc_id", "text")
+    want = {r.doc_id: (r.n_known, round(r.base_score, 4)) for r in lm.lm_scores(some).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    monkeypatch.setattr(lm, "SHARD", 2_000)
+    assert {r.doc_id: (r.n_known, round(r.base_score, 4)) for r in lm.lm_scores(some).collect()} == want
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     mass = np.sort(rng.pareto(1.0, 3_000))[::-1] + 1e-3
