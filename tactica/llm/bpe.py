@@ -5,7 +5,7 @@ result exactly when every token stands for itself and no merge crosses a border
 neighbours before both are complete. The second test looks only at the two tokens: along the right
 edge of the left one and the left edge of the right one, a pair that merges earlier than its parts
 grow further refutes the border. Pairs are checked in bulk with numpy and remembered; words with a
-refuted border go through the exact merge loop.
+refuted border are merged exactly, many at a time in rounds, or one by one where they are long.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import functools
 import hashlib
 import heapq
 import json
+import operator
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -26,7 +27,10 @@ from .common import table, text_or_empty
 
 #: Words that a worker remembers, twice: when full, they become the older ones. Characters encoded at a time.
 WORDS_KEPT, CHARS = 250_000, 2_000_000
-NEVER = np.iinfo(np.int64).max
+NEVER, NO_RANK = np.iinfo(np.int64).max, np.iinfo(np.int32).max
+#: Symbols of words that are merged in bulk, by columns of a table.
+WIDTHS = (6, 9, 12, 16, 24)
+IDS, DECODED = operator.itemgetter(0), operator.itemgetter(1)
 
 
 @functools.cache
@@ -84,6 +88,12 @@ def _class(ranges: list[list[int]]) -> str:
     return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+def _up_to(most: int, body: str) -> str:
+    """The part of a class body that goes no further than a code point."""
+    ranges = [(int(a, 16), int(b or a, 16)) for a, b in re.findall(r"\\U(\w{8})(?:-\\U(\w{8}))?", body)]
+    return _class([[a, min(b, most)] for a, b in ranges if a <= most])
+
+
 def byte_names() -> list[str]:
     """The visible character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -106,6 +116,7 @@ class WordBpe:
         self.rank: dict[int, int] = {}  # left * size + right -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> left, right, rank
         self.size = max(self.token) + 1
+        self.number = [*map(str, range(self.size))]
         self.merged: dict[int, int] = {}
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
@@ -116,16 +127,32 @@ class WordBpe:
         keys = np.array(sorted(self.rank), np.int64)
         self.keys, self.ranks = keys, np.array([self.rank[k] for k in keys.tolist()], np.int64)
         self.longest = max(map(len, self.id))
-        # by the first two symbols, the length of the longest token
-        self.reach: dict[str, int] = {}
+        # tokens at the end of a word, without their mark; by the first three symbols, the lengths of all others from the longest
+        self.ended = {t.removesuffix(self.end): i for t, i in self.id.items() if t.endswith(self.end)}
+        lengths: dict[str, set[int]] = {}
         for t in self.id:
-            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+            if len(t) > 2 and not t.endswith(self.end):
+                lengths.setdefault(t[:3], set()).add(len(t))
+        self.reach = {t: tuple(sorted(x, reverse=True)) for t, x in lengths.items()}
         self.byte = byte_names()
+        # by rank, the merged token; by symbol, the token within and at the end of a word
+        self.results = np.zeros(len(model["merges"]), np.int32)
+        self.results[self.ranks] = [self.merged[k] for k in keys.tolist()]
+        self.first = np.zeros((2, 512), np.int32)
+        for c in self.byte:
+            self.first[:, ord(c)] = self.id[c], self.id[c + self.end]
         letters, numbers, spaces = (spec["classes"][k] for k in ("letters", "numbers", "spaces"))
         self.lower = {int(c): x for c, x in spec["classes"]["lower"].items()}
         # characters that normal form C may change
         self.beyond = re.compile("[^\\0-\\u02ff]")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+        recased = [*map(chr, self.lower)]
+        self.recased_latin = any(c <= 0x2FF for c in self.lower)
+        self.recased = re.compile("[" + re.escape("".join(recased)) + "]" if recased else "(?!)")
+        # the fewer ranges a class has, the faster it is: patterns for texts of all characters, of 16 bits, and of none beyond
+        self.wide = re.compile("[^\\0-\\uffff]")
+        self.words, self.narrow, self.latin = (
+            re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+".format(*[_up_to(most, k) for k in (letters, numbers, spaces)])) for most in (sys.maxunicode, 0xFFFF, 0x2FF)
+        )
         self.plain = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, tuple[str, str]] = {}
@@ -160,12 +187,15 @@ class WordBpe:
     def _split(self, text: str) -> list[str]:
         if text.isascii():
             return self.plain.findall(text.lower())
-        if self.beyond.search(text):  # by the library's tables, which may be older or newer than Python's
+        if far := self.beyond.search(text):  # by the library's tables, which may be older or newer than Python's
             from tokenizers import normalizers
 
             text = normalizers.NFC().normalize_str(text)
         # each character is put in lower case by itself: no final form of sigma
-        return self.words.findall(text.replace("Σ", "σ").lower().translate(self.lower))
+        text = text.replace("Σ", "σ").lower()
+        if self.recased.search(text) if far or self.recased_latin else self.beyond.search(text):
+            text, far = text.translate(self.lower), True
+        return (self.latin if not far and not self.recased_latin else self.words if self.wide.search(text) else self.narrow).findall(text)
 
     # words -> tokens
     def symbols(self, word: str) -> str:
@@ -198,19 +228,72 @@ class WordBpe:
                 heapq.heappush(heap, (r, h, s[h], s[i]))
         return [t for t in s if t >= 0]
 
+    def merge_all(self, names: list[str]) -> list[list[int]]:
+        """What exact() gives for words written in symbols: those of one width at a time, of each the lowest rank's leftmost pair
+        in every round. The longest go one by one."""
+        out: list[list[int]] = [[]] * len(names)
+        sizes = np.array([len(x) for x in names])
+        for least, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            own = np.flatnonzero((sizes > least) & (sizes <= width))
+            if not len(own):
+                continue
+            n = sizes[own]
+            at = np.arange(width) < n[:, None]
+            s = np.full((len(own), width), -1, np.int32)
+            s[at] = self.first[0].take(np.frombuffer("".join([names[i] for i in own.tolist()]).encode("utf-32-le"), np.uint32))
+            s[np.arange(len(own)), n - 1] = self.first[1].take([ord(names[i][-1]) for i in own.tolist()])
+            rank = np.full((len(own), width), NO_RANK, np.int32)
+            rank[:, :-1] = self.rank_of(s[:, :-1], s[:, 1:])
+            columns = np.arange(width - 1)
+            while True:
+                p = rank.argmin(1)
+                r = rank[np.arange(len(own)), p]
+                going = r < NO_RANK
+                if not going.all():
+                    for i, tokens in zip(own[~going].tolist(), s[~going].tolist(), strict=True):
+                        out[i] = tokens[: tokens.index(-1)] if tokens[-1] < 0 else tokens
+                    own, s, rank, p, r = own[going], s[going], rank[going], p[going], r[going]
+                    if not len(own):
+                        break
+                rows, beyond = np.arange(len(own)), columns > p[:, None]
+                s[:, :-1] = np.where(beyond, s[:, 1:], s[:, :-1])
+                s[:, -1] = -1
+                rank[:, :-1] = np.where(beyond, rank[:, 1:], rank[:, :-1])
+                rank[:, -1] = NO_RANK
+                s[rows, p] = self.results.take(r)
+                rank[rows, p] = self.rank_of(s[rows, p], s[rows, p + 1])
+                inner = np.flatnonzero(p > 0)
+                q = p[inner]
+                rank[inner, q - 1] = self.rank_of(s[inner, q - 1], s[inner, q])
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            out[i] = self.merge([*map(self.id.__getitem__, names[i][:-1]), self.id[names[i][-1] + self.end]])
+        return out
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NO_RANK where there is no merge, or nothing (-1) on the right."""
+        keys = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys.take(at) == keys) & (right >= 0), self.ranks.take(at), NO_RANK).astype(np.int32)
+
     def propose(self, word: str) -> list[int]:
         """Greedy longest match from the left."""
-        s, i, out, get, reach = self.symbols(word), 0, [], self.id.get, self.reach.get
-        n = len(s)
+        return self.longest_matches(self.symbols(word))
+
+    def longest_matches(self, s: str) -> list[int]:
+        i, n, out, get, ended, reach = 0, len(s), [], self.id.get, self.ended.get, self.reach.get
         while True:
-            if n - i <= self.longest and (t := get(s[i:] + self.end)) is not None:
+            if n - i <= self.longest and (t := ended(s[i:])) is not None:
                 out.append(t)
                 return out
-            j = min(n - 1, i + reach(s[i : i + 2], 1))  # the last symbol needs the end mark
-            while (t := get(s[i:j])) is None:
-                j -= 1
+            for k in reach(s[i : i + 3], ()):
+                if i + k < n and (t := get(s[i : i + k])) is not None:  # the last symbol needs the end mark
+                    break
+            else:
+                k = 2
+                if i + 2 >= n or (t := get(s[i : i + 2])) is None:
+                    k, t = 1, self.id[s[i]]
             out.append(t)
-            i = j
+            i += k
 
     def stands(self, t: int) -> bool:
         """Whether merging the token's own symbols gives the token."""
@@ -240,7 +323,8 @@ class WordBpe:
         """Puts the encoding of new words into ``known``: proposals in bulk, the exact loop for the rest."""
         plain = [w for w in words if w not in self.special]
         if plain:
-            proposals = [self.propose(w) for w in plain]
+            names = [*map(self.symbols, plain)]
+            proposals = [*map(self.longest_matches, names)]
             flat = np.array([t for p in proposals for t in p], np.int64)
             word = np.repeat(np.arange(len(plain)), [len(p) for p in proposals])
             inner = word[1:] == word[:-1]
@@ -249,15 +333,17 @@ class WordBpe:
             bad[word[:-1][inner][~self.borders_hold(pairs)[where]]] = True
             tokens, where = np.unique(flat, return_inverse=True)
             bad[word[~np.array([self.stands(t) for t in tokens.tolist()])[where]]] = True
-            for w, p, b in zip(plain, proposals, bad.tolist(), strict=True):
-                self.known[w] = self.written(self.exact(w) if b else p)
+            failing = np.flatnonzero(bad).tolist()
+            for i, exact in zip(failing, self.merge_all([names[i] for i in failing]), strict=True):
+                proposals[i] = exact
+            self.known.update(zip(plain, map(self.written, proposals), strict=True))
         for w in words:
             if w in self.special:
                 self.known[w] = self.written([self.special[w]])
 
     def written(self, ids: list[int]) -> tuple[str, str]:
         """Ids and decoded tokens as texts; both join with single spaces over words."""
-        return " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
+        return " ".join([self.number[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[tuple[str, str]]:
         """For each text, its ids (decimal, space-joined) and their decoding."""
@@ -271,8 +357,8 @@ class WordBpe:
         self.learn(new - self.known.keys())
         known = self.known
         for words in split:
-            got = [known[w] for w in words]
-            yield " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
+            got = [*map(known.__getitem__, words)]
+            yield " ".join(map(IDS, got)), " ".join(map(DECODED, got))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space: this tokenizer file names no decoder."""

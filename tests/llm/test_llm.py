@@ -360,6 +360,25 @@ def test_bpe_of_a_very_long_word():
     assert time.time() - began < 30 and ids.split() == [str(i) for i in t.encode(word, add_special_tokens=False).ids]
 
 
+def test_bpe_merges_words_in_bulk_as_one_by_one():
+    import random
+
+    b, rng = bpe.WordBpe(bpe.read_tokenizer()), random.Random(4)
+    words = ["".join(rng.choices("aeinrstlohé'-.ß\x1c", k=n)) for n in range(1, 40) for _ in range(60)] + ["a" * n for n in range(1, 40)]
+    assert b.merge_all([b.symbols(w) for w in words]) == [b.exact(w) for w in words]
+    assert b.merge_all([]) == []
+
+
+def test_bpe_splits_by_the_narrowest_pattern():
+    """Texts of few kinds of characters are split by smaller classes, into the same words; the classes of all are there for the others."""
+    b = bpe.WordBpe(bpe.read_tokenizer())
+    for text in ("été 1 où\u00a0l'Èze ½ İx Ⱥ²", "дом 5 ёж ﬁ ٣ 中文 e\u0301", "a𝔸1 𐐀𐐨 🙂x é"):
+        low = text.replace("Σ", "σ").lower()
+        assert b.words.findall(low) == b.narrow.findall(low) or b.wide.search(low)
+        assert b.words.findall(low) == b.latin.findall(low) or b.beyond.search(low)
+    assert len(b.latin.pattern) < len(b.narrow.pattern) < len(b.words.pattern)
+
+
 def test_borders_hold_exactly_where_merging_agrees():
     import random
 
