@@ -78,6 +78,14 @@ def rank_in(top_idx: Column, policy: Column, k: int = 5) -> Column:
     return F.when(policy.isNull() | (policy < 0) | (place == 0) | place.isNull(), k + 1).otherwise(place).cast("int")
 
 
+def tied_rank(top_idx: Column, top_probs: Column, policy: Column, p: Column, k: int = 5) -> Column:
+    """``rank_in``, but equal probabilities share the best of their places, as does one that equals the last of the top and was cut."""
+    place = F.array_position(top_idx, policy.cast("int"))
+    own = F.when(place > 0, F.get(top_probs, (place - 1).cast("int"))).otherwise(p)
+    first = F.array_position(top_probs, own)
+    return F.when((policy >= 0) & (first > 0), F.least(first, F.lit(k + 1)).cast("int")).otherwise(rank_in(top_idx, policy, k))
+
+
 def gap_and_ratio(top1: Column, p: Column) -> tuple[Column, Column]:
     return top1 - p, p / (top1 + EPS)
 

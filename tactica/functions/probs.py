@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import cross_entropy, gap_and_ratio, rank_in
+from .arrays import cross_entropy, gap_and_ratio, tied_rank
 
 MOVES, ELOS = 5, (1100, 1300, 1500, 1700, 1900)
 
@@ -15,7 +15,7 @@ def move_columns(probs: DataFrame) -> DataFrame:
     if "top5_idx" not in probs.columns:
         return probs
     gap, ratio = gap_and_ratio(F.coalesce(F.get("top5_probs", F.lit(0)), F.lit(0.0)), F.col("prob"))
-    return probs.withColumns({"rank": rank_in(F.col("top5_idx"), F.col("policy_idx")), "gap": gap, "ratio": ratio})
+    return probs.withColumns({"rank": tied_rank(F.col("top5_idx"), F.col("top5_probs"), F.col("policy_idx"), F.col("prob")), "gap": gap, "ratio": ratio})
 
 
 def level_statistics(probs: DataFrame, key: str = "pid", moves: int = MOVES) -> DataFrame:

@@ -108,6 +108,25 @@ def test_wide_vector(spark):
     assert len(lone) == 360 and lone[:180] == [0.0] * 180 and lone[180:] == got
 
 
+@pytest.mark.parametrize("name", ["move_probability_columns"])
+def test_equal_probabilities_share_a_rank_as_in_sql(spark, tmp_path, name):
+    import random
+
+    import duckdb
+
+    import __spark_entry__
+
+    rng = random.Random(3)
+    data = [(i, [rng.choice([0.0, 0.25, 0.5, -0.25][: 1 + i % 4]) for _ in range(64)], i % 10) for i in range(60)]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = __spark_entry__.queries()[name](spark, str(tmp_path))
+    plain = lambda some: sorted(tuple(float(v) if v is not None else None for v in r) for r in some)
+    got, wanted = plain(found.collect()), plain(con.execute(f"SELECT {', '.join(found.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall())
+    assert len(got) == len(wanted) > 0 and sum(a != pytest.approx(b, abs=2e-6) for a, b in zip(got, wanted, strict=True)) == 0
+
+
 def test_a_puzzle_without_a_side_table_keeps_its_row(spark):
     base = spark.createDataFrame([("a",), ("b",), ("c",)], "pid string")
     one = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "pid string, v array<double>")
