@@ -108,7 +108,7 @@ def test_wide_vector(spark):
     assert len(lone) == 360 and lone[:180] == [0.0] * 180 and lone[180:] == got
 
 
-@pytest.mark.parametrize("name", ["move_probability_columns"])
+@pytest.mark.parametrize("name", ["move_probability_columns", "probability_vector", "probability_cells", "specialist_vector"])
 def test_equal_probabilities_share_a_rank_as_in_sql(spark, tmp_path, name):
     import random
 
