@@ -17,6 +17,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
+from .sqltext import bind, once
+
 PAWN, KNIGHT, BISHOP, ROOK, QUEEN, KING = range(1, 7)
 PIECES = ".PNBRQKpnbrqk"
 #: Steps of file and rank in each direction; along the first four the squares' numbers grow.
@@ -100,7 +102,7 @@ def attackers(square: str, occupied: str) -> str:
 
 
 def squares(mask: str, v: str) -> str:
-    return f"filter(sequence(0, 63), {v} -> getbit({mask}, {v}) = 1)"
+    return once(mask, lambda m: f"filter(sequence(0, 63), {v} -> getbit({m}, {v}) = 1)")
 
 
 def union(parts: Iterable[str]) -> str:
@@ -111,8 +113,17 @@ def _slides(d: str) -> str:
     return "$diagonal" if d in DIAGONAL else "$straight"
 
 
-def _plane(letters: str) -> str:
-    return f"cast(conv(translate($reversed, '{PIECES}', '{''.join('1' if c in letters else '0' for c in PIECES)}'), 2, -10) AS bigint)"
+def _codes() -> str:
+    """SQL array of the number of a piece for each character: by look-up, as searches in strings cost far more."""
+    codes = {c: (k if k < 7 else 6 - k) for k, c in enumerate(PIECES)}
+    return "array(" + ", ".join(str(codes.get(chr(k), 0)) for k in range(128)) + ")"
+
+
+def _marks() -> str:
+    """The men as four masks: the binary digits of their kinds, and the white ones."""
+    digit = lambda k: f"'k{k}', a.k{k} | shiftleft(cast(shiftright(abs(c), {k}) & 1 AS bigint), s)"
+    added = f"named_struct({', '.join(digit(k) for k in range(3))}, 'w', a.w | if(c > 0, {bit('s')}, 0L))"
+    return f"aggregate(filter(sequence(0, 63), s -> get($bd, s) <> 0), named_struct('k0', 0L, 'k1', 0L, 'k2', 0L, 'w', 0L), (a, s) -> {bind('get($bd, s)', 'c', added)})"
 
 
 def _plus_one(planes: str, x: str) -> str:
@@ -142,36 +153,40 @@ def _still(square: str) -> str:
     return f"if($already = 0L, 0L, {leap} | {union(f'if(($e_{d} & {_slides(d)} & $own & ~{bit(square)}) <> 0L, ~$e_{d}, 0L)' for d in DIRECTIONS)})"
 
 
-def _castle(right: str) -> str:
-    """A castling move if it is legal, else null."""
+def _may_castle(right: str) -> str:
     king, to, rook, rook_to = CASTLES[right]
     way = sum(1 << s for s in range(min(king, rook) + 1, max(king, rook)))
     safe = _signed(1 << king | 1 << rook_to | 1 << to)
+    return f"{'' if right.isupper() else 'NOT '}$white AND $rights[{'KQkq'.index(right)}] AND ($occ & {_signed(way)}L) = 0L AND ($opp_attacks & {safe}L) = 0L"
+
+
+def _castle(right: str) -> str:
+    """A castling move if it is legal, else null."""
+    king, to, rook, rook_to = CASTLES[right]
     after = f"($occ ^ {_signed(1 << king ^ 1 << to ^ 1 << rook ^ 1 << rook_to)}L)"
     rooks = _signed(1 << rook | 1 << rook_to)
     check = "($already & ($P | $N)) <> 0L OR " + _slider_check("$es", after, f"($own ^ {rooks}L)", f"($straight ^ {rooks}L)")
-    able = f"{'' if right.isupper() else 'NOT '}$white AND $rights[{'KQkq'.index(right)}] AND ($occ & {_signed(way)}L) = 0L AND ($opp_attacks & {safe}L) = 0L"
-    return f"if({able}, named_struct('f', {king}, 't', {to}, 'promo', 0, 'cap', false, 'chk', {check}), NULL)"
+    return f"if({_may_castle(right)}, named_struct('f', {king}, 't', {to}, 'promo', 0, 'cap', false, 'chk', {check}), NULL)"
 
 
 def _steps() -> dict[str, str]:
-    s: dict[str, str] = {"reversed": "reverse($board)"}
-    for name, letters in (("P", "Pp"), ("N", "Nn"), ("B", "Bb"), ("R", "Rr"), ("Q", "Qq"), ("K", "Kk"), ("W", "PNBRQK"), ("occ", PIECES[1:])):
-        s[name] = _plane(letters)
+    s: dict[str, str] = {"bd": f"transform(split($board, ''), c -> get({_codes()}, ascii(c)))", "marks": _marks()}
+    for name, kind in zip("PNBRQK", range(1, 7), strict=True):
+        s[name] = "(" + " & ".join(("" if kind >> k & 1 else "~") + f"$marks.k{k}" for k in range(3)) + ")"
+    s |= {"W": "$marks.w", "occ": "($marks.k0 | $marks.k1 | $marks.k2)"}
     s |= {
         "X": "($occ ^ $W)", "own": "if($white, $W, $X)", "opp": "if($white, $X, $W)", "diagonal": "($B | $Q)", "straight": "($R | $Q)",
-        "bd": f"transform(sequence(1, 64), i -> get(array(0, 1, 2, 3, 4, 5, 6, -1, -2, -3, -4, -5, -6), locate(substr($board, i, 1), '{PIECES}') - 1))",
         "side": "array($W, $X)", "kind": "array(0L, $P, $N, $B, $R, $Q, $K)",
         "wk": lowest("($K & $W)"), "bk": lowest("($K & $X)"), "ks": "if($white, $wk, $bk)", "es": "if($white, $bk, $wk)",
         "king": f"array(if($wk = {NONE}, -1, $wk), if($bk = {NONE}, -1, $bk))",
         "rights": "array(" + ", ".join(f"contains($castling, '{r}') AND substr($board, {k + 1}, 1) = '{'K' if r.isupper() else 'k'}' AND substr($board, {rook + 1}, 1) = '{'R' if r.isupper() else 'r'}'" for r, (k, _, rook, _) in CASTLES.items()) + ")",
         # the squares that the piece on each square attacks
-        "at": f"""transform($bd, (c, s) -> CASE abs(c) WHEN 0 THEN 0L WHEN {PAWN} THEN if(c > 0, get(rays.pawn_w, s), get(rays.pawn_b, s)) WHEN {KNIGHT} THEN get(rays.knight, s) WHEN {KING} THEN get(rays.king, s)
-          WHEN {BISHOP} THEN {lines(DIAGONAL, 's', '$occ')} WHEN {ROOK} THEN {lines(STRAIGHT, 's', '$occ')} ELSE {lines(DIRECTIONS, 's', '$occ')} END)""",
+        "at": f"""transform($bd, (c, s) -> if(c = 0, 0L, CASE abs(c) WHEN {PAWN} THEN if(c > 0, get(rays.pawn_w, s), get(rays.pawn_b, s)) WHEN {KNIGHT} THEN get(rays.knight, s) WHEN {KING} THEN get(rays.king, s)
+          WHEN {BISHOP} THEN {lines(DIAGONAL, 's', '$occ')} WHEN {ROOK} THEN {lines(STRAIGHT, 's', '$occ')} ELSE {lines(DIRECTIONS, 's', '$occ')} END))""",
         # how many pieces of a side attack each square
-        "hits_w": f"aggregate(filter(transform($bd, (c, s) -> if(c > 0, get($at, s), NULL)), x -> x IS NOT NULL), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
-        "hits_b": f"aggregate(filter(transform($bd, (c, s) -> if(c < 0, get($at, s), NULL)), x -> x IS NOT NULL), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
-        "attacks_w": union(f"$hits_w.d{k}" for k in range(5)), "attacks_b": union(f"$hits_b.d{k}" for k in range(5)), "opp_attacks": "if($white, $attacks_b, $attacks_w)",
+        "hits_w": f"aggregate(transform({squares('$W', 's')}, s -> get($at, s)), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
+        "hits_b": f"aggregate(transform({squares('$X', 's')}, s -> get($at, s)), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
+        "attacks_w": f"aggregate({squares('$W', 's')}, 0L, (a, s) -> a | get($at, s))", "attacks_b": f"aggregate({squares('$X', 's')}, 0L, (a, s) -> a | get($at, s))", "opp_attacks": "if($white, $attacks_b, $attacks_w)",
     }
     for d in DIRECTIONS:  # from the own king (k_) and from the other (e_): the line, and a piece that hides it from a slider behind
         s |= {f"k_{d}": sight(d, "$ks", "$occ"), f"e_{d}": sight(d, "$es", "$occ"), f"kq_{d}": lowest(f"($k_{d} & $own)"), f"eo_{d}": lowest(f"($e_{d} & $own)"), f"ex_{d}": lowest(f"($e_{d} & $opp)")}
@@ -197,15 +212,19 @@ def _steps() -> dict[str, str]:
         "direct": "array(0L, $dp, $dn, $dd, $ds, $dd | $ds, 0L)", "on_line": "(($dd | $ds) & $own)",
         # own pieces that attack the other king before the move: none where the rules were kept
         "already": f"((($dn & $N) | ($dp & $P) | (get(rays.king, $es) & $K) | {union(f'($e_{d} & {_slides(d)})' for d in DIRECTIONS)}) & $own)",
-        # the squares that legality leaves ('ep': en passant), those that keep a veil shut, those beyond the piece on a line of the other king
-        "limits": f"""transform($pseudo, m -> named_struct('s', m.s, 'k', m.k,
+        # the squares that legality leaves ('ep': en passant), castling apart
+        "reach": f"""filter(transform($pseudo, m -> named_struct('s', m.s, 'k', m.k,
           'to', if(m.k = {KING}, $king_to, m.to & $to & if(getbit($pinned, m.s) = 0, -1L, {union(f'if(getbit($pin_{d}, m.s) = 1, get(rays.{d}, $ks), 0L)' for d in DIRECTIONS)})),
-          'ep', if(m.ep <> 0L AND ({attackers('$ks', f"(($occ & ~({bit('m.s')} | $ep_taken)) | m.ep)")} & $opp & ~$ep_taken) = 0L, m.ep, 0L),
+          'ep', if(m.ep <> 0L AND ({attackers('$ks', f"(($occ & ~({bit('m.s')} | $ep_taken)) | m.ep)")} & $opp & ~$ep_taken) = 0L, m.ep, 0L))), m -> (m.to | m.ep) <> 0L)""",
+        "n_legal": f"(aggregate($reach, 0, (a, m) -> a + bit_count(m.to | m.ep) + if(m.k = {PAWN}, 3 * bit_count(m.to & {_signed(255 | 255 << 56)}L), 0)) + size($castle_to))",
+        "castle_to": f"array_compact(array({', '.join(f"if({_may_castle(r)}, named_struct('f', {k}, 't', {to}), NULL)" for r, (k, to, _, _) in CASTLES.items())}))",
+        # besides, those that keep a veil shut, those beyond the piece on a line of the other king
+        "limits": f"""transform($reach, m -> named_struct('s', m.s, 'k', m.k, 'to', m.to, 'ep', m.ep,
           'open', {_still('m.s')} | if(getbit($veils, m.s) = 0, 0L, ~{union(f'if(getbit($veil_{d}, m.s) = 1, get(rays.{d}, $es), 0L)' for d in DIRECTIONS)}),
           'dd', if(getbit($on_line, m.s) = 0, 0L, {union(f'if(getbit($e_{d}, m.s) = 1, get(rays.{d}, m.s), 0L)' for d in DIAGONAL)}),
           'ds', if(getbit($on_line, m.s) = 0, 0L, {union(f'if(getbit($e_{d}, m.s) = 1, get(rays.{d}, m.s), 0L)' for d in STRAIGHT)})))""",
         # legal moves as masks, castling apart: all targets, of them captures, promotions, checks (promotions: for each new piece)
-        "able": f"""transform(filter($limits, m -> (m.to | m.ep) <> 0L), m -> named_struct('s', m.s, 'k', m.k, 'all', m.to | m.ep, 'ep', m.ep, 'cap', (m.to & $opp) | m.ep,
+        "able": f"""transform($limits, m -> named_struct('s', m.s, 'k', m.k, 'all', m.to | m.ep, 'ep', m.ep, 'cap', (m.to & $opp) | m.ep,
           'promo', if(m.k = {PAWN}, m.to & {_signed(255 | 255 << 56)}L, 0L),
           'chk', (m.to & {_checks('m.k')} & if(m.k = {PAWN}, {_signed(~(255 | 255 << 56) & (1 << 64) - 1)}L, -1L))
             | if(m.ep <> 0L AND ((m.ep & $dp) <> 0L OR ($already & ($P | $N | $K) & ~{bit('m.s')}) <> 0L OR {_slider_check('$es', f"(($occ & ~({bit('m.s')} | $ep_taken)) | m.ep)", '$own')}), m.ep, 0L),
@@ -219,21 +238,22 @@ def _steps() -> dict[str, str]:
         # for themes: who attacks each square, pieces without a defender, in a bad spot, without a way out; pins of both sides
         "by": f"transform(sequence(0, 63), s -> {attackers('s', '$occ')})",
         "alone": "(($W & ~$attacks_w) | ($X & ~$attacks_b))",
-        "hang": f"""aggregate({squares('$alone', 's')}, 0L, (a, s) -> a | if(({attackers('s', "($occ & ~(get($by, s) & if(getbit($W, s) = 1, $X, $W) & ($diagonal | $straight)))")}
-          & if(getbit($W, s) = 1, $W & ~(get($by, s) & $X), $X & ~(get($by, s) & $W))) = 0L, {bit('s')}, 0L))""",
+        "hang": f"""aggregate({squares('$alone', 's')}, 0L, (a, s) -> a | {bind(f"{attackers('s', '$occ')} & if(getbit($W, s) = 1, $X, $W)", "y", f"""if(({attackers('s', "($occ & ~(y & ($diagonal | $straight)))")}
+          & if(getbit($W, s) = 1, $W, $X)) = 0L, {bit('s')}, 0L)""")})""",
         "cheaper": "array(0L, 0L, $P, $P, $P | $N | $B, $P | $N | $B | $R, 0L)",
-        "bad": f"""aggregate({squares('(($W & $attacks_b) | ($X & $attacks_w)) & ~$K', 's')}, 0L, (a, s) -> a | if(getbit($hang, s) = 1
-          OR (get($by, s) & if(getbit($W, s) = 1, $X, $W) & get($cheaper, abs(get($bd, s)))) <> 0L, {bit('s')}, 0L))""",
+        "hit": "((($W & $attacks_b) | ($X & $attacks_w)) & ~$K)",
+        "bad": f"""aggregate({squares('$hit', 's')}, 0L, (a, s) -> a | if(getbit($hang, s) = 1
+          OR ({attackers('s', '$occ')} & if(getbit($W, s) = 1, $X, $W) & get($cheaper, abs(get($bd, s)))) <> 0L, {bit('s')}, 0L))""",
         "suspects": "if($checkers = 0L, $bad & $own & ~($P | $K | $pinned), 0L)",
     }
-    gone, there = bit("m.f"), bit("m.t")
+    gone, there = bit("s"), bit("t")
     after = f"(($occ & ~{gone}) | {there})"
     value = lambda square: f"get(array(0, 1, 3, 3, 5, 9, 0), abs(get($bd, {square})))"
     # attackers and defenders of a piece that has gone to t; with the attacking sliders taken off the lines
-    seen, through = attackers("m.t", after), attackers("m.t", f"({after} & ~(z.a & $opp & ($diagonal | $straight)))")
-    bad_there = f"""transform(array(named_struct('a', {seen})), z -> (z.a & $opp & ~{there}) <> 0L AND ((z.a & $opp & ~{there} & get($cheaper, abs(get($bd, m.f)))) <> 0L
-      OR ((z.a & $own & ~{gone}) = 0L AND ({through} & $own & ~{gone} & ~(z.a & $opp)) = 0L)))[0]"""
-    s["trapped"] = f"""aggregate({squares('$suspects', 's')}, 0L, (a, s) -> a | if(exists($legal, m -> m.f = s AND ((get($bd, m.t) <> 0 AND {value('m.t')} >= {value('m.f')}) OR NOT {bad_there})), 0L, {bit('s')}))"""
+    seen, through = attackers("t", after), attackers("t", f"({after} & ~(z.a & $opp & ($diagonal | $straight)))")
+    bad_there = bind(f"named_struct('a', {seen})", "z", f"""(z.a & $opp & ~{there}) <> 0L AND ((z.a & $opp & ~{there} & get($cheaper, abs(get($bd, s)))) <> 0L
+      OR ((z.a & $own & ~{gone}) = 0L AND ({through} & $own & ~{gone} & ~(z.a & $opp)) = 0L))""")
+    s["trapped"] = f"""aggregate({squares('$suspects', 's')}, 0L, (a, s) -> a | if(exists($reach, m -> m.s = s AND exists({squares('m.to', 't')}, t -> (get($bd, t) <> 0 AND {value('t')} >= {value('s')}) OR NOT {bad_there})), 0L, {bit('s')}))"""
     line = lambda d, king: f"(get(rays.{d}, {king}) | get(rays.{OPPOSITE[d]}, {king}) | {bit(king)})"
     pins = [f"if($pin_{d} = 0L, NULL, named_struct('s', $kq_{d}, 'line', {line(d, '$ks')}))" for d in DIRECTIONS]
     pins += [f"if($epin_{d} = 0L, NULL, named_struct('s', $ex_{d}, 'line', {line(d, '$es')}))" for d in DIRECTIONS]
@@ -253,13 +273,13 @@ def _uses(sql: str) -> set[str]:
     return set(_NAME.findall(sql)) - set(GIVEN)
 
 
-def _levels(wanted: Iterable[str]) -> dict[str, int]:
+def _levels(wanted: Iterable[str], steps: dict[str, str] = STEPS) -> dict[str, int]:
     """Of every needed step, after how many others it can come."""
     level: dict[str, int] = {}
 
     def of(name: str) -> int:
         if name not in level:
-            level[name] = 1 + max((of(x) for x in _uses(STEPS[name])), default=0)
+            level[name] = 1 + max((of(x) for x in _uses(steps[name])), default=0)
         return level[name]
 
     for name in wanted:
@@ -273,7 +293,7 @@ def _once(sql: str, column) -> str:
     if "->" not in sql:
         return _NAME.sub(lambda m: column(m[1]), sql)
     bound = ", ".join(f"'{n}', {column(n)}" for n in dict.fromkeys(_NAME.findall(sql)))
-    return f"transform(array(named_struct({bound})), o -> {_NAME.sub(lambda m: f'o.{m[1]}', sql)})[0]"
+    return bind(f"named_struct({bound})", "o", _NAME.sub(lambda m: f"o.{m[1]}", sql))
 
 
 def columns(nodes: DataFrame, wanted: Iterable[str], given: str = "p", prefix: str = "b_") -> DataFrame:
@@ -290,12 +310,14 @@ def columns(nodes: DataFrame, wanted: Iterable[str], given: str = "p", prefix: s
     return nodes.drop("rays")
 
 
-def inside(p: str, fields: dict[str, str]) -> str:
-    """SQL struct of ``fields`` (name -> step or given value) of the position ``p``, within a function of an array; needs rays."""
-    level = _levels(n for n in fields.values() if n not in GIVEN)
+def inside(p: str, fields: dict[str, str], instead: dict[str, str] | None = None) -> str:
+    """SQL struct of ``fields`` (name -> step or given value) of the position ``p``, within a function of an array; needs rays.
+    ``instead`` has other SQL for some steps, of the same type."""
+    steps = STEPS | (instead or {})
+    level = _levels((n for n in fields.values() if n not in GIVEN), steps)
     name = lambda m: f"{p}.{m[1]}" if m[1] in GIVEN else f"v{level[m[1]]}.{m[1]}"
     out = "named_struct(" + ", ".join(f"'{k}', {name(_NAME.match('$' + n))}" for k, n in fields.items()) + ")"
     for k in range(max(level.values(), default=0), 0, -1):
-        made = ", ".join(f"'{n}', {_NAME.sub(name, STEPS[n])}" for n, at in level.items() if at == k)
-        out = f"transform(array(named_struct({made})), v{k} -> {out})[0]"
+        made = ", ".join(f"'{n}', {_NAME.sub(name, steps[n])}" for n, at in level.items() if at == k)
+        out = bind(f"named_struct({made})", f"v{k}", out)
     return out

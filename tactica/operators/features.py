@@ -63,7 +63,7 @@ def _pawns(pawns: str, enemy: str, light: str, a_file_quirk: bool) -> dict[str,
     """
 
     def let(value: str, body: str) -> str:
-        return f"transform(array({value}), x -> {body})[0]"
+        return q.bind(value, "x", body)
 
     def smear(mask: str, *shifts: int) -> str:
         for k in shifts:
@@ -178,13 +178,13 @@ def advanced(puzzles: DataFrame, a_file_quirk: bool = True) -> DataFrame:
 
     One expression, evaluated for each slot: half-move 2i+1 for the player, 2i for the opponent.
     """
-    f = move_features(_field("p[0]"), _field("p[1]"), _field("p[2]"), a_file_quirk)
+    f = move_features(_field("p.at"), _field("p.after"), _field("p.before"), a_file_quirk)
     row = "array(" + ", ".join(f"cast({x} AS double)" for x in f.values()) + ")"
     # positions beyond the slots' are not looked at
     rows = games(puzzles).selectExpr("PuzzleId", f"least(size(raw) - 1, {MAX_HALF_MOVES}) AS played", f"slice(raw, 1, {MAX_HALF_MOVES + 1}) AS raw", f"{tables()} AS rays")
     rows = rows.selectExpr("PuzzleId", "played", f"transform(raw, p -> {inside('p', {n: n for n in SEEN})}) AS pos")
     n = f"if(k < {SLOTS}, 2 * k + 1, 2 * (k - {SLOTS}))"
-    slot = f"transform(array({n}), n -> if(n < played, transform(array(array(get(pos, n), get(pos, n + 1), get(pos, n - 1))), p -> {row})[0], array_repeat(0D, {len(f)})))[0]"
+    slot = q.bind(n, "n", f"if(n < played, {q.bind('named_struct(' + chr(39) + 'at' + chr(39) + ', get(pos, n), ' + chr(39) + 'after' + chr(39) + ', get(pos, n + 1), ' + chr(39) + 'before' + chr(39) + ', get(pos, n - 1))', 'p', row)}, array_repeat(0D, {len(f)}))")
     return rows.select("PuzzleId", F.expr(f"flatten(transform(sequence(0, {2 * SLOTS - 1}), k -> {slot}))").alias("advanced"))
 
 

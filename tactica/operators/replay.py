@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitboards import CASTLES, GIVEN, columns, inside, tables
+from .sqltext import bind
 
 #: What features and themes see of a position: its own values, and steps of ``bitboards``.
 FIELDS = {
@@ -50,15 +51,20 @@ def _fold() -> str:
       'half', if(upper(m.piece) = 'P' OR {cap}, 0, a.half + 1), 'full', if(a.white, a.full, a.full + 1),
       'error', cast(NULL AS string), 'done', concat(a.done, array(named_struct('white', a.white, 'board', a.board, 'castling', a.castling, 'ep', a.ep, 'f', m.f, 't', m.t, 'promo', m.promo, 'cap', {cap}, 'taken', m.target, 'half', a.half, 'full', a.full))))"""
     stop = lambda why: f"named_struct('board', a.board, 'white', a.white, 'castling', a.castling, 'ep', a.ep, 'half', a.half, 'full', a.full, 'error', {why}, 'done', a.done)"
-    step = f"transform(array({seen}), m -> if(m.piece = '.', {stop(repr('a move from an empty square'))}, {following}))[0]"
+    step = bind(seen, "m", f"if(m.piece = '.', {stop(repr('a move from an empty square'))}, {following})")
     return f"""CASE WHEN a.error IS NOT NULL THEN a WHEN NOT (u RLIKE {form}) THEN {stop("concat('not a move: ', u)")}
-      ELSE transform(array({read}), r -> {step})[0] END"""
+      ELSE {bind(read, "r", step)} END"""
 
 
 def games(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """PuzzleId, raw (the GIVEN values of the positions before each move and after the last), error, and the columns
     ``keep``: a fold over the move list. A FEN that cannot be read has no positions; a move that cannot be made ends
     them. One row of the input is one row of the output, no shuffle."""
+    return whole_games(puzzles, keep).selectExpr("PuzzleId", *[f"`{c}`" for c in keep], "game.raw AS raw", "game.error AS error")
+
+
+def whole_games(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """``games`` with raw and error as one column ``game``: a filter that names it once replays once."""
     keep = list(keep)
     kept = [f"`{c}`" for c in keep]
     rows = puzzles.selectExpr("cast(PuzzleId AS string) AS PuzzleId", *kept, "coalesce(FEN, '') AS text", "filter(split(trim(coalesce(Moves, '')), '\\\\s+'), u -> u <> '') AS uci", "split(trim(coalesce(FEN, '')), '\\\\s+') AS fen")
@@ -68,7 +74,8 @@ def games(puzzles: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
       'error', cast(NULL AS string), 'done', cast(array() AS array<struct<white:boolean,board:string,castling:string,ep:bigint,f:int,t:int,promo:int,cap:boolean,taken:string,half:int,full:int>>))"""
     last = "named_struct('white', s.white, 'board', s.board, 'castling', s.castling, 'ep', s.ep, 'f', cast(NULL AS int), 't', cast(NULL AS int), 'promo', cast(NULL AS int), 'cap', false, 'taken', '', 'half', s.half, 'full', s.full)"
     rows = rows.selectExpr("PuzzleId", *kept, "text", f"if({readable}, aggregate(uci, {start}, (a, u) -> {_fold()}), NULL) AS s")
-    return rows.selectExpr("PuzzleId", *kept, f"if(s IS NULL, array(), concat(s.done, array({last}))) AS raw", "if(s IS NULL, concat('not a position: ', text), s.error) AS error")
+    found = bind("s", "s", f"named_struct('raw', if(s IS NULL, array(), concat(s.done, array({last}))), 'error', if(s IS NULL, concat('not a position: ', text), s.error))")
+    return rows.selectExpr("PuzzleId", *kept, f"{found} AS game")
 
 
 def replay(puzzles: DataFrame, keep: Iterable[str] = (), fields: Iterable[str] = tuple(FIELDS)) -> DataFrame:

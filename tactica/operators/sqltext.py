@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 _names = itertools.count()
 
@@ -15,20 +16,25 @@ def bit(mask: str, square: str) -> str:
     return f"(getbit({mask}, {square}) = 1)"
 
 
+def once(mask: str, body) -> str:
+    """``body`` of a mask that is looked at for each square: computed once, if it is more than a name."""
+    return body(mask) if re.fullmatch(r"[\w.$]+", mask) else let(mask, body)
+
+
 def squares(mask: str) -> str:
     v = fresh()
-    return f"filter(sequence(0, 63), {v} -> {bit(mask, v)})"
+    return once(mask, lambda m: f"filter(sequence(0, 63), {v} -> {bit(m, v)})")
 
 
 def some(mask: str, test) -> str:
     """Whether any square of a mask passes ``test(square)``."""
     v = fresh()
-    return f"exists(sequence(0, 63), {v} -> {bit(mask, v)} AND ({test(v)}))"
+    return once(mask, lambda m: f"exists(sequence(0, 63), {v} -> {bit(m, v)} AND ({test(v)}))")
 
 
 def count(mask: str, test) -> str:
     v = fresh()
-    return f"size(filter(sequence(0, 63), {v} -> {bit(mask, v)} AND ({test(v)})))"
+    return once(mask, lambda m: f"size(filter(sequence(0, 63), {v} -> {bit(m, v)} AND ({test(v)})))")
 
 
 def total(mask: str, amount) -> str:
@@ -72,7 +78,13 @@ def collinear(a: str, b: str, c: str) -> str:
     return "(" + " OR ".join(same(g) for g in (rank, file, lambda s: f"({rank(s)} - {file(s)})", lambda s: f"({rank(s)} + {file(s)})")) + ")"
 
 
+def bind(value_: str, v: str, body: str) -> str:
+    """``body`` with the name ``v`` for a value: a fold of nothing that starts with it and ends in ``body``. The element of an
+    array of one would do as well, but asks for its type each time, and so for the types of all that is nested in it."""
+    return f"aggregate(cast(array() AS array<int>), {value_}, (kept, none) -> kept, {v} -> {body})"
+
+
 def let(value_: str, body) -> str:
     """``body`` of a name for a value."""
     v = fresh("v")
-    return f"transform(array({value_}), {v} -> {body(v)})[0]"
+    return bind(value_, v, body(v))

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sqltext as q
-from .replay import replay
+from .bitboards import DIRECTIONS, STEPS, bit, inside, tables
+from .replay import whole_games
 
 RAYS = "(3, 4, 5)"
+#: What the rules see of a position.
+SEEN = ("white", "f", "t", "promo", "cap", "bd", "side", "kind", "at", "king", "checkers", "hang", "bad", "trapped", "pins", "reach", "castle_to", "n_legal")
+#: A puzzle with one of these has no tags: unreadable, a move that cannot be made, under two moves, a missing king, no cp.
+WHY = q.bind("game", "g", """CASE WHEN g.error IS NOT NULL THEN g.error WHEN cp IS NULL THEN 'no evaluation' WHEN size(g.raw) < 3 THEN 'under two moves'
+  WHEN exists(g.raw, p -> NOT (contains(p.board, 'K') AND contains(p.board, 'k'))) THEN 'a king is missing' END""")
 P, N, B, R, Q, K = range(1, 7)
 
 
@@ -48,13 +54,19 @@ class Node:
         return f"({self.at(k)}.checkers <> 0)"
 
     def mate(self, k: int) -> str:
-        return f"({self.at(k)}.checkers <> 0 AND size({self.at(k)}.legal) = 0)"
+        return f"({self.at(k)}.checkers <> 0 AND size({self.at(k)}.reach) = 0)"
 
     def has(self, k: int, field: str, square: str) -> str:
         return q.bit(f"{self.at(k)}.{field}", square)
 
-    def attackers(self, k: int, side: str, square: str) -> str:
-        return f"(get({self.at(k)}.by, {square}) & get({self.at(k)}.side, {side}))"
+    def sees(self, k: int, side: str, a: str, b: str) -> str:
+        """Whether the piece on ``a`` is of a side and attacks ``b``."""
+        return f"(getbit(get({self.at(k)}.at, {a}), {b}) = 1 AND getbit({self.side(k, side)}, {a}) = 1)"
+
+    def can(self, k: int, a: str, b: str, promo: str) -> str:
+        """Whether a move from ``a`` to ``b`` that becomes ``promo`` is legal."""
+        piece = f"exists({self.at(k)}.reach, m -> m.s = {a} AND getbit(m.to | m.ep, {b}) = 1 AND if(m.k = {P} AND {q.rank(b)} IN (0, 7), {promo} BETWEEN {N} AND {Q}, {promo} = 0))"
+        return f"({piece} OR exists({self.at(k)}.castle_to, m -> m.f = {a} AND m.t = {b} AND {promo} = 0))"
 
     def attacks(self, k: int, square: str) -> str:
         return f"get({self.at(k)}.at, {square})"
@@ -69,6 +81,12 @@ class Node:
         return f"({self.at()}.promo > 0 OR {self.moved()} = {P} AND if({self.at(1)}.white, {q.rank(self.t())} < {low}, {q.rank(self.t())} > {high}))"
 
 
+def attackers(position: str, men: str, square: str) -> str:
+    """Mask of those of ``men`` that attack a square."""
+    a, v = q.fresh("a"), q.fresh()
+    return f"aggregate({q.squares(men)}, 0L, ({a}, {v}) -> {a} | if({q.bit(f'get({position}.at, {v})', square)}, shiftleft(1L, {v}), 0L))"
+
+
 def balance(k: str) -> str:
     """Material of the player less the opponent's on board k."""
     side = lambda s: " + ".join(f"bit_count(get(pos, {k}).kind[{i}] & get(pos, {k}).side[{s}]) * {v}" for i, v in ((1, 1), (2, 3), (3, 3), (4, 5), (5, 9)))
@@ -96,7 +114,8 @@ def _blocked(k_board: int, k_move: int):
     """A hanging piece is taken after a move cut the line of its (lowest) defender on an earlier board."""
 
     def rule(x: Node) -> str:
-        defender = f"array_min({q.squares(x.attackers(k_board, _capture_colour(x), x.t()))})"
+        v = q.fresh()
+        defender = q.let(x.t(), lambda t: q.let(_capture_colour(x), lambda c: f"get(filter(sequence(0, 63), {v} -> {x.sees(k_board, c, v, t)}), 0)"))
         line = q.let(defender, lambda d: f"{d} > 0 AND abs({x.piece(k_board, d)}) IN {RAYS} AND {q.between(x.t(k_move), x.t(), d)}")
         other = f"{x.t()} <> {x.t(-1)} AND " if k_move == -2 else ""
         return f"{x.taken()} <> 0 AND {other}{x.has(0, 'hang', x.t())} AND {line}"
@@ -105,7 +124,7 @@ def _blocked(k_board: int, k_move: int):
 
 
 def _attraction(x: Node) -> str:
-    seen = q.bit(x.attackers(3, "me", x.t()), x.t(2))
+    seen = x.sees(3, "me", x.t(2), x.t())
     return f"{x.t(1)} = {x.t()} AND {x.moved(1)} IN (4, 5, 6) AND {seen} AND ({x.moved(1)} = {K} OR coalesce({x.t(4)} = {x.t()}, false))"
 
 
@@ -127,12 +146,12 @@ def _quiet(x: Node) -> str:
 
 def _defensive() -> str:
     x = Node("(moves - 1)")
-    return f"(size({x.at()}.legal) >= 3 AND NOT {x.check(1)} AND NOT {x.cap()} AND {_threatens_nothing(x)})"
+    return f"({x.at()}.n_legal >= 3 AND NOT {x.check(1)} AND NOT {x.cap()} AND {_threatens_nothing(x)})"
 
 
 def _check_escape() -> str:
-    return first_node(lambda x: f"({x.check(1)} OR {x.cap()} OR size({x.at()}.legal) < 3 OR {x.check(0)})",
-                      lambda x: f"NOT {x.check(1)} AND NOT {x.cap()} AND size({x.at()}.legal) >= 3")
+    return first_node(lambda x: f"({x.check(1)} OR {x.cap()} OR {x.at()}.n_legal < 3 OR {x.check(0)})",
+                      lambda x: f"NOT {x.check(1)} AND NOT {x.cap()} AND {x.at()}.n_legal >= 3")
 
 
 def _sacrifice() -> str:
@@ -146,7 +165,7 @@ def _x_ray(x: Node) -> str:
 
 def _fork(x: Node) -> str:
     dear = lambda s: f"{q.king_value(x.piece(1, s))} > {q.king_value(x.moved())}"
-    free = lambda s: f"({x.has(1, 'hang', s)} AND NOT {q.bit(x.attackers(1, 'op', x.t()), s)})"
+    free = lambda s: f"({x.has(1, 'hang', s)} AND NOT {x.sees(1, 'op', s, x.t())})"
     hit = q.count(f"({x.attacks(1, x.t())} & {x.side(1, 'op')})", lambda s: f"abs({x.piece(1, s)}) <> {P} AND ({dear(s)} OR {free(s)})")
     return f"{x.moved()} <> {K} AND NOT {x.has(1, 'bad', x.t())} AND {hit} > 1"
 
@@ -187,8 +206,8 @@ def _skewer(x: Node) -> str:
 
 def _intermezzo() -> str:
     return first_node(
-        lambda x: f"{x.cap()} AND NOT {q.bit(x.attackers(-1, 'op', x.t()), x.f(-1))} AND {x.t(-2)} <> {x.t()}",
-        lambda x: f"{x.t(-3)} = {x.t()} AND {x.cap(-3)} AND exists({x.at(-2)}.legal, m -> m.f = {x.f()} AND m.t = {x.t()} AND m.promo = {x.at()}.promo)", 3)
+        lambda x: f"{x.cap()} AND NOT {x.sees(-1, 'op', x.f(-1), x.t())} AND {x.t(-2)} <> {x.t()}",
+        lambda x: f"{x.t(-3)} = {x.t()} AND {x.cap(-3)} AND {x.can(-2, x.f(), x.t(), f'{x.at()}.promo')}", 3)
 
 
 def _pinned(x: Node, test) -> str:
@@ -203,10 +222,10 @@ def _pin_attack(x: Node) -> str:
 
 def _pin_escape(x: Node) -> str:
     def hit(z: str, s: str) -> str:
-        stuck = f"({x.has(1, 'hang', f'{z}.s')} AND NOT {q.bit(x.attackers(1, 'op', s), f'{z}.s')} AND {z}.leaves)"
+        stuck = f"({x.has(1, 'hang', f'{z}.s')} AND NOT {x.sees(1, 'op', f'{z}.s', s)} AND {z}.leaves)"
         return f"{q.value(x.piece(1, f'{z}.s'))} > {q.value(x.piece(1, s))} OR {stuck}"
 
-    return _pinned(x, lambda z: q.some(f"({x.attackers(1, 'me', f'{z}.s')} & {z}.line)", lambda s: hit(z, s)))
+    return _pinned(x, lambda z: q.some(f"({x.side(1, 'me')} & {z}.line)", lambda s: f"{x.sees(1, 'me', s, f'{z}.s')} AND ({hit(z, s)})"))
 
 
 def _side_attack(corner_file: int, files: str, pieces: int) -> str:
@@ -228,14 +247,14 @@ def _collinear(x: Node) -> str:
         straight = f"({q.rank(x.f())} = {q.rank(s)} OR {q.file(x.f())} = {q.file(s)})"
         kind = f"abs({x.piece(0, s)})"
         return f"""{kind} IN {RAYS} AND {q.collinear(x.f(), s, x.t())} AND NOT ({straight} AND {kind} = {B}) AND NOT (NOT {straight} AND {kind} = {R})
-          AND exists({x.at()}.legal, m -> m.f = {x.f()} AND m.t = {s} AND m.promo = 0)"""
+          AND {x.can(0, x.f(), s, '0')}"""
 
     return f"{x.moved()} IN {RAYS} AND NOT {x.cap()} AND {q.some(f'({x.attacks(0, x.f())} & {x.side(0, "op")})', stays)}"
 
 
 def _capturing_defender(x: Node) -> str:
     wins = f"({x.taken()} <> 0 AND {x.moved()} <> {K} AND {q.value(x.taken())} <= {q.value(x.moved())} AND {x.has(0, 'hang', x.t())} AND {x.t(-1)} <> {x.t()})"
-    defended = q.bit(x.attackers(-2, f"if({x.taken(-2)} > 0, 0, 1)", x.t()), x.t(-2))
+    defended = x.sees(-2, f"if({x.taken(-2)} > 0, 0, 1)", x.t(-2), x.t())
     return f"({x.mate(1)} OR {wins}) AND NOT {x.check(-1)} AND {x.t(-2)} <> {x.f()} AND {x.taken(-2)} <> 0 AND {defended} AND NOT {x.check(-2)}"
 
 
@@ -254,7 +273,7 @@ def _mates() -> list[tuple[str, str]]:
     e, k, me, op = "element_at(pos, -1)", "element_at(pos, -1).king[op]", "element_at(pos, -1).side[me]", "element_at(pos, -1).side[op]"
     x = Node("(moves - 1)")
     t, kind = x.t(), x.moved()
-    by = lambda s: f"({e}.by[{s}] & {me})"
+    by = lambda s: attackers(e, me, s)
     back = "(if(me = 0, 7, 0))"
     front = f"filter(concat(array({k} + if(me = 0, -8, 8)), if({q.file(k)} < 7, array({k} + if(me = 0, -7, 9)), array()), if({q.file(k)} > 0, array({k} + if(me = 0, -9, 7)), array())), s -> s BETWEEN 0 AND 63)"
     step = f"if({q.file(k)} = 0, 1, -1)"
@@ -326,16 +345,34 @@ def tag_columns() -> list[tuple[str, str]]:
     ]
 
 
-def tag_positions(positions: DataFrame) -> DataFrame:
-    """PuzzleId, cp, tags, error from rows of PuzzleId, cp, pos, error.
+def seen() -> str:
+    """SQL of the positions of ``game`` with what rules look at, and no more where that is costly; needs rays.
 
-    A puzzle that fails (unreadable, a move that cannot be made, under two moves, a missing king,
-    or no cp) has an error and no tags.
+    On the player's boards (odd), pieces in a bad spot are only asked for on the target of the move, legal moves always. On
+    the others, pieces in a bad spot on the target of the last move, those without a way out where the next move takes more than a pawn, and
+    moves if there is a check, a pin or such a piece, or only one move follows.
     """
-    rows = positions.withColumn("moves", F.size("pos") - 1)
-    why = """CASE WHEN error IS NOT NULL THEN error WHEN cp IS NULL THEN 'no evaluation' WHEN moves < 2 THEN 'under two moves'
-      WHEN exists(pos, p -> p.king[0] < 0 OR p.king[1] < 0) THEN 'a king is missing' END"""
-    rows = rows.selectExpr("PuzzleId", "cp", f"{why} AS error", "pos", "moves", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1) AS mine", "if(get(pos, 1).white, 0, 1) AS me", "if(get(pos, 1).white, 1, 0) AS op")
+    square = lambda s: f"coalesce({bit(s)}, 0L)"
+    after = "get(game.raw, i + 1)"
+    left = f"if(p.t = {after}.t, p.f, {after}.t)"
+    takes = f"(i >= 2 AND coalesce(upper({after}.taken) IN ('N', 'B', 'R', 'Q', 'K'), false))"
+    last = "i = size(game.raw) - 2"  # the rule of a defensive move counts moves here, even if the line ends with the opponent's
+    none = lambda kind: f"cast(array() AS array<struct<{kind}>>)"
+    mine = {"alone": f"({STEPS['alone']} & {square('p.t')})", "hit": f"({STEPS['hit']} & {square('p.t')})", "trapped": "0L", "pins": none("s:int,line:bigint,leaves:boolean")}
+    theirs = {
+        "hit": f"({STEPS['hit']} & ({square('get(game.raw, i - 1).t')} | if({takes}, {square(left)}, 0L)))", "suspects": f"if({takes}, {STEPS['suspects']} & {square(left)}, 0L)",
+        "epinned": "(" + " | ".join(f"$epin_{d}" for d in DIRECTIONS) + ")",
+        "pseudo": f"if({last} OR ($checkers | $suspects | $pinned | $epinned) <> 0L, {STEPS['pseudo']}, {none('s:int,k:int,to:bigint,ep:bigint')})", "castle_to": f"if({last}, {STEPS['castle_to']}, {none('f:int,t:int')})",
+    }
+    fields = {n: n for n in SEEN}
+    return f"transform(game.raw, (p, i) -> if(i % 2 = 1, {inside('p', fields, mine)}, {inside('p', fields, theirs)}))"
+
+
+def tag_games(games: DataFrame) -> DataFrame:
+    """PuzzleId, cp, tags, error from rows of PuzzleId, cp and ``game``; a puzzle that fails (see WHY) has an error and no tags."""
+    rows = games.selectExpr("PuzzleId", "cp", f"{WHY} AS error", "game", f"{tables()} AS rays")
+    rows = rows.selectExpr("PuzzleId", "cp", "error", f"{seen()} AS pos", "size(game.raw) - 1 AS moves")
+    rows = rows.selectExpr("PuzzleId", "cp", "error", "pos", "moves", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1) AS mine", "if(get(pos, 1).white, 0, 1) AS me", "if(get(pos, 1).white, 1, 0) AS op")
     # rules are only looked at where there is no error
     found = rows.select("PuzzleId", "cp", "error", *[F.when(F.col("error").isNull(), F.expr(sql)).alias(name) for name, sql in tag_columns()])
     lone = "if(matePattern <=> 'backRankMate' OR fork IS NOT NULL, NULL, sideAttack)"
@@ -350,7 +387,5 @@ def tag(puzzles: DataFrame, evals: DataFrame | None = None) -> DataFrame:
     """
     if evals is not None:
         cp = evals.groupBy(F.col("PuzzleId").cast("string").alias("PuzzleId")).agg(F.min("cp").alias("cp"))
-        positions = replay(puzzles).join(cp, "PuzzleId", "left")
-    else:
-        positions = replay(puzzles, ["cp"])
-    return tag_positions(positions).select("PuzzleId", "cp", F.array_join("tags", " ").alias("Themes"), "error")
+        puzzles = puzzles.select(F.col("PuzzleId").cast("string").alias("PuzzleId"), "FEN", "Moves").join(cp, "PuzzleId", "left")
+    return tag_games(whole_games(puzzles, ["cp"])).select("PuzzleId", "cp", F.array_join("tags", " ").alias("Themes"), "error")
