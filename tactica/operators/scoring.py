@@ -12,7 +12,9 @@ from .replay import replay
 
 ELOS, MOVES = (1100, 1300, 1500, 1700, 1900), 5
 #: What moves, planes and most scorers need of a replayed position.
-FIELDS = ("white", "f", "t", "promo", "cap", "bd", "rights", "checkers")
+FIELDS = ("white", "f", "t", "promo", "cap", "board", "bd", "rights", "checkers")
+#: Rows that a scorer gets at once: some 1,900 logits for each are in memory several times.
+AT_ONCE = 500
 
 
 def policy_vocabulary() -> list[str]:
@@ -48,11 +50,11 @@ def normalised_move(uci: Column, black: Column, king_on_e1: Column, family: int
 
 def player_moves(positions: DataFrame, moves: int = MOVES) -> DataFrame:
     """PuzzleId, move_idx, n, uci, move and the position (p) of the player's first moves (M1), of replayed
-    positions that keep Moves."""
+    positions that keep Moves and have white and board."""
     listed = F.filter(F.split(F.trim("Moves"), "\\s+"), lambda x: x != "").alias("uci")
     nodes = positions.select("PuzzleId", listed, F.posexplode(F.expr("slice(pos, 1, greatest(size(pos) - 1, 0))")).alias("n", "p")).filter(f"n % 2 = 1 AND n div 2 < {moves}")
     nodes = nodes.select("PuzzleId", F.expr("cast(n div 2 as int)").alias("move_idx"), "n", F.expr("get(uci, n)").alias("uci"), "p")
-    king = F.expr("abs(p.bd[if(p.white, 4, 60)]) = 6")
+    king = F.expr("upper(substr(p.board, if(p.white, 5, 61), 1)) = 'K'")
     return nodes.withColumn("move", normalised_move(F.col("uci"), ~F.col("p.white"), king))
 
 
@@ -61,6 +63,22 @@ def with_policy(moves: DataFrame, spark: SparkSession) -> DataFrame:
     return moves.join(F.broadcast(policy_table(spark)), "move", "left").withColumn("policy_idx", F.coalesce("policy_idx", F.lit(-1)))
 
 
+def best_places(p, k: int):
+    """Places of the ``k`` highest values of each row, highest first, equal ones by place; only rows with equal values at the cut,
+    or without a number, are sorted whole."""
+    import numpy as np
+
+    if p.shape[1] <= k:
+        return np.argsort(-p, axis=1, kind="stable")
+    high = p >= np.partition(p, p.shape[1] - k, axis=1)[:, [p.shape[1] - k]]
+    clear = (high.sum(1) == k) & ~np.isnan(p).any(1)
+    best = np.empty((len(p), k), np.int64)
+    found = np.nonzero(high[clear])[1].reshape(-1, k)
+    best[clear] = np.take_along_axis(found, np.argsort(-np.take_along_axis(p[clear], found, 1), axis=1, kind="stable"), 1)
+    best[~clear] = np.argsort(-p[~clear], axis=1, kind="stable")[:, :k]
+    return best
+
+
 def score(rows: DataFrame, scorer: Callable[[pd.DataFrame], "pd.Series"], keep: Iterable[str], elos: Iterable[int] = ELOS, k: int = 5) -> DataFrame:
     """Every row at every level through ``scorer`` (frame with elo -> arrays of logits), reduced in the
     same batch to the probability of ``policy_idx`` and the k best (M3-M5, M14)."""
@@ -70,11 +88,11 @@ def score(rows: DataFrame, scorer: Callable[[pd.DataFrame], "pd.Series"], keep:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[i : i + AT_ONCE] for whole in batches for i in range(0, max(len(whole), 1), AT_ONCE)):
             z = np.stack([np.asarray(x, float) for x in scorer(b)]) if len(b) else np.zeros((0, 1))
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            best = np.argsort(-p, axis=1, kind="stable")[:, :k]
+            best = best_places(p, k)
             idx = b["policy_idx"].to_numpy()
             own = np.where((idx >= 0) & (idx < p.shape[1]), p[np.arange(len(p)), np.clip(idx, 0, p.shape[1] - 1)], 0.0)
             yield b[[*keep, "elo"]].assign(prob=own, top5_probs=list(np.take_along_axis(p, best, 1)), top5_idx=list(best.astype("int32")))

@@ -66,8 +66,9 @@ def build_matrix(puzzles: DataFrame, blocks=None, evals=None, themes=None, move_
 
 def score_unfinished(puzzles: DataFrame, scorer, source: str, done: DataFrame | None = None, fields: Iterable[str] = scoring.FIELDS) -> DataFrame:
     """Move probabilities of the puzzles that ``done`` lacks, joined with what it has (W-C). ``fields`` are what the
-    scorer reads of a position ``p``."""
+    scorer reads of a position ``p``; without any it gets none. ``done`` is read twice: a table, not a plan."""
+    fields = list(fields)
     todo = puzzles if done is None else puzzles.join(done.filter("prob IS NOT NULL").select(F.col("pid").alias("PuzzleId")).distinct(), "PuzzleId", "left_anti")
-    moves = scoring.with_policy(scoring.player_moves(replay.replay(todo, ["Moves"], fields)), puzzles.sparkSession)
-    new = scoring.score(moves.select(F.col("PuzzleId").alias("pid"), "move_idx", "policy_idx", "p"), scorer, ["pid", "move_idx", "policy_idx"]).withColumn("source", F.lit(source))
+    moves = scoring.with_policy(scoring.player_moves(replay.replay(todo, ["Moves"], dict.fromkeys(["white", "board", *fields]))), puzzles.sparkSession)
+    new = scoring.score(moves.select(F.col("PuzzleId").alias("pid"), "move_idx", "policy_idx", *["p"] * bool(fields)), scorer, ["pid", "move_idx", "policy_idx"]).withColumn("source", F.lit(source))
     return new if done is None else done.filter("prob IS NOT NULL").unionByName(new)

@@ -826,5 +826,5 @@ def _(s, d):
 def _(s, d):
     """Half of the puzzles are done; only the others are scored."""
     p = puzzles(s, d).drop("cp")
-    done = build.score_unfinished(p.filter("PuzzleId % 2 = 0"), toy_scorer, "maia1")
-    return build.score_unfinished(p, toy_scorer, "maia1", done).select("pid", "source", "elo", "move_idx", "policy_idx", F.round("prob", 9).alias("prob"))
+    done = models.written(build.score_unfinished(p.filter("PuzzleId % 2 = 0"), toy_scorer, "maia1", fields=()))
+    return build.score_unfinished(p, toy_scorer, "maia1", done, fields=()).select("pid", "source", "elo", "move_idx", "policy_idx", F.round("prob", 9).alias("prob"))

@@ -87,6 +87,24 @@ def plain_vector(cells, extended):
     return np.concatenate(out)
 
 
+def test_best_places_are_those_of_a_stable_sort():
+    import numpy as np
+
+    from tactica.operators import scoring
+
+    rng = np.random.default_rng(4)
+    for p in (rng.random((50, 40)), rng.integers(0, 4, (50, 40)) / 4, np.zeros((3, 40)), rng.random((5, 5)), rng.random((4, 3)), np.zeros((0, 40)), np.where(rng.random((20, 40)) < 0.1, np.nan, rng.random((20, 40)))):
+        assert (scoring.best_places(p, 5) == np.argsort(-p, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_incremental_scoring_scores_each_puzzle_once(spark):
+    """What is done is a table to the final plan, and the positions that no scorer reads do not go to Python."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["incremental_scoring"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "bd:" not in plan
+
+
 def test_wide_vector(spark):
     import random
 
