@@ -105,6 +105,11 @@ def squares(mask: str, v: str) -> str:
     return once(mask, lambda m: f"filter(sequence(0, 63), {v} -> getbit({m}, {v}) = 1)")
 
 
+def men_of(mask: str, v: str) -> str:
+    """Squares of a mask of men: only those of the board are looked through."""
+    return once(mask, lambda m: f"filter($men, {v} -> getbit({m}, {v}) = 1)")
+
+
 def union(parts: Iterable[str]) -> str:
     return "(" + " | ".join(parts) + ")"
 
@@ -123,7 +128,7 @@ def _marks() -> str:
     """The men as four masks: the binary digits of their kinds, and the white ones."""
     digit = lambda k: f"'k{k}', a.k{k} | shiftleft(cast(shiftright(abs(c), {k}) & 1 AS bigint), s)"
     added = f"named_struct({', '.join(digit(k) for k in range(3))}, 'w', a.w | if(c > 0, {bit('s')}, 0L))"
-    return f"aggregate(filter(sequence(0, 63), s -> get($bd, s) <> 0), named_struct('k0', 0L, 'k1', 0L, 'k2', 0L, 'w', 0L), (a, s) -> {bind('get($bd, s)', 'c', added)})"
+    return f"aggregate($men, named_struct('k0', 0L, 'k1', 0L, 'k2', 0L, 'w', 0L), (a, s) -> {bind('get($bd, s)', 'c', added)})"
 
 
 def _plus_one(planes: str, x: str) -> str:
@@ -170,7 +175,7 @@ def _castle(right: str) -> str:
 
 
 def _steps() -> dict[str, str]:
-    s: dict[str, str] = {"bd": f"transform(split($board, ''), c -> get({_codes()}, ascii(c)))", "marks": _marks()}
+    s: dict[str, str] = {"bd": f"transform(split($board, ''), c -> get({_codes()}, ascii(c)))", "men": "filter(sequence(0, 63), s -> get($bd, s) <> 0)", "marks": _marks()}
     for name, kind in zip("PNBRQK", range(1, 7), strict=True):
         s[name] = "(" + " & ".join(("" if kind >> k & 1 else "~") + f"$marks.k{k}" for k in range(3)) + ")"
     s |= {"W": "$marks.w", "occ": "($marks.k0 | $marks.k1 | $marks.k2)"}
@@ -184,9 +189,9 @@ def _steps() -> dict[str, str]:
         "at": f"""transform($bd, (c, s) -> if(c = 0, 0L, CASE abs(c) WHEN {PAWN} THEN if(c > 0, get(rays.pawn_w, s), get(rays.pawn_b, s)) WHEN {KNIGHT} THEN get(rays.knight, s) WHEN {KING} THEN get(rays.king, s)
           WHEN {BISHOP} THEN {lines(DIAGONAL, 's', '$occ')} WHEN {ROOK} THEN {lines(STRAIGHT, 's', '$occ')} ELSE {lines(DIRECTIONS, 's', '$occ')} END))""",
         # how many pieces of a side attack each square
-        "hits_w": f"aggregate(transform({squares('$W', 's')}, s -> get($at, s)), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
-        "hits_b": f"aggregate(transform({squares('$X', 's')}, s -> get($at, s)), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
-        "attacks_w": f"aggregate({squares('$W', 's')}, 0L, (a, s) -> a | get($at, s))", "attacks_b": f"aggregate({squares('$X', 's')}, 0L, (a, s) -> a | get($at, s))", "opp_attacks": "if($white, $attacks_b, $attacks_w)",
+        "hits_w": f"aggregate(transform({men_of('$W', 's')}, s -> get($at, s)), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
+        "hits_b": f"aggregate(transform({men_of('$X', 's')}, s -> get($at, s)), {_ZERO}, (h, x) -> {_plus_one('h', 'x')})",
+        "attacks_w": f"aggregate({men_of('$W', 's')}, 0L, (a, s) -> a | get($at, s))", "attacks_b": f"aggregate({men_of('$X', 's')}, 0L, (a, s) -> a | get($at, s))", "opp_attacks": "if($white, $attacks_b, $attacks_w)",
     }
     for d in DIRECTIONS:  # from the own king (k_) and from the other (e_): the line, and a piece that hides it from a slider behind
         s |= {f"k_{d}": sight(d, "$ks", "$occ"), f"e_{d}": sight(d, "$es", "$occ"), f"kq_{d}": lowest(f"($k_{d} & $own)"), f"eo_{d}": lowest(f"($e_{d} & $own)"), f"ex_{d}": lowest(f"($e_{d} & $opp)")}
@@ -204,7 +209,7 @@ def _steps() -> dict[str, str]:
         "push": "if($white, rays.push_w, rays.push_b)", "jump": "if($white, rays.jump_w, rays.jump_b)",
         "ep_bit": f"if($ep >= 0, {bit('greatest($ep, 0)')} & ~$occ, 0L)", "ep_taken": f"if($ep >= 0, {bit('(greatest($ep, 8) + if($white, -8, 8))')}, 0L)",
         # (square, kind, targets) of the own pieces, without regard to the king; en passant apart
-        "pseudo": f"""transform({squares('$own', 's')}, s -> named_struct('s', s, 'k', abs(get($bd, s)), 'to', CASE abs(get($bd, s))
+        "pseudo": f"""transform({men_of('$own', 's')}, s -> named_struct('s', s, 'k', abs(get($bd, s)), 'to', CASE abs(get($bd, s))
           WHEN {PAWN} THEN (get($at, s) & $opp) | (get($push, s) & ~$occ) | if((get($push, s) & ~$occ) <> 0L, get($jump, s) & ~$occ, 0L) ELSE get($at, s) & ~$own END,
           'ep', if(abs(get($bd, s)) = {PAWN} AND s div 8 = if($white, 4, 3), get($at, s) & $ep_bit, 0L)))""",
         "dn": "get(rays.knight, $es)", "dp": pawn_of("NOT $white", "$es"), "dd": union(f"$e_{d}" for d in DIAGONAL), "ds": union(f"$e_{d}" for d in STRAIGHT),
@@ -238,11 +243,11 @@ def _steps() -> dict[str, str]:
         # for themes: who attacks each square, pieces without a defender, in a bad spot, without a way out; pins of both sides
         "by": f"transform(sequence(0, 63), s -> {attackers('s', '$occ')})",
         "alone": "(($W & ~$attacks_w) | ($X & ~$attacks_b))",
-        "hang": f"""aggregate({squares('$alone', 's')}, 0L, (a, s) -> a | {bind(f"{attackers('s', '$occ')} & if(getbit($W, s) = 1, $X, $W)", "y", f"""if(({attackers('s', "($occ & ~(y & ($diagonal | $straight)))")}
+        "hang": f"""aggregate({men_of('$alone', 's')}, 0L, (a, s) -> a | {bind(f"{attackers('s', '$occ')} & if(getbit($W, s) = 1, $X, $W)", "y", f"""if(({attackers('s', "($occ & ~(y & ($diagonal | $straight)))")}
           & if(getbit($W, s) = 1, $W, $X)) = 0L, {bit('s')}, 0L)""")})""",
         "cheaper": "array(0L, 0L, $P, $P, $P | $N | $B, $P | $N | $B | $R, 0L)",
         "hit": "((($W & $attacks_b) | ($X & $attacks_w)) & ~$K)",
-        "bad": f"""aggregate({squares('$hit', 's')}, 0L, (a, s) -> a | if(getbit($hang, s) = 1
+        "bad": f"""aggregate({men_of('$hit', 's')}, 0L, (a, s) -> a | if(getbit($hang, s) = 1
           OR ({attackers('s', '$occ')} & if(getbit($W, s) = 1, $X, $W) & get($cheaper, abs(get($bd, s)))) <> 0L, {bit('s')}, 0L))""",
         "suspects": "if($checkers = 0L, $bad & $own & ~($P | $K | $pinned), 0L)",
     }
@@ -253,7 +258,7 @@ def _steps() -> dict[str, str]:
     seen, through = attackers("t", after), attackers("t", f"({after} & ~(z.a & $opp & ($diagonal | $straight)))")
     bad_there = bind(f"named_struct('a', {seen})", "z", f"""(z.a & $opp & ~{there}) <> 0L AND ((z.a & $opp & ~{there} & get($cheaper, abs(get($bd, s)))) <> 0L
       OR ((z.a & $own & ~{gone}) = 0L AND ({through} & $own & ~{gone} & ~(z.a & $opp)) = 0L))""")
-    s["trapped"] = f"""aggregate({squares('$suspects', 's')}, 0L, (a, s) -> a | if(exists($reach, m -> m.s = s AND exists({squares('m.to', 't')}, t -> (get($bd, t) <> 0 AND {value('t')} >= {value('s')}) OR NOT {bad_there})), 0L, {bit('s')}))"""
+    s["trapped"] = f"""aggregate({men_of('$suspects', 's')}, 0L, (a, s) -> a | if(exists($reach, m -> m.s = s AND exists({squares('m.to', 't')}, t -> (get($bd, t) <> 0 AND {value('t')} >= {value('s')}) OR NOT {bad_there})), 0L, {bit('s')}))"""
     line = lambda d, king: f"(get(rays.{d}, {king}) | get(rays.{OPPOSITE[d]}, {king}) | {bit(king)})"
     pins = [f"if($pin_{d} = 0L, NULL, named_struct('s', $kq_{d}, 'line', {line(d, '$ks')}))" for d in DIRECTIONS]
     pins += [f"if($epin_{d} = 0L, NULL, named_struct('s', $ex_{d}, 'line', {line(d, '$es')}))" for d in DIRECTIONS]

@@ -349,7 +349,7 @@ def seen() -> str:
     """SQL of the positions of ``game`` with what rules look at, and no more where that is costly; needs rays.
 
     On the player's boards (odd), pieces in a bad spot are only asked for on the target of the move, legal moves always. On
-    the others, pieces in a bad spot on the target of the last move, those without a way out where the next move takes more than a pawn, and
+    the others, hanging pieces where they are attacked, pieces in a bad spot on the target of the last move, those without a way out where the next move takes more than a pawn, and
     moves if there is a check, a pin or such a piece, or only one move follows.
     """
     square = lambda s: f"coalesce({bit(s)}, 0L)"
@@ -360,6 +360,7 @@ def seen() -> str:
     none = lambda kind: f"cast(array() AS array<struct<{kind}>>)"
     mine = {"alone": f"({STEPS['alone']} & {square('p.t')})", "hit": f"({STEPS['hit']} & {square('p.t')})", "trapped": "0L", "pins": none("s:int,line:bigint,leaves:boolean")}
     theirs = {
+        "alone": f"({STEPS['alone']} & (($W & $attacks_b) | ($X & $attacks_w)))",
         "hit": f"({STEPS['hit']} & ({square('get(game.raw, i - 1).t')} | if({takes}, {square(left)}, 0L)))", "suspects": f"if({takes}, {STEPS['suspects']} & {square(left)}, 0L)",
         "epinned": "(" + " | ".join(f"$epin_{d}" for d in DIRECTIONS) + ")",
         "pseudo": f"if({last} OR ($checkers | $suspects | $pinned | $epinned) <> 0L, {STEPS['pseudo']}, {none('s:int,k:int,to:bigint,ep:bigint')})", "castle_to": f"if({last}, {STEPS['castle_to']}, {none('f:int,t:int')})",
@@ -371,10 +372,11 @@ def seen() -> str:
 def tag_games(games: DataFrame) -> DataFrame:
     """PuzzleId, cp, tags, error from rows of PuzzleId, cp and ``game``; a puzzle that fails (see WHY) has an error and no tags."""
     rows = games.selectExpr("PuzzleId", "cp", f"{WHY} AS error", "game", f"{tables()} AS rays")
-    rows = rows.selectExpr("PuzzleId", "cp", "error", f"{seen()} AS pos", "size(game.raw) - 1 AS moves")
-    rows = rows.selectExpr("PuzzleId", "cp", "error", "pos", "moves", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1) AS mine", "if(get(pos, 1).white, 0, 1) AS me", "if(get(pos, 1).white, 1, 0) AS op")
-    # rules are only looked at where there is no error
-    found = rows.select("PuzzleId", "cp", "error", *[F.when(F.col("error").isNull(), F.expr(sql)).alias(name) for name, sql in tag_columns()])
+    # rules are only looked at where there is no error; one expression, so that positions are not turned into binary rows
+    found = "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in tag_columns()) + ")"
+    for name, value in (("op", "1 - me"), ("me", "if(get(pos, 1).white, 0, 1)"), ("mine", "filter(sequence(0, greatest(moves - 1, 0)), n -> n % 2 = 1)"), ("moves", "size(pos) - 1"), ("pos", seen())):
+        found = q.bind(value, name, found)
+    found = rows.selectExpr("PuzzleId", "cp", "error", f"if(error IS NULL, {found}, NULL) AS found").select("PuzzleId", "cp", "error", "found.*")
     lone = "if(matePattern <=> 'backRankMate' OR fork IS NOT NULL, NULL, sideAttack)"
     listed = F.expr("filter(array_compact(array(" + ", ".join(lone if n == "sideAttack" else n for n, _ in tag_columns()) + ")), t -> t <> '')")
     return found.select("PuzzleId", F.when(F.col("error").isNull(), F.col("cp").cast("int")).alias("cp"), listed.alias("tags"), "error")

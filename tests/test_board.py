@@ -136,6 +136,14 @@ def test_boards_need_no_python(spark, catalogue):
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_masks_come_from_look_ups_and_rules_need_no_list_of_moves(catalogue):
+    for df in (tags.tag(catalogue), features.advanced(catalogue)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "conv(" not in plan and "translate(reverse" not in plan and "gives" not in plan
+        assert "transform(array(named_struct(" not in plan  # an element of an array of one asks for all nested types each time
+    assert "chk, " not in tags.tag(catalogue)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unreadable_input_is_an_error_not_a_crash():
     for fen in ("", "8/8 w", "8/8/8/8/8/8/8/9 w", "what"):
         rows, error = replay_one(fen, "e2e4")
