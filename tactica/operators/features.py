@@ -182,10 +182,12 @@ def advanced(puzzles: DataFrame, a_file_quirk: bool = True) -> DataFrame:
     row = "array(" + ", ".join(f"cast({x} AS double)" for x in f.values()) + ")"
     # positions beyond the slots' are not looked at
     rows = games(puzzles).selectExpr("PuzzleId", f"least(size(raw) - 1, {MAX_HALF_MOVES}) AS played", f"slice(raw, 1, {MAX_HALF_MOVES + 1}) AS raw", f"{tables()} AS rays")
-    rows = rows.selectExpr("PuzzleId", "played", f"transform(raw, p -> {inside('p', {n: n for n in SEEN})}) AS pos")
+    pos = f"transform(raw, p -> {inside('p', {n: n for n in SEEN})})"
     n = f"if(k < {SLOTS}, 2 * k + 1, 2 * (k - {SLOTS}))"
     slot = q.bind(n, "n", f"if(n < played, {q.bind('named_struct(' + chr(39) + 'at' + chr(39) + ', get(pos, n), ' + chr(39) + 'after' + chr(39) + ', get(pos, n + 1), ' + chr(39) + 'before' + chr(39) + ', get(pos, n - 1))', 'p', row)}, array_repeat(0D, {len(f)}))")
-    return rows.select("PuzzleId", F.expr(f"flatten(transform(sequence(0, {2 * SLOTS - 1}), k -> {slot}))").alias("advanced"))
+    # one expression, so that positions are not turned into binary rows
+    found = q.bind(pos, "pos", f"flatten(transform(sequence(0, {2 * SLOTS - 1}), k -> {slot}))")
+    return rows.select("PuzzleId", F.expr(found).alias("advanced"))
 
 
 def node_features(puzzles: DataFrame) -> DataFrame:
